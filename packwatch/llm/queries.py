@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, minhash_dedup, mixing, substring_dedup
+from . import decontaminate, license_scan, minhash_dedup, mixing, quality_pu, quality_rules, substring_dedup, token_count, url_filter
 from .tables import read
 
 
@@ -22,6 +22,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_pu.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents")).drop("detections")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(read(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(read(spark, sf_dir, "documents")).drop("line_labels")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.repeats(read(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -30,6 +51,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_mixing": op2_mixing,
+    "op3_quality_pu": op3_quality_pu,
+    "op4_license_scan": op4_license_scan,
+    "op5_url_filter": op5_url_filter,
+    "op7_token_counts": op7_token_counts,
+    "op8_quality_rules": op8_quality_rules,
     "op10_decontamination": op10_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
 }
@@ -44,8 +70,8 @@ WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
 b AS (SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {_ALNUM} AS w FROM benchmark) WHERE len(w) > 0),
 win AS (SELECT item_id, k, array_to_string(w[i:i+k-1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
 sizes AS (SELECT DISTINCT k FROM win),
-at AS (SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS t FROM (SELECT doc_id, w, k, unnest(range(1, (len(w) - k + 2)::BIGINT)) AS i FROM d, sizes WHERE len(w) >= k)),
-met AS (SELECT DISTINCT doc_id, i, a.k, item_id FROM at a JOIN win USING (k, t)),
+here AS (SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS t FROM (SELECT doc_id, w, k, unnest(range(1, (len(w) - k + 2)::BIGINT)) AS i FROM d, sizes WHERE len(w) >= k)),
+met AS (SELECT DISTINCT doc_id, i, a.k, item_id FROM here a JOIN win USING (k, t)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM met) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM met) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
