@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, license_scan, minhash_dedup, mixing, quality_pu, quality_rules, substring_dedup, token_count, url_filter
+from . import decontaminate, license_scan, minhash_dedup, mixing, quality_pu, quality_rules, substring_dedup, suffix_dedup, token_count, url_filter
 from .tables import read
 
 
@@ -17,6 +17,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).drop("source")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.duplicates(read(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
 }
