@@ -1,12 +1,62 @@
-"""Cleaning a corpus: the stages that turn ``documents`` into a training mix."""
+"""Cleaning a corpus: the stages that turn ``documents`` into a training mix.
+
+Each stage is given all rows that the stage before kept and returns rows with the
+columns of ``documents``; the last returns the mix.  Between stages the rows are a
+table in the cluster's shared folder.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from packwatch.llm import decontaminate, minhash_dedup, mixing, quality_pu, substring_dedup
+from packwatch.llm.tables import Kept, read
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_OTHERS = ["lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    scored = quality_pu.scored(docs.select(COLUMNS), read(spark, sf_dir, "labels"), threshold=0.3, keep=_OTHERS)
+    return scored.where("predicted = 1").select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, a similarity of 0.8 or more."""
+    return minhash_dedup.one_of_each(docs.select(COLUMNS), shingle=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand earlier are cut out; texts of nothing else go, others stay as they are."""
+    cut = substring_dedup.repeats(docs.select(COLUMNS), window=50, keep=_OTHERS, layout=True)
+    rest = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))
+    return rest.select("doc_id", F.col("kept_text").alias("text"), "rest.lang", "rest.source", n_chars.alias("n_chars"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten words in a row of a benchmark item go."""
+    found = decontaminate.contamination(docs.select(COLUMNS), read(spark, sf_dir, "benchmark"), window=10, keep=_OTHERS)
+    return found.where("not contaminated").select("doc_id", "text", "rest.lang", "rest.source", "rest.n_chars")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix_sources(docs.select(COLUMNS), weights=(1, 2, 3), most=3)
+
+
+STAGES = [("quality classifier", quality), ("near dedup", near_dedup), ("substring dedup", repeated_passages), ("decontamination", benchmark_leaks), ("mixing", mix)]
 
-STAGES: list = []
+#: SQL can't express the classifier; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages in order, from ``documents`` to the mix."""
+    kept, docs = Kept(spark), read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = kept.keep(docs, f"stage-{k + 1}")
+    return docs

@@ -38,11 +38,11 @@ def _loose(text: Column) -> Column:
 class Index:
     """Windows of the test items and the postings of their rarest words in the corpus."""
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"):
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None):
         if window < 1:
             raise ValueError("a window has at least one word")
         self.kept = kept = Kept(docs.sparkSession)
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep or []]).alias("rest"))
         self.docs = rows.withColumn("key", F.xxhash64("doc_id", "text"))
         items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item_id"), F.transform(_words(F.col(item_text)), _exact).alias("words"), _words(_loose(F.col(item_text))).alias("loose"))
         items = items.where(F.size("words") > 0).distinct()
@@ -77,7 +77,7 @@ class Index:
         return met.join(self.small(pairs), "item").where(both).select("key", "item", "shift")
 
     def phrases(self) -> DataFrame:
-        """Per document: doc_id, n_words, n_hit, n_items, items (ids, sorted as strings), contaminated."""
+        """Per document: doc_id, n_words, n_hit, n_items, items (ids, sorted as strings), contaminated, text, rest."""
         found = self.alignments().join(self.small(self.items.select("item", "item_id", "words", "length")), "item")
         found = found.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "words", "length")).alias("near"))
         rows = self.docs.join(found, "key", "left").withColumn("doc_words", _words(F.col("text"))).withColumn("n_words", F.size("doc_words").cast("long"))
@@ -96,8 +96,8 @@ class Index:
         rows = rows.withColumn("hits", F.when(F.col("near").isNotNull(), hits))
         n_hit = F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["places"])))), F.lit(0))
         items = F.coalesce(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"]))), F.array().cast("array<string>"))
-        rows = rows.select("doc_id", "n_words", F.when(F.col("hits").isNull(), 0).otherwise(n_hit).cast("long").alias("n_hit"), items.alias("items"))
-        return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+        rows = rows.select("doc_id", "n_words", F.when(F.col("hits").isNull(), 0).otherwise(n_hit).cast("long").alias("n_hit"), items.alias("items"), "text", "rest")
+        return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "text", "rest")
 
     def near(self, within: int) -> DataFrame:
         """doc_id, item_id: the two rarest words of a window stand at most ``within`` words apart, in any order."""
@@ -111,7 +111,7 @@ class Index:
         return self.docs.select("key", "doc_id").distinct().join(hits, "key").select("doc_id", "item_id").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **columns: str) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, **columns: str) -> DataFrame:
     """Documents with passages of test items.
 
     docs, benchmark: any frames with an id and a text each; other columns are
@@ -120,8 +120,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **col
     fewer words, but not none, is one window.
     Returns per document: doc_id, n_words, n_hit (words inside any occurrence of
     any window), n_items, items (ids of items with occurring windows, as strings,
-    sorted), contaminated.  Null or empty texts have no words; items without an id
+    sorted), contaminated, text, rest (a struct of the columns in ``keep``).  Null or empty texts have no words; items without an id
     are ignored, items that share one count once; rows of documents that share an
     id keep their own rows.  With no items, nothing is hit.
     """
-    return Index(docs, benchmark, window, **columns).phrases()
+    return Index(docs, benchmark, window, keep=keep, **columns).phrases()

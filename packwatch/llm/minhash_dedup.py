@@ -88,7 +88,7 @@ def _signed(batches, size: int):
             node[have] = _nodes(h, first, n)
             blobs = np.full(j - i, None, dtype=object)
             blobs[have] = [x.tobytes() for x in sig]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(count), pa.array(node, mask=count == 0), pa.array(blobs.tolist(), pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("row_key").slice(i, j - i), pa.array(count), pa.array(node, mask=count == 0), pa.array(blobs.tolist(), pa.binary())], ["doc_id", "row_key", "n_shingles", "node", "sig"])
 
 
 def _posted(batches):
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     Documents with 100 * |both| >= percent * |either| are linked.
     Returns doc_id, n_shingles, component_id (the smallest id reachable, its own
     included), kept (doc_id equals component_id), component (an opaque key of the
-    component; null without words).  A text that is null, empty or blank has an
+    component; null without words), row_key (a hash of id and text).  A text that is null, empty or blank has an
     empty set and stays alone.  A null id is larger than all others; a component
     of nulls alone has a null component_id, equal to its doc_ids.  Rows that
     share an id are told apart by their sets.  An empty table gives an empty table.
@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     spark = docs.sparkSession
     kept, least = Kept(spark), least_matches(percent / 100)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = kept.keep(rows.mapInArrow(lambda b: _signed(b, shingle), "doc_id long, n_shingles long, node long, sig binary"), "signed")
+    keyed = rows.withColumn("row_key", _row_key(doc_id="doc_id", text="text"))
+    signed = kept.keep(keyed.mapInArrow(lambda b: _signed(b, shingle), "doc_id long, row_key long, n_shingles long, node long, sig binary"), "signed")
     classes = kept.keep(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
 
     posted = classes.select("sig", "node").mapInArrow(_posted, "token long, node long")
@@ -230,6 +231,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     named = classes.select("node", "doc_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "doc_id")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.select("node", "component").join(smallest, "component")
-    out = signed.select("doc_id", "n_shingles", "node").join(of_class, "node", "left")
+    out = signed.select("doc_id", "row_key", "n_shingles", "node").join(of_class, "node", "left")
     component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), "component")
+    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), "component", "row_key")
+
+
+def _row_key(doc_id: str, text: str):
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that near dedup keeps: of each component the one of the smallest id, and every text without words.
+
+    Of rows with equal id and text one stays; of a component's rows that share its
+    smallest id the one with the smallest key.
+    """
+    found = near_duplicates(docs, shingle, percent, doc_id, text)
+    best = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("best")).select(F.col("best.row_key").alias("__key"))
+    keys = best.union(found.where("component is null").select(F.col("row_key").alias("__key")))
+    return docs.withColumn("__key", _row_key(doc_id, text)).join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -17,6 +17,8 @@ passage that stands in a third of all documents costs one entry a slice.
 3. extend: each slice hashes the passages around its hits, again to parts;
 4. first: per passage the earliest slice keeps it, later slices get it back;
 5. each slice marks passages seen in an earlier slice or earlier in itself.
+
+The texts are shuffled once; the three passes over them read the same exchange.
 """
 
 from __future__ import annotations
@@ -90,18 +92,24 @@ def _returned(table: pa.Table, values: np.ndarray, sizes: np.ndarray, chosen: np
     return pa.table({"part": table["part"].take(some), "slice": table["slice"].take(some), "blob": pa.array([f.tobytes() for f in found if len(f)], pa.binary())})
 
 
+def _stretches(raw: bytes, w: Words, gone: np.ndarray, first: int) -> bytes:
+    edges = np.flatnonzero(np.diff(np.r_[True, gone, True].astype(np.int8)))
+    return b" ".join(raw[w.start[first + a] : w.end[first + b - 1]] for a, b in edges.reshape(-1, 2))
+
+
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, np.int64)
 
 
-def repeats(docs: DataFrame, window: int, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def repeats(docs: DataFrame, window: int, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, layout: bool = False) -> DataFrame:
     """Marks, in each document, the words inside passages that stand earlier.
 
     docs: any frame with an integer id and a text; further columns are ignored,
     but for those in ``keep``, which come back in the struct ``rest``.
     window: words of a passage, at least 3.
     Returns doc_id, n_words, n_removed, kept_text (the other words, joined by one
-    space), rest.  A passage stands earlier if it starts in a smaller doc_id or
+    space; with ``layout`` the text as it was where nothing goes, and else its kept
+    stretches as they were, joined by one space), rest.  A passage stands earlier if it starts in a smaller doc_id or
     further left in the same text; it is judged on the input.  Null text has no
     words.  Rows with a null id come first; rows that share an id are ordered by
     text.  An empty table gives an empty table.
@@ -212,17 +220,16 @@ def repeats(docs: DataFrame, window: int, doc_id: str = "doc_id", text: str = "t
                 n = int(own.sum())
                 n_words.append(len(here))
                 n_removed.append(n)
-                kept.append(b" ".join(compress(here, (~own).tolist()) if n else here))
+                if layout:
+                    kept.append(_stretches(raw, w, own, int(w.bounds[k])) if n else raw[offsets[k] : offsets[k + 1]])
+                else:
+                    kept.append(b" ".join(compress(here, (~own).tolist()) if n else here))
             done += len(w)
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "rest": table["rest"]})
 
     by_slice = rows.groupBy("slice")
-    probes = rows.select("slice", "doc_id", "text").groupBy("slice")
-    hits = probes.applyInArrow(probe, _BLOB).groupBy("part").applyInArrow(index, _BLOB)
-    seen = probes.cogroup(hits.groupBy("slice")).applyInArrow(extend, _BLOB).groupBy("part").applyInArrow(first, _BLOB)
+    hits = by_slice.applyInArrow(probe, _BLOB).groupBy("part").applyInArrow(index, _BLOB)
+    seen = by_slice.cogroup(hits.groupBy("slice")).applyInArrow(extend, _BLOB).groupBy("part").applyInArrow(first, _BLOB)
     out = f"doc_id long, n_words long, n_removed long, kept_text string, rest {rest_type}"
 
-    def mark_all(table: pa.Table, others: pa.Table) -> pa.Table:
-        return mark(table, others)
-
-    return by_slice.cogroup(seen.groupBy("slice")).applyInArrow(mark_all, out)
+    return by_slice.cogroup(seen.groupBy("slice")).applyInArrow(mark, out)
