@@ -1,5 +1,7 @@
 """All registered queries and their SQL."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import base, detectors, lifecycle, quality, reading, sources, texts, views  # noqa: F401  each registers its queries
+
+FLAGSHIP = "brand_scorecard"
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
