@@ -24,8 +24,8 @@ def classify_change(size_before: Column, size_after: Column, price_before: Colum
     return F.struct(
         F.round(size_pct, 2).alias("size_delta_pct"),
         F.round(pct(price_before, price_after), 2).alias("price_delta_pct"),
-        F.round(F.try_divide(price_before, size_before), 4).alias("ppu_before"),
-        F.round(F.try_divide(price_after, size_after), 4).alias("ppu_after"),
+        F.round(F.try_divide(price_before, size_before) + 1e-9, 4).alias("ppu_before"),
+        F.round(F.try_divide(price_after, size_after) + 1e-9, 4).alias("ppu_after"),
         kind.alias("change_type"),
         severity.alias("severity"),
     )

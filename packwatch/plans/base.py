@@ -118,10 +118,10 @@ _NEEDS = {"chg": ["obs"], "pub": ["obs", "chg", "ent"]}
 
 def with_tables(sql: str) -> str:
     """SQL that may name the tables in braces, with their definitions in front."""
-    used = {t for t in re.findall(r"\{(\w+)\}", sql)}
+    used = {t for t in re.findall(r"\{(\w+)\}", sql) if t in _SQL}
     order = [t for t in _SQL if t in used or any(t in _NEEDS.get(u, []) for u in used)]
     head = ",\n".join(f"{t} AS ({_SQL[t]})" for t in order)
-    body = re.sub(r"\{(\w+)\}", r"\1", sql).strip()
+    body = re.sub(r"\{(" + "|".join(_SQL) + r")\}", r"\1", sql).strip()
     if not head:
         return body
     return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"

@@ -58,16 +58,16 @@ def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("flap_guarded", """
-WITH o AS (SELECT upc, observed_date, ceil(size / 10) * 10 AS size, price FROM {obs}),
+WITH o AS (SELECT upc, extract(year FROM observed_date)::INT AS year, observed_date, ceil(size / 25) * 25 AS size, price FROM {obs}),
 w AS (SELECT *, lag(size) OVER a AS b1, lag(size, 2) OVER a AS b2, lag(size, 3) OVER a AS b3, lead(size) OVER a AS nxt, lag(observed_date) OVER a AS d1, lag(price / size) OVER a AS p1,
-  coalesce(list(size) OVER (PARTITION BY upc ORDER BY observed_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), []) AS later,
-  coalesce(list(size) OVER (PARTITION BY upc ORDER BY observed_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS earlier FROM o WINDOW a AS (PARTITION BY upc ORDER BY observed_date)),
+  coalesce(list(size) OVER (PARTITION BY upc, year ORDER BY observed_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), []) AS later,
+  coalesce(list(size) OVER (PARTITION BY upc, year ORDER BY observed_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS earlier FROM o WINDOW a AS (PARTITION BY upc, year ORDER BY observed_date)),
 c AS (SELECT *, CASE WHEN (size - b1) / b1 * 100 <= -2 THEN 'size_decrease' WHEN (price / size - p1) / p1 * 100 >= 5 THEN 'price_hike' END AS change_type FROM w
   WHERE b1 = b2 AND b1 = b3 AND b1 <> size AND b1 > 0 AND (nxt IS NULL OR nxt = size) AND NOT list_contains(later, b1) AND NOT list_contains(earlier, size))
-SELECT upc, change_type, d1 AS old_date, observed_date AS new_date, b1 AS old_size, size AS new_size FROM c WHERE change_type IS NOT NULL""")
+SELECT upc, year, change_type, d1 AS old_date, observed_date AS new_date, b1 AS old_size, size AS new_size FROM c WHERE change_type IS NOT NULL""")
 def flap_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = TABLES["obs"](spark, sf_dir).select("upc", "observed_date", (F.ceil(F.col("size") / 10) * 10).cast("double").alias("size"), "price").withColumn("ppu", F.col("price") / F.col("size"))
-    return changes.flap_guarded(rows, ["upc"], "observed_date", "size", "ppu")
+    rows = TABLES["obs"](spark, sf_dir).select("upc", F.year("observed_date").alias("year"), "observed_date", (F.ceil(F.col("size") / 25) * 25).cast("double").alias("size"), "price").withColumn("ppu", F.col("price") / F.col("size"))
+    return changes.flap_guarded(rows, ["upc", "year"], "observed_date", "size", "ppu")
 
 
 _YEARLY = """SELECT upc, extract(year FROM observed_date)::INT AS y, round(avg(size), 3) AS protein, round(avg(discount) * 1000, 3) AS fiber, round(avg(tax) * 1000, 3) AS sugar, round(avg(price) / 100, 3) AS sodium FROM {obs} GROUP BY 1, 2"""

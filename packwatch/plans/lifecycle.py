@@ -1 +1,61 @@
-"""To be filled."""
+"""Merges, retractions, audits and constraint checks over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import lifecycle as L
+from ..operators.quality import strict_duplicates
+from .base import TABLES, query, view
+
+_MAP = """m AS (SELECT entity_id AS source, first AS target FROM (SELECT entity_id, min(entity_id) OVER (PARTITION BY lower(trim(brand)), regexp_replace(lower(name), '[^a-z0-9]+', '', 'g')) AS first FROM {ent}) WHERE entity_id <> first)"""
+
+
+@query("merge_entities", f"WITH {_MAP} SELECT event_id, coalesce(target, entity_id) AS entity_id, CASE WHEN target IS NOT NULL THEN entity_id END AS previous_id FROM {{pub}} LEFT JOIN m ON source = entity_id")
+def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = strict_duplicates(TABLES["ent"](spark, sf_dir)).select(F.col("entity_id").alias("source"), F.col("into").alias("target"))
+    return L.merge_entities(TABLES["pub"](spark, sf_dir).select("event_id", "entity_id"), mapping)
+
+
+view("reassign_by_size", """SELECT p.event_id, t.target AS entity_id, p.size_before, p.size_after FROM {pub} p JOIN (SELECT brand, size_before, size_after, min(entity_id) AS target FROM {pub} WHERE NOT is_retracted GROUP BY brand, size_before, size_after) t
+ON t.brand = p.brand AND t.size_before = p.size_before AND t.size_after = p.size_after WHERE NOT p.is_retracted AND p.entity_id <> t.target""")
+
+
+@query("retract_cascade", "SELECT entity_id, count(*) AS events, count(*) FILTER (WHERE is_retracted OR pack_size > 40) AS retracted FROM {pub} JOIN {ent} USING (entity_id) GROUP BY entity_id")
+def retract_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, events = L.retract_cascade(TABLES["ent"](spark, sf_dir), TABLES["pub"](spark, sf_dir), F.col("pack_size") > 40)
+    return events.groupBy("entity_id").agg(F.count("*").alias("events"), F.count(F.when(F.col("is_retracted"), 1)).alias("retracted"))
+
+
+@query("status_audit_diff", """WITH b AS (SELECT claim_id, status FROM {claims} WHERE claim_id % 5 <> 0), a AS (SELECT claim_id, CASE WHEN confidence > 0.9 THEN 'matched' ELSE status END AS status FROM {claims} WHERE claim_id % 7 <> 0)
+SELECT coalesce(b.claim_id, a.claim_id) AS claim_id, b.status AS old_status, a.status AS new_status FROM b FULL JOIN a ON a.claim_id = b.claim_id WHERE b.status IS DISTINCT FROM a.status""")
+def status_audit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two made-up snapshots of the claims, which lack some rows each, and their differences."""
+    c = TABLES["claims"](spark, sf_dir)
+    after = c.where("claim_id % 7 <> 0").withColumn("status", F.when(F.col("confidence") > 0.9, "matched").otherwise(F.col("status")))
+    return L.status_changes(c.where("claim_id % 5 <> 0"), after, "claim_id", "status")
+
+
+@query("constraint_violations", """SELECT claim_id, unnest(list_filter([CASE WHEN NOT (new_size / old_size BETWEEN 0.7 AND 1.0) THEN 'ratio' END, CASE WHEN NOT (confidence <= 0.95) THEN 'confidence' END, CASE WHEN NOT (status <> 'discarded' OR source_type <> '5') THEN 'status' END], lambda x: x IS NOT NULL)) AS rule FROM {claims}""")
+def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"ratio": (F.col("new_size") / F.col("old_size")).between(0.7, 1.0), "confidence": F.col("confidence") <= 0.95, "status": (F.col("status") != "discarded") | (F.col("source_type") != "5")}
+    return L.violations(TABLES["claims"](spark, sf_dir), "claim_id", rules)
+
+
+@query("append_new", "SELECT entity_id, min(claim_id) AS claim_id FROM {claims} c WHERE status = 'matched' AND NOT EXISTS (SELECT 1 FROM {claims} p WHERE p.entity_id = c.entity_id AND p.status = 'pending') GROUP BY entity_id")
+def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products that only matched claims name."""
+    c = TABLES["claims"](spark, sf_dir)
+    new = c.where("status = 'matched'").groupBy("entity_id").agg(F.min("claim_id").alias("claim_id"))
+    return L.append_new(c.where("status = 'pending'").select("entity_id"), new, ["entity_id"])
+
+
+@query("upsert", "SELECT claim_id, CASE WHEN source_type = '1' THEN 'checked' ELSE status END AS status FROM {claims}")
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = TABLES["claims"](spark, sf_dir).select("claim_id", "status", "source_type")
+    return L.upsert(c, c.where("source_type = '1'").withColumn("status", F.lit("checked")), ["claim_id"]).select("claim_id", "status")
+
+
+view("originator_guard", """SELECT c.claim_id, c.entity_id, c.claim_id = o.origin AS is_originator FROM {claims} c JOIN (SELECT entity_id, old_size, new_size, min(claim_id) AS origin FROM {claims} WHERE status <> 'discarded' GROUP BY entity_id, old_size, new_size) o
+ON o.entity_id = c.entity_id AND o.old_size = c.old_size AND o.new_size = c.new_size WHERE c.status = 'pending'""")
+view("staging_transitions", "SELECT claim_id, CASE WHEN status = 'discarded' THEN status WHEN confidence > 0.8 THEN 'matched' ELSE coalesce(nullif(status, 'pending'), 'review') END AS status FROM {claims}")

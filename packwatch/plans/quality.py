@@ -1 +1,162 @@
-"""To be filled."""
+"""Entity resolution and data quality over the driver's tables."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.classify import flag_action
+from ..functions.text import fuzzy_name_key, normalize_brand, size_bucket
+from ..operators import quality as Q
+from .base import TABLES, query, read, view
+from .views import AS_OF
+
+# What stands for a missing brand.
+PLACEHOLDERS = ["unknown", "n/a", "na", "none", "generic", "various", "tbd", "brand#7"]
+
+view("dedup_raw_items", "SELECT source_type, source_id, raw_id, value FROM (SELECT source_type, user_id AS source_id, raw_id, value, row_number() OVER (PARTITION BY source_type, user_id ORDER BY captured_at DESC, raw_id DESC) AS r FROM {raw}) t WHERE r = 1")
+
+
+@query("fold_events", """SELECT entity_id, old_size, new_size, arg_min(claim_id, (extracted_date, claim_id)) AS origin_claim, min(extracted_date) AS observed_date, count(*) AS evidence_count, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS sources
+FROM {claims} WHERE new_size / old_size BETWEEN 0.05 AND 5 AND status <> 'discarded' GROUP BY entity_id, old_size, new_size""")
+def fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims become events; what has a size ratio outside 0.05..5 is discarded."""
+    return Q.fold_claims(TABLES["claims"](spark, sf_dir).where("new_size / old_size between 0.05 and 5 and status <> 'discarded'"))
+
+
+@query("dedup_events_wide", "SELECT entity_id, size_before, size_after, min(observed_date) AS first_date, count(*) AS evidence FROM {pub} WHERE NOT is_retracted GROUP BY entity_id, size_before, size_after")
+def dedup_events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal events of all times are one."""
+    live = TABLES["pub"](spark, sf_dir).where("not is_retracted")
+    found = Q.cluster_by_days(live, ["entity_id", "size_before", "size_after"], "observed_date", "event_id", 36_500)
+    return found.groupBy("entity_id", "size_before", "size_after", F.col("anchor").alias("first_date")).agg(F.count("*").alias("evidence"))
+
+
+@query("dedup_events_window")
+def dedup_events_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal changes of a product within 90 days of the first are one event."""
+    live = TABLES["pub"](spark, sf_dir).where("not is_retracted")
+    found = Q.cluster_by_days(live, ["entity_id", "change_type"], "observed_date", "event_id", 90)
+    return found.where("is_canonical").select("event_id", "entity_id", "change_type", "observed_date", "anchor")
+
+
+@query("dedup_entities_strict", """WITH k AS (SELECT entity_id, lower(trim(brand)) AS b, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key FROM {ent})
+SELECT entity_id, first AS into, n AS group_size FROM (SELECT *, min(entity_id) OVER (PARTITION BY b, key) AS first, count(*) OVER (PARTITION BY b, key) AS n FROM k WHERE key <> '') WHERE n > 1 AND entity_id <> first""".replace("AS into", "AS \"into\""))
+def dedup_entities_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.strict_duplicates(TABLES["ent"](spark, sf_dir))
+
+
+@query("dedup_entities_fuzzy")
+def dedup_entities_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.fuzzy_duplicates(TABLES["ent"](spark, sf_dir))
+
+
+@query("duplicate_pairs", """WITH e AS (SELECT entity_id, regexp_replace(lower(brand), '[^a-z0-9]+', '', 'g') || '|' || regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS slug FROM {ent}),
+n AS (SELECT entity_id, count(*) AS events FROM {pub} WHERE NOT is_retracted GROUP BY entity_id),
+r AS (SELECT e.entity_id, slug, coalesce(events, 0) AS events, first_value(e.entity_id) OVER (PARTITION BY slug ORDER BY coalesce(events, 0) DESC, e.entity_id) AS target FROM e LEFT JOIN n ON n.entity_id = e.entity_id)
+SELECT entity_id AS source, target, events AS source_events FROM r WHERE entity_id <> target""")
+def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of one slug, merged into the one with the most events."""
+    from ..functions.text import slugify
+
+    events = TABLES["pub"](spark, sf_dir).where("not is_retracted").groupBy("entity_id").agg(F.count("*").alias("events"))
+    rows = TABLES["ent"](spark, sf_dir).join(events, "entity_id", "left").select("entity_id", F.coalesce("events", F.lit(0)).alias("events"), F.concat_ws("|", slugify(F.col("brand")), slugify(F.col("name"))).alias("slug"))
+    best = rows.groupBy("slug").agg(F.min(F.struct((-F.col("events")).alias("minus"), "entity_id")).alias("best"))
+    return rows.join(best, "slug").where(F.col("entity_id") != F.col("best.entity_id")).select(F.col("entity_id").alias("source"), F.col("best.entity_id").alias("target"), F.col("events").alias("source_events"))
+
+
+@query("fuzzy_duplicate_groups", """WITH s AS (SELECT brand, entity_id, product_name, string_agg(DISTINCT concat(CAST(size_before AS INT), '>', CAST(size_after AS INT)), ',' ORDER BY concat(CAST(size_before AS INT), '>', CAST(size_after AS INT))) AS signature
+  FROM {pub} WHERE NOT is_retracted AND observed_date >= DATE '2001-07-01' GROUP BY brand, entity_id, product_name)
+SELECT brand, signature, count(*) AS products, min(entity_id) AS target, count(DISTINCT product_name) = 1 AS names_match FROM s GROUP BY brand, signature HAVING count(*) >= 2""")
+def fuzzy_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of one brand with the same changes of size of late."""
+    live = TABLES["pub"](spark, sf_dir).where("not is_retracted and observed_date >= date '2001-07-01'")
+    change = F.concat_ws(">", F.col("size_before").cast("int").cast("string"), F.col("size_after").cast("int").cast("string"))
+    signed = live.groupBy("brand", "entity_id", "product_name").agg(F.array_join(F.array_sort(F.collect_set(change)), ",").alias("signature"))
+    groups = signed.groupBy("brand", "signature").agg(F.count("*").alias("products"), F.min("entity_id").alias("target"), (F.countDistinct("product_name") == 1).alias("names_match"))
+    return groups.where("products >= 2")
+
+
+@query("claim_groups", """SELECT lower(p_brand) AS brand, array_to_string(list_sort(string_split(lower(p_name), ' ')), ' ') AS name_key, concat(CAST(old_size AS INT), size_unit, '→', CAST(new_size AS INT), size_unit) AS bucket, count(*) AS n, min(confidence) AS least, max(confidence) AS most, count(DISTINCT source_type) AS kinds
+FROM {claims} JOIN part ON p_partkey = entity_id WHERE status = 'pending' GROUP BY ALL""")
+def claim_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending claims by brand, name and pair of sizes."""
+    rows = TABLES["claims"](spark, sf_dir).where("status = 'pending'").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("entity_id"))
+    keys = [normalize_brand(F.col("p_brand")).alias("brand"), fuzzy_name_key(F.col("p_name")).alias("name_key"), size_bucket(F.col("old_size"), F.col("new_size"), F.col("size_unit")).alias("bucket")]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.countDistinct("source_type").alias("kinds"))
+
+
+_PLACE = ", ".join(f"'{x}'" for x in PLACEHOLDERS)
+FLAG_SQL = {
+    "dq_short_brand": f"SELECT 'short_brand' AS flag_kind, CAST(entity_id AS VARCHAR) AS target, 'med' AS severity, brand AS detail FROM {{ent}} WHERE length(trim(brand)) < 2 OR lower(trim(brand)) IN ({_PLACE})",
+    "dq_collision": """SELECT 'fuzzy_brand_collision' AS flag_kind, CAST(entity_id AS VARCHAR) AS target, 'low' AS severity, CAST(first AS VARCHAR) AS detail FROM (SELECT entity_id, min(entity_id) OVER w AS first, count(*) OVER w AS n FROM {ent} WINDOW w AS (PARTITION BY regexp_replace(lower(brand), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(name), '[^a-z0-9]+', '', 'g'))) WHERE n > 1 AND entity_id <> first""",
+    "dq_size_outlier": """SELECT 'size_outlier' AS flag_kind, event_id AS target, CASE WHEN size_after / size_before < 0.1 OR size_after / size_before > 5 THEN 'high' ELSE 'med' END AS severity, CAST(round(size_after / size_before + 1e-9, 3) AS VARCHAR) AS detail FROM {pub} WHERE size_after / size_before < 0.5 OR size_after / size_before > 2""",
+    "dq_sku_mashup": """SELECT 'sku_mashup' AS flag_kind, CAST(entity_id AS VARCHAR) AS target, CASE WHEN r >= 10 THEN 'high' ELSE 'med' END AS severity, CAST(round(r + 1e-9, 2) AS VARCHAR) AS detail FROM (SELECT entity_id, max(greatest(size_before, size_after)) / min(least(size_before, size_after)) AS r FROM {pub} GROUP BY entity_id) WHERE r >= 3""",
+    "dq_mixed_units": """SELECT 'mixed_units' AS flag_kind, CAST(g AS VARCHAR) AS target, 'low' AS severity, unit AS detail FROM (SELECT g, size_unit AS unit, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, size_unit) AS r, count(*) OVER (PARTITION BY g) AS units FROM (SELECT entity_id % 99 AS g, size_unit FROM {claims}) GROUP BY g, size_unit) WHERE r = 1 AND units > 1""",
+    "dq_stuck": f"""SELECT 'stuck_approved_claim' AS flag_kind, CAST(claim_id AS VARCHAR) AS target, 'med' AS severity, CAST(DATE '{AS_OF}' - extracted_date AS VARCHAR) AS detail FROM {{claims}} WHERE status = 'pending' AND DATE '{AS_OF}' - extracted_date > 7""",
+}
+FLAGS = {
+    "dq_short_brand": lambda s, d: Q.short_brand(TABLES["ent"](s, d), PLACEHOLDERS),
+    "dq_collision": lambda s, d: Q.brand_collision(TABLES["ent"](s, d)),
+    "dq_size_outlier": lambda s, d: Q.size_outlier(TABLES["pub"](s, d)),
+    "dq_sku_mashup": lambda s, d: Q.sku_mashup(TABLES["pub"](s, d)),
+    "dq_mixed_units": lambda s, d: Q.mixed_units(TABLES["claims"](s, d).withColumn("entity_id", F.col("entity_id") % 99)),
+    "dq_stuck": lambda s, d: Q.stuck(TABLES["claims"](s, d), AS_OF),
+}
+for _name, _build in FLAGS.items():
+    query(_name, FLAG_SQL[_name])(_build)
+
+_ALL = " UNION ALL ".join(FLAG_SQL[n] for n in ("dq_short_brand", "dq_collision", "dq_size_outlier", "dq_sku_mashup"))
+
+
+@query("dq_triage", f"""WITH n AS (SELECT CAST(entity_id AS VARCHAR) AS target, count(*) AS events FROM {{pub}} WHERE NOT is_retracted GROUP BY entity_id), f AS ({_ALL})
+SELECT flag_kind, f.target AS target, severity, CASE WHEN flag_kind = 'fuzzy_brand_collision' THEN CASE WHEN coalesce(events, 0) = 0 THEN 'skip_already_done' ELSE 'merge' END WHEN flag_kind = 'sku_mashup' AND severity = 'high' THEN 'retract_entity'
+  WHEN flag_kind = 'size_outlier' AND severity = 'high' THEN 'retract_event' WHEN flag_kind = 'short_brand' AND coalesce(events, 0) = 0 THEN 'retract_entity' ELSE 'leave' END AS action FROM f LEFT JOIN n ON n.target = f.target""")
+def dq_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happens to each open flag."""
+    flags = reduce(DataFrame.unionByName, [FLAGS[n](spark, sf_dir) for n in ("dq_short_brand", "dq_collision", "dq_size_outlier", "dq_sku_mashup")])
+    events = TABLES["pub"](spark, sf_dir).where("not is_retracted").groupBy(F.col("entity_id").cast("string").alias("target")).agg(F.count("*").alias("events"))
+    rows = flags.join(events, "target", "left").withColumn("events", F.coalesce("events", F.lit(0)))
+    return rows.select("flag_kind", "target", "severity", flag_action(F.col("flag_kind"), F.col("severity"), F.col("events"), F.col("events") == 0, F.lit(False)).alias("action"))
+
+
+@query("raise_flags", f"""SELECT * FROM ({FLAG_SQL["dq_sku_mashup"]}) f WHERE NOT EXISTS (SELECT 1 FROM {{ent}} WHERE CAST(entity_id AS VARCHAR) = f.target AND pack_size > 25)""")
+def raise_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags that are not open yet."""
+    open_ = TABLES["ent"](spark, sf_dir).where("pack_size > 25").select(F.lit("sku_mashup").alias("flag_kind"), F.col("entity_id").cast("string").alias("target"))
+    return Q.raise_flags(FLAGS["dq_sku_mashup"](spark, sf_dir), open_)
+
+
+view("orphan_entities", "SELECT entity_id, brand, name FROM {ent} e WHERE NOT EXISTS (SELECT 1 FROM {pub} p WHERE p.entity_id = e.entity_id AND p.change_type = 'restoration' AND NOT p.is_retracted)")
+view("missing_upcs", "SELECT entity_id FROM {ent} e WHERE pack_size > 10 AND NOT EXISTS (SELECT 1 FROM {obs} o WHERE o.upc = e.entity_id AND o.store = 1)")
+view("auto_decline", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN source_type = '5' AND confidence < 0.3 THEN 'weak source' WHEN new_size >= old_size THEN 'no shrink' WHEN confidence < 0.05 THEN 'low confidence' END AS reason FROM {claims} WHERE status = 'pending') t WHERE reason IS NOT NULL GROUP BY reason""")
+view("audit_filters", "SELECT claim_id, entity_id, size_unit, confidence FROM {claims} WHERE status = 'matched' AND size_unit IN ('oz', 'g', 'ml', 'ct') AND confidence >= 0.85 AND source_type IN ('1', '2')")
+view("activate_variants", "SELECT entity_id, name FROM {ent} WHERE name IS NOT NULL AND name NOT LIKE 'old %' AND pack_size > 0")
+view("vision_candidates", "SELECT c.claim_id, c.confidence, r.raw_id FROM {claims} c JOIN {raw} r ON r.user_id = c.entity_id WHERE c.confidence >= 0.2 AND c.confidence < 0.5 AND r.source_type = 'view' AND c.status = 'pending'")
+
+
+@query("match_findings", """WITH f AS (SELECT DISTINCT string_split(name, ' ')[2] AS product FROM {ent}), m AS (SELECT f.product, entity_id, name, row_number() OVER (PARTITION BY f.product ORDER BY length(name), entity_id) AS r FROM f JOIN {ent} ON contains(lower(name), lower(f.product)))
+SELECT product, entity_id, name FROM m WHERE r = 1""")
+def match_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each reported product the shortest name that holds its word: words are looked up, names aren't all compared."""
+    ent = TABLES["ent"](spark, sf_dir)
+    wanted = ent.select(F.get(F.split("name", " "), F.lit(1)).alias("product")).distinct().where("product is not null")
+    words = ent.select("entity_id", "name", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
+    best = words.join(wanted, F.col("word") == F.lower("product")).groupBy("product").agg(F.min(F.struct(F.length("name").alias("l"), "entity_id", "name")).alias("r"))
+    return best.select("product", "r.entity_id", "r.name")
+
+
+@query("promote_staging", f"""SELECT claim_id, entity_id, CAST(extracted_date - 365 AS DATE) AS before_date, extracted_date AS after_date, old_size, new_size, concat('POST-', substring(md5(CAST(claim_id AS VARCHAR)), 1, 8)) AS upc,
+  CASE WHEN confidence >= 0.7 AND new_size < old_size THEN 'promote' WHEN confidence < 0.25 THEN 'dismiss' ELSE 'review' END AS outcome FROM {{claims}} WHERE status = 'pending'""")
+def promote_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged posts with their outcome and the two versions they stand for."""
+    c = TABLES["claims"](spark, sf_dir).where("status = 'pending'")
+    outcome = F.when((F.col("confidence") >= 0.7) & (F.col("new_size") < F.col("old_size")), "promote").when(F.col("confidence") < 0.25, "dismiss").otherwise("review")
+    return c.select("claim_id", "entity_id", F.date_sub("extracted_date", 365).alias("before_date"), F.col("extracted_date").alias("after_date"), "old_size", "new_size", F.concat(F.lit("POST-"), F.substring(F.md5(F.col("claim_id").cast("string")), 1, 8)).alias("upc"), outcome.alias("outcome"))
+
+
+@query("latest_per_key", "SELECT entity_id, claim_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY extracted_date DESC, claim_id DESC) AS r FROM {claims}) WHERE r = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert that keeps the last row of each key."""
+    return TABLES["claims"](spark, sf_dir).groupBy("entity_id").agg(F.max(F.struct("extracted_date", "claim_id", "confidence")).alias("r")).select("entity_id", "r.claim_id", "r.confidence")

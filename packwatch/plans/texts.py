@@ -1 +1,193 @@
-"""To be filled."""
+"""The text and unit functions over strings made from the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as T, units as U
+from .base import query, read
+
+# Strings of the kinds that the functions meet, one for each product.
+_SIZES = """CASE p_partkey % 9 WHEN 0 THEN concat(p_size, ' oz') WHEN 1 THEN concat(p_size, 'g') WHEN 2 THEN concat('1 LB ', p_size, ' OZ') WHEN 3 THEN concat(p_size, '.5 fl. oz/', p_size * 28, ' g')
+  WHEN 4 THEN concat(p_size, ' Fluid  Ounces (pack)') WHEN 5 THEN 'assorted' WHEN 6 THEN concat('about ', p_size, ' gal') WHEN 7 THEN NULL ELSE concat('each / ', p_size, ' KGM') END"""
+_UNITS = "CASE p_partkey % 7 WHEN 0 THEN 'Ounces' WHEN 1 THEN ' fl  oz ' WHEN 2 THEN 'GRM' WHEN 3 THEN 'boxes' WHEN 4 THEN '' WHEN 5 THEN 'pounds' ELSE NULL END"
+_OWNERS = "CASE p_partkey % 6 WHEN 0 THEN concat('THE ', p_name, ', INC.') WHEN 1 THEN concat(p_brand, ' Company') WHEN 2 THEN concat(p_name, '-Lay Corp') WHEN 3 THEN concat('  ', p_name, '''s  L.L.C. ') WHEN 4 THEN concat(p_brand, ' GmbH') ELSE NULL END"
+_NAMES = "CASE p_partkey % 6 WHEN 0 THEN concat(p_name, ' ', p_size, ' Ounce Plastic Bag') WHEN 1 THEN concat(p_name, ' Family Size') WHEN 2 THEN concat(p_name, ' 12 Pack') WHEN 3 THEN concat('Big ', p_name, ' 2 x ', p_size, ' g, new!') WHEN 4 THEN concat(p_name, ' ', p_size, ' FL OZ') ELSE p_name END"
+_POSTS = """CASE p_partkey % 6 WHEN 0 THEN concat(p_name, ' went from ', p_size + 2, ' oz to ', p_size, ' oz and it is $3.99 now, was $3.49') WHEN 1 THEN concat('My ', p_name, ' used to be ', p_size, ' now ', p_size + 3, ' sheets')
+  WHEN 2 THEN concat('Shrunk! ', p_name, ' is smaller, $', p_size, '.50') WHEN 3 THEN concat('I like the ', p_name) WHEN 4 THEN concat('same price, was ', p_size + 1, ' grams -> ', p_size, ' grams (', p_name, ')') ELSE NULL END"""
+BRANDS = ["widget", "gizmo", "bolt", "ring", "gear", "rod"]
+
+
+def _strings(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_name", F.expr(sql.replace("'''s", r"'\'s")).alias("t"))
+
+
+def _q(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def _case(table: dict, key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{_q(str(k))}' THEN '{_q(str(v))}'" for k, v in table.items()) + " END"
+
+
+def _unit(raw: str) -> str:
+    key = rf"trim(regexp_replace(lower({raw}), '\s+', ' ', 'g'))"
+    return f"CASE WHEN {raw} IS NULL OR {raw} = '' THEN 'oz' ELSE coalesce({_case(U.UNITS, key)}, {_case(U.UNITS, f'rtrim({key}, ' + chr(39) + 's' + chr(39) + ')')}, {key}) END"
+
+
+_N = _q(U.NUMBER_UNIT)
+_LB = _q(U.POUNDS_OUNCES)
+_PARSED = f"""SELECT p_partkey, t, CASE WHEN regexp_extract(t, '{_LB}', 1) <> '' THEN regexp_extract(t, '{_LB}', 1)::DOUBLE * 16 + regexp_extract(t, '{_LB}', 2)::DOUBLE ELSE try_cast(nullif(regexp_extract(pick, '{_N}', 1), '') AS DOUBLE) END AS value,
+  CASE WHEN regexp_extract(t, '{_LB}', 1) <> '' THEN 'oz' WHEN regexp_extract(pick, '{_N}', 1) <> '' THEN {_unit(f"regexp_extract(pick, '{_N}', 2)")} END AS unit
+FROM (SELECT *, CASE WHEN contains(t, '/') AND regexp_matches(split_part(t, '/', 1), '{_N}') THEN split_part(t, '/', 1) WHEN contains(t, '/') AND regexp_matches(substr(t, position('/' IN t) + 1), '{_N}') THEN substr(t, position('/' IN t) + 1)
+  WHEN contains(t, '(') AND regexp_matches(split_part(t, '(', 1), '{_N}') THEN split_part(t, '(', 1) ELSE t END AS pick FROM (SELECT p_partkey, trim({_SIZES}) AS t FROM part))"""
+
+
+@query("parse_package_weight", f"SELECT p_partkey, value, unit FROM ({_PARSED})")
+def parse_package_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir, _SIZES).withColumn("p", U.parse_package_weight(F.col("t"))).select("p_partkey", "p.value", "p.unit")
+
+
+@query("convert_to_base", f"""
+SELECT p_partkey, value * CASE unit {' '.join(f"WHEN '{k}' THEN {float(v[1])}" for k, v in U.BASE_UNITS.items())} ELSE 1.0::DOUBLE END AS value, coalesce({_case({k: v[0] for k, v in U.BASE_UNITS.items()}, 'unit')}, unit) AS unit,
+  {_case(U.FAMILIES, f"coalesce({_case({k: v[0] for k, v in U.BASE_UNITS.items()}, 'unit')}, unit)")} AS family FROM ({_PARSED})""")
+def convert_to_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _strings(spark, sf_dir, _SIZES).withColumn("p", U.parse_package_weight(F.col("t"))).withColumn("b", U.convert_to_base(F.col("p.value"), F.col("p.unit")))
+    return rows.select("p_partkey", "b.value", "b.unit", U.unit_family(F.col("b.unit")).alias("family"))
+
+
+@query("normalize_unit", f"SELECT p_partkey, {_unit('t')} AS unit FROM (SELECT p_partkey, {_UNITS} AS t FROM part)")
+def normalize_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir, _UNITS).select("p_partkey", U.normalize_unit(F.col("t")).alias("unit"))
+
+
+def _sub(x: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({x}, '{_q(pattern)}', '{to}', 'g')"
+
+
+_CLEAN = lambda x: f"trim({_sub(_sub(f'replace({x}, {chr(39)}-{chr(39)}, {chr(39)} {chr(39)})', '[^a-z0-9 ]'), ' +', ' ')})"
+
+
+@query("normalize_owner", f"""SELECT p_partkey, {_CLEAN(_sub(_sub("trim(lower(coalesce(t, '')))", T.OWNER_SUFFIX), '(?i)^ *the +'))} AS owner, {_CLEAN("trim(lower(coalesce(t, '')))")} AS description FROM (SELECT p_partkey, {_OWNERS} AS t FROM part)""")
+def normalize_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir, _OWNERS).select("p_partkey", T.normalize_owner(F.col("t")).alias("owner"), T.normalize_description(F.col("t")).alias("description"))
+
+
+@query("normalize_brand", f"SELECT p_partkey, trim({_sub(_sub(chr(108) + 'ower(trim(coalesce(t, ' + chr(39) * 2 + ')))', T.BRAND_SUFFIX), ' +', ' ')}) AS brand FROM (SELECT p_partkey, {_OWNERS} AS t FROM part)")
+def normalize_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir, _OWNERS).select("p_partkey", T.normalize_brand(F.col("t")).alias("brand"))
+
+
+@query("strip_size", f"SELECT p_partkey, trim({_sub(_sub(_sub('t', T.SIZE_TAIL), T.PACK_TAIL), T.SIZE_LABEL)}) AS name FROM (SELECT p_partkey, {_NAMES} AS t FROM part)")
+def strip_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir, _NAMES).select("p_partkey", T.strip_size(F.col("t")).alias("name"))
+
+
+@query("slugify", f"SELECT p_partkey, {_sub('lower(t)', '[^a-z0-9]+')} AS slug FROM (SELECT p_partkey, {_NAMES} AS t FROM part)")
+def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir, _NAMES).select("p_partkey", T.slugify(F.col("t")).alias("slug"))
+
+
+_KEY = f"array_to_string(list_sort(list_filter(string_split_regex({_sub(_sub(_sub('lower(t)', T.MULTIPACK, ' '), T.SIZE_NOISE, ' '), '[^0-9A-Za-z_ ]', ' ')}, ' +'), lambda x: x <> '')), ' ')"
+
+
+@query("fuzzy_name_key", f"SELECT p_partkey, {_KEY} AS key FROM (SELECT p_partkey, {_NAMES} AS t FROM part)")
+def fuzzy_name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir, _NAMES).select("p_partkey", T.fuzzy_name_key(F.col("t")).alias("key"))
+
+
+@query("size_bucket", """SELECT p_partkey, concat(CASE WHEN p_partkey % 3 = 0 THEN '?' ELSE concat(rtrim(rtrim(CAST(CAST(p_size / 4 AS DECIMAL(18, 3)) AS VARCHAR), '0'), '.'), 'oz') END, '→', p_size, 'oz') AS bucket FROM part""")
+def size_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    old = F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") / 4)
+    return part.select("p_partkey", T.size_bucket(old, F.col("p_size").cast("double"), F.lit(" OZ")).alias("bucket"))
+
+
+@query("entity_key", "SELECT p_partkey, substring(md5(concat(lower(p_brand), '|', lower(p_name))), 1, 16) AS key FROM part")
+def entity_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", T.entity_key(F.col("p_brand"), F.col("p_name")).alias("key"))
+
+
+@query("title_case", f"""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]+'), lambda x: concat(upper(x[1:1]), lower(x[2:]))), '') AS name FROM (SELECT p_partkey, coalesce({_OWNERS}, '') AS t FROM part)""")
+def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir, f"coalesce({_OWNERS}, '')").select("p_partkey", T.title_case(F.col("t")).alias("name"))
+
+
+@query("category_guess", f"""SELECT p_partkey, CASE {' '.join(f"WHEN regexp_matches(lower(t), '{_q(w)}') THEN '{c}'" for c, w in T.CATEGORY_WORDS.items())} ELSE 'Other' END AS category
+FROM (SELECT p_partkey, concat({_NAMES}, CASE p_partkey % 5 WHEN 0 THEN ' Orange Juice' WHEN 1 THEN ' chips' WHEN 2 THEN ' Cheese' ELSE '' END) AS t FROM part)""")
+def category_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir, f"concat({_NAMES}, CASE p_partkey % 5 WHEN 0 THEN ' Orange Juice' WHEN 1 THEN ' chips' WHEN 2 THEN ' Cheese' ELSE '' END)").select("p_partkey", T.category_guess(F.col("t")).alias("category"))
+
+
+@query("upc_variants", "SELECT p_partkey, unnest(CASE WHEN length(d) < 8 THEN [] WHEN d[1:1] = '0' THEN [d, d[2:]] ELSE [d, concat('0', d)] END) AS code FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat('0', 10000000 + p_partkey) WHEN 1 THEN concat(4000000 + p_partkey, '1') ELSE CAST(p_partkey AS VARCHAR) END AS d FROM part)")
+def upc_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = "CASE p_partkey % 3 WHEN 0 THEN concat('0-', 10000000 + p_partkey) WHEN 1 THEN concat(4000000 + p_partkey, ' 1') ELSE CAST(p_partkey AS STRING) END"
+    return _strings(spark, sf_dir, raw).select("p_partkey", F.explode(T.upc_variants(F.col("t"))).alias("code"))
+
+
+_F = _q(T.FROM_TO)
+_POST = f"""SELECT p_partkey, CASE {' '.join(f"WHEN regexp_matches(lower(t), '(^|[^a-z]){b}([^a-z]|$)') THEN '{b}'" for b in BRANDS)} END AS brand, greatest(a, b) AS old_size, least(a, b) AS new_size,
+  CASE WHEN a IS NULL THEN NULL WHEN u = '' THEN 'oz' ELSE coalesce({_case(T.POST_UNITS, 'u')}, u) END AS unit, CASE WHEN len(p) >= 2 THEN p[1]::DOUBLE END AS old_price, CASE WHEN len(p) >= 1 THEN p[-1]::DOUBLE END AS new_price,
+  a IS NOT NULL AS explicit_from_to, coalesce(regexp_matches(t, '{_q(T.SHRINK_WORDS)}'), false) AS has_shrink_words
+FROM (SELECT *, try_cast(nullif(regexp_extract(t, '{_F}', 1), '') AS DOUBLE) AS a, try_cast(nullif(regexp_extract(t, '{_F}', 3), '') AS DOUBLE) AS b, rtrim(trim(lower(coalesce(nullif(regexp_extract(t, '{_F}', 4), ''), regexp_extract(t, '{_F}', 2)))), 's') AS u,
+  regexp_extract_all(t, '{_q(T.PRICE)}', 1) AS p FROM (SELECT p_partkey, {_POSTS} AS t FROM part))"""
+_FIELDS = "(brand IS NOT NULL)::INT + (old_size IS NOT NULL)::INT + (new_size IS NOT NULL)::INT + (old_price IS NOT NULL)::INT + (new_price IS NOT NULL)::INT"
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir, _POSTS).withColumn("post", T.parse_post(F.col("t"), BRANDS))
+
+
+@query("parse_text_nlp", f"SELECT *, {_FIELDS} AS fields_found FROM ({_POST})")
+def parse_text_nlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posts(spark, sf_dir).select("p_partkey", "post.*")
+
+
+@query("confidence_tier", f"""SELECT p_partkey, CASE WHEN f >= 4 AND brand IS NOT NULL AND explicit_from_to AND has_shrink_words THEN 'auto' WHEN f >= 2 AND has_shrink_words THEN 'review' WHEN f >= 4 AND explicit_from_to THEN 'review' ELSE 'discard' END AS tier FROM (SELECT *, {_FIELDS} AS f FROM ({_POST}))""")
+def confidence_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posts(spark, sf_dir).select("p_partkey", T.confidence_tier(F.col("post")).alias("tier"))
+
+
+@query("confidence_score", f"""SELECT p_partkey, least(100, (CASE WHEN explicit_from_to THEN 25 ELSE 0 END) + (CASE WHEN brand IS NOT NULL THEN 15 ELSE 0 END) + least({_FIELDS}, 5) * 8 + (CASE WHEN p_partkey % 4 = 0 THEN 10 ELSE 0 END)
+  + (CASE WHEN p_partkey % 5 = 0 THEN 10 ELSE 0 END) + (CASE WHEN old_price IS NOT NULL AND new_price IS NOT NULL THEN 5 ELSE 0 END)) AS score FROM ({_POST})""")
+def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posts(spark, sf_dir).select("p_partkey", T.confidence_score(F.col("post"), F.col("p_partkey") % 4 == 0, F.col("p_partkey") % 5 == 0).alias("score"))
+
+
+@query("url_domain", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www\\.', '') AS domain FROM pages")
+def url_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", T.url_domain(F.col("url")).alias("domain"))
+
+
+_HTML = """trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+
+
+@query("strip_html", f"SELECT page_id, md5({_HTML}) AS text_md5, length({_HTML}) AS n_chars FROM pages")
+def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = T.strip_html(F.col("html"))
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(text).alias("text_md5"), F.length(text).cast("long").alias("n_chars"))
+
+
+@query("html_size_extract", f"""SELECT page_id, CASE WHEN title_size <> '' THEN 'title' WHEN body_size <> '' THEN 'body' END AS method, nullif(coalesce(nullif(title_size, ''), body_size), '')::DOUBLE AS value
+FROM (SELECT page_id, regexp_extract(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '{_N}', 1) AS title_size, regexp_extract({_HTML}, '{_N}', 1) AS body_size FROM pages)""")
+def html_size_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A size from a page's title, else from its text, with where it was found."""
+    pages = read(spark, sf_dir, "pages")
+    number = lambda x: F.nullif(F.regexp_extract(x, U.NUMBER_UNIT, 1), F.lit("")).cast("double")
+    in_title, in_body = number(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)), number(T.strip_html(F.col("html")))
+    return pages.select("page_id", F.when(in_title.isNotNull(), "title").when(in_body.isNotNull(), "body").alias("method"), F.coalesce(in_title, in_body).alias("value"))
+
+
+_PERIODS = "CASE o_orderkey % 6 WHEN 0 THEN substring(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 1, 7) WHEN 1 THEN concat(year(o_orderdate), 'M', lpad(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0')) WHEN 2 THEN CAST(34700 + o_orderkey % 2000 AS VARCHAR(5)) WHEN 3 THEN 'Mar 1998' WHEN 4 THEN '1999 Nov' ELSE 'n/a' END"
+
+
+@query("period_parse", f"""SELECT o_orderkey, CAST(date_trunc('month', CASE WHEN regexp_matches(t, '^\\d{{5}}$') AND t BETWEEN '34000' AND '55000' THEN DATE '1899-12-30' + t::INT WHEN regexp_matches(t, '^\\d{{4}}-\\d{{2}}') THEN CAST(concat(t[1:7], '-01') AS DATE)
+  WHEN regexp_matches(t, '^\\d{{4}}M\\d{{2}}$') THEN CAST(concat(t[1:4], '-', t[6:7], '-01') AS DATE) WHEN t = 'Mar 1998' THEN DATE '1998-03-01' WHEN t = '1999 Nov' THEN DATE '1999-11-01' END) AS DATE) AS month FROM (SELECT o_orderkey, {_PERIODS} AS t FROM orders)""")
+def period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PERIODS.replace("VARCHAR(10)", "STRING").replace("VARCHAR(2)", "STRING").replace("VARCHAR(5)", "STRING")).alias("t")).select("o_orderkey", T.parse_period(F.col("t")).alias("month"))
+
+
+@query("content_hash", """SELECT event_id, sha256(concat('{"event_type":"', event_type, '","user_id":', user_id, '}')) AS hash FROM events""")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA-256 of a payload as JSON with its keys in order."""
+    return read(spark, sf_dir, "events").select("event_id", F.sha2(F.to_json(F.struct("event_type", "user_id")), 256).alias("hash"))
