@@ -85,7 +85,7 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A monthly price index: the mean order total."""
-    return read(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
+    return read(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.round(F.avg("o_totalprice") + 1e-6, 2).alias("value"))
 
 
 _CASE_V1 = """CASE WHEN size > size_before THEN 'upsizing' WHEN size < size_before AND price < price_before THEN 'downsizing' WHEN size < size_before THEN 'shrinkflation'
@@ -99,7 +99,7 @@ _SQL = {
   CASE WHEN p_size > 25 THEN concat('img/', p_partkey) END AS image_url, n_name AS manufacturer
   FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1) ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = s LEFT JOIN nation ON n_nationkey = s_nationkey""",
     "chg": f"""SELECT upc, date_before, observed_date AS date_after, size_before, size AS size_after, price_before, price AS price_after,
-  round((size - size_before) / NULLIF(size_before, 0) * 100, 2) AS size_delta_pct, round((price - price_before) / NULLIF(price_before, 0) * 100, 2) AS price_delta_pct,
+  round((size - size_before) / NULLIF(size_before, 0) * 100, 2) + 0.0 AS size_delta_pct, round((price - price_before) / NULLIF(price_before, 0) * 100, 2) + 0.0 AS price_delta_pct,
   round(price_before / NULLIF(size_before, 0) + 1e-9, 4) AS ppu_before, round(price / NULLIF(size, 0) + 1e-9, 4) AS ppu_after, {_CASE_V1} AS change_type,
   CASE WHEN (size - size_before) / size_before * 100 <= -15 THEN 'major' WHEN (size - size_before) / size_before * 100 <= -5 THEN 'moderate' ELSE 'minor' END AS severity, store, flag = 'R' AS is_retracted
   FROM (SELECT *, lag(size) OVER w AS size_before, lag(price) OVER w AS price_before, lag(observed_date) OVER w AS date_before FROM obs WINDOW w AS (PARTITION BY upc ORDER BY observed_date)) WHERE size_before <> size""",
@@ -110,9 +110,10 @@ _SQL = {
     "claims": """SELECT o_orderkey AS claim_id, o_custkey AS entity_id, (10 + o_custkey % 7)::DOUBLE AS old_size, (8 + o_orderkey % 3)::DOUBLE AS new_size, CASE WHEN o_custkey % 2 = 0 THEN 'oz' ELSE 'g' END AS size_unit,
   CASE o_orderstatus WHEN 'F' THEN 'matched' WHEN 'O' THEN 'pending' ELSE 'discarded' END AS status, substring(o_orderpriority, 1, 1) AS source_type, round(o_totalprice / 500000, 3) AS confidence, CAST(o_orderdate AS DATE) AS extracted_date FROM orders""",
     "raw": "SELECT event_id AS raw_id, event_type AS source_type, CAST(ts AS DATE) AS source_date, ts AS captured_at, user_id, value, props AS payload FROM events",
-    "cpi": "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 1",
+    "ord": "SELECT * FROM orders",
+    "cpi": "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, round(avg(o_totalprice) + 1e-6, 2) AS value FROM orders GROUP BY 1",
 }
-TABLES: dict[str, Query] = {"obs": observations, "ent": products, "chg": change_events, "pub": published, "claims": claims, "raw": raw_items, "cpi": cpi}
+TABLES: dict[str, Query] = {"obs": observations, "ent": products, "chg": change_events, "pub": published, "claims": claims, "raw": raw_items, "cpi": cpi, "ord": lambda spark, sf_dir: read(spark, sf_dir, "orders")}
 _NEEDS = {"chg": ["obs"], "pub": ["obs", "chg", "ent"]}
 
 

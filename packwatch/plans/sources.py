@@ -1 +1,66 @@
-"""To be filled."""
+"""Shaping of sources, feeds and incremental ingest over the driver's tables."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..sources.sinks import markdown_table, rss_items
+from ..streaming.ingest import run_to_table
+from .base import TABLES, query, read, view
+
+view("trend_monthly", "SELECT CAST(date_trunc('month', captured_at) AS DATE) AS month, source_type AS keyword, round(avg(value) + 1e-6, 2) AS value, count(*) AS n FROM {raw} GROUP BY CAST(date_trunc('month', captured_at) AS DATE), source_type")
+
+
+@query("full_outer_merge", """WITH a AS (SELECT lower(trim(o_orderpriority)) AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000 GROUP BY 1, 2),
+b AS (SELECT lower(trim(o_orderpriority)) AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, round(avg(o_totalprice) + 1e-6, 2) AS value FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000 GROUP BY 1, 2)
+SELECT coalesce(a.series, b.series) AS series, coalesce(a.period, b.period) AS period, n, value FROM a FULL JOIN b ON a.series = b.series AND a.period = b.period""")
+def full_outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two workbooks of a series, merged by its name and month."""
+    orders = read(spark, sf_dir, "orders").where("o_totalprice > 400000").withColumn("series", F.lower(F.trim("o_orderpriority"))).withColumn("period", F.trunc("o_orderdate", "month"))
+    counts = orders.where("o_orderstatus = 'F'").groupBy("series", "period").agg(F.count("*").alias("n"))
+    values = orders.where("o_orderstatus = 'O'").groupBy("series", "period").agg(F.round(F.avg("o_totalprice") + 1e-6, 2).alias("value"))
+    return counts.join(values, ["series", "period"], "full")
+
+
+@query("unpivot_series", """SELECT upc, y, name AS measure, v AS value FROM (SELECT l_partkey AS upc, extract(year FROM l_shipdate)::INT AS y, round(sum(l_quantity), 2) AS quantity, round(max(l_discount), 4) AS discount FROM lineitem GROUP BY 1, 2) UNPIVOT (v FOR name IN (quantity, discount))""")
+def unpivot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide sheet as rows."""
+    wide = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("upc"), F.year("l_shipdate").alias("y")).agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.max("l_discount"), 4).alias("discount"))
+    return wide.unpivot(["upc", "y"], ["quantity", "discount"], "measure", "value")
+
+
+@query("date_windows", """SELECT CAST(s AS DATE) AS start_date, CAST(least(s + INTERVAL 3 MONTH - INTERVAL 1 DAY, (SELECT max(o_orderdate) FROM orders)) AS DATE) AS end_date FROM (SELECT unnest(range((SELECT min(o_orderdate) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 3 MONTH)) AS s)""")
+def date_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three months that follow on one another from the first day to the last."""
+    ends = read(spark, sf_dir, "orders").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    starts = ends.select(F.explode(F.sequence("a", F.date_sub("b", 1), F.expr("interval 3 months"))).alias("start_date"), "b")
+    return starts.select("start_date", F.least(F.date_sub(F.add_months("start_date", 3), 1), "b").alias("end_date"))
+
+
+view("series_without_dots", "SELECT month, CASE WHEN value > 260000 THEN NULL ELSE value END AS value FROM {cpi} WHERE month > DATE '1996-01-01'")
+
+
+@query("json_payload", "SELECT raw_id, CAST(json_extract_string(payload, '$.k') AS INT) AS k, coalesce(json_extract_string(payload, '$.missing'), 'none') AS missing FROM {raw}")
+def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a JSON payload; what isn't there is null."""
+    raw = TABLES["raw"](spark, sf_dir).withColumn("p", F.from_json("payload", "k int, missing string"))
+    return raw.select("raw_id", "p.k", F.coalesce("p.missing", F.lit("none")).alias("missing"))
+
+
+@query("rss_feed", """SELECT concat('<item><title>', replace(replace(brand, '&', '&amp;'), '<', '&lt;'), ' ', product_name, ' ', printf('%.1f', size_delta_pct), '%</title><guid>', event_id, '</guid></item>') AS value FROM {pub} WHERE NOT is_retracted AND severity = 'major' AND size_delta_pct = -50""")
+def rss_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rss_items(TABLES["pub"](spark, sf_dir).where("not is_retracted and severity = 'major' and size_delta_pct = -50"))
+
+
+@query("markdown_report", "SELECT concat('| ', category, ' | ', count(*), ' |') AS value FROM {ent} GROUP BY category")
+def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown_table(TABLES["ent"](spark, sf_dir).groupBy("category").agg(F.count("*").alias("n")))
+
+
+@query("ingest_incremental")
+def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table through a stream, each event once."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="packwatch-")
+    return run_to_table(spark, f"{sf_dir}/events.parquet", folder, ["event_id"], "ts")
