@@ -50,12 +50,10 @@ def sainte_lague(votes, seats: int, most=None) -> np.ndarray:
         low /= 2
     while at(high).sum() > seats:
         high *= 2
-    for _ in range(200):
+    for _ in range(100):
         d = (low + high) / 2
-        low, high = (d, high) if at(d).sum() >= seats else (low, d)
-        if at(low).sum() == seats:
-            return at(low)
-    out = at(high) if at(high).sum() <= seats else np.zeros(len(votes), dtype=np.int64)
+        low, high = (d, high) if at(d).sum() > seats else (low, d)
+    out = at(high * (1 + 1e-9))  # a little too few, so that ties are left to the exact quotients
     while out.sum() < seats:
         quotient = np.where(out < usable, votes / (2 * out + 1), -1.0)
         out[int(np.argmax(quotient))] += 1

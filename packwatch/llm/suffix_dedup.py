@@ -47,7 +47,7 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tu
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     at = np.arange(len(data) - k + 1)
     h = _runs(_BYTES[data], at, at + k, _P)
-    small = _smallest((mix(h) & ~_PLACE) | at.astype(np.uint64), window - k + 1)
+    small = _smallest((h & ~_PLACE) | at.astype(np.uint64), window - k + 1)  # the high bits of h, then the place
     place = (small & _PLACE).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     whole = text[: len(place)] == text[window - 1 :][: len(place)]
