@@ -8,8 +8,6 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))  # for the workers
 
-DATA = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -27,16 +25,9 @@ def spark(tmp_path_factory):
 def duck():
     import duckdb
 
+    from support import DATA
+
     con = duckdb.connect()
     for path in Path(DATA).glob("*.parquet"):
         con.sql(f"create view {path.stem} as select * from '{path}'")
     return con
-
-
-def same(frame, relation) -> None:
-    """Both hold the same rows, whatever their order."""
-    columns = sorted(frame.columns)
-    assert sorted(relation.columns) == columns
-    got = sorted(repr(tuple(r)) for r in frame.select(*[f"`{c}`" for c in columns]).collect())
-    expected = sorted(map(repr, relation.project(", ".join(f'"{c}"' for c in columns)).fetchall()))
-    assert got == expected

@@ -1,7 +1,7 @@
 import pytest
-from conftest import DATA, same
 
 from packwatch.plans import catalog
+from support import DATA, same
 
 #: Queries whose order-dependent or streaming meaning SQL doesn't express.
 ROWS_ONLY = {"dedup_events_window", "dedup_entities_fuzzy", "ingest_incremental"}
@@ -19,7 +19,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_ingest_reads_each_event_once(spark, duck):
     rows = catalog.QUERIES["ingest_incremental"](spark, DATA)
-    assert rows.count() == rows.select("event_id").distinct().count() == duck.sql("select count(distinct event_id) from events").fetchone()[0]
+    assert rows.count() == rows.select("event_id").distinct().count() == duck.sql("select count(distinct event_id) from events").fetchall()[0][0]
 
 
 def test_windows_of_events_hold_ninety_days(spark):
