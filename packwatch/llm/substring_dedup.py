@@ -69,9 +69,8 @@ def _ordered(table: pa.Table) -> pa.Table:
 
 def _packed(keys: np.ndarray, parts: np.ndarray, slice_: int, n_parts: int) -> pa.Table:
     """keys sorted by part, cut into a row for each part that has any."""
-    cut = np.searchsorted(parts, np.arange(n_parts + 1))
-    has = [p for p in range(n_parts) if cut[p] < cut[p + 1]]
-    return pa.table({"part": pa.array(has, pa.int32()), "slice": pa.array([slice_] * len(has), pa.int32()), "blob": pa.array([keys[cut[p] : cut[p + 1]].tobytes() for p in has], pa.binary())})
+    cut = np.r_[_runs(parts), len(parts)]
+    return pa.table({"part": pa.array(parts[cut[:-1]], pa.int32()), "slice": pa.array([slice_] * (len(cut) - 1), pa.int32()), "blob": pa.array([keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
 
 
 def _fingerprint(h: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,16 +2,17 @@
 
 A string of ``window`` bytes stands under its minimizer: of the runs of k bytes
 in it the one with the smallest hash.  Equal strings have the same one, so the
-windows of the corpus fall into buckets that meet in full.  A minimizer that one
-document alone has is left out.  The windows that share one minimizer's place form
-a segment, and equal segments are one; what remains of a bucket are its few
-variants.  Their suffix arrays, built by linear grouping, put equal strings side
+windows of the corpus fall into buckets that meet in full.  The windows that share
+one minimizer's place form a segment.  Equal windows agree in half of what is left
+of a window on one side of the minimizer at least; a segment whose two such flanks
+one document alone has is left out.  Equal segments are one; what remains of a
+bucket are its few variants.  Their suffix arrays, built by linear grouping, put equal strings side
 by side, and each run of neighbours that agree in ``window`` bytes belongs to its
 earliest document.
 
 As in substring dedup, documents are dealt to slices by ranges of doc_id, and a
 slice sends a packed row to each part of the buckets, with each distinct
-minimizer or segment once.
+flank or segment once.
 """
 
 from __future__ import annotations
@@ -41,12 +42,12 @@ def _smallest(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def minimizers(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each minimizer, first window and window after the last that it stands for, and text; in order."""
+def minimizers(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """Hash of each minimizer, first window and window after the last that it stands for, text, and hashes of its left and right flanks (0 for none); in order."""
     if len(data) < window:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    at = np.arange(len(data) - k + 1)
-    h = _runs(_BYTES[data], at, at + k, _P)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2)
+    at, values = np.arange(len(data) - k + 1), _BYTES[data]
+    h = _runs(values, at, at + k, _P)
     small = _smallest((h & ~_PLACE) | at.astype(np.uint64), window - k + 1)  # the high bits of h, then the place
     place = (small & _PLACE).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -55,7 +56,12 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tu
     first = np.flatnonzero(new & whole)
     # windows of one text are consecutive, and those of one minimizer too
     last = np.flatnonzero(whole & np.r_[new[1:] | ~whole[1:], True]) + 1
-    return mix(h[place[first]]), first, last, text[first]
+    p, half = place[first], (window - k) // 2
+    left, right = p - first >= half, last - 1 + window - p - k >= half
+    flanks = mix(_runs(values, np.r_[p[left] - half, p[right]], np.r_[p[left] + k, p[right] + k + half], _P) ^ np.repeat(np.array([0, 1], dtype=np.uint64), [left.sum(), right.sum()]))
+    sides = np.zeros((2, len(p)), dtype=np.uint64)
+    sides[0, left], sides[1, right] = flanks[: left.sum()], flanks[left.sum() :]
+    return mix(h[p]), first, last, text[first], *sides
 
 
 def _parts(h: np.ndarray, n_parts: int) -> np.ndarray:
@@ -91,13 +97,13 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         found = []
         for i, j in chunks(offsets):
             own = offsets[i : j + 1] - offsets[i]
-            h, first, last, of = minimizers(data[offsets[i] : offsets[j]], own, window, k)
-            found.append((h, first + offsets[i], last + offsets[i], of + i))
-        h, first, last, of = (np.concatenate(x) for x in zip(*found))
-        return table, data, offsets, ordinal, h, first, last, of
+            h, first, last, of, *sides = minimizers(data[offsets[i] : offsets[j]], own, window, k)
+            found.append((h, first + offsets[i], last + offsets[i], of + i, *sides))
+        return table, data, offsets, ordinal, *(np.concatenate(x) for x in zip(*found))
 
     def probe(table: pa.Table) -> pa.Table:
-        *_, ordinal, h, _, _, of = of_slice(table)
+        *_, ordinal, _, _, _, of, left, right = of_slice(table)
+        h, of = np.r_[left[left > 0], right[right > 0]], np.r_[of[left > 0], of[right > 0]]
         part = _parts(h, n_parts)
         key = (part.astype(np.uint64) << U64(32)) | (h & U64(0x3FFFFFFF))
         by = np.lexsort((ordinal[of], key))
@@ -119,10 +125,11 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
 
     def segments_of(table: pa.Table, hits: pa.Table):
         """Live segments of a slice: key, identity, place, windows, row."""
-        table, data, offsets, ordinal, h, first, last, of = of_slice(table)
+        table, data, offsets, ordinal, h, first, last, of, left, right = of_slice(table)
         fps, sizes = _blobs(hits, np.uint32)
         live = np.sort((np.repeat(hits["part"].to_numpy().astype(np.uint64), sizes) << U64(30)) | fps)
-        use = member((_parts(h, n_parts).astype(np.uint64) << U64(30)) | (h & U64(0x3FFFFFFF)), live)
+        known = lambda flank: (flank > 0) & member((_parts(flank, n_parts).astype(np.uint64) << U64(30)) | (flank & U64(0x3FFFFFFF)), live)
+        use = known(left) | known(right)
         h, first, last, of = h[use], first[use], last[use], of[use]
         identity = np.zeros(len(h), dtype=np.uint64)
         for i, j in chunks(offsets):
