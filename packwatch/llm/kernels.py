@@ -62,12 +62,26 @@ class _Powers:
 _POWERS = {_P: _Powers(_P), _Q: _Powers(_Q)}
 
 
+class Prefixes:
+    """Prefix sums over values, from which the hash of any run of them follows."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        up, self.down = _POWERS[base].upto(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.multiply(values, up[:-1], out=self.sums[1:])
+        np.cumsum(self.sums[1:], out=self.sums[1:])
+
+    def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of values[start:end] for each pair, independent of where it stands."""
+        return (self.sums[end] - self.sums[start]) * self.down[start]
+
+    def rolling(self, n: int) -> np.ndarray:
+        """Hash of every n values in a row."""
+        return (self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n]
+
+
 def _runs(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for each pair, independent of where it stands."""
-    up, down = _POWERS[base].upto(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return (sums[end] - sums[start]) * down[start]
+    return Prefixes(values, base).runs(start, end)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

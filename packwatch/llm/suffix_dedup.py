@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import U64, _BYTES, _P, _runs, chunks, covered, member, mix, utf8
+from .kernels import U64, _BYTES, _P, Prefixes, chunks, covered, member, mix, utf8
 from .substring_dedup import _BLOB, _blobs, _ordered, _packed, _returned, sliced
 from .suffix_array import _spans, suffix_array, suffix_arrays
 
@@ -43,12 +43,12 @@ def _smallest(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def minimizers(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Hash of each minimizer, first window and window after the last that it stands for, text, and hashes of its left and right flanks (0 for none); in order."""
+    """Hash of each minimizer, first window and window after the last that it stands for, text, its place, hash of its segment, and hashes of its left and right flanks (0 for none); in order."""
     if len(data) < window:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2)
-    at, values = np.arange(len(data) - k + 1), _BYTES[data]
-    h = _runs(values, at, at + k, _P)
-    small = _smallest((h & ~_PLACE) | at.astype(np.uint64), window - k + 1)  # the high bits of h, then the place
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, *[np.zeros(0, np.uint64)] * 3)
+    prefixes = Prefixes(_BYTES[data], _P)
+    h = prefixes.rolling(k)
+    small = _smallest((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), window - k + 1)  # the high bits of h, then the place
     place = (small & _PLACE).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     whole = text[: len(place)] == text[window - 1 :][: len(place)]
@@ -56,12 +56,18 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tu
     first = np.flatnonzero(new & whole)
     # windows of one text are consecutive, and those of one minimizer too
     last = np.flatnonzero(whole & np.r_[new[1:] | ~whole[1:], True]) + 1
-    p, half = place[first], (window - k) // 2
-    left, right = p - first >= half, last - 1 + window - p - k >= half
-    flanks = mix(_runs(values, np.r_[p[left] - half, p[right]], np.r_[p[left] + k, p[right] + k + half], _P) ^ np.repeat(np.array([0, 1], dtype=np.uint64), [left.sum(), right.sum()]))
-    sides = np.zeros((2, len(p)), dtype=np.uint64)
-    sides[0, left], sides[1, right] = flanks[: left.sum()], flanks[left.sum() :]
-    return mix(h[p]), first, last, text[first], *sides
+    p = place[first]
+    key = mix(h[p])
+    return key, first, last, text[first], p, mix(prefixes.runs(first, last - 1 + window) ^ key), *flanks(prefixes, p, first, last - 1 + window, k, (window - k) // 2)
+
+
+def flanks(prefixes: Prefixes, place: np.ndarray, start: np.ndarray, end: np.ndarray, k: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k bytes at each place with ``half`` bytes before or behind them; 0 where they aren't within start and end."""
+    left, right = place - start >= half, end - place - k >= half
+    out = np.zeros((2, len(place)), dtype=np.uint64)
+    out[0, left] = mix(prefixes.runs(place[left] - half, place[left] + k))
+    out[1, right] = mix(prefixes.runs(place[right], place[right] + k + half) ^ U64(1))
+    return out[0], out[1]
 
 
 def _parts(h: np.ndarray, n_parts: int) -> np.ndarray:
@@ -97,12 +103,12 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         found = []
         for i, j in chunks(offsets):
             own = offsets[i : j + 1] - offsets[i]
-            h, first, last, of, *sides = minimizers(data[offsets[i] : offsets[j]], own, window, k)
-            found.append((h, first + offsets[i], last + offsets[i], of + i, *sides))
+            h, first, last, of, place, *hashes = minimizers(data[offsets[i] : offsets[j]], own, window, k)
+            found.append((h, first + offsets[i], last + offsets[i], of + i, place - first, *hashes))
         return table, data, offsets, ordinal, *(np.concatenate(x) for x in zip(*found))
 
     def probe(table: pa.Table) -> pa.Table:
-        *_, ordinal, _, _, _, of, left, right = of_slice(table)
+        *_, ordinal, _, _, _, of, _, _, left, right = of_slice(table)
         h, of = np.r_[left[left > 0], right[right > 0]], np.r_[of[left > 0], of[right > 0]]
         part = _parts(h, n_parts)
         key = (part.astype(np.uint64) << U64(32)) | (h & U64(0x3FFFFFFF))
@@ -124,25 +130,19 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         return _returned(table, values >> np.uint32(1), sizes, member(values >> np.uint32(1), live))
 
     def segments_of(table: pa.Table, hits: pa.Table):
-        """Live segments of a slice: key, identity, place, windows, row."""
-        table, data, offsets, ordinal, h, first, last, of, left, right = of_slice(table)
+        """Live segments of a slice: key, identity, windows, row and place of the minimizer."""
+        table, data, offsets, ordinal, h, first, last, of, at, identity, left, right = of_slice(table)
         fps, sizes = _blobs(hits, np.uint32)
         live = np.sort((np.repeat(hits["part"].to_numpy().astype(np.uint64), sizes) << U64(30)) | fps)
         known = lambda flank: (flank > 0) & member((_parts(flank, n_parts).astype(np.uint64) << U64(30)) | (flank & U64(0x3FFFFFFF)), live)
         use = known(left) | known(right)
-        h, first, last, of = h[use], first[use], last[use], of[use]
-        identity = np.zeros(len(h), dtype=np.uint64)
-        for i, j in chunks(offsets):
-            lo, hi = np.searchsorted(first, [offsets[i], offsets[j]])
-            values = _BYTES[data[offsets[i] : offsets[j]]]
-            identity[lo:hi] = mix(_runs(values, first[lo:hi] - offsets[i], last[lo:hi] - 1 + window - offsets[i], _P) ^ h[lo:hi])
-        return table, data, offsets, ordinal, h, identity, first, last, of
+        return table, data, offsets, ordinal, h[use], identity[use], first[use], last[use], of[use], at[use]
 
     def send(table: pa.Table, hits: pa.Table) -> pa.Table:
         if not table.num_rows or not hits.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("part", pa.int32()), ("slice", pa.int32()), ("blob", pa.binary()), ("text", pa.binary()))})
         slice_ = int(table["slice"][0].as_py())
-        _, data, _, ordinal, h, identity, first, last, of = segments_of(table, hits)
+        _, data, _, ordinal, h, identity, first, last, of, at = segments_of(table, hits)
         part = _parts(h, n_parts)
         by = np.lexsort((ordinal[of], identity, part))
         run = np.flatnonzero(np.r_[True, (identity[by][1:] != identity[by][:-1]) | (part[by][1:] != part[by][:-1])]) if len(by) else np.zeros(0, np.int64)
@@ -150,13 +150,11 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         one = by[run]
         several = ordinal[of[one]] != ordinal[of[by[end - 1]]] if len(run) else np.zeros(0, bool)
         sent = np.empty(len(one), dtype=_SENT)
-        sent["key"], sent["ordinal"], sent["several"], sent["length"] = h[one], ordinal[of[one]], several, last[one] - first[one] - 1 + window
-        cut = np.searchsorted(part[one], np.arange(n_parts + 1))
-        out = []
-        for p in range(n_parts):
-            lo, hi = cut[p], cut[p + 1]
-            if lo < hi:
-                out.append((p, slice_, sent[lo:hi].tobytes(), data[_spans(first[one[lo:hi]], sent["length"][lo:hi].astype(np.int64))].tobytes()))
+        sent["key"], sent["ordinal"], sent["several"], sent["length"], sent["at"] = h[one], ordinal[of[one]], several, last[one] - first[one] - 1 + window, at[one]
+        own, out = part[one], []
+        cut = np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), len(own)] if len(own) else np.zeros(1, np.int64)
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            out.append((own[lo], slice_, sent[lo:hi].tobytes(), data[_spans(first[one[lo:hi]], sent["length"][lo:hi].astype(np.int64))].tobytes()))
         columns = list(zip(*out)) or [[]] * 4
         return pa.table({n: pa.array(c, t) for (n, t), c in zip((("part", pa.int32()), ("slice", pa.int32()), ("blob", pa.binary()), ("text", pa.binary())), columns)})
 
@@ -167,10 +165,12 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         data = np.frombuffer(b"".join(table["text"].to_pylist()), np.uint8)
         length = sent["length"].astype(np.int64)
         start = np.cumsum(length) - length
-        identity = np.zeros(len(sent), dtype=np.uint64)
+        hashes = [(np.zeros(0, np.uint64),) * 3]
         for i, j in chunks(np.r_[start, len(data)]):
-            values = _BYTES[data[start[i] : start[j - 1] + length[j - 1]]]
-            identity[i:j] = mix(_runs(values, start[i:j] - start[i], start[i:j] - start[i] + length[i:j], _P) ^ sent["key"][i:j])
+            own, place = start[i:j] - start[i], start[i:j] - start[i] + sent["at"][i:j]
+            prefixes = Prefixes(_BYTES[data[start[i] : start[j - 1] + length[j - 1]]], _P)
+            hashes.append((mix(prefixes.runs(own, own + length[i:j]) ^ sent["key"][i:j]), *flanks(prefixes, place, own, own + length[i:j], k, (window - k) // 2)))
+        identity, *sides = (np.concatenate(x) for x in zip(*hashes))
         when = (slices << 32) | sent["ordinal"].astype(np.int64)
         by = np.lexsort((when, identity, sent["key"]))
         key, ident = sent["key"][by], identity[by]
@@ -178,17 +178,18 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         variant = np.cumsum(new) - 1  # of the entries in this order
         lead = by[new]  # the earliest entry of each variant
         earliest = when[lead]
-        bucket = np.flatnonzero(np.r_[True, sent["key"][lead][1:] != sent["key"][lead][:-1]])
-        many = np.diff(np.r_[bucket, len(lead)])
-        # windows of each variant: which of them belong to which time
-        alone = np.repeat(many, many) == 1
+        # windows of each variant: which of them belong to which time; a variant that shares no flank shares no window
+        alone = ~(_shared(sides[0][lead]) | _shared(sides[1][lead]))
+        mixed = np.flatnonzero(~alone)
+        bucket = np.flatnonzero(np.r_[True, sent["key"][lead[mixed]][1:] != sent["key"][lead[mixed]][:-1]]) if len(mixed) else mixed
+        many = np.diff(np.r_[bucket, len(mixed)])
         owner = [np.flatnonzero(alone)]
         mask = [(U64(2) << (length[lead[owner[0]]] - window).astype(np.uint64)) - U64(1)]
         time = [earliest[owner[0]]]
-        for text, bounds, var in _bucket_texts(bucket[many > 1], many[many > 1], lead, start, length, data):
+        for text, bounds, var in _bucket_texts(bucket, many, lead[mixed], start, length, data):
             order = np.concatenate([bounds[0] + np.array(suffix_array(text.tolist()), dtype=np.int64)]) if len(text) > LONG and len(bounds) == 2 else suffix_arrays(text, bounds)
-            o, m, t = _equal_neighbours(text, order, var, earliest, window)
-            owner.append(o)
+            o, m, t = _equal_neighbours(text, order, var, earliest[mixed], window)
+            owner.append(mixed[o])
             mask.append(m)
             time.append(t)
         owner, mask, time = np.concatenate(owner), np.concatenate(mask), np.concatenate(time)
@@ -212,7 +213,7 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
     def mark(table: pa.Table, both: pa.Table) -> pa.Table:
         answers = both.filter(pa.array(np.asarray(both["kind"]) == 1)) if both.num_rows else both
         hits = both.filter(pa.array(np.asarray(both["kind"]) == 0)) if both.num_rows else both
-        table, data, offsets, ordinal, _, identity, first, last, of = segments_of(table, hits)
+        table, data, offsets, ordinal, _, identity, first, last, of, _ = segments_of(table, hits)
         got, _ = _blobs(answers, _GOT)
         got = got[np.argsort(got["identity"], kind="stable")]
         lo = np.searchsorted(got["identity"], identity)
@@ -253,10 +254,16 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
     return by_slice.cogroup(both.groupBy("slice")).applyInArrow(mark, out)
 
 
-_SENT = np.dtype([("key", np.uint64), ("ordinal", np.uint32), ("length", np.uint16), ("several", np.uint8)])
+_SENT = np.dtype([("key", np.uint64), ("ordinal", np.uint32), ("length", np.uint16), ("several", np.uint8), ("at", np.uint8)])
 _GOT = np.dtype([("identity", np.uint64), ("mask", np.uint64), ("ordinal", np.int32)])
 
 
+def _shared(hashes: np.ndarray) -> np.ndarray:
+    """Which hashes, 0 aside, stand twice or more."""
+    _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    return (count[which] > 1) & (hashes > 0)
+
+
 def _bucket_texts(bucket, many, lead, start, length, data):
     """Texts of buckets with several variants: symbols, bounds of the texts, and the variant at each place.
 
