@@ -18,7 +18,7 @@ _KEYWORDS = [b"cookie", b"copyright", b"rights reserved", b"privacy", b"subscrib
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER, _LETTER = np.isin(np.arange(256), list(range(65, 91))), np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)])
 _DIGIT, _END = np.isin(np.arange(256), list(range(48, 58))), np.isin(np.arange(256), list(b".!?:;\"')")) | np.isin(np.arange(256), [0xBB, 0x9D, 0xA6])
-FEATURES = ["always", "no_words", "one_to_three", "four_to_nine", "ten_or_more", "ends_sentence", "much_upper", "some_symbols", "many_symbols", "many_digits", "keyword", "seen_before", "few_distinct", "long_words", "first", "last"]
+FEATURES = ["always", "no_words", "one_to_three", "four_to_nine", "ten_or_more", "ends_sentence", "much_upper", "some_symbols", "many_symbols", "many_digits", "keyword", "seen_before", "few_distinct", "long_words", "first", "last", "exclaims", "repeats_next"]
 
 #: Labelled line sequences, written by hand: c content, b boilerplate.
 LABELLED_LINES = [
@@ -32,6 +32,12 @@ LABELLED_LINES = [
     "b one one one one one one one one one one one one one one\nb two two two two two two two two two two two two two two two\nb three three three three three three three three three three",
     "b FREE!! OFFER!! FOR!! ALL!! NEW!! MEMBERS!! JOIN!! US!! NOW!!\nb ### sale### deal&&& best%%% price$$$ ever*** order&&& now###\nb item | price | stock | sale | more | next | back | home",
     "b alder, | birch | cedar | elm. | maple | oak | pine. | rowan | willow | yew. |\nb apple | pear | plum. | quince | cherry, | grape | fig | date | lemon | lime. |\nb one | two | three | four | five | six | seven | eight | nine | ten | eleven.",
+    "c The market opened late because of the snow.\nb bread | milk | butter. | cheese | eggs, | flour | honey. | apples | pears | plums.\nb beans | peas | leeks | onions. | carrots | beets | kale, | chard | rice | oats.\nb tea | coffee | cocoa. | juice | water | cider | wine, | beer | salt | pepper.",
+    "c The band played for an hour.\nb The*** band### was%%% great&&& and$$$ loud*** tonight&&& for### all%%% of$$$ us***.\nb come### back%%% soon&&& for$$$ more*** of### the%%% same&&& songs$$$.\nb Nice### one%%% and$$$ free.",
+    "c Our dog sleeps all day.\nb ball ball ball ball ball ball ball ball ball ball ball ball ball ball ball ball ball.\nb Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run.\nc He wakes for supper, and then he sleeps again.",
+    "b STOP!! LOOK!! HERE!! NOW!! ONLY!! TODAY!! FREE!! CASH!!\nb you!! will!! not!! believe!! this!! one!! simple!! thing!!\nb ORDER NOW!! SAVE BIG!! LAST CHANCE!! DO NOT MISS!!.",
+    "c She bought a lamp, a chair and a small table at the sale; the lamp was broken.\nc Did you see it? I did!\nc They paid 40 dollars for the lot, and nobody complained.\nc An old man carried it home.",
+    "c El viento movia las ramas y la casa estaba en silencio, como siempre a esa hora.\nc Nadie dijo nada durante la cena, porque todos pensaban en la carta que habia llegado por la manana\nc y que aun estaba cerrada.",
     "c The list of trees was read aloud.\nb Ash. | beech, | hazel | holly | larch | lime | poplar. | spruce | walnut | yew\nb ### Great&&& offers%%% for*** every&&& home$$$ and### garden.***",
     "c This work is licensed under the terms that follow.\nc She wrote to her sister every week, and the letters are kept in the town archive.\nc Most of them are short\nc and some were never sent.",
     "c Water boils at a lower temperature in the mountains, because the air is thinner there.\nc This is why rice takes longer to cook.\nc Short lines happen too.\nc In 1998 there were 3 of them, in 2004 there were 12.",
@@ -68,6 +74,7 @@ def line_features(data, offsets, words):
     distinct = np.bincount(l[new], minlength=len(n))[: len(n)]
     size = np.maximum(end - start, 1)
     last_byte = np.where(n > 0, data[np.maximum(words.end[np.maximum(last_word - 1, 0)] - 1, 0)] if len(words) else 0, 0).astype(int)
+    again = np.bincount(line_of_word[1:][(words.hash[1:] == words.hash[:-1]) & (line_of_word[1:] == line_of_word[:-1])], minlength=len(n))[: len(n)]
     letters, some = np.maximum(sums(_LETTER[data]), 1), np.maximum(n, 1)
     symbols = sums(_SYMBOLS[data])
     keyword = np.zeros(len(n), dtype=bool)
@@ -81,8 +88,9 @@ def line_features(data, offsets, words):
     edge = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, bool)
     x = np.stack([
         np.ones(len(n)), n == 0, (n > 0) & (n <= 3), (n > 3) & (n <= 9), n > 9, _END[last_byte], sums(_UPPER[data]) > 0.5 * letters,
-        symbols > 0.1 * some, symbols > 0.5 * some, sums(_DIGIT[data]) > 0.3 * size, keyword, seen, (distinct < 0.35 * n) & (n > 5),
+        symbols > 0.05 * some, symbols > 0.25 * some, sums(_DIGIT[data]) > 0.3 * size, keyword, seen, (distinct < 0.35 * n) & (n > 5),
         (end - start) > 30 * some, edge, np.r_[edge[1:], True] if len(edge) else edge,
+        sums(data == 33) > 0.2 * some, again > 0.2 * some,
     ], axis=1).astype(float)
     return x, text, n, seen
 
