@@ -36,6 +36,8 @@ LABELLED_LINES = [
     "c The band played for an hour.\nb The*** band### was%%% great&&& and$$$ loud*** tonight&&& for### all%%% of$$$ us***.\nb come### back%%% soon&&& for$$$ more*** of### the%%% same&&& songs$$$.\nb Nice### one%%% and$$$ free.",
     "c Our dog sleeps all day.\nb ball ball ball ball ball ball ball ball ball ball ball ball ball ball ball ball ball.\nb Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run.\nc He wakes for supper, and then he sleeps again.",
     "b STOP!! LOOK!! HERE!! NOW!! ONLY!! TODAY!! FREE!! CASH!!\nb you!! will!! not!! believe!! this!! one!! simple!! thing!!\nb ORDER NOW!! SAVE BIG!! LAST CHANCE!! DO NOT MISS!!.",
+    "b Sign up for our newsletter today.\nc The harbour wall was built by hand, and it took eleven winters.\nc Two of the men who built it are buried beside it.\nb Copyright 2016 by the publisher. All rights reserved.",
+    "b By using this site you accept our cookies.\nc Snow fell on the pass in June, and the road was shut until the plough came.\nb Read more in our privacy notice.\nb All rights reserved.",
     "c She bought a lamp, a chair and a small table at the sale; the lamp was broken.\nc Did you see it? I did!\nc They paid 40 dollars for the lot, and nobody complained.\nc An old man carried it home.",
     "c El viento movia las ramas y la casa estaba en silencio, como siempre a esa hora.\nc Nadie dijo nada durante la cena, porque todos pensaban en la carta que habia llegado por la manana\nc y que aun estaba cerrada.",
     "c The list of trees was read aloud.\nb Ash. | beech, | hazel | holly | larch | lime | poplar. | spruce | walnut | yew\nb ### Great&&& offers%%% for*** every&&& home$$$ and### garden.***",
