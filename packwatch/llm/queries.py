@@ -70,7 +70,30 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'
 
 _ALNUM = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+_LOWER = _WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
 ORACLE_SQL = {
+    "op1_minhash_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT x.a, x.b FROM (SELECT s.doc_id AS a, t.doc_id AS b, count(*) AS c FROM s JOIN s t ON t.k = s.k AND t.doc_id <> s.doc_id GROUP BY 1, 2) x JOIN n ON n.doc_id = x.a JOIN n m ON m.doc_id = x.b WHERE 100 * x.c >= 85 * (n.n + m.n - x.c)),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT links.b AS node, reach.root FROM reach JOIN links ON links.a = reach.node WHERE reach.root < links.b),
+c AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, coalesce(c.root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id""",
+    "op9_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, h[2 * i - 1:2 * i + 98] AS k FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d WHERE length(h) >= 100)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM win) WHERE doc_id > m),
+runs AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM late),
+heads AS (SELECT doc_id, i, sum(CASE WHEN b IS NULL OR i > b + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM runs),
+spans AS (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS z FROM heads GROUP BY doc_id, g),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed FROM spans GROUP BY doc_id),
+edges AS (SELECT d.doc_id, a, lag(z, 1, 1) OVER (PARTITION BY d.doc_id ORDER BY a) AS p FROM d JOIN (SELECT doc_id, a, z FROM spans UNION ALL SELECT doc_id, length(h) // 2 + 1 AS a, length(h) // 2 + 2 AS z FROM d) x ON x.doc_id = d.doc_id),
+kept AS (SELECT d.doc_id, string_agg(h[2 * p - 1:2 * a - 2], '' ORDER BY a) AS t FROM d JOIN edges ON edges.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
     "op10_decontamination": rf"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
 b AS (SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {_ALNUM} AS w FROM benchmark) WHERE len(w) > 0),
