@@ -58,14 +58,17 @@ def components(links: DataFrame, kept: Kept, name: str) -> DataFrame:
 
     Alternates the large-star and small-star steps, whose rounds grow with the
     logarithm of the number of nodes; each round is a table in the shared folder.
+    The minima are tables too, so that a join with them reads shuffles of its own,
+    which Spark can split or replace by a broadcast where a node has very many links.
     """
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, before = kept.keep(now, f"{name}-0"), None
     for turn in range(1, 64):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = kept.keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = kept.keep(large, f"{name}-large")
+        low = kept.keep(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low")
         joined = large.join(low, "a")
         small = joined.select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x")).select("x.a", F.col("x.m").alias("b")).where("a <> b").distinct()
         now = kept.keep(small, f"{name}-{turn}")
