@@ -122,7 +122,10 @@ def skimp_widest_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("entity").agg(widest.alias("r")).select("entity", "r.upc", "r.first_year", "r.last_year", "r.first_protein", "r.last_protein")
 
 
-_LISTS = """SELECT doc_id % 200 AS upc, doc_id AS release, list_filter(list_transform(string_split(regexp_replace(upper(trim(text)), '\\.+$', ''), ','), lambda x: trim(x)), lambda x: length(x) > 1 AND NOT starts_with(x, '*')) AS items FROM documents WHERE NOT regexp_matches(text, '[\\[\\]()]') AND n_chars < 2000"""
+_BARE = r"regexp_replace(upper(trim(text)), '\.+$', '')"
+for _ in range(10):  # brackets within brackets
+    _BARE = rf"regexp_replace(regexp_replace({_BARE}, '\([^()]*\)', '', 'g'), '\[[^\[\]]*\]', '', 'g')"
+_LISTS = f"""SELECT doc_id % 200 AS upc, doc_id AS release, list_filter(list_transform(string_split({_BARE}, ','), lambda x: trim(x)), lambda x: length(x) > 1 AND NOT starts_with(x, '*')) AS items FROM documents"""
 
 
 @query("ingredient_reformulation", f"""
@@ -133,6 +136,6 @@ SELECT upc, sum(CASE WHEN now IS NULL THEN CASE WHEN place <= 3 THEN 10 ELSE 3 E
 FROM x GROUP BY upc""")
 def ingredient_reformulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much the leading ingredients of the first and last list of a product differ."""
-    docs = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\[\]()]") & (F.col("n_chars") < 2000))
-    lists = docs.select((F.col("doc_id") % 200).alias("upc"), F.col("doc_id").alias("release"), parse_ingredients(F.col("text"), rounds=1).alias("items"))
+    docs = read(spark, sf_dir, "documents")
+    lists = docs.select((F.col("doc_id") % 200).alias("upc"), F.col("doc_id").alias("release"), parse_ingredients(F.col("text")).alias("items"))
     return reformulations(lists, "upc", "release", "items")
