@@ -12,20 +12,16 @@ def new_files(spark: SparkSession, path: str, schema, files_per_batch: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, which may also match a file
 
 
-def deduplicated(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 day") -> DataFrame:
-    """Each key once within the watermark, which bounds the state; later repeats meet the upsert of the sink."""
-    return stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
-
-
 def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str]):
-    """Appends rows whose keys the target lacks, one batch at a time, until the folder is read.
+    """Appends one row for each key that the target lacks, one batch at a time, until the folder is read.
 
-    A batch that is run again writes over its own folder, so a restart adds nothing twice.
+    There is no watermark: rows of any age count, whatever the order of the files.  A batch that is run again writes over its own folder, so a restart adds nothing twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = f"{target}/batch={number}"
+        batch = batch.dropDuplicates(keys)
         try:
             seen = spark.read.parquet(target).where(F.col("batch") != number).select(*keys)
             batch = batch.join(seen, keys, "left_anti")
@@ -42,10 +38,10 @@ def daily_counts(stream: DataFrame, event_time: str, kind: str, delay: str = "7
     return stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay).groupBy(F.window(event_time, "1 day").alias("day"), kind).agg(F.count("*").alias("n"))
 
 
-def run_to_table(spark: SparkSession, path: str, folder: str, keys: list[str], event_time: str) -> DataFrame:
-    """Ingests a folder to its end and returns the table."""
+def run_to_table(spark: SparkSession, path: str, folder: str, keys: list[str], event_time: str, files_per_batch: int = 100) -> DataFrame:
+    """Ingests a folder to its end and returns the table, each key once."""
     at = f"{folder}/ingest-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    stream = deduplicated(new_files(spark, path, schema), keys, event_time)
+    stream = new_files(spark, path, schema, files_per_batch).withColumn(event_time, F.col(event_time).cast("timestamp"))
     ingest(stream, f"{at}/table", f"{at}/checkpoint", keys).awaitTermination()
     return spark.read.parquet(f"{at}/table").drop("batch")

@@ -1,3 +1,4 @@
+import os
 from datetime import date, timedelta
 
 from packwatch.operators import changes, lifecycle, quality, series
@@ -99,3 +100,15 @@ def test_ingest_adds_only_new_keys(spark, tmp_path):
         more.write.mode("append").parquet(source)
         ingest.ingest(ingest.new_files(spark, source, rows.schema), target, at, ["id"]).awaitTermination()
     assert sorted((r.id, r.x) for r in spark.read.parquet(target).collect()) == [(1, "a"), (2, "b"), (3, "d")]
+
+
+def test_ingest_keeps_old_rows_of_late_files(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for k, rows in enumerate([[(1, "2024-06-01"), (1, "2024-06-01")], [(2, "2024-06-02")], [(3, "2024-06-03"), (1, "2024-06-01")], [(4, "2020-01-01"), (5, "2024-06-03"), (2, "2024-06-02")]]):
+        spark.createDataFrame(rows, "id long, ts string").coalesce(1).write.mode("append").parquet(source)
+        for part in (tmp_path / "in").glob("*.parquet"):
+            if not (tmp_path / part.name).exists():  # files are read in the order of their times
+                os.utime(part, (1e9 + k, 1e9 + k))
+                (tmp_path / part.name).touch()
+    got = ingest.run_to_table(spark, source, str(tmp_path / "out"), ["id"], "ts", files_per_batch=1)
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3, 4, 5]
