@@ -37,6 +37,12 @@ FROM_TO = (
     r"(?i)(?:from|was|went from|used to be|previously|old[:]?|originally|started at)\s+(\d+(?:\.\d+)?)\s*" + _UNIT
     + r"(?:\s*(?:to|now|→|->|-->|–|—|-|down to|reduced to|shrunk to|changed to)\s*)(\d+(?:\.\d+)?)\s*" + _UNIT
 )
+_ARROW_UNIT = r"(oz|fl\.?\s*oz|g|gram[s]?|ml|lb[s]?|ct|count|sheet[s]?|roll[s]?)"
+ARROW = r"(?i)(\d+(?:\.\d+)?)\s*" + _ARROW_UNIT + r"\s*(?:→|->|-->|⟶|to|vs\.?|versus|down to)\s*(\d+(?:\.\d+)?)\s*" + _ARROW_UNIT + "?"
+SIZE = (
+    r"(?i)(\d+(?:\.\d+)?)\s*(oz|fl\.?\s*oz|ounce[s]?|lb[s]?|pound[s]?|g|gram[s]?|kg|ml|liter[s]?|l|ct|count|pack|piece[s]?|sheet[s]?|roll[s]?|"
+    r"sq\.?\s*ft|pt|pint[s]?|qt|quart[s]?|gal|gallon[s]?)"
+)
 PRICE = r"(?i)\$\s*(\d+(?:\.\d{1,2})?)"
 POST_UNITS = {"fl oz": "fl oz", "fl. oz": "fl oz", "ounce": "oz", "pound": "lb", "gram": "g", "liter": "l", "pint": "pt", "quart": "qt", "gallon": "gal", "sheet": "sheets", "roll": "rolls", "piece": "ct", "sq ft": "sq ft", "sq. ft": "sq ft"}
 
@@ -127,26 +133,44 @@ def upc_variants(upc: Column) -> Column:
     return F.when(F.length(digits) < 8, F.array().cast("array<string>")).otherwise(F.array(digits, other))
 
 
-def parse_post(text: Column, brands: list[str]) -> Column:
-    """What a post says: brand, sizes, unit, prices, shrink words, and how many of five fields it fills.
+def _post_unit(found: Column) -> Column:
+    base = F.regexp_replace(F.trim(F.lower(found)), "s+$", "")
+    return F.when(base == "", "oz").otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in POST_UNITS.items() for x in kv]), base), base))
+
+
+def parse_post(text: Column, brands: list[str], prices_once: bool = False) -> Column:
+    """What a post says: brand, sizes, unit, prices, shrink words, and how many fields it fills.
+
+    Sizes come from a from-to pair, else from an arrow ("16 oz -> 14 oz", "12oz vs
+    10oz"); if neither names two different sizes, from the first and the last size
+    if they differ and share a unit, and a single size is the new one.  Only the
+    first two are explicit.  The old size is the larger one; the unit is that of the
+    new size.  Brands are tried in their order and must stand between non-letters.
 
-    The old size is the larger of a from-to pair; brands are tried in their order
-    and must stand between non-letters.
+    Fields: a brand 1, explicit sizes 2, first and last size 1, a single size 0.
+    Each price counts 1; with ``prices_once`` two or more count 1 and one alone 0.
     """
     lower = F.lower(text)
     brand = F.coalesce(*[F.when(lower.rlike(rf"(^|[^a-z]){b}([^a-z]|$)"), b) for b in brands]) if brands else F.lit(None).cast("string")
-    a, b = (F.when(F.regexp_extract(text, FROM_TO, k) != "", F.regexp_extract(text, FROM_TO, k).cast("double")) for k in (1, 3))
-    found = F.regexp_extract(text, FROM_TO, 4)
-    found = F.when(found != "", found).otherwise(F.regexp_extract(text, FROM_TO, 2))
-    base = F.regexp_replace(F.trim(F.lower(found)), "s+$", "")
-    unit = F.when(a.isNull(), F.lit(None)).otherwise(F.when(base == "", "oz").otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in POST_UNITS.items() for x in kv]), base), base)))
+    part = lambda k: F.when(F.regexp_extract(text, FROM_TO, 1) != "", F.regexp_extract(text, FROM_TO, k)).otherwise(F.regexp_extract(text, ARROW, k))
+    a, b = (F.nullif(part(k), F.lit("")).cast("double") for k in (1, 3))
+    explicit = F.coalesce(a != b, F.lit(False))
+    own, other = F.when(b > a, part(2)).otherwise(part(4)), F.when(b > a, part(4)).otherwise(part(2))
+    sizes, units = F.regexp_extract_all(text, F.lit(SIZE), 1).cast("array<double>"), F.transform(F.regexp_extract_all(text, F.lit(SIZE), 2), _post_unit)
+    first, last = F.get(sizes, F.lit(0)), F.try_element_at(sizes, F.lit(-1))
+    pair = ~explicit & (F.size(sizes) >= 2) & (first != last) & (F.get(units, F.lit(0)) == F.try_element_at(units, F.lit(-1)))
+    single = ~explicit & (F.size(sizes) == 1)
+    old_size = F.when(explicit, F.greatest(a, b)).when(pair, F.greatest(first, last))
+    new_size = F.when(explicit, F.least(a, b)).when(pair, F.least(first, last)).when(single, first)
+    unit = F.when(explicit, _post_unit(F.when(own != "", own).otherwise(other))).when(pair | single, F.get(units, F.lit(0)))
     prices = F.regexp_extract_all(text, F.lit(PRICE), 1)
     old_price = F.when(F.size(prices) >= 2, F.get(prices, F.lit(0)).cast("double"))
     new_price = F.when(F.size(prices) >= 1, F.element_at(prices, -1).cast("double"))
-    fields = sum((x.isNotNull().cast("int") for x in (brand, a, b, old_price, new_price)), F.lit(0))
+    counted = [old_price] if prices_once else [old_price, new_price]
+    fields = sum((x.isNotNull().cast("int") for x in (brand, *counted)), F.when(explicit, 2).when(pair, 1).otherwise(0))
     return F.struct(
-        brand.alias("brand"), F.greatest(a, b).alias("old_size"), F.least(a, b).alias("new_size"), unit.alias("unit"),
-        old_price.alias("old_price"), new_price.alias("new_price"), a.isNotNull().alias("explicit_from_to"),
+        brand.alias("brand"), old_size.alias("old_size"), new_size.alias("new_size"), unit.alias("unit"),
+        old_price.alias("old_price"), new_price.alias("new_price"), explicit.alias("explicit_from_to"),
         F.coalesce(text.rlike(SHRINK_WORDS), F.lit(False)).alias("has_shrink_words"), fields.alias("fields_found"),
     )
 

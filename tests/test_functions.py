@@ -65,6 +65,22 @@ def test_post(spark):
     assert one(spark, T.confidence_tier(T.parse_post(F.col("t"), ["oreo"])), t="I like Oreo") == "discard"
 
 
+@pytest.mark.parametrize("text,sizes,explicit,fields", [
+    ("Oreo 16 oz -> 14 oz", (16.0, 14.0, "oz"), True, 3), ("12oz vs 10oz", (12.0, 10.0, "oz"), True, 2), ("10 sheets to 12", (12.0, 10.0, "sheets"), True, 2), ("14 oz versus 1 lb", (14.0, 1.0, "lb"), True, 2),
+    ("Oreo: the 500 g box is a 450 gram box today", (500.0, 450.0, "g"), False, 2), ("450 grams, before that 480 g, long ago 500 g", (500.0, 450.0, "g"), False, 1), ("Oreo, 12 oz", (None, 12.0, "oz"), False, 1),
+    ("a 2 lb bag and a 14 oz bag", (None, None, None), False, 0), ("was 12 oz now 12 oz", (None, None, None), False, 0), ("from 12 oz to 12 oz, 10 oz next", (12.0, 10.0, "oz"), False, 1), ("used to be 5 now 8 sheets", (8.0, 5.0, "sheets"), True, 2),
+    ("no size", (None, None, None), False, 0), (None, (None, None, None), False, 0),
+])
+def test_sizes_of_a_post(spark, text, sizes, explicit, fields):
+    got = one(spark, T.parse_post(F.col("t"), ["oreo"]), t=text)
+    assert ((got["old_size"], got["new_size"], got["unit"]), got["explicit_from_to"], got["fields_found"]) == (sizes, explicit, fields)
+
+
+def test_prices_of_a_post_can_count_once(spark):
+    got = [one(spark, T.parse_post(F.col("t"), [], prices_once=once), t=text)["fields_found"] for text in ("$3.49, now $3.99", "$3.99") for once in (False, True)]
+    assert got == [2, 1, 1, 0]
+
+
 @pytest.mark.parametrize("text,expected", [("2021-03", "2021-03-01"), ("2021M07", "2021-07-01"), ("44197", "2021-01-01"), ("Jan 2020", "2020-01-01"), ("2020 Dec", "2020-12-01"), ("later", None), (None, None)])
 def test_periods(spark, text, expected):
     got = one(spark, T.parse_period(F.col("t")), t=text)
