@@ -5,11 +5,17 @@ keyword.  A text that holds none of the keywords meets no expression; otherwise
 only the rules whose keyword it holds run.  Detections are then resolved: one
 that lies inside the interval of another of the same or a higher priority goes,
 and of two that overlap otherwise the one of higher priority stays.
+
+Rules and keywords meet a text in which line breaks, with the comment marks around
+them, and other white space are one space; places are those of the text itself.
+Tags are read as whole SPDX expressions.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -82,6 +88,39 @@ _LICENSES = [
     ("busl-1.1", "business source", r"business source licen[sc]e", r"mariadb\.com/bsl11"),
     ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", None),
 ]
+_NUMBERS = {"1.0": r"1(?:\.0)?", "1.1": r"1\.1", "2.0": r"2(?:\.0)?", "2.1": r"2\.1", "3.0": r"3(?:\.0)?"}
+#: label without version, keyword and expression of the long name, keyword and expression of the short name, versions.
+_FAMILIES = [
+    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", "agpl", r"(?:gnu )?agpl", ["3.0"]),
+    ("lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "lgpl", r"(?:gnu )?lgpl", ["2.0", "2.1", "3.0"]),
+    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", "gpl", r"(?:gnu )?gpl", ["1.0", "2.0", "3.0"]),
+    ("apache", "apache", r"apache (?:software )?licen[sc]e", "asl", r"asl", ["1.0", "1.1", "2.0"]),
+    ("mpl", "mozilla", r"mozilla public licen[sc]e", "mpl", r"mpl", ["1.1", "2.0"]),
+    ("epl", "eclipse", r"eclipse public licen[sc]e", "epl", r"epl", ["1.0", "2.0"]),
+]
+#: What stands between a short name and its version.
+_TO_VERSION = r"(?:[- ,]*v(?:ersion)?[. ]*|[- ])?"
+
+
+def _forms() -> list[tuple[str, str, str]]:
+    """Label, keyword and expression of names with the version in front, between or behind a short name."""
+    out = []
+    for stem, keyword, name, short_keyword, short, versions in _FAMILIES:
+        for version in versions:
+            label, n = f"{stem}-{version}", _NUMBERS[version] + r"(?!\.?\d)"
+            out.append((label, keyword, rf"(?:version|v\.?) ?{n} of the {name}"))
+            out.append((label, short_keyword, rf"{short}{_TO_VERSION}{n}(?: licen[sc]e)?"))
+            if stem.endswith("gpl"):
+                out.append((label, keyword, rf"{name} as published by the free software foundation[,;:]? (?:either )?version {n}"))
+            if stem == "apache":
+                out.append((label, keyword, rf"apache(?: software)?{_TO_VERSION}{n} (?:software )?licen[sc]e"))
+    out += [(f"{stem}", "gpl", rf"(?:gnu )?{stem} licen[sc]e") for stem in ("agpl", "lgpl", "gpl")]
+    for n, word in ((4, "four"), (3, "three"), (2, "two")):
+        out.append((f"bsd-{n}-clause", "bsd", rf"(?:bsd[- ](?:{n}|{word})[- ]clause|(?:{n}|{word})[- ]clause[- ]bsd)(?: licen[sc]e)?"))
+    out.append(("0bsd", "0bsd", r"0bsd"))
+    return out
+
+
 #: Parts of Creative Commons marks; their versions and addresses follow by rule.
 _CC = ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"]
 _CC_WORDS = {"by": "attribution", "sa": "share ?-?alike", "nc": "non-?commercial", "nd": "no ?-?deriv(?:ative)?s?(?: works)?"}
@@ -95,27 +134,37 @@ class Rule:
     pattern: str
     priority: int
     confidence: float
+    tag: bool = False  # the pattern is a whole id of an SPDX expression
+
+
+def _tag(label: str) -> Rule:
+    return Rule(label, "spdx", rf"{re.escape(label)}(?:-only|-or-later|\+)?", 5, 1.0, tag=True)
 
 
 def rules() -> list[Rule]:
     """All rules, the strongest first: tags, grants, addresses, names, notices."""
     out = []
     for label, keyword, name, address in _LICENSES:
-        out.append(Rule(label, "spdx", rf"spdx-license-identifier:[ \t]*{re.escape(label)}(?:-only|-or-later|\+)?(?![\w.-])", 5, 1.0))
+        out.append(_tag(label))
         out.append(Rule(label, keyword, rf"\b{_GRANTS}(?:{name})(?![\w])", 4, 0.95))
         if address:
             out.append(Rule(label, "://", rf"https?://(?:www\.)?(?:{address})", 3, 0.9))
         out.append(Rule(label, keyword, rf"\b(?:{name})(?![\w])", 2, 0.8))
+    for label, keyword, name in _forms():
+        out.append(Rule(label, keyword, rf"\b{_GRANTS}(?:{name})(?![\w])", 4, 0.95))
+        out.append(Rule(label, keyword, rf"\b(?:{name})(?![\w])", 2, 0.8))
     for mark in _CC:
         words = r"[- ]".join(_CC_WORDS[x] for x in mark.split("-"))
         short = mark.replace("-", "[- ]")
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             v = re.escape(version)
+            out.append(_tag(f"cc-{mark}-{version}"))
             out.append(Rule(f"cc-{mark}-{version}", "cc", rf"\bcc[- ]{short}[- ]{v}(?![\w])", 4, 0.95))
             out.append(Rule(f"cc-{mark}-{version}", "creativecommons", rf"creativecommons\.org/licenses/{mark}/{v}", 3, 0.9))
             out.append(Rule(f"cc-{mark}-{version}", "creative commons", rf"creative commons {words}(?: {v})(?: international| unported| generic)?(?: licen[sc]e)?", 4, 0.95))
         out.append(Rule(f"cc-{mark}", "cc", rf"\bcc[- ]{short}(?![\w-])", 2, 0.7))
         out.append(Rule(f"cc-{mark}", "creative commons", rf"creative commons {words}(?: licen[sc]e)?", 2, 0.8))
+    out.append(_tag("cc0-1.0"))
     out.append(Rule("cc0-1.0", "cc0", r"\bcc0(?:[- ]1\.0)?(?: universal)?\b", 4, 0.95))
     out.append(Rule("cc0-1.0", "creativecommons", r"creativecommons\.org/publicdomain/zero/1\.0", 3, 0.9))
     out.append(Rule("proprietary", "rights", r"\ball rights reserved\b", 1, 0.6))
@@ -123,19 +172,74 @@ def rules() -> list[Rule]:
     return sorted(out, key=lambda r: -r.priority)
 
 
+_MARKS = r"[#*/;%!>|]"
+#: White space; around a line break also comment marks. It gives nothing back, so a miss costs no second try.
+GAP = rf"(?>(?:[^\S\n]+{_MARKS}+)?\s*\n\s*(?:(?:{_MARKS}+|--+(?=\s)|(?:dnl|rem)(?=\s))\s*)*|\s+)"
+_GAP = re.compile(GAP)
+_TAG = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*(?=[\w(])")
+_OPERAND = re.compile(rf"((?:\({GAP}?)*)([a-z0-9](?:[a-z0-9.:-]*[a-z0-9])?\+?)")
+_OPERATOR = [re.compile(rf"((?:{gap}?\))*)(?:{gap}|(?<=\)))(?:and|or|with)\b{GAP}?") for gap in (r"[ \t]+", GAP)]
+
+
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """A text with each gap as one space; and where in it and in the text pieces start that have no gap but single spaces."""
+    parts, here, there, size, last = [], [0], [0], 0, 0
+    for m in _GAP.finditer(text):
+        if m.group() == " ":
+            continue
+        parts += [text[last : m.start()], " "]
+        size += m.start() - last + 1
+        last = m.end()
+        here.append(size)
+        there.append(last)
+    return ("".join([*parts, text[last:]]) if parts else text), here, there
+
+
+def spdx_ids(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and id of each operand of the SPDX expressions of a text; the first starts with its tag.
+
+    An expression goes on in the next line behind an operator and within parentheses.
+    """
+    for tag in _TAG.finditer(text):
+        start, at, depth = tag.start(), tag.end(), 0
+        while operand := _OPERAND.match(text, at):
+            depth += operand[1].count("(")
+            yield (operand.start(2) if start is None else start), operand.end(), operand[2]
+            operator = _OPERATOR[depth > 0].match(text, operand.end())
+            if not operator:
+                break
+            depth -= operator[1].count(")")
+            start, at = None, operator.end()
+
+
 class Scanner:
     def __init__(self, own: list[Rule] | None = None):
         self.rules = [(r, re.compile(r.pattern)) for r in (rules() if own is None else own)]
         self.by_keyword: dict[str, list[int]] = {}
         for k, (rule, _) in enumerate(self.rules):
             self.by_keyword.setdefault(rule.keyword, []).append(k)
+        self.tags = [k for k, (rule, _) in enumerate(self.rules) if rule.tag]
+        self.gate = re.compile("|".join(GAP.join(map(re.escape, k.split(" "))) for k in sorted(self.by_keyword)))
 
     def detect(self, text: str) -> list[tuple[int, int, str, float]]:
         """Start, end, label and confidence of what is left after suppression; text with A-Z lower-cased."""
+        if not self.gate.search(text):
+            return []
+        flat, here, there = folded(text)
+
+        def place(at: int) -> int:
+            k = bisect_right(here, at) - 1
+            return there[k] + at - here[k]
+
         found = []
-        for k in sorted(k for keyword, own in self.by_keyword.items() if keyword in text for k in own):
+        for k in sorted(k for keyword, own in self.by_keyword.items() if keyword in flat for k in own):
             rule, pattern = self.rules[k]
-            found += [(-rule.priority, m.start() - m.end(), m.start(), k, m.end()) for m in pattern.finditer(text)]
+            if not rule.tag:
+                spans = [(place(m.start()), place(m.end() - 1) + 1) for m in pattern.finditer(flat) if m.end() > m.start()]
+                found += [(-rule.priority, a - b, a, k, b) for a, b in spans]
+        if self.tags:
+            for a, b, name in spdx_ids(text):
+                found += [(-self.rules[k][0].priority, a - b, a, k, b) for k in self.tags if self.rules[k][1].fullmatch(name)]
         starts: list[tuple[int, int]] = []
         kept = []
         for _, _, start, k, end in sorted(found):  # higher priority, then longer, then further left, then earlier rule
@@ -180,7 +284,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases=PH
 
     def scanned(batches):
         scanner = Scanner(own_rules)
-        gate = re.compile("|".join(re.escape(k) for k in sorted(scanner.by_keyword)))
         spaced = [f" {p} ".encode().split()[0] for p, _ in phrases]
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -192,7 +295,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases=PH
                     words = alnum_words(piece)
                     places = phrase_places(words, phrases)
                     lower = piece.lower().decode("utf-8", "replace")
-                    found = scanner.detect(lower) if gate.search(lower) else []
+                    found = scanner.detect(lower)
                     base = sorted({x for _, x in places})
                     starts = [x for x, _ in places]
                     rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted({*base, *(x[2] for x in found)})), 1.0 if places else max((x[3] for x in found), default=0.0), [dict(zip(("start", "end", "label", "confidence"), x)) for x in found]))

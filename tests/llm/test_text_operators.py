@@ -123,6 +123,23 @@ def test_license_rules_and_suppression(text, labels):
     assert [x[2] for x in license_scan.Scanner().detect(text)] == labels
 
 
+@pytest.mark.parametrize("text,labels", [
+    ("gnu lesser\ngeneral public license", ["lgpl"]), ("apache license\n                 version 2.0, january 2004", ["apache-2.0"]), ("# mozilla public\n# license, v. 2.0.", ["mpl-2.0"]), ("/* gnu general      *\r\n * public license v3 */", ["gpl-3.0"]),
+    ("// licensed under the apache\n// license, version\n// 2.0", ["apache-2.0"]), ("creative\n  commons attribution\t4.0", ["cc-by-4.0"]), ("-- all rights\n-- reserved", ["proprietary"]), ("all rights\n" + "#" * 5000 + " none", []),
+    ("spdx-license-identifier: mit or apache-2.0", ["mit", "apache-2.0"]), ("spdx-license-identifier: (mit or (isc and bsd-3-clause)) and zlib\nand so on", ["mit", "isc", "bsd-3-clause", "zlib"]), ("# spdx-license-identifier: (mit\n#  or 0bsd)", ["mit", "0bsd"]),
+    ("spdx-license-identifier: gpl-2.0-only with classpath-exception-2.0 */", ["gpl-2.0"]), ("spdx-license-identifier: mit\nor zlib", ["mit"]), ("spdx-license-identifier: cc-by-sa-4.0 or mit.", ["cc-by-sa-4.0", "mit"]),
+    ("apache 2.0 license", ["apache-2.0"]), ("bsd-3-clause license", ["bsd-3-clause"]), ("under gplv3 or lgpl v2.1 or agpl-3.0", ["gpl-3.0", "lgpl-2.1", "agpl-3.0"]), ("gnu gpl version 2 or later", ["gpl-2.0"]), ("version 3 of the gnu lesser general public\nlicense", ["lgpl-3.0"]),
+    ("gnu general public license as published by\n the free software foundation; either version 2 of the license", ["gpl-2.0"]), ("the mpl 2.0", ["mpl-2.0"]), ("apache 2.0 server, gpl 2.15 and gpl", []),
+])
+def test_license_wraps_expressions_and_short_forms(text, labels):
+    assert [x[2] for x in license_scan.Scanner().detect(text)] == labels
+
+
+def test_license_places_are_those_of_the_text():
+    text = "see\n\n# the gnu lesser\n#   general public license\n\n# and  the mit\n# license."
+    assert [text[a:b] for a, b, _, _ in license_scan.Scanner().detect(text)] == ["gnu lesser\n#   general public license", "mit\n# license"]
+
+
 def test_there_are_hundreds_of_rules():
     own = license_scan.rules()
     assert len(own) > 200 and all(a.priority >= b.priority for a, b in zip(own, own[1:])) and all(r.keyword for r in own)
