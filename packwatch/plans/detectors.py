@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.text import parse_ingredients
 from ..functions.units import convert_to_base
 from ..operators import changes
-from ..operators.ingredients import reformulations
+from ..operators.ingredients import listed_changes
 from .base import TABLES, query, read
 
 _CHANGED = "(SELECT *, lag(size) OVER w AS before, lag(observed_date) OVER w AS date_before FROM {obs} WINDOW w AS (PARTITION BY upc ORDER BY observed_date))"
@@ -138,4 +138,4 @@ def ingredient_reformulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much the leading ingredients of the first and last list of a product differ."""
     docs = read(spark, sf_dir, "documents")
     lists = docs.select((F.col("doc_id") % 200).alias("upc"), F.col("doc_id").alias("release"), parse_ingredients(F.col("text")).alias("items"))
-    return reformulations(lists, "upc", "release", "items")
+    return listed_changes(lists, "upc", "release", "items")

@@ -1,7 +1,7 @@
 import os
 from datetime import date, timedelta
 
-from packwatch.operators import changes, lifecycle, quality, series
+from packwatch.operators import changes, ingredients, lifecycle, quality, series
 from packwatch.sources import readers, sinks
 from packwatch.streaming import ingest
 
@@ -59,6 +59,20 @@ def test_fuzzy_duplicates_need_the_same_long_words(spark):
     assert [(r.entity_id, r.into) for r in quality.fuzzy_duplicates(rows).collect()] == [(2, 1)]
 
 
+def test_reformulations(spark):
+    lists = [
+        (1, 1, ["SUGAR.", "SALT", "OIL"]), (1, 2, ["SUGAR", "SALT", "OIL"]),  # the same
+        (2, 1, ["A1", "B1", "C1", "D1"]), (2, 2, []),  # no last list
+        (3, 1, []), (3, 2, ["A1"]),
+        (4, 1, ["A1", "B1", "C1", "D1", "E1", "F1"]), (4, 2, ["X1"]), (4, 3, ["NEW", "B1", "E1", "A  1.", "a1"]),  # A1 falls 4 places, C1 and D1 go
+        (5, 1, ["A1"]),
+        (6, 1, ["A1", "B1"]), (6, 2, ["B1", "A1"]),  # A1 falls one place
+        (7, 1, ["A1"]), (7, 2, ["A1", "Z1"]),  # a new one behind alone
+    ]
+    got = ingredients.reformulations(spark.createDataFrame(lists, "upc long, release int, items array<string>"), "upc", "release", "items").collect()
+    assert sorted((r.upc, r.significance, r.removed, r.new_at_top) for r in got) == [(4, 4 * 5 + 10 + 3, 2, ["NEW"]), (6, 0, 0, [])]
+
+
 def test_rewrites(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "entity_id long, x string")
     mapping = spark.createDataFrame([(2, 1)], "source long, target long")
