@@ -116,3 +116,31 @@ def fuzzy_duplicates(products: DataFrame, threshold: float = 0.85, block: int =
 
     heads = names.groupBy("b", "words").applyInPandas(clusters, "b string, n string, into long")
     return products.select("entity_id", F.lower(F.trim("brand")).alias("b"), lower.alias("n")).join(heads, ["b", "n"]).where(F.col("entity_id") != F.col("into")).select("entity_id", "into")
+
+
+def match_findings(findings: DataFrame, entities: DataFrame, salts: int = 16) -> DataFrame:
+    """For each reported brand and product, in small letters, the shortest name of that brand that holds the product.
+
+    findings: brand, product; entities: entity_id, brand, name.  Only names of one
+    brand meet; a brand's entities are dealt to ``salts`` parts, so a large brand isn't one task.
+    """
+    wanted = findings.select(F.lower("brand").alias("brand"), F.lower(F.substring("product", 1, 64)).alias("product")).where("brand <> '' and product <> ''").distinct()
+    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    known = entities.select("entity_id", "name", F.lower("brand").alias("brand"), F.pmod(F.xxhash64("entity_id"), F.lit(salts)).cast("int").alias("salt"))
+    found = known.join(wanted, ["brand", "salt"]).where(F.lower("name").contains(F.col("product")))
+    best = found.groupBy("brand", "product").agg(F.min(F.struct(F.length("name").alias("l"), "entity_id", "name")).alias("r"))
+    return best.select("brand", "product", "r.entity_id", "r.name")
+
+
+def shortest_with(wanted: DataFrame, entities: DataFrame) -> DataFrame:
+    """For each product of one word the shortest name that holds it, also within a longer word.
+
+    Distinct words are looked up by all their parts; names aren't all compared.
+    """
+    words = entities.select("entity_id", "name", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
+    size = F.length("word")
+    parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("word"), i, n)))
+    parts = words.select("word").distinct().select("word", F.explode(F.when(size > 0, F.array_distinct(F.flatten(parts))).otherwise(F.array(F.lit("")))).alias("part"))
+    holding = parts.join(wanted, F.col("part") == F.lower("product")).select("word", "product")
+    best = words.join(holding, "word").groupBy("product").agg(F.min(F.struct(F.length("name").alias("l"), "entity_id", "name")).alias("r"))
+    return best.select("product", "r.entity_id", "r.name")

@@ -139,12 +139,10 @@ view("vision_candidates", "SELECT c.claim_id, c.confidence, r.raw_id FROM {claim
 @query("match_findings", """WITH f AS (SELECT DISTINCT string_split(name, ' ')[2] AS product FROM {ent}), m AS (SELECT f.product, entity_id, name, row_number() OVER (PARTITION BY f.product ORDER BY length(name), entity_id) AS r FROM f JOIN {ent} ON contains(lower(name), lower(f.product)))
 SELECT product, entity_id, name FROM m WHERE r = 1""")
 def match_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each reported product the shortest name that holds its word: words are looked up, names aren't all compared."""
+    """For each reported product the shortest name that holds its word."""
     ent = TABLES["ent"](spark, sf_dir)
     wanted = ent.select(F.get(F.split("name", " "), F.lit(1)).alias("product")).distinct().where("product is not null")
-    words = ent.select("entity_id", "name", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    best = words.join(wanted, F.col("word") == F.lower("product")).groupBy("product").agg(F.min(F.struct(F.length("name").alias("l"), "entity_id", "name")).alias("r"))
-    return best.select("product", "r.entity_id", "r.name")
+    return Q.shortest_with(wanted, ent)
 
 
 @query("promote_staging", f"""SELECT claim_id, entity_id, CAST(extracted_date - 365 AS DATE) AS before_date, extracted_date AS after_date, old_size, new_size, concat('POST-', substring(md5(CAST(claim_id AS VARCHAR)), 1, 8)) AS upc,

@@ -73,6 +73,19 @@ def test_reformulations(spark):
     assert sorted((r.upc, r.significance, r.removed, r.new_at_top) for r in got) == [(4, 4 * 5 + 10 + 3, 2, ["NEW"]), (6, 0, 0, [])]
 
 
+def test_findings_match_within_their_brand(spark):
+    entities = spark.createDataFrame([(1, "Tropic", "Premium Orange Juice, no pulp"), (2, "tropic", "Tropic Orange Juice 1 l"), (3, "Other", "Orange Juice"), (4, "Tropic", "Juices"), (5, "Tropic", None), (6, "Oreo", "Oreo-Thins (Mint)"), (7, "Oreo", "Oreo-Thins [Mint]")], "entity_id long, brand string, name string")
+    findings = spark.createDataFrame([("TROPIC", "orange juice"), ("Tropic", "Orange Juice"), ("Tropic", "juice"), ("oreo", "thins"), ("Oreo", "50%"), ("None", "juice"), ("Oreo", ""), (None, "juice")], "brand string, product string")
+    got = quality.match_findings(findings, entities).collect()
+    assert sorted((r.brand, r.product, r.entity_id) for r in got) == [("oreo", "thins", 6), ("tropic", "juice", 4), ("tropic", "orange juice", 2)]
+
+
+def test_words_hold_parts_of_words(spark):
+    entities = spark.createDataFrame([(1, "red Plates"), (2, "a steel plate"), (3, "plat e")], "entity_id long, name string")
+    wanted = spark.createDataFrame([("Plate",), ("ee",), ("none",)], "product string")
+    assert sorted((r.product, r.entity_id) for r in quality.shortest_with(wanted, entities).collect()) == [("Plate", 1), ("ee", 2)]
+
+
 def test_rewrites(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "entity_id long, x string")
     mapping = spark.createDataFrame([(2, 1)], "source long, target long")
