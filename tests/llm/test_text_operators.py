@@ -164,6 +164,17 @@ def test_url_model(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_labelled_urls_are_not_those_of_the_pages(spark):
+    from support import DATA
+
+    pages = [r.url.split("://", 1)[-1] for r in spark.read.parquet(f"{DATA}/pages.parquet").where("url is not null").collect()]
+    names = {x for url in pages for x in url.split("/")[0].lower().split(".")} - {"www", "blog", "m", "example", "com", "net", "org"}
+    paths = {url[url.find("/") :] for url in pages if "/" in url}
+    for url, _ in url_filter.LABELLED_URLS:
+        host, path = url.split("://")[1].split("/", 1)
+        assert not names & set(host.split(".")) and "/" + path not in paths and not any(n in path for n in names if "-" in n)
+
+
 # tokens
 
 
