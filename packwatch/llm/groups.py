@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .tables import Kept
 
+#: Rounds within which components settle; a path of n nodes takes about the logarithm of n.
+ROUNDS = 63
+
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of complete groups of a column by which the stream is sorted, with the bounds of each group."""
@@ -60,10 +63,11 @@ def components(links: DataFrame, kept: Kept, name: str) -> DataFrame:
     logarithm of the number of nodes; each round is a table in the shared folder.
     The minima are tables too, so that a join with them reads shuffles of its own,
     which Spark can split or replace by a broadcast where a node has very many links.
+    Raises an error if ROUNDS rounds don't settle all components.
     """
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, before = kept.keep(now, f"{name}-0"), None
-    for turn in range(1, 64):
+    for turn in range(1, ROUNDS + 1):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = kept.keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -77,4 +81,8 @@ def components(links: DataFrame, kept: Kept, name: str) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components of {name} aren't settled after {ROUNDS} rounds")
+    for left in ("least", "large", "low"):
+        kept.drop(f"{name}-{left}")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

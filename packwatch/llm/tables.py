@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder, by any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one, in local mode alone.
+
+    On a cluster a temporary folder would be another one on each machine, so an unset folder is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         folder = "file://" + tempfile.mkdtemp(prefix="packwatch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
