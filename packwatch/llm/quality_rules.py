@@ -85,7 +85,7 @@ def line_features(data, offsets, words):
         at = raw.find(k)
         while at >= 0:
             line = np.searchsorted(start, at, side="right") - 1
-            keyword[line] = True
+            keyword[line] |= at + len(k) <= end[line]  # a keyword stands within one line of one text
             at = raw.find(k, at + 1)
     edge = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, bool)
     x = np.stack([
@@ -156,10 +156,11 @@ def judged(docs: DataFrame, least_content: float = 0.5, doc_id: str = "doc_id",
     Returns doc_id, n_words, word_chars (code points in words), n_symbols
     (characters of #*$%&|<>), n_dup_lines (lines with a word that equal an earlier
     one), n_repeat_words (words in runs of 8 found twice or more), base_failed
-    (fewer than 20 words, or over 30% repeated), content_share (of words, in lines
-    labelled content; 0 without words), kept (not base_failed and content_share at
-    least ``least_content``), line_labels.  Null is empty and fails; rows that share
-    an id keep their own rows; an empty table gives an empty table.
+    (fewer than 20 words, or over 30% repeated), kept (not base_failed and
+    content_share at least ``least_content``), content_share (of words, in lines
+    labelled content; 0 without words), line_labels.  A verdict depends on its own text
+    alone.  Null is empty and fails; rows that share an id or have none keep their own
+    rows; an empty table gives an empty table.
     """
     weights, transitions = train()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -189,4 +190,4 @@ def judged(docs: DataFrame, least_content: float = 0.5, doc_id: str = "doc_id",
 
     out = rows.mapInArrow(counted, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", content_share double, line_labels array<int>")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.select("doc_id", *names, failed.alias("base_failed"), "content_share", (~failed & (F.col("content_share") >= least_content)).alias("kept"), "line_labels")
+    return out.select("doc_id", *names, failed.alias("base_failed"), (~failed & (F.col("content_share") >= least_content)).alias("kept"), "content_share", "line_labels")
