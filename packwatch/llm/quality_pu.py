@@ -2,7 +2,10 @@
 
 Trusted positives and unlabelled web text fit a logistic score that minimises the
 non-negative unbiased risk  pi * R+(positives) + max(0, R-(unlabelled) - pi *
-R-(positives)),  with an estimated share pi of positives.  Features are shapes of
+R-(positives)),  with a share pi of positives that is estimated from these two kinds
+of rows alone: among texts that rank above a threshold, positives are so many times
+rarer in unlabelled text as their share says, and the purest threshold tells it.
+Labels other than trusted positives are never read.  Features are shapes of
 the whole text (how words repeat, cases, symbols, punctuation, lines), cut into
 bins whose edges come from the fitting rows; the weights are a small table, and
 scoring is one pass over the documents without a shuffle.
@@ -109,14 +112,45 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int =
         grad[:-1] += ridge * w[:-1]
         moment, square = 0.9 * moment + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         w -= rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    z, low, high = w[bu].sum(1), -40.0, 40.0
-    for _ in range(60):  # the mean score of unlabelled text is the prior
-        w[-1] = (low + high) / 2
-        low, high = (w[-1], high) if sigmoid(z + w[-1]).mean() < prior else (low, w[-1])
+    w[-1] = -np.quantile(w[bu].sum(1), 1 - prior)  # of unlabelled rows the share of the prior scores 0.5 or more
     return edges, w[:-1], float(w[-1])
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 5, rounds: int = 2, doubt: float = 0.1, **fitting) -> float:
+    """Share of positives in unlabelled rows.
+
+    Each fold is ranked by a score fitted on the others.  Of the rows above a
+    threshold, the share among unlabelled rows over the share among positives is an
+    upper bound of the prior, and a tight one where negatives are rare; of all
+    thresholds the one counts whose bound, with the doubt of shares of so few rows
+    added, is the least.  Scores of a round are fitted with the prior of the one before.
+    """
+    prior = 0.5
+    for _ in range(rounds):
+        prior = _bound(positive, unlabelled, prior, folds, doubt, **fitting)
+    return prior
+
+
+def _bound(positive: np.ndarray, unlabelled: np.ndarray, prior: float, folds: int, doubt: float, **fitting) -> float:
+    p, u = np.arange(len(positive)) % folds, np.arange(len(unlabelled)) % folds
+    zp, zu = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for k in range(folds):
+        if not (p != k).any() or not (u != k).any():
+            continue
+        edges, w, b = fit(positive[p != k], unlabelled[u != k], prior, **fitting)
+        zp[p == k] = w[binned(positive[p == k], edges)].sum(1) + b
+        zu[u == k] = w[binned(unlabelled[u == k], edges)].sum(1) + b
+    at = np.unique(np.r_[zp, zu])
+    above = lambda z: 1 - np.searchsorted(np.sort(z), at, side="left") / len(z)
+    of_p, of_u = above(zp), above(zu)
+    wide = np.sqrt(np.log(4 / doubt) / 2) * (1 / np.sqrt(len(zp)) + 1 / np.sqrt(len(zu)))
+    use = of_p > 0
+    best = int(np.argmin((of_u[use] + wide) / of_p[use]))
+    return float(np.clip(of_u[use][best] / of_p[use][best], 0.01, 0.99))
+
+
 def is_held_out(doc_id: str):
+    """Whether crc32 of the id's text mod 5 is 0; true for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5, F.lit(0)) == 0
 
 
@@ -128,32 +162,33 @@ class Model:
 
     @classmethod
     def train(cls, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> "Model":
-        """Fits on at most ``positives`` trusted rows (label 1) and ``unlabelled`` rows of any kind, chosen by a hash of the id.
+        """Fits on at most ``positives`` trusted ids (label 1) and ``unlabelled`` ids of any kind, chosen by a hash of the id.
 
-        Labels of held-out ids (crc32 of the id mod 5 = 0) are not read.  The prior is
-        the share of ones among the other labels, smoothed.
+        An id with several rows gives one, so at most positives + unlabelled rows of
+        features reach the driver.  Labels of held-out ids (crc32 of the id mod 5 = 0)
+        are not read, nor are labels other than 1.
         """
-        known = labels.where(~is_held_out(doc_id)).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(label).alias("label"))
-        counts = known.agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)), F.count("label")).first()
-        prior = min(0.99, ((counts[0] or 0) + 1) / ((counts[1] or 0) + 2))
+        ids = lambda rows: rows.where(~is_held_out(doc_id)).select(F.col(doc_id).cast("long").alias("id")).distinct()
         by_hash = F.xxhash64("id")
-        chosen = known.where("label = 1").select("id", F.lit(1).alias("role")).orderBy(by_hash).limit(positives)
-        rest = docs.where(~is_held_out(doc_id)).select(F.col(doc_id).cast("long").alias("id"), F.lit(0).alias("role")).orderBy(by_hash).limit(unlabelled)
+        chosen = ids(labels.where(F.col(label) == 1)).orderBy(by_hash).limit(positives).select("id", F.lit(1).alias("role"))
+        rest = ids(docs).orderBy(by_hash).limit(unlabelled).select("id", F.lit(0).alias("role"))
         roles = chosen.union(rest).groupBy("id").agg(F.max("role").alias("positive"), F.min("role").alias("least"))  # at most positives + unlabelled rows
         rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(roles), "id")
 
         def features(batches):
             for batch in batches:
                 for i, j, x in shapes(batch.column("text")):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("positive").slice(i, j - i), batch.column("least").slice(i, j - i)], ["x", "positive", "least"])
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(list(x), pa.list_(pa.float64())), batch.column("positive").slice(i, j - i), batch.column("least").slice(i, j - i)], ["id", "x", "positive", "least"])
 
-        table = rows.mapInArrow(features, "x array<double>, positive int, least int").toPandas()
+        one = F.min(F.struct("x", "positive", "least")).alias("r")
+        table = rows.mapInArrow(features, "id long, x array<double>, positive int, least int").groupBy("id").agg(one).select("r.*").toPandas()
         x = np.stack(table["x"].to_numpy()) if len(table) else np.zeros((0, len(NAMES)))
         of = np.lexsort(x.T)  # rows come in any order
         x, table = x[of], table.iloc[of]
         trusted, web = x[table["positive"].to_numpy() == 1], x[table["least"].to_numpy() == 0]
         if not len(trusted) or not len(web):
-            return cls([np.zeros(0)] * len(NAMES), np.zeros(len(NAMES)), float(np.log(prior / (1 - prior))), prior)
+            return cls([np.zeros(0)] * len(NAMES), np.zeros(len(NAMES)), 0.0, 0.5)
+        prior = estimate_prior(trusted, web, steps=200)
         return cls(*fit(trusted, web, prior), prior)
 
     def score(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
@@ -175,12 +210,12 @@ class Model:
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep: list[str] | None = None) -> DataFrame:
     """Scores every document's whole text for quality.
 
-    docs, labels: frames with a common id; labels has 0/1 in ``label`` (nulls and
-    other columns are ignored; of several labels of an id the larger counts).
+    docs, labels: frames with a common id; labels has 1 in ``label`` for trusted
+    positives (other values, nulls and other columns are ignored; an id counts once).
     Returns doc_id, held_out (crc32 of the id's text mod 5 is 0; true for a null
     id), score (0 to 1, higher: label 1 likelier), predicted (1 if score >=
     threshold), and the columns in ``keep``.  Null and empty texts are scored like
-    any other; without labels every score is 0.5; rows that share an id keep their
+    any other; without positives every score is 0.5; rows that share an id keep their
     own rows; an empty table gives an empty table.
     """
     model = Model.train(docs, labels, doc_id, text, label)

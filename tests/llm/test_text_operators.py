@@ -92,6 +92,68 @@ def test_classifier_ignores_held_out_labels_and_other_columns(spark, docs):
     assert none.where("abs(score - 0.5) > 1e-9").count() == 0
 
 
+def naive_shapes(text):
+    raw, w = text.encode(), plain(text)
+    if not w:
+        return [0.0] * len(quality_pu.NAMES)
+    n, size, lines = len(w), len(raw), text.split("\n")
+    of = lambda name: sum(bool(quality_pu._CLASSES[name][b]) for b in raw)
+    triples = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or {tuple(w)}
+    own = [line for k, line in enumerate(raw.split(b"\n")) if k < len(lines) - 1 or line]  # a last line without bytes isn't one
+    return [
+        np.log1p(n), sum(len(x.encode()) for x in w) / n, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:])) / n, of("upper") / max(of("letters"), 1), of("digits") / size, of("symbols") / n, of("exclamations") / n,
+        of("bars") / n, of("stops") / n, np.log1p(n / len(lines)), len(set(own)) / len(lines), np.log1p(max(len(x.encode()) for x in w)), of("non_ascii") / size, min(1, len(triples) / max(n - 2, 1)),
+    ]
+
+
+def test_shapes_and_scores(spark, docs, rows):
+    """Features and scores of every text, one by one and without arrays, for a model made up by hand."""
+    rng = np.random.default_rng(1)
+    edges = [np.sort(rng.random(3)) * (3 if k in (0, 1, 10, 12) else 1) for k in range(len(quality_pu.NAMES))]
+    model = quality_pu.Model(edges, rng.normal(size=4 * len(edges)), 0.3, 0.5)
+    expected = []
+    for i, text, _ in rows:
+        x = naive_shapes(text or "")
+        z = 0.3 + sum(model.weights[4 * k + sum(v >= e for e in edges[k])] for k, v in enumerate(x))
+        expected.append((i, round(1 / (1 + np.exp(-z)), 9)))
+    got = model.score(docs.drop("score")).select("doc_id", "score").collect()
+    assert sorted(((r.doc_id, round(r.score, 9)) for r in got), key=repr) == sorted(expected, key=repr)
+
+
+def test_risk_is_the_least(spark):
+    """Where the unlabelled part stays above zero, no small change of a weight makes the risk of the fitted score smaller."""
+    rng = np.random.default_rng(5)
+    p, u = rng.normal(0, 1, (800, 2)), np.concatenate([rng.normal(0, 1, (1200, 2)), rng.normal(1, 1, (800, 2))])
+    edges, w, b = quality_pu.fit(p, u, 0.6, bins=4, steps=4000, rate=0.01, ridge=1e-2)
+
+    def risk(w, b):
+        z = lambda x: w[quality_pu.binned(x, edges)].sum(1) + b
+        loss = lambda v: np.log1p(np.exp(-v)).mean()
+        return 0.6 * loss(z(p)) + max(0, loss(-z(u)) - 0.6 * loss(-z(p))) + 0.5e-2 * (w**2).sum()
+
+    best = min(risk(w, c) for c in np.linspace(b - 4, b + 4, 161))  # the offset is set apart
+    for k in range(len(w)):
+        for step in (-0.3, 0.3):
+            other = w.copy()
+            other[k] += step
+            assert min(risk(other, c) for c in np.linspace(b - 4, b + 4, 161)) > best - 2e-3
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_prior_is_estimated_without_negatives(share):
+    rng = np.random.default_rng(3)
+    n = int(4000 * share)
+    web = np.concatenate([rng.normal(0, 1, (n, 4)), rng.normal(2, 1, (4000 - n, 4))])
+    assert abs(quality_pu.estimate_prior(rng.normal(0, 1, (1500, 4)), web, steps=200) - share) < 0.06
+
+
+def test_ids_with_many_rows_are_fitted_once(spark):
+    texts = [(k, f"word{k} " * (5 + k % 7) + "plain text here.") for k in range(30)] + [(3, "again " * k) for k in range(1, 40)] + [(None, None), (2, "")]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k % 15, 1) for k in range(45)] + [(20, 0), (None, 1)], "doc_id long, quality int")
+    out = quality_pu.scored(docs, labels)
+    assert out.count() == len(texts) and out.where("score is null or score < 0 or score > 1").count() == 0
+
+
 def test_risk_finds_the_hidden_negatives():
     rng = np.random.default_rng(0)
     x = lambda n, m: rng.normal(m, 1, (n, 3))
