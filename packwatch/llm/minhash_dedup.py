@@ -9,8 +9,10 @@ times but for a chance of under MISS.
 Prefix: values that one class alone has can't collide.  Of a class with m other
 values, ordered from the rarest, any partner with t collisions shares one of
 the first m-t+1; only these are posted, and a class with m < t nowhere.
-Skip: the other lists are not read; the collisions of a pair that meets in a
-prefix list are counted on the two signatures.
+Skip: the other lists are not read.  A class has one value for each coordinate, so a
+pair's postings meet in a list exactly once for each coordinate on which their
+signatures agree; a pair that meets in a prefix list therefore has its collisions
+counted by comparing the two signatures, which stand for all the lists it skips.
 
 Long lists are cut into blocks, each pair of blocks is one bounded task, and
 only links that join parts of a list are passed on; so groups of thousands of
@@ -65,10 +67,10 @@ def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return text[new], h[new]
 
 
-def _nodes(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Identity of each set."""
-    total = np.add.reduceat(mix(h + U64(0x51ED27)), first) if len(first) else np.zeros(0, np.uint64)
-    return mix(total + n.astype(np.uint64)).view(np.int64)
+def _nodes(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Identity of each set: two hashes of 64 bits that know nothing of each other."""
+    lanes = [np.add.reduceat(mix(h + U64(seed)), first) if len(first) else np.zeros(0, np.uint64) for seed in (0x51ED27, 0xA3C59AC2F1)]
+    return tuple(mix(total + n.astype(np.uint64)).view(np.int64) for total in lanes)
 
 
 def _signed(batches, size: int):
@@ -84,11 +86,11 @@ def _signed(batches, size: int):
                     sig[:, k] = np.minimum.reduceat(low * _A[k] + _B[k], first)
             count = np.zeros(j - i, dtype=np.int64)
             count[have] = n
-            node = np.zeros(j - i, dtype=np.int64)
-            node[have] = _nodes(h, first, n)
+            node, check = np.zeros((2, j - i), dtype=np.int64)
+            node[have], check[have] = _nodes(h, first, n)
             blobs = np.full(j - i, None, dtype=object)
             blobs[have] = [x.tobytes() for x in sig]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("row_key").slice(i, j - i), pa.array(count), pa.array(node, mask=count == 0), pa.array(blobs.tolist(), pa.binary())], ["doc_id", "row_key", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("row_key").slice(i, j - i), pa.array(count), pa.array(node, mask=count == 0), pa.array(check, mask=count == 0), pa.array(blobs.tolist(), pa.binary())], ["doc_id", "row_key", "n_shingles", "node", "check", "sig"])
 
 
 def _posted(batches):
@@ -136,14 +138,15 @@ def _confirmed(batches, size: int, percent: int):
             text, h = shingle_sets(w, size)
             cut = np.searchsorted(text, np.arange(j - i + 1))
             first = cut[:-1][np.diff(cut) > 0]
-            ids = np.zeros(j - i, dtype=np.int64)
-            ids[np.diff(cut) > 0] = _nodes(h, first, np.diff(cut)[np.diff(cut) > 0])
-            own.append(ids)
+            found = np.zeros((2, j - i), dtype=np.int64)
+            found[:, np.diff(cut) > 0] = _nodes(h, first, np.diff(cut)[np.diff(cut) > 0])
+            own.append(found)
             sets += [h[cut[k] : cut[k + 1]] for k in range(j - i)]
-        ids, said = np.concatenate(own), table["node"].to_numpy()
+        ids, said = table["node"].to_numpy(), np.concatenate(own, axis=1)
+        fits = (said[0] == table["hash"].to_numpy()) & (said[1] == table["check"].to_numpy())
         a, b = [], []
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            rows = [r for r in range(lo, hi) if ids[r] == said[r]]  # rows that share an id may have other texts
+            rows = [r for r in range(lo, hi) if fits[r]]  # another row may have the same key
             rows = [rows[k] for k in np.unique(ids[rows], return_index=True)[1]] if rows else rows
             if len(rows) < 2:
                 continue
@@ -206,8 +209,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     kept, least = Kept(spark), least_matches(percent / 100)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     keyed = rows.withColumn("row_key", _row_key(doc_id="doc_id", text="text"))
-    signed = kept.keep(keyed.mapInArrow(lambda b: _signed(b, shingle), "doc_id long, row_key long, n_shingles long, node long, sig binary"), "signed")
-    classes = kept.keep(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    signed = kept.keep(keyed.mapInArrow(lambda b: _signed(b, shingle), "doc_id long, row_key long, n_shingles long, node long, check long, sig binary"), "signed")
+    one = lambda frame: frame.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "hash", "check")).alias("first"), F.first("sig").alias("sig"), (F.min("check") < F.max("check")).alias("mixed"))
+    signed = signed.withColumn("hash", F.col("node"))
+    classes = kept.keep(one(signed), "classes")
+    if classes.where("mixed").take(1):  # sets of one hash that the other tells apart: all but one get a node of their own
+        least_check = signed.groupBy("node").agg(F.min("check").alias("m"), F.max("check").alias("most")).where("m < most").drop("most")
+        apart = F.when(F.col("check") > F.col("m"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        signed = kept.keep(signed.join(least_check, "node", "left").withColumn("node", apart).drop("m"), "told-apart")
+        classes = kept.keep(one(signed), "classes")
+    classes = classes.select("node", "sig", "first.*")
 
     posted = classes.select("sig", "node").mapInArrow(_posted, "token long, node long")
     lists = posted.groupBy("token").count().where("count > 1")
@@ -223,8 +234,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     coarse = kept.keep(components(collided, kept, "coarse"), "groups")
 
     sized = coarse.join(coarse.groupBy("root").agg(F.count("*").alias("count")), "root")
-    members = _block_pairs(sized, "count", TEXT_BLOCK, "root").join(classes.select("node", "doc_id"), "node").select("key", "node", F.col("doc_id").alias("id"))
-    texts = rows.join(members, rows["doc_id"].eqNullSafe(members["id"])).select("key", "node", "text")
+    members = _block_pairs(sized, "count", TEXT_BLOCK, "root").join(classes.select("node", "row_key", "hash", "check"), "node").select("key", "node", "row_key", "hash", "check")
+    texts = keyed.select("row_key", "text").join(members, "row_key").select("key", "node", "hash", "check", "text")
     links = texts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: _confirmed(b, shingle, percent), "a long, b long")
     roots = components(links, kept, "exact")
 
@@ -244,9 +255,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: st
     """The rows of docs that near dedup keeps: of each component the one of the smallest id, and every text without words.
 
     Of rows with equal id and text one stays; of a component's rows that share its
-    smallest id the one with the smallest key.
+    smallest id the one with the smallest key.  A row without an id stays only where
+    its component has none with one.  All columns of docs come back, whatever their
+    names; null and empty texts stay; an empty table gives an empty table.
     """
+    name = "key"
+    while name in docs.columns:
+        name += "_"
     found = near_duplicates(docs, shingle, percent, doc_id, text)
-    best = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("best")).select(F.col("best.row_key").alias("__key"))
-    keys = best.union(found.where("component is null").select(F.col("row_key").alias("__key")))
-    return docs.withColumn("__key", _row_key(doc_id, text)).join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    best = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("best")).select(F.col("best.row_key").alias(name))
+    keys = best.union(found.where("component is null").select(F.col("row_key").alias(name)))
+    return docs.withColumn(name, _row_key(doc_id, text)).join(keys, name, "left_semi").dropDuplicates([name]).drop(name)
