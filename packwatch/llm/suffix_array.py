@@ -6,7 +6,8 @@ previous smaller suffix by pointers over what has been processed, and those
 targets move, by how many members chose them, into new groups just above their
 old one.  Phase 2 emits the order: behind each emitted suffix, the chain of
 previous smaller suffixes of its left neighbour takes the next places of their
-groups.  No text is renamed and nothing recurses.
+groups.  No text is renamed and nothing recurses.  Groups are formed by counting
+alone, never by comparing, so each member costs a constant number of steps.
 
 ``suffix_array`` does one text.  ``suffix_arrays`` does many short texts in step:
 each pass takes the highest group left in every text, so the work of a pass is
@@ -18,11 +19,28 @@ from __future__ import annotations
 import numpy as np
 
 
+def _buckets(items, numbers) -> list[list[int]]:
+    """The items by their numbers, the smallest first; counts of one group add up to its members, so the buckets are no more than these."""
+    buckets: list[list[int]] = [[] for _ in range(max((numbers[i] for i in items), default=-1) + 1)]
+    for i in items:
+        buckets[numbers[i]].append(i)
+    return [b for b in buckets if b]
+
+
+def counting_order(*keys: np.ndarray) -> np.ndarray:
+    """Stable order by several keys of non-negative integers, the last the most significant, by counting digits of 16 bits."""
+    order = np.arange(len(keys[0]))
+    for key in keys:
+        for shift in range(0, max(1, int(key.max()).bit_length()) if len(key) else 0, 16):
+            order = order[np.argsort(((key[order] >> shift) & 0xFFFF).astype(np.uint16), kind="stable")]  # a radix sort for 16 bits
+    return order
+
+
 def suffix_array(text: list[int]) -> list[int]:
     """Starts of the suffixes of one text of positive integers in order; a suffix that begins another stands before it."""
     n = len(text) + 1
     symbols = [*text, 0]
-    order = sorted(range(n), key=symbols.__getitem__)
+    order = [s for bucket in _buckets(range(n), symbols) for s in bucket]
     place, group, size, start_of = [0] * n, [0] * n, [0] * n, [0] * n
     start = 0
     for slot, s in enumerate(order):
@@ -45,25 +63,23 @@ def suffix_array(text: list[int]) -> list[int]:
             found.append(p)
             if p >= 0:
                 chosen[p] = chosen.get(p, 0) + 1
-        by_group: dict[int, list[tuple[int, int]]] = {}
+        by_group: dict[int, list[int]] = {}
         for s, p in zip(members, found):
             previous[s] = p
-        for p, count in chosen.items():
-            by_group.setdefault(group[p], []).append((count, p))
+        for p in chosen:
+            by_group.setdefault(group[p], []).append(p)
         for old, own in by_group.items():  # the most chosen go to the end of their old group's range
-            own.sort()
             size[old] -= len(own)
-            slot, first, last_count = old + size[old], -1, 0
-            for count, p in own:
-                other, was = order[slot], place[p]
-                order[was], place[other] = other, was
-                order[slot], place[p] = p, slot
-                if count != last_count:
-                    first, last_count = slot, count
-                    size[first] = 0
-                group[p], start_of[slot] = first, first
-                size[first] += 1
-                slot += 1
+            slot = old + size[old]
+            for bucket in _buckets(own, chosen):
+                first = slot
+                size[first] = len(bucket)
+                for p in bucket:
+                    other, was = order[slot], place[p]
+                    order[was], place[other] = other, was
+                    order[slot], place[p] = p, slot
+                    group[p], start_of[slot] = first, first
+                    slot += 1
         end = start
     out, free, placed = [n - 1] + [0] * (n - 1), list(range(n)), [False] * n
     placed[n - 1] = True
@@ -101,7 +117,7 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     value[inner] = symbols[_spans(bounds[:-1], length)]
     body = _spans(base + 1, length + 1)
     of = np.repeat(np.arange(texts), length + 1)
-    sorted_ = body[np.lexsort((value[body], of))]
+    sorted_ = body[counting_order(value[body], of)]
     order, place, group = np.zeros(cells, np.int64), np.zeros(cells, np.int64), np.full(cells, -1, np.int64)
     order[body], place[sorted_] = sorted_, body
     new = np.r_[True, (value[sorted_[1:]] != value[sorted_[:-1]]) | (of[1:] != of[:-1])]
@@ -111,7 +127,7 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     start_of[body] = np.repeat(first, counts)
     size[first] = counts
     group[sorted_] = start_of[body]
-    previous, moving = np.zeros(cells, np.int64), np.zeros(cells, bool)
+    previous, moving, times, seen = np.zeros(cells, np.int64), np.zeros(cells, bool), np.zeros(cells, np.int64), np.zeros(cells, np.int64)
     end = base + length + 2
     live = np.flatnonzero(end > base + 2)
     while len(live):
@@ -128,9 +144,13 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         previous[members] = p
         chosen = p[group[p] >= 0]
         if len(chosen):
-            chosen, count = np.unique(chosen, return_counts=True)
-            old = group[chosen]
-            by = np.lexsort((count, old))
+            times[chosen] = 0
+            np.add.at(times, chosen, 1)
+            each = np.arange(len(chosen))
+            seen[chosen] = each
+            chosen = chosen[seen[chosen] == each]  # each once
+            count, old = times[chosen], group[chosen]
+            by = counting_order(count, old)
             chosen, count, old = chosen[by], count[by], old[by]
             run = np.flatnonzero(np.r_[True, old[1:] != old[:-1]])
             many = np.diff(np.r_[run, len(old)])
@@ -155,7 +175,7 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sentinel = base + length + 1
     out[base + 1] = sentinel
     placed[base], placed[sentinel] = True, True
-    longest = np.argsort(-length, kind="stable")
+    longest = counting_order(int(length.max()) - length)
     sizes = -length[longest]
     for k in range(int(length.max()) + 1 if texts else 0):
         s = out[base[longest[: np.searchsorted(sizes, -k, side="right")]] + 1 + k] - 1

@@ -5,10 +5,12 @@ in it the one with the smallest hash.  Equal strings have the same one, so the
 windows of the corpus fall into buckets that meet in full.  The windows that share
 one minimizer's place form a segment.  Equal windows agree in half of what is left
 of a window on one side of the minimizer at least; a segment whose two such flanks
-one document alone has is left out.  Equal segments are one; what remains of a
-bucket are its few variants.  Their suffix arrays, built by linear grouping, put equal strings side
-by side, and each run of neighbours that agree in ``window`` bytes belongs to its
-earliest document.
+one document alone has holds no repeat and isn't sent.  So far hashes only route:
+they bring together what may be equal.  In a bucket, segments of the same bytes are
+one variant with its earliest document.  The suffix array of a bucket's variants,
+built by linear grouping, puts equal strings side by side, and each run of
+neighbours that agree in ``window`` bytes belongs to its earliest document: no
+window is removed but by such a run.
 
 As in substring dedup, documents are dealt to slices by ranges of doc_id, and a
 slice sends a packed row to each part of the buckets, with each distinct
@@ -29,6 +31,8 @@ from .suffix_array import _spans, suffix_array, suffix_arrays
 
 #: Bytes of bucket text sorted in step at a time; a longer text than LONG is sorted alone.
 STEP_BYTES, LONG = 1 << 20, 4096
+#: Windows looked through at a time; a longer text is cut, its pieces overlapping by a window. Places within a piece have 28 bits.
+PIECE = 1 << 26
 _PLACE = U64((1 << 28) - 1)
 
 
@@ -102,9 +106,11 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         data, offsets = utf8(table["text"])
         found = []
         for i, j in chunks(offsets):
-            own = offsets[i : j + 1] - offsets[i]
-            h, first, last, of, place, *hashes = minimizers(data[offsets[i] : offsets[j]], own, window, k)
-            found.append((h, first + offsets[i], last + offsets[i], of + i, place - first, *hashes))
+            for at in range(int(offsets[i]), max(int(offsets[i]) + 1, int(offsets[j])), PIECE):
+                to = min(int(offsets[j]), at + PIECE + window - 1)
+                own = np.clip(offsets[i : j + 1], at, to) - at
+                h, first, last, of, place, *hashes = minimizers(data[at:to], own, window, k)
+                found.append((h, first + at, last + at, of + i, place - first, *hashes))
         return table, data, offsets, ordinal, *(np.concatenate(x) for x in zip(*found))
 
     def probe(table: pa.Table) -> pa.Table:
@@ -145,7 +151,12 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         _, data, _, ordinal, h, identity, first, last, of, at = segments_of(table, hits)
         part = _parts(h, n_parts)
         by = np.lexsort((ordinal[of], identity, part))
-        run = np.flatnonzero(np.r_[True, (identity[by][1:] != identity[by][:-1]) | (part[by][1:] != part[by][:-1])]) if len(by) else np.zeros(0, np.int64)
+        if len(by):
+            new = np.r_[True, (identity[by][1:] != identity[by][:-1]) | (part[by][1:] != part[by][:-1])]
+            new[1:] |= ~_same_bytes(data, first[by], (last - first - 1 + window)[by], ~new[1:])
+            run = np.flatnonzero(new)
+        else:
+            run = np.zeros(0, np.int64)
         end = np.r_[run[1:], len(by)]
         one = by[run]
         several = ordinal[of[one]] != ordinal[of[by[end - 1]]] if len(run) else np.zeros(0, bool)
@@ -165,31 +176,27 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         data = np.frombuffer(b"".join(table["text"].to_pylist()), np.uint8)
         length = sent["length"].astype(np.int64)
         start = np.cumsum(length) - length
-        hashes = [(np.zeros(0, np.uint64),) * 3]
+        hashes = [np.zeros(0, np.uint64)]
         for i, j in chunks(np.r_[start, len(data)]):
-            own, place = start[i:j] - start[i], start[i:j] - start[i] + sent["at"][i:j]
-            prefixes = Prefixes(_BYTES[data[start[i] : start[j - 1] + length[j - 1]]], _P)
-            hashes.append((mix(prefixes.runs(own, own + length[i:j]) ^ sent["key"][i:j]), *flanks(prefixes, place, own, own + length[i:j], k, (window - k) // 2)))
-        identity, *sides = (np.concatenate(x) for x in zip(*hashes))
+            own = start[i:j] - start[i]
+            hashes.append(mix(Prefixes(_BYTES[data[start[i] : start[j - 1] + length[j - 1]]], _P).runs(own, own + length[i:j]) ^ sent["key"][i:j]))
+        identity = np.concatenate(hashes)
         when = (slices << 32) | sent["ordinal"].astype(np.int64)
         by = np.lexsort((when, identity, sent["key"]))
         key, ident = sent["key"][by], identity[by]
         new = np.r_[True, (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])]
+        new[1:] |= ~_same_bytes(data, start[by], length[by], ~new[1:])
         variant = np.cumsum(new) - 1  # of the entries in this order
         lead = by[new]  # the earliest entry of each variant
         earliest = when[lead]
-        # windows of each variant: which of them belong to which time; a variant that shares no flank shares no window
-        alone = ~(_shared(sides[0][lead]) | _shared(sides[1][lead]))
-        mixed = np.flatnonzero(~alone)
-        bucket = np.flatnonzero(np.r_[True, sent["key"][lead[mixed]][1:] != sent["key"][lead[mixed]][:-1]]) if len(mixed) else mixed
-        many = np.diff(np.r_[bucket, len(mixed)])
-        owner = [np.flatnonzero(alone)]
-        mask = [(U64(2) << (length[lead[owner[0]]] - window).astype(np.uint64)) - U64(1)]
-        time = [earliest[owner[0]]]
-        for text, bounds, var in _bucket_texts(bucket, many, lead[mixed], start, length, data):
-            order = np.concatenate([bounds[0] + np.array(suffix_array(text.tolist()), dtype=np.int64)]) if len(text) > LONG and len(bounds) == 2 else suffix_arrays(text, bounds)
-            o, m, t = _equal_neighbours(text, order, var, earliest[mixed], window)
-            owner.append(mixed[o])
+        # which windows of each variant belong to which time
+        bucket = np.flatnonzero(np.r_[True, sent["key"][lead][1:] != sent["key"][lead][:-1]])
+        many = np.diff(np.r_[bucket, len(lead)])
+        owner, mask, time = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for text, bounds, where in _bucket_texts(bucket, many, lead, start, length, data):
+            order = bounds[0] + np.array(suffix_array(text.tolist()), dtype=np.int64) if len(text) > LONG and len(bounds) == 2 else suffix_arrays(text, bounds)
+            o, m, t = _equal_neighbours(text, order, where, earliest, window)
+            owner.append(o)
             mask.append(m)
             time.append(t)
         owner, mask, time = np.concatenate(owner), np.concatenate(mask), np.concatenate(time)
@@ -258,10 +265,16 @@ _SENT = np.dtype([("key", np.uint64), ("ordinal", np.uint32), ("length", np.uint
 _GOT = np.dtype([("identity", np.uint64), ("mask", np.uint64), ("ordinal", np.int32)])
 
 
-def _shared(hashes: np.ndarray) -> np.ndarray:
-    """Which hashes, 0 aside, stand twice or more."""
-    _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    return (count[which] > 1) & (hashes > 0)
+def _same_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether each piece of data holds the same bytes as the one behind it, where this is asked."""
+    same = asked & (length[1:] == length[:-1])
+    at = np.flatnonzero(same)
+    for lo in range(0, len(at), 1 << 14):
+        i = at[lo : lo + (1 << 14)]
+        n = length[i]
+        differ = data[_spans(start[i], n)] != data[_spans(start[i + 1], n)]
+        same[i] = np.add.reduceat(differ, np.cumsum(n) - n) == 0
+    return same
 
 
 def _bucket_texts(bucket, many, lead, start, length, data):
