@@ -39,22 +39,59 @@ SLICE_BYTES, PART_BYTES = 4 << 20, 8 << 20
 _BLOB = "part int, slice int, blob binary"
 
 
-def slice_bounds(docs: DataFrame, doc_id: str, text: str) -> tuple[int, list[int]]:
-    """Bytes of all texts, and the ids at which slices begin."""
-    size, = docs.agg(F.sum(F.octet_length(text))).first()
-    n = max(1, math.ceil((size or 0) / SLICE_BYTES))
-    if n == 1:
-        return size or 0, []
-    ids = docs.stat.approxQuantile(doc_id, [i / n for i in range(1, n)], min(1e-3, 0.1 / n))
-    return size, sorted({int(x) for x in ids})
+#: Ranges of ids whose bytes are counted, and ids drawn to bound them; both reach the driver, at any size of the input.
+RANGES, DRAWN = 4096, 65_536
+
+
+def slice_bounds(docs: DataFrame, doc_id: str, text: str) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Bytes of all texts; and, in order, ranges of ids: first id, last id, number of their first slice, slices in them.
+
+    Ranges of about equal numbers of ids come from ids drawn by their hash; the bytes
+    of each say into how many slices of equal steps of the id it is cut.  Results
+    don't depend on the bounds, only the sizes of slices do.
+    """
+    ids = F.col(doc_id).cast("long")
+    size, rows, least, most = docs.agg(F.sum(F.octet_length(text)), F.count(doc_id), F.min(ids), F.max(ids)).first()
+    size, least, most = size or 0, least or 0, most or 0
+    if size <= SLICE_BYTES:
+        return size, [(least, most, 0, 1)]
+    drawn = docs.select(ids.alias("id")).where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // DRAWN))) == 0).distinct()
+    drawn = np.sort(np.array([r.id for r in drawn.collect() if r.id is not None], dtype=np.int64))
+    n = min(RANGES, math.ceil(size / SLICE_BYTES))
+    edges = np.unique(np.r_[least, drawn[(np.arange(1, n) * len(drawn)) // n] if len(drawn) else []]).astype(np.int64)
+    in_range = _in_range(edges)
+    bytes_of = {r.range: r.bytes or 0 for r in docs.groupBy(in_range(ids).alias("range")).agg(F.sum(F.octet_length(text)).alias("bytes")).collect()}
+    out, number = [], 0
+    for k, first in enumerate(edges.tolist()):
+        last = int(edges[k + 1]) - 1 if k + 1 < len(edges) else most
+        slices = min(max(1, math.ceil(bytes_of.get(k, 0) / SLICE_BYTES)), last - first + 1)
+        out.append((first, last, number, slices))
+        number += slices
+    return size, out
+
+
+def _in_range(edges: np.ndarray):
+    @F.pandas_udf("int")
+    def in_range(ids: pd.Series) -> pd.Series:
+        return pd.Series((np.maximum(np.searchsorted(edges, ids.fillna(edges[0]).to_numpy(dtype="int64"), side="right"), 1) - 1).astype("int32"))
+
+    return in_range
 
 
 def sliced(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> tuple[DataFrame, int]:
-    size, bounds = slice_bounds(docs, doc_id, text)
+    """slice, doc_id, text and the struct rest of the kept columns of each row; and the number of index parts.
+
+    Slices follow the ids; rows without an id are in the first one.
+    """
+    size, ranges = slice_bounds(docs, doc_id, text)
+    first, last, number, slices = (np.array(x, dtype=np.int64) for x in zip(*ranges))
 
     @F.pandas_udf("int")
     def slice_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(dtype="int64"), side="right")).astype("int32"))
+        known = ids.fillna(first[0]).to_numpy(dtype="int64")
+        k = np.maximum(np.searchsorted(first, known, side="right"), 1) - 1
+        step = (known - first[k]) / (last[k].astype(float) - first[k] + 1)  # rises with the id
+        return pd.Series((number[k] + np.minimum((step * slices[k]).astype(np.int64), slices[k] - 1)).astype("int32"))
 
     rest = F.struct(F.lit(None).cast("int").alias("_"), *[F.col(c) for c in keep])
     rest = rest.cast(docs.select(rest.alias("rest")).schema["rest"].dataType.simpleString())  # all fields may be null
