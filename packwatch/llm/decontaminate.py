@@ -20,6 +20,8 @@ from .tables import Kept
 _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Test words up to which the tables on them are broadcast; beyond, they are shuffled.
 BROADCAST_WORDS = 200_000
+#: Documents with alignments up to which their keys, 8 bytes each, are broadcast; beyond, they are shuffled.
+BROADCAST_KEYS = 100_000
 
 
 def _words(text: Column) -> Column:
@@ -79,8 +81,10 @@ class Index:
     def phrases(self) -> DataFrame:
         """Per document: doc_id, n_words, n_hit, n_items, items (ids, sorted as strings), contaminated, text, rest."""
         found = self.alignments().join(self.small(self.items.select("item", "item_id", "words", "length")), "item")
-        found = found.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "words", "length")).alias("near"))
-        rows = self.docs.join(found, "key", "left").withColumn("doc_words", _words(F.col("text"))).withColumn("n_words", F.size("doc_words").cast("long"))
+        found = self.kept.keep(found.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "words", "length")).alias("near")), "aligned")
+        keys = F.broadcast if found.count() <= BROADCAST_KEYS else (lambda frame: frame)
+        # only the texts of documents with alignments move
+        rows = self.docs.select("key", "text").join(keys(found.select("key")), "key", "left_semi").join(found, "key").withColumn("doc_words", _words(F.col("text"))).withColumn("n_words", F.size("doc_words").cast("long"))
 
         def whole(x: Column) -> Column:
             """Starts, in the document, of the item's windows that stand there."""
@@ -93,20 +97,27 @@ class Index:
             return F.struct(x["item_id"].alias("item_id"), F.flatten(F.transform(starts, lambda s: F.sequence(x["shift"] + s, x["shift"] + s + x["length"] - 1))).alias("places"))
 
         hits = F.filter(F.transform("near", whole), lambda x: F.size(x["places"]) > 0)
-        rows = rows.withColumn("hits", F.when(F.col("near").isNotNull(), hits))
-        n_hit = F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["places"])))), F.lit(0))
-        items = F.coalesce(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"]))), F.array().cast("array<string>"))
-        rows = rows.select("doc_id", "n_words", F.when(F.col("hits").isNull(), 0).otherwise(n_hit).cast("long").alias("n_hit"), items.alias("items"), "text", "rest")
+        rows = rows.withColumn("hits", hits)
+        n_hit = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["places"])))).cast("long")
+        hit = rows.where(F.size("hits") > 0).groupBy("key").agg(F.any_value(F.struct(n_hit.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"]))).alias("items"))).alias("found"))
+        rows = self.docs.withColumn("n_words", F.size(_words(F.col("text"))).cast("long")).join(keys(hit), "key", "left")
+        items = F.coalesce("found.items", F.array().cast("array<string>"))
+        rows = rows.select("doc_id", "n_words", F.coalesce("found.n_hit", F.lit(0)).cast("long").alias("n_hit"), items.alias("items"), "text", "rest")
         return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "text", "rest")
 
     def near(self, within: int) -> DataFrame:
-        """doc_id, item_id: the two rarest words of a window stand at most ``within`` words apart, in any order."""
+        """doc_id, item_id, each pair once: the two rarest words of a window stand at most ``within`` words apart, in any order.
+
+        An item of one word is near itself wherever it stands; two equal words need two
+        places.  Only neighbours in the document are compared, so ties add nothing.  Documents and
+        items without words have no rows; a null doc_id comes back as null.
+        """
         ends = self.pairs.select("item", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("place"))
         terms = ends.join(self.places.select("item", F.col("p").alias("place"), "term"), ["item", "place"])
         rows = self.postings.join(self.small(terms), "term")
         order = Window.partitionBy("key", "item", "p", "q").orderBy("position", "place")
         rows = rows.select("*", F.lag("place").over(order).alias("place_before"), F.lag("position").over(order).alias("position_before"))
-        close = (F.col("p") == F.col("q")) | ((F.col("place") != F.col("place_before")) & (F.col("position") - F.col("position_before") <= within))
+        close = (F.col("p") == F.col("q")) | ((F.col("place") != F.col("place_before")) & (F.col("position") - F.col("position_before")).between(1, within))
         hits = rows.where(close).select("key", "item").distinct().join(self.small(self.items.select("item", "item_id")), "item")
         return self.docs.select("key", "doc_id").distinct().join(hits, "key").select("doc_id", "item_id").distinct()
 
