@@ -67,6 +67,57 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == near_groups(rows, 3, 85)
 
 
+@pytest.fixture
+def sent_by_value():
+    """Modules whose functions, as patched here, also run on the workers."""
+    from pyspark import cloudpickle
+
+    modules = [minhash_dedup, suffix_dedup]
+    for module in modules:
+        cloudpickle.register_pickle_by_value(module)
+    yield
+    for module in modules:
+        cloudpickle.unregister_pickle_by_value(module)
+
+
+def test_every_removed_byte_is_decided_by_neighbours_in_a_suffix_array(docs, monkeypatch, sent_by_value):
+    """Without the runs of neighbours nothing is removed, whichever hashes agree."""
+    assert suffix_dedup.duplicates(docs).where("n_removed > 0").count() > 5
+    monkeypatch.setattr(suffix_dedup, "_equal_neighbours", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    assert suffix_dedup.duplicates(docs).where("n_removed > 0").count() == 0
+
+
+@pytest.mark.parametrize("piece", [60, 1000])
+def test_long_texts_are_looked_through_in_pieces(docs, rows, monkeypatch, sent_by_value, piece):
+    from pyspark.sql import functions as F
+
+    whole = suffix_dedup.duplicates(docs).select("doc_id", "n_removed", F.md5("kept")).collect()
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    assert sorted(map(tuple, suffix_dedup.duplicates(docs).select("doc_id", "n_removed", F.md5("kept")).collect()), key=repr) == sorted(map(tuple, whole), key=repr)
+
+
+def test_sets_of_one_hash_are_told_apart(docs, rows, monkeypatch, sent_by_value):
+    """With a first hash of two values the second one keeps all classes apart."""
+    plain = minhash_dedup._nodes
+
+    def weak(h, first, n):
+        node, check = plain(h, first, n)
+        return (node & 1) + 1, check
+
+    monkeypatch.setattr(minhash_dedup, "_nodes", weak)
+    got = minhash_dedup.near_duplicates(docs, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == near_groups(rows, 3, 85)
+
+
+def test_rows_without_id_and_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(None, text, "a"), (None, text + " x", "b"), (5, text + " x", "c"), (5, text + " x", "c"), (None, None, "d"), (7, " ", "e")], "doc_id long, text string, key string")
+    kept = minhash_dedup.one_of_each(docs, 5, 80)
+    assert kept.columns == docs.columns and sorted((r.doc_id or -1, r.key) for r in kept.collect()) == [(-1, "d"), (5, "c"), (7, "e")]
+    got = minhash_dedup.near_duplicates(docs.where("doc_id is null"), 5, 80)
+    assert [(r.doc_id, r.component_id, r.kept) for r in got.collect()] == [(None, None, True)] * 3
+
+
 def test_one_of_each_keeps_one_row_of_a_group(docs, rows):
     kept = minhash_dedup.one_of_each(docs, 5, 80)
     assert kept.columns == docs.columns

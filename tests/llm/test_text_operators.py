@@ -458,6 +458,25 @@ def test_words_near_each_other(spark):
     assert sorted(map(tuple, index.near(5).collect())) == [(1, "9")]
 
 
+@pytest.mark.parametrize("within", [1, 4, 12])
+def test_nearness_against_brute_force(spark, docs, rows, within):
+    """Both rarest words of some window within so many words; nulls, repeated rows, ties and items of one word included."""
+    long = alnum(rows[6][1])
+    items = [(1, " ".join(long[100:112])), (2, "of"), (3, None), (4, "absent"), (None, "of the"), (5, " ".join(long[7:9])), (6, "the the")]
+    index = decontaminate.Index(docs, spark.createDataFrame(items, "item_id long, text string"), window=3)
+    words = {r["item"]: r for r in index.items.collect()}
+    expected = set()
+    for pair in index.pairs.collect():
+        w = words[pair["item"]]["loose"]
+        for i, text, _ in rows:
+            own = [x.lower() for x in alnum((text or "").lower())]
+            at, other = ([k for k, x in enumerate(own) if x == w[pair[c]]] for c in "pq")
+            if any(abs(a - b) <= within and (a != b or pair["p"] == pair["q"]) for a in at for b in other):
+                expected.add((i, words[pair["item"]]["item_id"]))
+    got = [tuple(r) for r in index.near(within).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_empty_tables(spark, empty, docs):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
