@@ -23,6 +23,8 @@ UNITS = {
 BASE_UNITS = {"kg": ("g", 1000), "l": ("ml", 1000), "lb": ("oz", 16), "gal": ("fl oz", 128), "qt": ("fl oz", 32), "pt": ("fl oz", 16)}
 # The families within which sizes compare.
 FAMILIES = {"g": "mass", "oz": "mass", "ml": "volume", "fl oz": "volume", "ct": "count", "sheets": "count", "rolls": "count"}
+# Units whose family is known, so that sizes of a store's feed compare.
+COMPARED_UNITS = ["g", "kg", "mg", "oz", "lb", "ml", "l", "fl oz", "pt", "qt", "gal", "ct", "count", "pack", "sheets", "rolls"]
 # A number with a unit. The order of the names decides: "1 gal" reads as 1 g.
 NUMBER_UNIT = (
     r"(?i)(\d+(?:\.\d+)?)\s*(onz|lbr|kgm|grm|mlt|ltr|flo|gll|ptn|qrt|fl\.?\s*oz|fluid\s+ounces?|oz|ounces?|lbs?|pounds?|kg|kilograms?|g|grams?|ml|milliliters?|"
@@ -73,5 +75,12 @@ def convert_to_base(value: Column, unit: Column) -> Column:
     return F.struct((value * F.coalesce(factor, F.lit(1.0))).alias("value"), F.coalesce(base, unit).alias("unit"))
 
 
+def size_key(value: Column, unit: Column) -> Column:
+    """struct<value, unit> by which sizes are equal: rounded to 4 places in the base unit; null without a size or for a unit of no family."""
+    name = F.lower(F.trim(unit))
+    base = convert_to_base(value, name)
+    return F.when(value.isNotNull() & name.isin(COMPARED_UNITS), F.struct(F.round(base["value"], 4).alias("value"), base["unit"].alias("unit")))
+
+
 def unit_family(unit: Column) -> Column:
     return _lookup(FAMILIES, unit)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.units import convert_to_base, size_key
+
 
 def first_per_day(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is smallest in ``order``; combined before the shuffle, so a frequent key is no burden."""
@@ -42,25 +44,112 @@ def without_flipflops(changes: DataFrame, key: str, pct: str = "pct", low: float
 
 def flap_guarded(rows: DataFrame, keys: list[str], date: str, value: str, ppu: str, prior: int = 3, size_drop: float = 2.0, ppu_rise: float = 5.0) -> DataFrame:
     """One-way changes of size: held ``prior`` times before, kept by the next row, old size never back, new one not seen before."""
+    found = _one_way(rows.withColumns({"k": F.col(value), "number": F.col(value)}), keys, date, [value, ppu], prior)
+    kind = _kind(found, ppu, size_drop, ppu_rise)
+    return found.withColumn("change_type", kind).where(kind.isNotNull()).select(*keys, "change_type", F.col(f"{date}_before").alias("old_date"), F.col(date).alias("new_date"), F.col(f"{value}_before").alias("old_size"), F.col(value).alias("new_size"))
+
+
+def _one_way(rows: DataFrame, keys: list[str], date: str, carry: list[str], prior: int) -> DataFrame:
+    """Rows whose ``k`` differs from the one before and passes the guards; ``number`` is the size behind k, null ones are passed over.
+
+    Where a size is seen first and last says whether it comes back, so no row gathers
+    the others of its group; all windows share one shuffle by ``keys``.
+    """
     order = Window.partitionBy(*keys).orderBy(date)
-    v = F.col(value)
-    before = F.lag(value).over(order)
+    rows = rows.withColumn("n", F.row_number().over(order))
+    same = Window.partitionBy(*keys, "k")
+    rows = rows.withColumns({"first_n": F.min("n").over(same), "last_n": F.max("n").over(same)})
+    before = F.lag("k").over(order)
     stable = F.lit(True)
-    for k in range(2, prior + 1):
-        stable = stable & (F.lag(value, k).over(order) == before)
-    later, earlier = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.withColumns({
-        "size_before": before, "date_before": F.lag(date).over(order), "ppu_before": F.lag(ppu).over(order), "stable": stable, "next": F.lead(value).over(order),
-        "later": F.collect_set(value).over(later), "earlier": F.collect_set(value).over(earlier),
-    })
-    guarded = marked.where(
-        F.col("stable") & (F.col("size_before") != v) & (F.col("size_before") > 0) & (F.col("next").isNull() | (F.col("next") == v))
-        & ~F.array_contains("later", F.col("size_before")) & ~F.array_contains("earlier", v)
+    for j in range(2, prior + 1):
+        stable = stable & (F.lag("k", j).over(order) == before)
+    marks = {"k_before": before, "number_before": F.lag("number").over(order), "stable": stable, "next": F.lead("k").over(order), "last_n_before": F.lag("last_n").over(order)}
+    rows = rows.withColumns({**marks, **{f"{c}_before": F.lag(c).over(order) for c in [date, *carry]}})
+    k = F.col("k")
+    return rows.where(
+        F.col("stable") & (F.col("k_before") != k) & (F.col("number_before") > 0) & (F.col("next").isNull() | (F.col("next") == k))
+        & (F.col("last_n_before") < F.col("n")) & (F.col("first_n") == F.col("n"))
     )
-    fell = (v - F.col("size_before")) / F.col("size_before") * 100 <= -size_drop
-    rose = F.try_divide(F.col(ppu) - F.col("ppu_before"), F.col("ppu_before")) * 100 >= ppu_rise
-    kind = F.when(fell, "size_decrease").when(rose, "price_hike")
-    return guarded.withColumn("change_type", kind).where(kind.isNotNull()).select(*keys, "change_type", F.col("date_before").alias("old_date"), F.col(date).alias("new_date"), F.col("size_before").alias("old_size"), v.alias("new_size"))
+
+
+def _kind(found: DataFrame, ppu: str, size_drop: float, ppu_rise: float) -> Column:
+    fell = (F.col("number") - F.col("number_before")) / F.col("number_before") * 100 <= -size_drop
+    rose = (F.col(f"{ppu}_before") > 0) & (F.col(ppu) != 0) & (F.try_divide(F.col(ppu) - F.col(f"{ppu}_before"), F.col(f"{ppu}_before")) * 100 >= ppu_rise)
+    return F.when(fell, "size_decrease").when(rose, "price_hike")
+
+
+def store_changes(rows: DataFrame, variant: str, store: str, date: str, size: str, unit: str, price: str, ppu: str, since: str | None = None, prior: int = 3, size_drop: float = 2.0, ppu_rise: float = 5.0) -> DataFrame:
+    """One-way changes of a variant within a store, in base units; equal changes of several stores are one, with their number.
+
+    Rows without a size or with a unit of no family are passed over where they stand
+    later, and break what stands around them.  Units of different bases never compare.
+    A null store is one of its own.  The sizes and prices are those of the first store.
+    """
+    if since:
+        rows = rows.where(F.col(date) >= F.lit(since).cast("date"))
+    rows = rows.withColumn(store, F.coalesce(F.col(store).cast("string"), F.lit("unknown"))).withColumn("k", size_key(F.col(size).cast("double"), F.col(unit))).withColumn("number", F.col("k.value"))
+    found = _one_way(rows, [variant, store], date, [size, unit, price, ppu], prior).where(F.col("k.unit") == F.col("k_before.unit"))
+    found = found.withColumn("change_type", _kind(found, ppu, size_drop, ppu_rise)).where("change_type is not null")
+    fields = F.struct(store, "change_type", F.col(f"{size}_before").alias("old_size"), F.col(f"{unit}_before").alias("old_unit"), F.col(size).alias("new_size"), F.col(unit).alias("new_unit"), F.col(f"{price}_before").alias("old_price"), F.col(price).alias("new_price"))
+    out = found.groupBy(variant, F.col(f"{date}_before").alias("old_date"), F.col(date).alias("new_date")).agg(F.min(fields).alias("r"), F.countDistinct(store).alias("store_count"))
+    return out.select(variant, "old_date", "new_date", "store_count", "r.*").withColumnRenamed(store, "first_store")
+
+
+def unit_changes(rows: DataFrame, key: str, date: str, size: str, unit: str, carry: list[str] | None = None) -> DataFrame:
+    """Consecutive rows of a key whose sizes compare in one base unit, with the percentage of the change.
+
+    A row without a size, or one of another base unit, compares with neither neighbour;
+    a base of 0 or less gives no percentage.
+    """
+    base = convert_to_base(F.col(size).cast("double"), F.lower(F.trim(F.coalesce(F.col(unit), F.lit("")))))
+    order = Window.partitionBy(key).orderBy(date)
+    rows = rows.withColumn("base", base)
+    rows = rows.withColumns({"base_before": F.lag("base").over(order), **{f"{c}_before": F.lag(c).over(order) for c in [date, size, unit, *(carry or [])]}})
+    fits = rows.where((F.col("base.unit") == F.col("base_before.unit")) & (F.col("base_before.value") > 0) & F.col("base.value").isNotNull())
+    return fits.withColumn("change", (F.col("base.value") - F.col("base_before.value")) / F.col("base_before.value") * 100).drop("base", "base_before")
+
+
+def unit_variance(rows: DataFrame, key: str, date: str, size: str, unit: str, least_pct: float = 2.0) -> DataFrame:
+    """Changes of more than ``least_pct`` percent either way, in base units."""
+    found = unit_changes(rows, key, date, size, unit).where(F.abs("change") > least_pct)
+    return found.withColumn("pct", F.round("change", 2)).withColumn("direction", F.when(F.col("change") < 0, "decrease").otherwise("increase")).drop("change")
+
+
+def unit_latest_drop(rows: DataFrame, key: str, date: str, size: str, unit: str, source: str, sources: list[str], since: str, least_pct: float = 2.0) -> DataFrame:
+    """The latest fall of ``least_pct`` percent or more of each key, in base units, among rows of some sources since a day."""
+    rows = rows.where(F.col(source).isin(sources) & (F.col(date) >= F.lit(since).cast("date")))
+    falls = unit_changes(rows, key, date, size, unit).where((F.col("change") <= -least_pct) & (F.col(size) != 0)).withColumn("pct", F.round("change", 2))
+    fields = [date, f"{date}_before", size, unit, f"{size}_before", f"{unit}_before", source, "pct"]
+    return falls.groupBy(key).agg(F.max(F.struct(*fields)).alias("row")).select(key, "row.*")
+
+
+def release_drops(changes: DataFrame, releases: DataFrame, key: str, low: float = -50, high: float = -2) -> DataFrame:
+    """Falls between low and high of keys that never rose, between releases that follow on one another.
+
+    changes: key, old_date, new_date, pct; releases: release, all there are.
+    """
+    next_of = releases.select("release").distinct()
+    later = next_of.select(F.col("release").alias("later"))
+    pairs = next_of.join(later, F.col("later") > F.col("release")).groupBy("release").agg(F.min("later").alias("later"))  # releases are few
+    kept = without_flipflops(changes, key, "pct", low, high)
+    return kept.join(F.broadcast(pairs) if releases.count() <= 10_000 else pairs, (F.col("old_date") == F.col("release")) & (F.col("new_date") == F.col("later")), "left_semi")
+
+
+def nutrient_deltas(before: DataFrame, after: DataFrame, key: str, bad: dict[str, str], noise: float = 2.0, least: float = 5.0) -> DataFrame:
+    """Per key the change in percent of each nutrient (null below ``noise`` or from 0), and a score: what fell of those that are bad "down" and rose of those "up"."""
+    rows = before.select(key, *[F.col(c).alias(f"{c}_before") for c in bad]).join(after.select(key, *bad), key)
+    change = lambda c: F.try_divide(F.col(c) - F.col(f"{c}_before"), F.col(f"{c}_before")) * 100
+    rows = rows.withColumns({f"{c}_pct": F.when(F.abs(change(c)) >= noise, change(c)) for c in bad})
+    worse = lambda c: F.col(f"{c}_pct") * (-1 if bad[c] == "down" else 1)
+    score = sum((F.when(worse(c) > 0, worse(c)).otherwise(0.0) for c in bad if bad[c] in ("up", "down")), F.lit(0.0))
+    return rows.withColumn("score", score).where(F.col("score") >= least).select(key, *[F.round(F.col(f"{c}_pct") + 1e-9, 1).alias(f"{c}_pct") for c in bad], F.round(F.col("score") + 1e-9, 1).alias("skimp_score"))
+
+
+def against_current(observed: DataFrame, current: DataFrame, key: str, least_pct: float = 2.0) -> DataFrame:
+    """Observations whose size differs by ``least_pct`` percent or more from the known one, in the same unit."""
+    rows = observed.join(current.select(key, F.col("size").alias("known_size"), F.col("unit").alias("known_unit")), key)
+    change = F.try_divide(F.col("size") - F.col("known_size"), F.col("known_size")) * 100
+    return rows.where((F.lower("unit") == F.lower("known_unit")) & (F.abs(change) >= least_pct)).withColumn("pct", F.round(change, 2))
 
 
 def turnover(rows: DataFrame, group: list[str], key: str, release: str, size: str, low: float = 3, high: float = 40) -> DataFrame:

@@ -24,12 +24,6 @@ def _sums() -> tuple[Column, Column]:
     return F.sum("points").cast("long").alias("significance"), F.sum((F.col("now") == 0).cast("int")).cast("long").alias("removed")
 
 
-def listed_changes(lists: DataFrame, key: str, release: str, items: str, top: int = 5) -> DataFrame:
-    """Points of each key with several lists, items compared as they stand, with a list that is empty or hasn't changed too."""
-    ends = lists.groupBy(key).agg(F.min_by(items, release).alias("old"), F.max_by(items, release).alias("new"), F.count("*").alias("n")).where("n > 1")
-    return _points(ends, key, top).groupBy(key).agg(*_sums())
-
-
 def reformulations(lists: DataFrame, key: str, release: str, items: str, top: int = 5) -> DataFrame:
     """Significance of what became of the first ``top`` ingredients between a key's first and last release.
 

@@ -88,6 +88,14 @@ def cpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.round(F.avg("o_totalprice") + 1e-6, 2).alias("value"))
 
 
+def mixed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with sizes in several units and a kind of source: some missing, some of a unit without a family."""
+    s, size = F.col("store") % 8, F.col("size")
+    own = F.when(s == 0, size / 1000).when(s == 1, size / 16).when(s == 2, F.lit(None)).otherwise(size)
+    unit = F.when(s == 0, "kg").when(s == 1, "LB").when(s == 3, "oz").when(s == 4, "box").otherwise("g")
+    return observations(spark, sf_dir).select("upc", "observed_date", own.alias("size"), unit.alias("unit"), "price", "store", F.when(F.col("flag") == "R", "off_catalog").when(F.col("flag") == "A", "kroger_catalog").otherwise("receipt").alias("source_type"))
+
+
 _CASE_V1 = """CASE WHEN size > size_before THEN 'upsizing' WHEN size < size_before AND price < price_before THEN 'downsizing' WHEN size < size_before THEN 'shrinkflation'
   WHEN size = size_before AND price > price_before THEN 'price_hike' ELSE 'downsizing' END"""
 _SQL = {
@@ -95,6 +103,8 @@ _SQL = {
   SELECT l_partkey AS upc, CAST(o_orderdate AS DATE) AS observed_date, l_quantity AS size, l_extendedprice AS price, l_suppkey AS store, l_returnflag AS flag, l_discount AS discount, l_tax AS tax,
          row_number() OVER (PARTITION BY l_partkey, CAST(o_orderdate AS DATE) ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS r
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE r = 1""",
+    "obu": """SELECT upc, observed_date, CASE store % 8 WHEN 0 THEN size / 1000 WHEN 1 THEN size / 16 WHEN 2 THEN NULL ELSE size END AS size, CASE store % 8 WHEN 0 THEN 'kg' WHEN 1 THEN 'LB' WHEN 3 THEN 'oz' WHEN 4 THEN 'box' ELSE 'g' END AS unit,
+  price, store, CASE flag WHEN 'R' THEN 'off_catalog' WHEN 'A' THEN 'kroger_catalog' ELSE 'receipt' END AS source_type FROM obs""",
     "ent": """SELECT p_partkey AS entity_id, p_name AS name, p_brand AS brand, p_type AS category, p_size AS pack_size, p_retailprice AS list_price,
   CASE WHEN p_size > 25 THEN concat('img/', p_partkey) END AS image_url, n_name AS manufacturer
   FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1) ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = s LEFT JOIN nation ON n_nationkey = s_nationkey""",
@@ -113,8 +123,8 @@ _SQL = {
     "ord": "SELECT * FROM orders",
     "cpi": "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, round(avg(o_totalprice) + 1e-6, 2) AS value FROM orders GROUP BY 1",
 }
-TABLES: dict[str, Query] = {"obs": observations, "ent": products, "chg": change_events, "pub": published, "claims": claims, "raw": raw_items, "cpi": cpi, "ord": lambda spark, sf_dir: read(spark, sf_dir, "orders")}
-_NEEDS = {"chg": ["obs"], "pub": ["obs", "chg", "ent"]}
+TABLES: dict[str, Query] = {"obs": observations, "obu": mixed_units, "ent": products, "chg": change_events, "pub": published, "claims": claims, "raw": raw_items, "cpi": cpi, "ord": lambda spark, sf_dir: read(spark, sf_dir, "orders")}
+_NEEDS = {"obu": ["obs"], "chg": ["obs"], "pub": ["obs", "chg", "ent"]}
 
 
 def with_tables(sql: str) -> str:
