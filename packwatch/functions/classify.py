@@ -38,6 +38,12 @@ def classify_published(size_pct: Column) -> Column:
     return F.struct(kind.alias("change_type"), severity.alias("severity"))
 
 
+def classify_promoted(size_pct: Column) -> Column:
+    """The same for a new event, where a rise of more than 5 percent is moderate."""
+    found = classify_published(size_pct)
+    return F.struct(found["change_type"].alias("change_type"), F.when(size_pct > 5, "moderate").otherwise(found["severity"]).alias("severity"))
+
+
 def skimp_severity(score: Column) -> Column:
     """Severity of a nutrition score on the 25 / 12 scale."""
     return F.when(score >= 25, "major").when(score >= 12, "moderate").otherwise("minor")
