@@ -27,13 +27,13 @@ def retract_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("entity_id").agg(F.count("*").alias("events"), F.count(F.when(F.col("is_retracted"), 1)).alias("retracted"))
 
 
-@query("status_audit_diff", """WITH b AS (SELECT claim_id, status FROM {claims} WHERE claim_id % 5 <> 0), a AS (SELECT claim_id, CASE WHEN confidence > 0.9 THEN 'matched' ELSE status END AS status FROM {claims} WHERE claim_id % 7 <> 0)
+@query("status_audit_diff", """WITH b AS (SELECT claim_id, status FROM {claims} WHERE extracted_date < DATE '2000-01-01'), a AS (SELECT claim_id, CASE WHEN confidence > 0.9 THEN 'matched' ELSE status END AS status FROM {claims} WHERE extracted_date >= DATE '1996-01-01' OR source_type <> '5')
 SELECT coalesce(b.claim_id, a.claim_id) AS claim_id, b.status AS old_status, a.status AS new_status FROM b FULL JOIN a ON a.claim_id = b.claim_id WHERE b.status IS DISTINCT FROM a.status""")
 def status_audit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two made-up snapshots of the claims, which lack some rows each, and their differences."""
+    """Two snapshots of the claims and their differences: before, those until 2000; after, all but the oldest of one source."""
     c = TABLES["claims"](spark, sf_dir)
-    after = c.where("claim_id % 7 <> 0").withColumn("status", F.when(F.col("confidence") > 0.9, "matched").otherwise(F.col("status")))
-    return L.status_changes(c.where("claim_id % 5 <> 0"), after, "claim_id", "status")
+    after = c.where("extracted_date >= date '1996-01-01' or source_type <> '5'").withColumn("status", F.when(F.col("confidence") > 0.9, "matched").otherwise(F.col("status")))
+    return L.status_changes(c.where("extracted_date < date '2000-01-01'"), after, "claim_id", "status")
 
 
 @query("constraint_violations", """SELECT claim_id, unnest(list_filter([CASE WHEN NOT (new_size / old_size BETWEEN 0.7 AND 1.0) THEN 'ratio' END, CASE WHEN NOT (confidence <= 0.95) THEN 'confidence' END, CASE WHEN NOT (status <> 'discarded' OR source_type <> '5') THEN 'status' END], lambda x: x IS NOT NULL)) AS rule FROM {claims}""")
@@ -59,3 +59,161 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 view("originator_guard", """SELECT c.claim_id, c.entity_id, c.claim_id = o.origin AS is_originator FROM {claims} c JOIN (SELECT entity_id, old_size, new_size, min(claim_id) AS origin FROM {claims} WHERE status <> 'discarded' GROUP BY entity_id, old_size, new_size) o
 ON o.entity_id = c.entity_id AND o.old_size = c.old_size AND o.new_size = c.new_size WHERE c.status = 'pending'""")
 view("staging_transitions", "SELECT claim_id, CASE WHEN status = 'discarded' THEN status WHEN confidence > 0.8 THEN 'matched' ELSE coalesce(nullif(status, 'pending'), 'review') END AS status FROM {claims}")
+
+
+# Made-up claims behind events: the first matched claim of a product's number made each of its events, the last one joined it.
+_LINKS = "links AS (SELECT event_id, claim_id FROM {pub} JOIN (SELECT entity_id AS e, min(claim_id) AS a, max(claim_id) AS z FROM {claims} WHERE status = 'matched' GROUP BY entity_id) ON e = entity_id, LATERAL (SELECT unnest([a, z]) AS claim_id))"
+
+
+def _links(events: DataFrame, claims: DataFrame) -> DataFrame:
+    ends = claims.where("status = 'matched'").groupBy("entity_id").agg(F.min("claim_id").alias("a"), F.max("claim_id").alias("z"))
+    return events.select("event_id", "entity_id").join(ends, "entity_id").select("event_id", F.explode(F.array("a", "z")).alias("claim_id"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TABLES["pub"](spark, sf_dir).select("event_id", "entity_id", "brand", "product_name", "size_before", "size_after", F.when(F.col("store") % 2 == 0, "oz").alias("size_unit"), "is_retracted")
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TABLES["ent"](spark, sf_dir).select("entity_id", "brand", "name", "category", "manufacturer", (F.col("pack_size") > 45).alias("is_retracted"))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    entities, claims = _entities(spark, sf_dir), TABLES["claims"](spark, sf_dir)
+    pairs = strict_duplicates(entities).select(F.col("entity_id").alias("source"), F.col("into").alias("target"))
+    variants = TABLES["obs"](spark, sf_dir).select(F.col("upc").alias("entity_id"), F.concat_ws("-", "upc", "store").alias("variant_id")).distinct()
+    return L.merge_all(claims, _events(spark, sf_dir), variants, entities, pairs)
+
+
+@query("merged_events", f"WITH {_MAP} SELECT event_id, coalesce(target, p.entity_id) AS entity_id, CASE WHEN target IS NOT NULL THEN p.entity_id END AS previous_entity_id, coalesce(t.brand, p.brand) AS brand, coalesce(t.name, product_name) AS product_name FROM {{pub}} p LEFT JOIN m ON source = p.entity_id LEFT JOIN {{ent}} t ON t.entity_id = target")
+def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after merging equal products, with the brand and name of the one that stays."""
+    return _merged(spark, sf_dir)["events"].select("event_id", "entity_id", "previous_entity_id", "brand", "product_name")
+
+
+@query("merged_claims", f"WITH {_MAP} SELECT claim_id, coalesce(target, entity_id) AS entity_id, CASE WHEN target IS NOT NULL THEN entity_id END AS previous_entity_id FROM {{claims}} LEFT JOIN m ON source = entity_id")
+def merged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)["claims"].select("claim_id", "entity_id", "previous_entity_id")
+
+
+@query("merged_entities", f"WITH {_MAP} SELECT entity_id, pack_size > 45 OR target IS NOT NULL AS is_retracted FROM {{ent}} LEFT JOIN m ON source = entity_id")
+def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)["entities"].select("entity_id", "is_retracted")
+
+
+@query("merge_log", f"""WITH {_MAP} SELECT source, target, (SELECT count(*) FROM {{claims}} c WHERE c.entity_id = source) AS claims_moved, (SELECT count(*) FROM {{pub}} p WHERE p.entity_id = source) AS events_moved, (SELECT count(DISTINCT store) FROM {{obs}} o WHERE o.upc = source) AS variants_moved FROM m""")
+def merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each merge moved."""
+    return _merged(spark, sf_dir)["log"]
+
+
+_MOVES = """v AS (SELECT event_id, entity_id, brand, size_before, size_after, CASE WHEN store % 2 = 0 THEN 'oz' ELSE '' END AS u, is_retracted FROM {pub}),
+mv AS (SELECT DISTINCT v.entity_id AS source, t.target, v.size_before, v.size_after, v.u FROM v JOIN (SELECT brand, size_before, size_after, u, min(entity_id) AS target FROM v GROUP BY ALL) t ON (t.brand, t.size_before, t.size_after, t.u) = (v.brand, v.size_before, v.size_after, v.u) AND t.target <> v.entity_id)"""
+
+
+def _reassigned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    events, claims = _events(spark, sf_dir), TABLES["claims"](spark, sf_dir)
+    sizes = ["brand", "size_before", "size_after", "u"]
+    keyed = events.withColumn("u", F.coalesce("size_unit", F.lit("")))
+    targets = keyed.groupBy(*sizes).agg(F.min("entity_id").alias("target"))
+    moves = keyed.join(targets, sizes).where("entity_id <> target").select(F.col("entity_id").alias("source"), "target", "size_before", "size_after", F.col("u").alias("size_unit")).distinct()
+    return L.reassign_by_size(events, claims, _links(events, claims), _entities(spark, sf_dir), moves)
+
+
+@query("reassigned_events", f"WITH {_MOVES} SELECT event_id, CASE WHEN target IS NOT NULL AND NOT is_retracted THEN target ELSE v.entity_id END AS entity_id, CASE WHEN target IS NOT NULL AND NOT is_retracted THEN v.entity_id END AS previous_entity_id, CASE WHEN target IS NOT NULL AND NOT is_retracted THEN e.name ELSE o.name END AS product_name FROM v JOIN {{ent}} o ON o.entity_id = v.entity_id LEFT JOIN mv ON mv.source = v.entity_id AND (mv.size_before, mv.size_after, mv.u) = (v.size_before, v.size_after, v.u) LEFT JOIN {{ent}} e ON e.entity_id = target")
+def reassigned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live events of equal sizes and unit within a brand, moved to the product of the smallest number."""
+    return _reassigned(spark, sf_dir)["events"].select("event_id", "entity_id", "previous_entity_id", "product_name")
+
+
+@query("reassigned_claims", f"""WITH {_MOVES}, {_LINKS}, moved AS (SELECT event_id, v.entity_id AS source, target FROM v JOIN mv ON mv.source = v.entity_id AND (mv.size_before, mv.size_after, mv.u) = (v.size_before, v.size_after, v.u) WHERE NOT is_retracted),
+c AS (SELECT claim_id, source, min(target) AS target FROM moved JOIN links USING (event_id) GROUP BY 1, 2)
+SELECT k.claim_id, coalesce(target, entity_id) AS entity_id, CASE WHEN target IS NOT NULL THEN entity_id END AS previous_entity_id FROM {{claims}} k LEFT JOIN c ON c.claim_id = k.claim_id AND c.source = k.entity_id""")
+def reassigned_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims behind the moved events, which move with them."""
+    return _reassigned(spark, sf_dir)["claims"].select("claim_id", "entity_id", "previous_entity_id")
+
+
+@query("field_audit", "SELECT entity_id, 'category' AS field, category AS old_value, CASE WHEN pack_size > 40 THEN NULL ELSE upper(category) END AS new_value, 'admin' AS edited_by FROM {ent} WHERE pack_size > 20 AND category IS DISTINCT FROM CASE WHEN pack_size > 40 THEN NULL ELSE upper(category) END")
+def field_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows of edits, those without effect left out."""
+    ent = TABLES["ent"](spark, sf_dir)
+    edits = ent.where("pack_size > 20").select("entity_id", F.when(F.col("pack_size") <= 40, F.upper("category")).alias("value"))
+    return L.set_field(ent, edits, "category", "admin")[1]
+
+
+@query("brand_merge", "SELECT event_id, CASE WHEN brand = 'Brand#11' AND NOT pack_size > 45 THEN 'Brand#12' WHEN brand = 'Brand#23' AND NOT pack_size > 45 THEN 'Brand#9' ELSE brand END AS brand FROM (SELECT p.event_id, p.brand, e.pack_size FROM {pub} p JOIN {ent} e ON e.entity_id = p.entity_id)")
+def brand_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after two brands were renamed."""
+    brands = spark.createDataFrame([("Brand#11", "Brand#12"), ("Brand#23", "Brand#9"), ("Brand#1", "Brand#1")], "source string, target string")
+    return L.merge_brands(_entities(spark, sf_dir), _events(spark, sf_dir), brands)[1].select("event_id", "brand")
+
+
+@query("attribution_sync", "SELECT event_id, e.brand, e.name AS product_name, store % 3 = 0 AND lower(e.brand) <> e.brand AS synced FROM {pub} p JOIN {ent} e ON e.entity_id = p.entity_id")
+def attribution_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose brand was spelt otherwise, set right."""
+    events = TABLES["pub"](spark, sf_dir).withColumn("brand", F.when(F.col("store") % 3 == 0, F.lower("brand")).otherwise(F.col("brand")))
+    return L.sync_attribution(events, TABLES["ent"](spark, sf_dir)).select("event_id", "brand", "product_name", "synced")
+
+
+_GONE = "size_after / size_before < 0.1 OR size_after / size_before > 5"
+
+
+def _swept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events, claims = _events(spark, sf_dir), TABLES["claims"](spark, sf_dir)
+    gone = events.where("size_after / size_before < 0.1 or size_after / size_before > 5").select("event_id")
+    return L.retract_events(events, claims, _links(events, claims), gone, "size outlier")
+
+
+@query("swept_events", f"SELECT event_id, is_retracted OR {_GONE} AS is_retracted, CASE WHEN NOT is_retracted AND ({_GONE}) THEN 'size outlier' END AS retraction_reason FROM {{pub}}")
+def swept_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after implausible ones were retracted."""
+    return _swept(spark, sf_dir)[0].select("event_id", "is_retracted", "retraction_reason")
+
+
+@query("swept_claims", f"WITH {_LINKS}, b AS (SELECT DISTINCT claim_id FROM links JOIN {{pub}} USING (event_id) WHERE NOT is_retracted AND ({_GONE})) SELECT c.claim_id, CASE WHEN b.claim_id IS NULL THEN status ELSE 'pending' END AS status, CASE WHEN b.claim_id IS NULL THEN entity_id END AS entity_id FROM {{claims}} c LEFT JOIN b ON b.claim_id = c.claim_id")
+def swept_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims behind them, pending again."""
+    return _swept(spark, sf_dir)[1].select("claim_id", "status", "entity_id")
+
+
+@query("events_without_image", f"WITH {_LINKS} SELECT event_id FROM {{pub}} WHERE NOT is_retracted AND event_id NOT IN (SELECT event_id FROM links JOIN {{claims}} USING (claim_id) WHERE source_type IN ('1', '2'))")
+def events_without_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live events none of whose claims shows a picture."""
+    events, claims = _events(spark, sf_dir), TABLES["claims"](spark, sf_dir)
+    return L.without_image(events, _links(events, claims), claims.withColumn("has_image", F.col("source_type").isin("1", "2"))).select("event_id")
+
+
+@query("guarded_update", "SELECT claim_id, CASE WHEN status = 'pending' AND new_size * 2 / old_size <= 1.7 THEN new_size * 2 ELSE new_size END AS new_size, CASE WHEN status = 'pending' AND new_size * 2 / old_size <= 1.7 THEN 'checked' ELSE status END AS status FROM {claims}")
+def guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles sizes of pending claims where the ratio stays plausible."""
+    rows = TABLES["claims"](spark, sf_dir).select("claim_id", "old_size", "new_size", "status")
+    out = L.guarded_update(rows, F.col("status") == "pending", {"new_size": F.col("new_size") * 2, "status": F.lit("checked")}, (F.col("status") != "checked") | (F.col("new_size") / F.col("old_size") <= 1.7))
+    return out.select("claim_id", "new_size", "status")
+
+
+@query("delete_by_pattern", "SELECT raw_id, source_type FROM {raw} WHERE regexp_matches(source_type, '^(view|click|purchase)$')")
+def delete_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.delete_unless(TABLES["raw"](spark, sf_dir), "source_type", "^(view|click|purchase)$").select("raw_id", "source_type")
+
+
+@query("find_or_create", """WITH n AS (SELECT claim_id, p.brand, CASE WHEN source_type = '3' THEN concat('Fresh ', p.name) ELSE p.name END AS name FROM {claims} c JOIN {ent} p ON p.entity_id = c.entity_id)
+SELECT claim_id, coalesce(CAST(known AS VARCHAR), substring(md5(concat(lower(n.brand), '|', lower(n.name))), 1, 16)) AS entity_id FROM n LEFT JOIN (SELECT brand, name, min(entity_id) AS known FROM {ent} GROUP BY 1, 2) k ON k.brand = n.brand AND k.name = n.name""")
+def find_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with the product of their name, known or made for them."""
+    from ..functions.text import entity_key
+
+    ent = TABLES["ent"](spark, sf_dir).select("entity_id", "brand", "name")
+    rows = TABLES["claims"](spark, sf_dir).join(ent, "entity_id").select("claim_id", "brand", F.when(F.col("source_type") == "3", F.concat(F.lit("Fresh "), "name")).otherwise(F.col("name")).alias("name"))
+    known = ent.groupBy("brand", "name").agg(F.min("entity_id").cast("string").alias("entity_id"))  # ids of new ones are texts
+    return L.find_or_create(rows, known, entity_key(F.col("brand"), F.col("name")))[0].select("claim_id", "entity_id")
+
+
+@query("seeded_manufacturers", """WITH s(place, brand, category, maker) AS (VALUES (1, 'brand#11', 'STEEL', 'First Maker'), (2, 'BRAND#11', NULL, 'Second Maker'), (3, 'Brand#23', 'brass', 'Third Maker'), (4, 'none', NULL, 'Fourth Maker')),
+e AS (SELECT entity_id, brand, category, CASE WHEN pack_size > 25 THEN manufacturer END AS manufacturer FROM {ent}), f AS (SELECT entity_id, arg_min(maker, place) AS maker FROM e JOIN s ON lower(s.brand) = lower(e.brand) AND (s.category IS NULL OR contains(lower(e.category), lower(s.category))) WHERE manufacturer IS NULL GROUP BY entity_id)
+SELECT e.entity_id, coalesce(maker, manufacturer) AS manufacturer, maker IS NOT NULL AS seeded FROM e LEFT JOIN f ON f.entity_id = e.entity_id""")
+def seeded_manufacturers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products without a manufacturer, seeded by brand and category."""
+    seeds = spark.createDataFrame([(1, "brand#11", "STEEL", "First Maker"), (2, "BRAND#11", None, "Second Maker"), (3, "Brand#23", "brass", "Third Maker"), (4, "none", None, "Fourth Maker")], "place int, brand string, category string, manufacturer string")
+    ent = TABLES["ent"](spark, sf_dir).select("entity_id", "brand", "category", F.when(F.col("pack_size") > 25, F.col("manufacturer")).alias("manufacturer"))
+    return L.seed_manufacturers(ent, seeds).select("entity_id", "manufacturer", "seeded")
