@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Endings of company names, size tails of descriptions and noise in product names.
@@ -32,6 +34,22 @@ SHRINK_WORDS = (
     r"got smaller|getting smaller|they reduced|they cut|less product|rip[- ]?off|same box|same package|smaller amount|used to be|went from|half the size|"
     r"thin[n]?er|narrower|shorter|lighter|watered down|diluted|fewer count|less sheets|less rolls|family size|not as big|getting ripped off)\b"
 )
+# Brands looked for in posts, tried in this order.
+KNOWN_BRANDS = [
+    "tropicana", "lays", "lay's", "doritos", "gatorade", "pepsi", "coca-cola", "coke", "hellmann's", "hellmanns", "unilever", "general mills", "cheerios", "nature valley", "tide", "dawn", "bounty",
+    "charmin", "folgers", "maxwell house", "starbucks", "oreo", "nabisco", "mondelez", "campbell's", "campbells", "kraft", "heinz", "heinz ketchup", "kellogg's", "kelloggs", "special k",
+    "frosted flakes", "quaker", "pepsico", "post", "planters", "skippy", "jif", "peanut butter", "trader joe's", "trader joes", "costco", "kirkland", "whole foods", "365", "ben & jerry's",
+    "haagen-dazs", "breyers", "blue bell", "tyson", "perdue", "oscar mayer", "ball park", "hebrew national", "minute maid", "simply orange", "florida's natural", "colgate", "crest", "oral-b",
+    "listerine", "febreze", "glad", "ziploc", "scotch-brite", "stouffer's", "lean cuisine", "marie callender's", "progresso", "amy's", "annie's", "horizon", "tostitos", "ruffles", "cheetos",
+    "fritos", "sun chips", "pringles", "wheat thins", "triscuit", "ritz", "goldfish", "hershey", "reese's", "kit kat", "snickers", "m&m's", "twix", "nestle", "nescafe", "coffee mate", "dreyer's",
+    "edy's", "tillamook", "chobani", "yoplait", "dannon", "oikos", "jimmy dean", "johnsonville", "hillshire", "goya", "old el paso", "taco bell", "mission", "barilla", "ragu", "prego", "classico",
+    "bertolli", "hidden valley", "ranch", "french's", "grey poupon", "velveeta", "philadelphia", "sargento", "borden", "totino's", "digiorno", "red baron", "tombstone", "hot pocket", "hot pockets",
+    "bagel bites", "frito-lay", "frito lay", "pepperidge farm", "smucker's", "smuckers", "welch's", "welchs", "aunt jemima", "pearl milling", "mrs butterworth", "wonder bread", "sara lee", "arnold",
+    "dave's killer bread", "thomas'", "thomas", "entenmann's", "entenmanns", "little debbie", "hostess", "drake's", "scott", "cottonelle", "viva", "kleenex", "puffs", "huggies", "pampers", "luvs",
+    "downy", "gain", "all", "arm & hammer", "oxiclean", "clorox", "lysol", "pine-sol", "mr clean", "dial", "irish spring", "dove", "ivory", "olay", "pantene", "head & shoulders", "suave", "tresemme",
+    "toblerone", "cadbury", "lindt", "ghirardelli", "godiva", "red bull",
+]
+# Units and patterns of sizes and prices in posts.
 _UNIT = r"(oz|fl\.?\s*oz|ounce[s]?|lb[s]?|pound[s]?|g|gram[s]?|kg|ml|ct|count|pack|sheet[s]?|roll[s]?|pt|pint[s]?|qt|quart[s]?|gal|gallon[s]?)?"
 FROM_TO = (
     r"(?i)(?:from|was|went from|used to be|previously|old[:]?|originally|started at)\s+(\d+(?:\.\d+)?)\s*" + _UNIT
@@ -151,7 +169,7 @@ def parse_post(text: Column, brands: list[str], prices_once: bool = False) -> Co
     Each price counts 1; with ``prices_once`` two or more count 1 and one alone 0.
     """
     lower = F.lower(text)
-    brand = F.coalesce(*[F.when(lower.rlike(rf"(^|[^a-z]){b}([^a-z]|$)"), b) for b in brands]) if brands else F.lit(None).cast("string")
+    brand = F.coalesce(*[F.when(lower.rlike(rf"(^|[^a-z]){re.escape(b)}([^a-z]|$)"), b) for b in brands]) if brands else F.lit(None).cast("string")
     part = lambda k: F.when(F.regexp_extract(text, FROM_TO, 1) != "", F.regexp_extract(text, FROM_TO, k)).otherwise(F.regexp_extract(text, ARROW, k))
     a, b = (F.nullif(part(k), F.lit("")).cast("double") for k in (1, 3))
     explicit = F.coalesce(a != b, F.lit(False))
@@ -175,6 +193,14 @@ def parse_post(text: Column, brands: list[str], prices_once: bool = False) -> Co
     )
 
 
+def product_hint(text: Column) -> Column:
+    """The first line of a post, without marks such as [META], up to 120 characters."""
+    line = F.substring(F.get(F.split(F.trim(text), "\n"), F.lit(0)), 1, 120)
+    for mark in ("META", "Discussion"):
+        line = F.regexp_replace(line, rf"(?i)^\[?{mark}\]?\s*", "")
+    return F.trim(line)
+
+
 def confidence_tier(post: Column, auto: int = 4, review: int = 2) -> Column:
     fields, explicit, words = post["fields_found"], post["explicit_from_to"], post["has_shrink_words"]
     return (
@@ -206,12 +232,18 @@ def parse_ingredients(text: Column, rounds: int = 10) -> Column:
     return F.filter(parts, lambda x: (F.length(x) > 1) & ~x.startswith("*"))
 
 
+MONTH_NAMES = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+
+
 def parse_period(text: Column) -> Column:
-    """Month start of a period: a spreadsheet day number, YYYY-MM, YYYYMnn, Mon YYYY or YYYY Mon."""
+    """Month start of a period: a spreadsheet day number, YYYY-MM, YYYYMnn, Mon YYYY, Mon-YY or YYYY Mon, months by three letters or in full; a year of two digits is in this century."""
     text = F.trim(text)
     serial = F.when(text.rlike(r"^\d{5}$") & text.cast("string").between("34000", "55000"), F.date_add(F.lit("1899-12-30").cast("date"), F.when(text.rlike(r"^\d{5}$"), text).cast("int")))
-    dash = F.when(text.rlike(r"^\d{4}-\d{2}"), F.to_date(F.concat(F.substring(text, 1, 7), F.lit("-01"))))
-    coded = F.when(text.rlike(r"^\d{4}M\d{2}$"), F.to_date(F.concat(F.substring(text, 1, 4), F.lit("-"), F.substring(text, 6, 2), F.lit("-01"))))
-    name_first = F.when(text.rlike(r"^[A-Z][a-z]{2} \d{4}$"), F.to_date(text, "MMM yyyy"))
-    year_first = F.when(text.rlike(r"^\d{4} [A-Z][a-z]{2}$"), F.to_date(text, "yyyy MMM"))
+    dash = F.when(text.rlike(r"^\d{4}-\d{2}"), F.try_to_date(F.concat(F.substring(text, 1, 7), F.lit("-01"))))
+    coded = F.when(text.rlike(r"^\d{4}M\d{2}$"), F.try_to_date(F.concat(F.substring(text, 1, 4), F.lit("-"), F.substring(text, 6, 2), F.lit("-01"))))
+    year = lambda digits: F.when(F.length(digits) == 2, F.concat(F.lit("20"), digits)).otherwise(digits)
+    month = lambda name: F.initcap(F.substring(name, 1, 3))
+    parts = lambda pattern, y, m: F.when(text.rlike(pattern), F.try_to_date(F.concat_ws(" ", month(F.regexp_extract(text, pattern, m)), year(F.regexp_extract(text, pattern, y))), "MMM yyyy"))
+    name_first = parts(rf"(?i)^({MONTH_NAMES})[-\s]+(\d{{4}}|\d{{2}})$", 2, 1)
+    year_first = parts(rf"(?i)^(\d{{4}})\s+({MONTH_NAMES})$", 1, 2)
     return F.trunc(F.coalesce(serial, dash, coded, name_first, year_first), "month")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import slugify
@@ -66,19 +68,44 @@ def fold_claims(claims: DataFrame) -> DataFrame:
 def cluster_by_days(events: DataFrame, keys: list[str], date: str, order: str, days: int) -> DataFrame:
     """Numbers, per key, clusters that end ``days`` after their first event.
 
-    A cluster's anchor depends on the one before, so the sorted days of a key are
-    folded; equal days are one step, which bounds the fold by the calendar.
+    A cluster's anchor depends on the one before, so the distinct days of a key are
+    read in order once; a task holds one row at a time, however long a key's history
+    is.  Events without a date make a cluster of their own for each key.
     """
-    dates = events.groupBy(*keys).agg(F.array_sort(F.collect_set(date)).alias("dates"))
-    start = F.struct(F.lit(None).cast("date").alias("anchor"), F.array().cast("array<date>").alias("anchors"))
-
-    def step(state, day):
-        anchor = F.when(state["anchor"].isNull() | (F.datediff(day, state["anchor"]) > days), day).otherwise(state["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(state["anchors"], F.array(anchor)).alias("anchors"))
-
-    anchors = F.aggregate("dates", start, step, lambda s: s["anchors"])
-    pairs = dates.select(*keys, F.explode(F.arrays_zip("dates", anchors.alias("anchors"))).alias("x")).select(*keys, F.col("x.dates").alias(date), F.col("x.anchors").alias("anchor"))
-    return events.join(pairs, [*keys, date]).withColumn("is_canonical", F.row_number().over(Window.partitionBy(*keys, "anchor").orderBy(date, order)) == 1)
+    import pyarrow as pa
+
+    kind = events.schema[date].dataType.simpleString()
+    found = events.select(*keys, date).distinct().repartition(*keys).sortWithinPartitions(*keys, date)
+    schema = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in keys) + f", `{date}` {kind}, anchor {kind}"
+
+    def anchored(batches):
+        last, anchor = None, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in keys]
+            anchors = []
+            for *key, day in zip(*columns, batch.column(date).to_pylist()):
+                if key != last or anchor is None or day is None or (day - anchor).days > days:
+                    last, anchor = key, day
+                anchors.append(anchor)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anchors, batch.column(date).type)], [*keys, date, "anchor"])
+
+    pairs = found.mapInArrow(anchored, schema)
+    same = lambda c: F.col(f"e.{c}").eqNullSafe(F.col(f"p.{c}"))
+    joined = events.alias("e").join(pairs.alias("p"), reduce(lambda x, y: x & y, [same(c) for c in [*keys, date]])).select("e.*", "p.anchor")
+    return joined.withColumn("is_canonical", F.row_number().over(Window.partitionBy(*keys, "anchor").orderBy(date, order)) == 1)
+
+
+def merge_repeats(events: DataFrame, keys: list[str], date: str, order: str) -> DataFrame:
+    """One event for each key: the earliest, with the evidence of all.
+
+    Evidence is the larger of the entries of all and the sum of their counts, a
+    missing count being one.  Events with a null in a key are left out.
+    """
+    rows = events.dropna(subset=keys)
+    at = F.struct(date, order)
+    entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(date, order, F.coalesce("evidence", F.array().cast("array<string>")).alias("own")))), lambda x: x["own"]))
+    out = rows.groupBy(*keys).agg(F.min(at).alias("first"), F.count("*").alias("merged"), F.sum(F.coalesce("evidence_count", F.lit(1))).alias("counts"), entries.alias("evidence"))
+    return out.select(*keys, F.col(f"first.{order}").alias(order), F.col(f"first.{date}").alias(date), "merged", F.greatest(F.size("evidence").cast("long"), "counts").alias("evidence_count"), "evidence")
 
 
 def strict_duplicates(products: DataFrame) -> DataFrame:
@@ -88,7 +115,7 @@ def strict_duplicates(products: DataFrame) -> DataFrame:
     return key.join(target, ["b", "key"]).where(F.col("entity_id") != F.col("into")).select("entity_id", "into", F.col("n").alias("group_size"))
 
 
-def fuzzy_duplicates(products: DataFrame, threshold: float = 0.85, block: int = 200) -> DataFrame:
+def fuzzy_duplicates(products: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Products of one brand whose names are alike and differ in no word of over two letters.
 
     Names are compared once each: equal names, and names with the same long words,
@@ -132,15 +159,78 @@ def match_findings(findings: DataFrame, entities: DataFrame, salts: int = 16) ->
     return best.select("brand", "product", "r.entity_id", "r.name")
 
 
-def shortest_with(wanted: DataFrame, entities: DataFrame) -> DataFrame:
-    """For each product of one word the shortest name that holds it, also within a longer word.
+def passes_audit(units: list[str], brand: float = 0.85, size: float = 0.85, name: float = 0.80) -> Column:
+    """Why a claim would not have been approved by itself; null if it would: picture, unit, and three scores."""
+    low = lambda c, floor: F.coalesce(F.col(f"confidence_{c}") < floor, F.lit(True))
+    return (
+        F.when(~F.coalesce("has_image", F.lit(False)), "no image").when(~F.lower(F.trim(F.coalesce("size_unit", F.lit("")))).isin(units), "unit")
+        .when(low("brand", brand), "brand score").when(low("size", size), "size score").when(low("name", name), "name score")
+    )
+
+
+def decline_reason() -> Column:
+    """Why a pending claim is declined, by its source; null if it isn't."""
+    has = lambda *names: reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+    article = F.col("source_type").isin("news", "gdelt")
+    return (
+        F.when(article & (F.coalesce("brand", F.lit("")) == ""), F.concat("source_type", F.lit(": no brand")))
+        .when(article & ~has("old_size", "new_size") & ~has("old_price", "new_price"), F.concat("source_type", F.lit(": no size or price change")))
+        .when((F.col("source_type") == "reddit") & F.col("image").isNull(), "reddit: no image")
+        .when((F.col("source_type") == "openfoodfacts") & ~has("old_size", "new_size"), "openfoodfacts: missing before/after size")
+        .when((F.col("source_type") == "kroger_change") & F.coalesce(F.col("extractor_version").rlike("^kroger-change-v(0|1$)"), F.lit(False)), "kroger_change: legacy analyzer")
+    )
+
+
+def claim_groups(claims: DataFrame) -> DataFrame:
+    """Claims by brand, name key and bucket of sizes: number, clusters by product ("id:n", the largest first), sources ("source:n"), range of confidence.
 
-    Distinct words are looked up by all their parts; names aren't all compared.
+    Counted in two steps, so a group's lists hold its products and sources, not its claims.
     """
-    words = entities.select("entity_id", "name", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    size = F.length("word")
-    parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("word"), i, n)))
-    parts = words.select("word").distinct().select("word", F.explode(F.when(size > 0, F.array_distinct(F.flatten(parts))).otherwise(F.array(F.lit("")))).alias("part"))
-    holding = parts.join(wanted, F.col("part") == F.lower("product")).select("word", "product")
-    best = words.join(holding, "word").groupBy("product").agg(F.min(F.struct(F.length("name").alias("l"), "entity_id", "name")).alias("r"))
-    return best.select("product", "r.entity_id", "r.name")
+    keys = ["brand", "name_key", "bucket"]
+    total = claims.groupBy(*keys).agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+    label = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none))
+
+    def listed(column: str, none: str, name: str) -> DataFrame:
+        counts = claims.groupBy(*keys, label(column, none).alias("x")).agg(F.count("*").alias("k"))
+        items = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("minus"), "x", "k")))
+        return counts.groupBy(*keys).agg(items.alias("i")).select(*keys, F.array_join(F.transform("i", lambda x: F.concat_ws(":", x["x"], x["k"].cast("string"))), ",").alias(name))
+
+    return total.join(listed("entity_id", "unmatched", "clusters"), keys).join(listed("source_type", "unknown", "sources"), keys)
+
+
+def profile_outliers(events: DataFrame, low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """Events whose ratio of sizes leaves low..high, those with the most evidence first."""
+    ratio = F.col("size_after") / F.col("size_before")
+    rows = events.where("size_before > 0 and size_after > 0").withColumn("r", ratio).where(~F.col("r").between(low, high))
+    return rows.withColumn("ratio", F.round("r", 4)).drop("r").orderBy(F.desc_nulls_last("evidence_count"), "ratio")
+
+
+def profile_units(events: DataFrame) -> DataFrame:
+    """Products with events in several units: the commonest unit, and the others."""
+    rows = events.withColumn("unit", F.lower(F.trim(F.coalesce("size_unit", F.lit(""))))).where("unit <> '' and entity_id is not null")
+    counts = rows.groupBy("entity_id", "unit").agg(F.count("*").alias("k"))
+    units = counts.groupBy("entity_id").agg(F.sum("k").alias("event_count"), F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("minus"), "unit", "k"))).alias("u")).where(F.size("u") > 1)
+    names = lambda a, f: F.array_join(F.transform(a, f), ", ")
+    return units.select(
+        "entity_id", "event_count", F.size("u").alias("unit_variants"), names("u", lambda x: F.concat_ws("=", x["unit"], x["k"].cast("string"))).alias("units_breakdown"), F.col("u")[0]["unit"].alias("majority_unit"),
+        F.col("u")[0]["k"].alias("majority_count"), names(F.slice("u", 2, 1 << 20), lambda x: x["unit"]).alias("minority_units"),
+    ).orderBy(F.desc("event_count"), "entity_id")
+
+
+def profile_sizes(events: DataFrame, wide: float = 3.0, extreme: float = 10.0) -> DataFrame:
+    """Products whose events start from very different sizes: likely several packs in one."""
+    rows = events.where("size_before > 0 and entity_id is not null").groupBy("entity_id").agg(F.min("size_before").alias("min_size"), F.max("size_before").alias("max_size"), F.count("*").alias("event_count")).where("event_count >= 2")
+    spread = F.col("max_size") / F.col("min_size")
+    rows = rows.withColumn("s", spread).where(F.col("s") >= wide)
+    return rows.select("entity_id", "min_size", "max_size", F.round("s", 2).alias("spread_ratio"), "event_count", F.when(F.col("s") >= extreme, "extreme").otherwise("wide").alias("severity")).orderBy(F.desc("spread_ratio"), "entity_id")
+
+
+def profile_duplicates(entities: DataFrame) -> DataFrame:
+    """Products of one brand and one slug of the name, each but the one with the most events paired with that one."""
+    rows = entities.where("brand <> '' and name <> ''").select("entity_id", "name", F.coalesce("event_count", F.lit(0)).alias("event_count"), F.lower(F.trim("brand")).alias("group_brand"), slugify(F.col("name")).alias("group_slug")).where("group_slug <> ''")
+    best = rows.groupBy("group_brand", "group_slug").agg(F.min(F.struct((-F.col("event_count")).alias("minus"), "entity_id", "name", "event_count")).alias("t"), F.count("*").alias("group_size")).where("group_size > 1")
+    out = rows.join(best, ["group_brand", "group_slug"]).where(F.col("entity_id") != F.col("t.entity_id"))
+    return out.select(
+        "group_brand", "group_slug", F.col("entity_id").alias("source_id"), F.col("name").alias("source_name"), F.col("event_count").alias("source_events"), F.col("t.entity_id").alias("target_id"), F.col("t.name").alias("target_name"),
+        F.col("t.event_count").alias("target_events"), "group_size",
+    ).orderBy(F.desc("group_size"), F.desc("target_events"), "source_id")

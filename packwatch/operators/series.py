@@ -24,3 +24,15 @@ def collapse_runs(rows: DataFrame, key: str, order: str, value: str, tolerance:
     lists = rows.groupBy(key).agg(sorted_.alias("values"))
     keep = lambda kept, v: F.when(F.size(kept) == 0, F.array(v)).when(F.abs(v - F.element_at(kept, -1)) > tolerance, F.concat(kept, F.array(v))).otherwise(kept)
     return lists.select(key, F.aggregate("values", F.array().cast("array<double>"), keep).alias("steps"))
+
+
+def run_summary(rows: DataFrame, key: str, order: str, value: str, tolerance: float) -> DataFrame:
+    """Per key how many values are left when runs collapse, and the first and last of them; the fold holds these three alone."""
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double"))
+    state = F.struct(F.lit(0).cast("long").alias("steps"), F.lit(None).cast("double").alias("first"), F.lit(None).cast("double").alias("last"))
+
+    def fold(kept, v):
+        new = kept["last"].isNull() | (F.abs(v - kept["last"]) > tolerance)
+        return F.struct((kept["steps"] + F.when(new, 1).otherwise(0)).alias("steps"), F.coalesce(kept["first"], v).alias("first"), F.when(new, v).otherwise(kept["last"]).alias("last"))
+
+    return rows.where(F.col(value).isNotNull()).groupBy(key).agg(sorted_.alias("values")).select(key, F.aggregate("values", state, fold).alias("r")).select(key, "r.*")

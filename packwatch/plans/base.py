@@ -135,6 +135,8 @@ def with_tables(sql: str) -> str:
     body = re.sub(r"\{(" + "|".join(_SQL) + r")\}", r"\1", sql).strip()
     if not head:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.series import collapse_runs, month_spine, year_over_year
+from ..operators.series import month_spine, run_summary, year_over_year
 from .base import TABLES, query, view
 from .views import AS_OF
 
@@ -101,9 +101,8 @@ SELECT upc, count(*) AS steps, arg_min(size, k) AS first_size, arg_max(size, k)
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A product's sizes with runs of equal ones collapsed, and the change from first to last."""
     rows = TABLES["obs"](spark, sf_dir).select("upc", "observed_date", F.round(F.col("size") / 5).alias("size"))
-    steps = collapse_runs(rows, "upc", "observed_date", "size", 0.01)
-    first, last = F.col("steps")[0], F.element_at("steps", -1)
-    return steps.select("upc", F.size("steps").cast("long").alias("steps"), first.alias("first_size"), last.alias("last_size"), F.round(F.try_divide(last - first, first) * 100, 1).alias("cumulative_pct"))
+    runs = run_summary(rows, "upc", "observed_date", "size", 0.01)
+    return runs.select("upc", "steps", F.col("first").alias("first_size"), F.col("last").alias("last_size"), F.round(F.try_divide(F.col("last") - F.col("first"), F.col("first")) * 100, 1).alias("cumulative_pct"))
 
 
 @query("spaced_snapshots", "SELECT upc, arg_min(observed_date, observed_date) AS first_day, y FROM (SELECT upc, observed_date, extract(year FROM observed_date)::INT AS y FROM {obs}) GROUP BY upc, y")

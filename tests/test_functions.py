@@ -81,12 +81,19 @@ def test_prices_of_a_post_can_count_once(spark):
     assert got == [2, 1, 1, 0]
 
 
-@pytest.mark.parametrize("text,expected", [("2021-03", "2021-03-01"), ("2021M07", "2021-07-01"), ("44197", "2021-01-01"), ("Jan 2020", "2020-01-01"), ("2020 Dec", "2020-12-01"), ("later", None), (None, None)])
+@pytest.mark.parametrize("text,expected", [("2021-03", "2021-03-01"), ("2021M07", "2021-07-01"), ("44197", "2021-01-01"), ("Jan 2020", "2020-01-01"), ("2020 Dec", "2020-12-01"), ("Jan 21", "2021-01-01"), ("jan-21", "2021-01-01"), ("January 2021", "2021-01-01"), ("2021 september", "2021-09-01"), ("2021-13", None), ("Foo 2021", None), ("later", None), (None, None)])
 def test_periods(spark, text, expected):
     got = one(spark, T.parse_period(F.col("t")), t=text)
     assert (str(got) if got else None) == expected
 
 
+def test_brands_and_hints_of_posts(spark):
+    got = one(spark, T.parse_post(F.col("t"), T.KNOWN_BRANDS, prices_once=True), t="My M&M's bag: 12 oz -> 10 oz, $3.49 then $3.99")
+    assert (got["brand"], got["old_size"], got["new_size"], got["fields_found"]) == ("m&m's", 12.0, 10.0, 4)
+    assert one(spark, T.parse_post(F.col("t"), T.KNOWN_BRANDS), t="an agressive and pastoral day")["brand"] is None
+    assert [one(spark, T.product_hint(F.col("t")), t=t) for t in ("[META] Smaller bags\nmore", "discussion  bars", "x" * 200, None)] == ["Smaller bags", "bars", "x" * 120, None]
+
+
 @pytest.mark.parametrize("kind,severity,events,action", [("sku_mashup", "high", 3.0, "retract_entity"), ("sku_mashup", "med", 3.0, "leave"), ("size_outlier", "high", 1.0, "retract_event"), ("short_brand", "med", 0.0, "retract_entity"), ("short_brand", "med", 2.0, "leave"), ("fuzzy_brand_collision", "low", 1.0, "merge"), ("mixed_units", "low", 1.0, "leave")])
 def test_triage(spark, kind, severity, events, action):
     assert one(spark, C.flag_action(F.col("k"), F.col("s"), F.col("n"), F.lit(False), F.lit(False)), k=kind, s=severity, n=events) == action
