@@ -83,8 +83,9 @@ class Index:
         found = self.alignments().join(self.small(self.items.select("item", "item_id", "words", "length")), "item")
         found = self.kept.keep(found.groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "words", "length")).alias("near")), "aligned")
         keys = F.broadcast if found.count() <= BROADCAST_KEYS else (lambda frame: frame)
-        # only the texts of documents with alignments move
-        rows = self.docs.select("key", "text").join(keys(found.select("key")), "key", "left_semi").join(found, "key").withColumn("doc_words", _words(F.col("text"))).withColumn("n_words", F.size("doc_words").cast("long"))
+        # only the texts of documents with alignments move; as a table, their words are split once and not anew for each place that is compared
+        aligned = self.docs.select("key", "text").join(keys(found.select("key")), "key", "left_semi").select("key", _words(F.col("text")).alias("doc_words"))
+        rows = self.kept.keep(aligned, "words").join(found, "key").withColumn("n_words", F.size("doc_words").cast("long"))
 
         def whole(x: Column) -> Column:
             """Starts, in the document, of the item's windows that stand there."""
@@ -97,7 +98,7 @@ class Index:
             return F.struct(x["item_id"].alias("item_id"), F.flatten(F.transform(starts, lambda s: F.sequence(x["shift"] + s, x["shift"] + s + x["length"] - 1))).alias("places"))
 
         hits = F.filter(F.transform("near", whole), lambda x: F.size(x["places"]) > 0)
-        rows = rows.withColumn("hits", hits)
+        rows = self.kept.keep(rows.select("key", hits.alias("hits")), "hits")
         n_hit = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["places"])))).cast("long")
         hit = rows.where(F.size("hits") > 0).groupBy("key").agg(F.any_value(F.struct(n_hit.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"]))).alias("items"))).alias("found"))
         rows = self.docs.withColumn("n_words", F.size(_words(F.col("text"))).cast("long")).join(keys(hit), "key", "left")
