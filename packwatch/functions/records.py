@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -97,55 +98,79 @@ def _titled(brand: Column) -> Column:
     return F.when(brand.isNotNull(), title_case(brand))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: a lambda's variable, where a column would be repeated at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _record(payload: Column, schema: str, fields: Callable[[Column], dict[str, Column]], claim: Callable[[Column], Column], needs: tuple[str, str]) -> Column:
+    """The claim of a JSON record from its cleaned fields, null where both needed ones are missing."""
+    cleaned = lambda p: F.struct(*[c.alias(n) for n, c in fields(p).items()])
+    return _let(_let(F.from_json(payload, schema), cleaned), lambda x: F.when(x[needs[0]].isNotNull() | x[needs[1]].isNotNull(), claim(x)))
+
+
+def _catalog_entry(x: Column, brand_points: float, name_points: float, cap: float, **fields: Column) -> Column:
+    """A claim with a size: what the records of shops and of open facts share."""
+    category = F.when(x["categories"].isNotNull(), category_by(x["categories"], CATALOG_CATEGORIES))
+    points = [_has(x["brand"], brand_points), _has(x["name"], name_points), _has(F.when(x["size"]["value"] > 0, x["size"]["value"]), 0.9)]
+    return _claim(points, cap, brand=_titled(x["brand"]), product_name=x["name"], category=category, new_size=x["size"]["value"], new_size_unit=x["size"]["unit"], upc=x["code"], change_description=F.lit("catalog_entry"), **fields)
+
+
+def _price(*given: Column) -> Column:
+    """The first price that is given and isn't 0, if it is positive."""
+    return positive(F.coalesce(*[F.when(F.coalesce(x.try_cast("double"), F.lit(1.0)) != 0, text_or_null(x)) for x in given]))
+
+
 def open_facts_claim(payload: Column) -> Column:
     """Claim of a product record with code, product_name, brands, quantity and categories; null without name and brand."""
-    p = F.from_json(payload, "code string, product_name string, brands string, quantity string, product_quantity string, product_quantity_unit string, categories string")
-    code, name, brand, categories = (text_or_null(p[c]) for c in ("code", "product_name", "brands", "categories"))
-    number, unit = positive(p["product_quantity"]), text_or_null(p["product_quantity_unit"])
-    parsed = parse_package_weight(text_or_null(p["quantity"]))
-    size = F.coalesce(number, parsed["value"])
-    size_unit = F.when(number.isNotNull(), F.when(unit.isNotNull(), normalize_unit(unit))).otherwise(parsed["unit"])
-    category = F.when(categories.isNotNull(), category_by(categories, CATALOG_CATEGORIES))
-    out = _claim([_has(brand, 0.9), _has(name, 0.9), _has(F.when(size > 0, size), 0.9)], 0.9, brand=_titled(brand), product_name=name, category=category, new_size=size, new_size_unit=size_unit, upc=code, change_description=F.lit("catalog_entry"))
-    return F.when(name.isNotNull() | brand.isNotNull(), out)
+
+    def fields(p: Column) -> dict[str, Column]:
+        number, unit = positive(p["product_quantity"]), text_or_null(p["product_quantity_unit"])
+        numbered = F.struct(number.alias("value"), F.when(unit.isNotNull(), normalize_unit(unit)).alias("unit"))
+        size = F.when(number.isNotNull(), numbered).otherwise(parse_package_weight(text_or_null(p["quantity"])))
+        return {"code": text_or_null(p["code"]), "name": text_or_null(p["product_name"]), "brand": text_or_null(p["brands"]), "categories": text_or_null(p["categories"]), "size": size}
+
+    schema = "code string, product_name string, brands string, quantity string, product_quantity string, product_quantity_unit string, categories string"
+    return _record(payload, schema, fields, lambda x: _catalog_entry(x, 0.9, 0.9, 0.9), ("name", "brand"))
 
 
 def kroger_claim(payload: Column) -> Column:
     """Claim of a store's product record with description, brand, size, items and categories; null without description and brand."""
-    p = F.from_json(payload, "description string, brand string, upc string, productId string, size string, itemInformation struct<size: string>, items array<struct<price: struct<regular: string, promo: string>>>, categories string")
-    name, brand, categories = (text_or_null(p[c]) for c in ("description", "brand", "categories"))
-    parsed = parse_package_weight(F.coalesce(text_or_null(p["size"]), text_or_null(p["itemInformation"]["size"])))
-    prices = F.get(p["items"], F.lit(0))["price"]
-    given = lambda x: F.when(x.try_cast("double") == 0, None).otherwise(text_or_null(x))  # noqa: E731  a price of 0 is none
-    category = F.when(categories.isNotNull() & (categories != "[]"), category_by(categories, CATALOG_CATEGORIES))
-    size = parsed["value"]
-    out = _claim([_has(brand, 0.95), _has(name, 0.95), _has(F.when(size > 0, size), 0.9)], 0.95, brand=_titled(brand), product_name=name, category=category, new_size=size, new_size_unit=parsed["unit"],
-                 new_price=positive(F.coalesce(given(prices["regular"]), given(prices["promo"]))), retailer=F.lit("Kroger"), upc=F.coalesce(text_or_null(p["upc"]), text_or_null(p["productId"])), change_description=F.lit("catalog_entry"))
-    return F.when(name.isNotNull() | brand.isNotNull(), out)
+
+    def fields(p: Column) -> dict[str, Column]:
+        price = F.get(p["items"], F.lit(0))["price"]
+        return {"code": F.coalesce(text_or_null(p["upc"]), text_or_null(p["productId"])), "name": text_or_null(p["description"]), "brand": text_or_null(p["brand"]), "categories": F.nullif(text_or_null(p["categories"]), F.lit("[]")),
+                "size": parse_package_weight(F.coalesce(text_or_null(p["size"]), text_or_null(p["itemInformation"]["size"]))), "price": _price(price["regular"], price["promo"])}
+
+    schema = "description string, brand string, upc string, productId string, size string, itemInformation struct<size: string>, items array<struct<price: struct<regular: string, promo: string>>>, categories string"
+    return _record(payload, schema, fields, lambda x: _catalog_entry(x, 0.95, 0.95, 0.95, new_price=x["price"], retailer=F.lit("Kroger")), ("name", "brand"))
 
 
 def open_prices_claim(payload: Column) -> Column:
     """Claim of a price observation with product_code, product, price, date and location; null without code and name."""
-    p = F.from_json(payload, "product_code string, barcode string, product struct<product_name: string, brands: string>, price string, date string, created string, location struct<osm_name: string, name: string>")
-    code = F.coalesce(text_or_null(p["product_code"]), text_or_null(p["barcode"]))
-    name, brand, price = text_or_null(p["product"]["product_name"]), text_or_null(p["product"]["brands"]), positive(p["price"])
-    day = F.substring(F.trim(F.coalesce(F.nullif(p["date"], F.lit("")), p["created"])), 1, 10)
-    store = text_or_null(F.coalesce(F.nullif(p["location"]["osm_name"], F.lit("")), p["location"]["name"]))
-    out = _claim([_has(brand, 0.8), _has(name, 0.8), _has(price, 0.8)], 0.8, brand=_titled(brand), product_name=name, new_price=price, retailer=store, upc=code, observed_date=F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day), change_description=F.lit("price_observation"))
-    return F.when(name.isNotNull() | code.isNotNull(), out)
+
+    def fields(p: Column) -> dict[str, Column]:
+        day = F.substring(F.trim(F.coalesce(F.nullif(p["date"], F.lit("")), p["created"])), 1, 10)
+        store = text_or_null(F.coalesce(F.nullif(p["location"]["osm_name"], F.lit("")), p["location"]["name"]))
+        return {"code": F.coalesce(text_or_null(p["product_code"]), text_or_null(p["barcode"])), "name": text_or_null(p["product"]["product_name"]), "brand": text_or_null(p["product"]["brands"]), "price": positive(p["price"]), "day": F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day), "store": store}
+
+    def claim(x: Column) -> Column:
+        points = [_has(x["brand"], 0.8), _has(x["name"], 0.8), _has(x["price"], 0.8)]
+        return _claim(points, 0.8, brand=_titled(x["brand"]), product_name=x["name"], new_price=x["price"], retailer=x["store"], upc=x["code"], observed_date=x["day"], change_description=F.lit("price_observation"))
+
+    schema = "product_code string, barcode string, product struct<product_name: string, brands: string>, price string, date string, created string, location struct<osm_name: string, name: string>"
+    return _record(payload, schema, fields, claim, ("name", "code"))
 
 
 def walmart_claim(payload: Column) -> Column:
     """Claim of a store's product record with name, brandName, size, prices and categoryPath; null without name and brand."""
-    p = F.from_json(payload, "name string, brandName string, upc string, itemId string, salePrice string, msrp string, size string, categoryPath string")
-    name, brand, path = (text_or_null(p[c]) for c in ("name", "brandName", "categoryPath"))
-    parsed = F.coalesce(parse_package_weight(text_or_null(p["size"])), parse_package_weight(name))
-    given = lambda x: F.when(x.try_cast("double") == 0, None).otherwise(text_or_null(x))
-    category = F.when(path.isNotNull(), category_by(path, CATALOG_CATEGORIES))
-    size = parsed["value"]
-    out = _claim([_has(brand, 0.95), _has(name, 0.95), _has(F.when(size > 0, size), 0.9)], 0.95, brand=_titled(brand), product_name=name, category=category, new_size=size, new_size_unit=parsed["unit"],
-                 new_price=positive(F.coalesce(given(p["salePrice"]), given(p["msrp"]))), retailer=F.lit("Walmart"), upc=F.coalesce(text_or_null(p["upc"]), text_or_null(p["itemId"])), change_description=F.lit("catalog_entry"))
-    return F.when(name.isNotNull() | brand.isNotNull(), out)
+
+    def fields(p: Column) -> dict[str, Column]:
+        name = text_or_null(p["name"])
+        return {"code": F.coalesce(text_or_null(p["upc"]), text_or_null(p["itemId"])), "name": name, "brand": text_or_null(p["brandName"]), "categories": text_or_null(p["categoryPath"]), "size": F.coalesce(parse_package_weight(text_or_null(p["size"])), parse_package_weight(name)), "price": _price(p["salePrice"], p["msrp"])}
+
+    schema = "name string, brandName string, upc string, itemId string, salePrice string, msrp string, size string, categoryPath string"
+    return _record(payload, schema, fields, lambda x: _catalog_entry(x, 0.95, 0.95, 0.95, new_price=x["price"], retailer=F.lit("Walmart")), ("name", "brand"))
 
 
 #: Parsers of catalog records by the source they come from.
