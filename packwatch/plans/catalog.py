@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from . import base, detectors, lifecycle, promotion, quality, reading, sources, texts, views  # noqa: F401  each registers its queries
+from . import base, detectors, lifecycle, pages, promotion, quality, reading, sources, texts, views  # noqa: F401  each registers its queries
 
 FLAGSHIP = "brand_scorecard"
 QUERIES = base.QUERIES

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_folder
+from ..sources.readers import backfill, keep_last, series_of_sheet
 from ..sources.sinks import markdown_table, rss_items
 from ..streaming.ingest import run_to_table
 from .base import TABLES, query, read, view
@@ -62,5 +62,31 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ingest_incremental")
 def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table through a stream, each event once."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="packwatch-")
-    return run_to_table(spark, f"{sf_dir}/events.parquet", folder, ["event_id"], "ts")
+    return run_to_table(spark, f"{sf_dir}/events.parquet", shared_folder(spark), ["event_id"], "ts")
+
+
+# A sheet with a series in each row and a month in each column, and one with a row for each series and month.
+_TALL = "SELECT lower(trim(o_orderpriority)) AS series, concat(extract(YEAR FROM o_orderdate), '-', lpad(CAST(extract(MONTH FROM o_orderdate) AS VARCHAR(2)), 2, '0')) AS period, count(*) AS n FROM {ord} WHERE o_orderdate >= DATE '2001-01-01' GROUP BY lower(trim(o_orderpriority)), concat(extract(YEAR FROM o_orderdate), '-', lpad(CAST(extract(MONTH FROM o_orderdate) AS VARCHAR(2)), 2, '0'))"
+
+
+@query("sheet_series", f"SELECT series, CAST(period || '-01' AS DATE) AS period, CAST(n AS DOUBLE) AS value FROM ({_TALL})")
+def sheet_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide sheet read as series, periods and values, whichever way it lies."""
+    tall = spark.sql(_TALL, ord=TABLES["ord"](spark, sf_dir))
+    months = [f"2001-{m:02d}" for m in range(1, 13)]
+    return series_of_sheet(tall.groupBy("series").pivot("period", months).agg(F.first("n")))
+
+
+@query("store_catalog", "SELECT CAST(l_suppkey AS VARCHAR) AS store, CAST(l_partkey AS VARCHAR) AS product_id, arg_max(l_extendedprice, (l_orderkey, l_linenumber)) AS price FROM lineitem WHERE l_partkey > 0 GROUP BY 1, 2")
+def store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed product records of stores, the last of each store and product."""
+    rows = read(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("seq"), F.col("l_suppkey").cast("string").alias("store"), F.when(F.col("l_partkey") > 0, F.col("l_partkey").cast("string")).alias("product_id"), F.col("l_extendedprice").alias("price"))
+    return keep_last(rows, ["store", "product_id"], "seq").drop("seq")
+
+
+@query("older_posts", "SELECT event_id AS id, floor(epoch(ts))::BIGINT AS created_utc FROM events WHERE floor(epoch(ts))::BIGINT < (SELECT quantile_disc(floor(epoch(ts))::BIGINT, 0.5) FROM events) ORDER BY created_utc DESC, id LIMIT 500")
+def older_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five pages of a hundred posts before the middle of the table's time, the newest first."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("created_utc"))
+    middle = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY created_utc)")).first()[0]
+    return backfill(rows, int(middle), page=100, pages=5)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +14,13 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         builder = builder.master(master)
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.ansi.enabled": "true", **conf}
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one, in local mode alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        folder = "file://" + tempfile.mkdtemp(prefix="packwatch-")
+    return folder.rstrip("/")

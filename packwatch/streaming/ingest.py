@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Parts by a hash of the key into which an ingested table is split.
+PARTS = 64
+
+
 def new_files(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
     """A stream of Parquet files, of one or of a folder; the checkpoint remembers which were read."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, which may also match a file
@@ -15,20 +19,26 @@ def new_files(spark: SparkSession, path: str, schema, files_per_batch: int = 100
 def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str]):
     """Appends one row for each key that the target lacks, one batch at a time, until the folder is read.
 
+    The target is kept in PARTS folders by a hash of the key, so a batch reads the keys
+    of the parts that its own rows fall in, and no values.
+
     There is no watermark: rows of any age count, whatever the order of the files.  A batch that is run again writes over its own folder, so a restart adds nothing twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = f"{target}/batch={number}"
-        batch = batch.dropDuplicates(keys)
+        part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+        batch = batch.dropDuplicates(keys).withColumn("part", part)
         try:
-            seen = spark.read.parquet(target).where(F.col("batch") != number).select(*keys)
+            seen = spark.read.parquet(target).where(F.col("batch") != number)
+            met = [r.part for r in batch.select("part").distinct().collect()]  # at most PARTS numbers
+            seen = seen.where(F.col("part").isin(met)).select(*keys)
             batch = batch.join(seen, keys, "left_anti")
         except Exception as error:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
-        batch.write.mode("overwrite").parquet(own)
+        batch.write.mode("overwrite").partitionBy("part").parquet(own)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -44,4 +54,4 @@ def run_to_table(spark: SparkSession, path: str, folder: str, keys: list[str], e
     schema = spark.read.parquet(path).schema
     stream = new_files(spark, path, schema, files_per_batch).withColumn(event_time, F.col(event_time).cast("timestamp"))
     ingest(stream, f"{at}/table", f"{at}/checkpoint", keys).awaitTermination()
-    return spark.read.parquet(f"{at}/table").drop("batch")
+    return spark.read.parquet(f"{at}/table").drop("batch", "part")
