@@ -7,7 +7,7 @@ min_by here, into one shuffle on their key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .base import TABLES, change_events, query, view
 
@@ -65,13 +65,30 @@ WITH score AS ({SCORECARD})
 SELECT brand, products, total_events, shrink_events, total_shrink_pct, round(total_shrink_pct / nullif(shrink_events, 0) - 1e-9, 1) AS avg_shrink_pct,
        row_number() OVER (ORDER BY shrink_events DESC, brand) AS place FROM score WHERE shrink_events > 0""")
 
-view("brand_index", f"""
+_BRAND_INDEX = f"""
 WITH score AS ({SCORECARD}),
 thumb AS (SELECT brand, image_url FROM (SELECT brand, image_url, row_number() OVER (PARTITION BY brand ORDER BY observed_date DESC, event_id) AS r FROM {{pub}} WHERE image_url IS NOT NULL AND NOT is_retracted) t WHERE r = 1),
 worst AS (SELECT brand, min(size_delta_pct) AS worst_pct FROM {{pub}} WHERE NOT is_retracted GROUP BY brand),
 kinds AS (SELECT brand, category FROM (SELECT brand, category, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, category) AS r FROM {{pub}} WHERE NOT is_retracted GROUP BY brand, category) t WHERE r = 1)
 SELECT score.brand, products, total_events, shrink_events, worst_pct, category AS primary_category, image_url AS thumb_url
-FROM score LEFT JOIN thumb ON thumb.brand = score.brand LEFT JOIN worst ON worst.brand = score.brand LEFT JOIN kinds ON kinds.brand = score.brand""")
+FROM score LEFT JOIN thumb ON thumb.brand = score.brand LEFT JOIN worst ON worst.brand = score.brand LEFT JOIN kinds ON kinds.brand = score.brand"""
+
+
+@query("brand_index", _BRAND_INDEX)
+def brand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand's counts, worst change, commonest category and newest picture, from one pass over the events.
+
+    Events are counted by brand, category and product first; both steps behind it read
+    the same exchange of these small rows.
+    """
+    live = TABLES["pub"](spark, sf_dir).where("not is_retracted")
+    newest = F.min(F.when(F.col("image_url").isNotNull(), F.struct((-F.unix_date("observed_date")).alias("d"), "event_id", "image_url")))
+    small = live.groupBy("brand", "category", "entity_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("change_type") == "shrinkflation", 1)).alias("shrinks"), F.min("size_delta_pct").alias("worst"), newest.alias("newest"))
+    totals = small.groupBy("brand").agg(F.countDistinct("entity_id").alias("products"), F.sum("n").alias("total_events"), F.sum("shrinks").alias("shrink_events"), F.min("worst").alias("worst_pct"), F.min("newest").alias("newest"))
+    kinds = small.groupBy("brand", "category").agg(F.sum("n").alias("k")).groupBy("brand").agg(F.min(F.struct((-F.col("k")).alias("minus"), "category")).alias("kind"))
+    out = totals.join(kinds, "brand")
+    return out.select("brand", "products", "total_events", "shrink_events", "worst_pct", F.col("kind.category").alias("primary_category"), F.col("newest.image_url").alias("thumb_url"))
+
 
 view("product_index", """
 SELECT entity_id, brand, product_name, category, count(*) FILTER (WHERE change_type = 'shrinkflation') AS shrink_count, count(*) FILTER (WHERE change_type = 'restoration') AS restoration_count,
@@ -149,8 +166,9 @@ def corporate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manufacturers with their brands' events and three largest brands."""
     events = TABLES["pub"](spark, sf_dir).where("not is_retracted")
     brands = events.groupBy(F.coalesce("manufacturer", "brand").alias("parent"), "brand").agg(F.count("*").alias("n"))
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "brand", "n"))), 1, 3)
-    out = brands.groupBy("parent").agg(F.count("*").alias("brands"), F.sum("n").alias("events"), ranked.alias("top"))
+    place = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("n"), "brand"))
+    first = F.when(F.col("place") <= 3, F.struct("place", "brand", "n"))  # a list takes no nulls, so it holds three at most
+    out = brands.withColumn("place", place).groupBy("parent").agg(F.count("*").alias("brands"), F.sum("n").alias("events"), F.array_sort(F.collect_list(first)).alias("top"))
     top = F.array_join(F.transform("top", lambda x: F.concat_ws(":", x["brand"], x["n"].cast("string"))), ",")
     return out.where("events >= 5").select("parent", "brands", "events", top.alias("top_brands"))
 
