@@ -9,46 +9,56 @@ from .tables import read
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, a similarity of 0.85 or more; doc_id, n_shingles, component_id, kept."""
     out = minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents takes: weights 1, 2, 3 in turn, at most three times a document; doc_id, size, source_size, target, taken."""
     return mixing.mix_sources(read(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).drop("source")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents covered by 50-byte strings of earlier ones; doc_id, n_bytes, n_removed, n_spans, hash of the rest."""
     out = suffix_dedup.duplicates(read(spark, sf_dir, "documents"), window=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside ten-word windows of benchmark items; doc_id, n_words, n_hit, n_items, hash of the items' ids, contaminated."""
     out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, fitted on labels of 1 and unlabelled rows; doc_id, held_out, score, predicted."""
     out = quality_pu.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence statements in all documents; the base's places and labels, all labels and a score."""
     return license_scan.scan(read(spark, sf_dir, "documents")).drop("detections")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' urls; page_id, host, path, rule, verdict, score."""
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of all documents over a public vocabulary."""
     return token_count.token_counts(read(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents by rules and by labelled lines."""
     return quality_rules.judged(read(spark, sf_dir, "documents")).drop("line_labels")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents covered by 20-word passages that stand earlier; doc_id, n_words, n_removed, hash of the rest."""
     out = substring_dedup.repeats(read(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
