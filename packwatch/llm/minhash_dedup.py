@@ -17,8 +17,11 @@ counted by comparing the two signatures, which stand for all the lists it skips.
 Long lists are cut into blocks, each pair of blocks is one bounded task, and
 only links that join parts of a list are passed on; so groups of thousands of
 variants yield no table of all their pairs.  The resulting coarse groups hold
-every pair that can be linked; inside them the links are confirmed on full
-shingle sets, again block by block, and components are built from these.
+every pair that can be linked.  Their full shingle sets are packed once, and links
+are confirmed on these in two steps: first each class with one class that it
+collided with, which settles most of a group; then, in the groups that are still
+in several parts, blocks of classes with blocks of other parts.  Classes of one
+part are not compared again.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .groups import components, spanning, whole_groups
-from .kernels import U64, Words, chunks, hashed_words, mix, utf8
+from .kernels import U64, Words, hashed_words, mix
 from .tables import Kept
 
 COORDINATES, MISS = 64, 1e-6
@@ -129,33 +132,44 @@ def _collide(batches, least: int):
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
 
-def _confirmed(batches, size: int, percent: int):
-    """Links between classes of one coarse group (or pair of blocks) on their full sets."""
-    for table, bounds in whole_groups(batches, "key", 256):
-        sets: list[np.ndarray] = []
-        own: list[np.ndarray] = []
-        for i, j, _, _, w in hashed_words(table["text"], lower=True):
+def _packed(batches, size: int):
+    """The full set of each row's text, sorted, where it is the class's own; another row may have the same key."""
+    for batch in batches:
+        for i, j, _, _, w in hashed_words(batch.column("text"), lower=True):
             text, h = shingle_sets(w, size)
             cut = np.searchsorted(text, np.arange(j - i + 1))
-            first = cut[:-1][np.diff(cut) > 0]
-            found = np.zeros((2, j - i), dtype=np.int64)
-            found[:, np.diff(cut) > 0] = _nodes(h, first, np.diff(cut)[np.diff(cut) > 0])
-            own.append(found)
-            sets += [h[cut[k] : cut[k + 1]] for k in range(j - i)]
-        ids, said = table["node"].to_numpy(), np.concatenate(own, axis=1)
-        fits = (said[0] == table["hash"].to_numpy()) & (said[1] == table["check"].to_numpy())
+            some = np.flatnonzero(np.diff(cut))
+            node, check = _nodes(h, cut[some], np.diff(cut)[some])
+            part = batch.slice(i, j - i).take(pa.array(some))
+            fits = np.flatnonzero((node == part.column("hash").to_numpy()) & (check == part.column("check").to_numpy()))
+            part, own = part.take(pa.array(fits)), some[fits]
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), pa.array([h[cut[k] : cut[k + 1]].tobytes() for k in own], pa.binary())], ["node", "root", "set"])
+
+
+def _met(batches, percent: int):
+    """Pairs of classes whose sets are similar enough, one pair a row."""
+    for batch in batches:
+        a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("set_a", "set_b"))
+        both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], dtype=np.int64)
+        either = np.array([len(x) + len(y) for x, y in zip(a, b)], dtype=np.int64) - both
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(100 * both >= percent * either))
+
+
+def _confirmed(batches, percent: int):
+    """Links between classes of two blocks on their full sets."""
+    for table, bounds in whole_groups(batches, "key", 256):
+        ids, sets = table["node"].to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in table["set"]]
         a, b = [], []
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            rows = [r for r in range(lo, hi) if fits[r]]  # another row may have the same key
-            rows = [rows[k] for k in np.unique(ids[rows], return_index=True)[1]] if rows else rows
-            if len(rows) < 2:
+            if hi - lo < 2:
                 continue
-            n = np.array([len(sets[r]) for r in rows])
-            both = _intersections([sets[r] for r in rows])
+            own = sets[lo:hi]
+            n = np.array([len(s) for s in own])
+            both = _intersections(own)
             linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-            for i, j in spanning(lambda i: i + 1 + np.flatnonzero(linked[i, i + 1 :]), len(rows)):
-                a.append(ids[rows[i]])
-                b.append(ids[rows[j]])
+            for i, j in spanning(lambda i: i + 1 + np.flatnonzero(linked[i, i + 1 :]), hi - lo):
+                a.append(ids[lo + i])
+                b.append(ids[lo + j])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -191,6 +205,30 @@ def _block_pairs(frame: DataFrame, count: str, most: int, *group: str) -> DataFr
     )
 
 
+def _between_parts(sets: DataFrame, sure: DataFrame) -> DataFrame:
+    """key, node, set: the classes of groups in several parts, once for each pair of blocks that has two parts.
+
+    A part of TEXT_BLOCK classes or more is cut into blocks of its own, smaller ones
+    are dealt whole to shared blocks; two blocks of one part don't meet.
+    """
+    parts = sets.select("node", "root").join(sure.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = parts.groupBy("root", "part").agg(F.count("*").alias("size"))
+    small = F.when(F.col("size") < TEXT_BLOCK, F.col("size")).otherwise(0)
+    groups = sizes.groupBy("root").agg(F.count("*").alias("parts"), F.ceil(F.sum(small) / TEXT_BLOCK).cast("int").alias("shared")).where("parts > 1").drop("parts")
+    placed = parts.join(sizes, ["root", "part"]).join(groups, "root")
+    large = F.col("size") >= TEXT_BLOCK
+    number = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TEXT_BLOCK))).otherwise(F.pmod(F.xxhash64("part"), F.greatest("shared", F.lit(1)))).cast("int")
+    placed = placed.select("node", "root", F.when(large, F.col("part")).alias("whole"), number.alias("number"))
+    blocks = placed.select("root", "whole", "number").distinct()
+    other = blocks.select("root", F.col("whole").alias("other_whole"), F.col("number").alias("other_number"))
+    label = lambda whole, number: F.struct(F.coalesce(whole, F.lit(0)).alias("w"), F.col(number).alias("n"))
+    apart = (label(F.col("whole"), "number") <= label(F.col("other_whole"), "other_number")) & (F.col("whole").isNull() | F.col("other_whole").isNull() | (F.col("whole") != F.col("other_whole")))
+    pairs = blocks.join(other, "root").where(apart).withColumn("key", F.xxhash64("root", "whole", "number", "other_whole", "other_number"))
+    sides = pairs.select("root", "whole", "number", "key").union(pairs.select("root", "other_whole", "other_number", "key")).distinct()
+    same = (placed["root"] == sides["root"]) & placed["whole"].eqNullSafe(sides["whole"]) & (placed["number"] == sides["number"])
+    return placed.join(sides, same).select("key", placed["node"]).join(sets.select("node", "set"), "node")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of documents linked by near-equal sets of word shingles.
 
@@ -230,13 +268,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
         .join(classes.select("node", "sig"), "node")
     )
     met = _block_pairs(prefix, "count", LIST_BLOCK, "token").select("key", "node", "sig")
-    collided = met.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _collide(b, least), "a long, b long")
+    collided = kept.keep(met.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _collide(b, least), "a long, b long"), "collided")
     coarse = kept.keep(components(collided, kept, "coarse"), "groups")
 
-    sized = coarse.join(coarse.groupBy("root").agg(F.count("*").alias("count")), "root")
-    members = _block_pairs(sized, "count", TEXT_BLOCK, "root").join(classes.select("node", "row_key", "hash", "check"), "node").select("key", "node", "row_key", "hash", "check")
-    texts = keyed.select("row_key", "text").join(members, "row_key").select("key", "node", "hash", "check", "text")
-    links = texts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: _confirmed(b, shingle, percent), "a long, b long")
+    members = coarse.join(classes.select("node", "row_key", "hash", "check"), "node")
+    packed = keyed.select("row_key", "text").join(members, "row_key").select("node", "root", "hash", "check", "text")
+    sets = kept.keep(packed.mapInArrow(lambda b: _packed(b, shingle), "node long, root long, set binary").dropDuplicates(["node"]), "sets")
+    first = collided.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a"))
+    own = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
+    near = kept.keep(first.join(own("a"), "a").join(own("b"), "b").mapInArrow(lambda b: _met(b, percent), "a long, b long"), "near")
+    between = _between_parts(sets, kept.keep(components(near, kept, "sure"), "parts"))
+    links = near.union(between.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: _confirmed(b, percent), "a long, b long"))
     roots = components(links, kept, "exact")
 
     named = classes.select("node", "doc_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "doc_id")
