@@ -77,9 +77,9 @@ def sheet_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series_of_sheet(tall.groupBy("series").pivot("period", months).agg(F.first("n")))
 
 
-@query("store_catalog", "SELECT CAST(l_suppkey AS VARCHAR) AS store, CAST(l_partkey AS VARCHAR) AS product_id, arg_max(l_extendedprice, (l_orderkey, l_linenumber)) AS price FROM lineitem WHERE l_partkey > 0 GROUP BY 1, 2")
+@query("store_catalog", "SELECT CAST(l_suppkey AS VARCHAR) AS store, CAST(l_partkey AS VARCHAR) AS product_id, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS price FROM lineitem WHERE l_partkey > 0 GROUP BY 1, 2")
 def store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed product records of stores, the last of each store and product."""
+    """Landed product records of stores, the last of each store and product; of records of one place in the order the dearest."""
     rows = read(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("seq"), F.col("l_suppkey").cast("string").alias("store"), F.when(F.col("l_partkey") > 0, F.col("l_partkey").cast("string")).alias("product_id"), F.col("l_extendedprice").alias("price"))
     return keep_last(rows, ["store", "product_id"], "seq").drop("seq")
 
