@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, license_scan, minhash_dedup, mixing, quality_pu, quality_rules, substring_dedup, suffix_dedup, token_count, url_filter
+from . import decontaminate, license_scan, minhash_dedup, mixing, prefix_trie, quality_pu, quality_rules, substring_dedup, suffix_dedup, token_count, toxicity, url_filter, vector_codes
 from .tables import read
 
 
@@ -63,6 +63,22 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, fitted on labels that aren't held out; doc_id, held_out, score, predicted."""
+    out = toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors after four rounds, with errors by vector and by label, and the hash of the codebooks."""
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"), rounds=4).drop("label")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations, with members, children, leaves, saved bytes and the hash of the ends."""
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_mixing": op2_mixing,
@@ -74,6 +90,9 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
+    "op11_toxicity": op11_toxicity,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -82,6 +101,28 @@ _ALNUM = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFG
 
 _LOWER = _WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Every part against every entry, in rounds; smallest distance first, then the lower index."""
+    text = r"""
+WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, x[p * (len(x) // 4) + 1:(p + 1) * (len(x) // 4)] AS v FROM x, (SELECT unnest(range(4)) AS p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM x ORDER BY vec_id LIMIT 256),
+cb0 AS MATERIALIZED (SELECT p, e, v AS c FROM parts JOIN first USING (vec_id))"""
+    for k in range(rounds + 1):
+        text += rf""",
+near{k} AS MATERIALIZED (SELECT vec_id, p, v, min(256 * list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT + e) AS m FROM parts JOIN cb{k} USING (p) GROUP BY vec_id, p, v)"""
+        if k < rounds:
+            text += rf""",
+sum{k} AS (SELECT p, e, i, sum(t)::BIGINT AS s, count(*) AS n FROM (SELECT p, m % 256 AS e, unnest(v) AS t, unnest(range(1, len(v) + 1)) AS i FROM near{k}) GROUP BY p, e, i),
+mean{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sum{k} GROUP BY p, e),
+cb{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean{k}.c, cb{k}.c) AS c FROM cb{k} LEFT JOIN mean{k} USING (p, e))"""
+    return text + rf""",
+hash AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM cb{rounds}),
+codes AS (SELECT vec_id, string_agg(lower(printf('%02x', m % 256)), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM codes JOIN x USING (vec_id), hash"""
+
+
 ORACLE_SQL = {
     "op1_minhash_dedup": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {_LOWER} AS w FROM documents),
@@ -125,4 +166,23 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n
          FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) a ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+        lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, length(role) || ':' || role || text AS said, strlen(text) AS bytes FROM r),
+n AS (SELECT c.conv_id, count(depth) AS len FROM c LEFT JOIN turns USING (conv_id) GROUP BY 1),
+paths AS (SELECT conv_id, 0 AS depth, '' AS path, 0 AS bytes FROM c
+          UNION ALL SELECT conv_id, depth, string_agg(sha256(said), '') OVER (PARTITION BY conv_id ORDER BY depth), bytes FROM turns),
+m AS (SELECT p.conv_id, p.depth, len, min(p.conv_id) OVER w AS node, count(*) OVER w AS k, bytes FROM paths p JOIN n USING (conv_id) WINDOW w AS (PARTITION BY p.depth, path)),
+nodes AS (SELECT node, depth, any_value(k) AS k, any_value(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends FROM m GROUP BY node, depth),
+up AS (SELECT x.node, x.depth, y.node AS parent FROM nodes x LEFT JOIN m y ON y.conv_id = x.node AND y.depth = x.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n FROM up WHERE depth > 0 GROUP BY 1, 2),
+below AS (SELECT a.node, a.depth, nodes.node AS d, nodes.depth AS e, (nodes.k - 1) * nodes.bytes AS saved, (kids.n IS NULL)::BIGINT AS leaf
+          FROM nodes JOIN m a ON a.conv_id = nodes.node AND a.depth <= nodes.depth LEFT JOIN kids ON kids.node = nodes.node AND kids.depth = nodes.depth),
+sums AS (SELECT node, depth, sum(saved)::BIGINT AS saved, sum(leaf)::BIGINT AS leaves FROM below GROUP BY 1, 2)
+SELECT nodes.node AS conv_id, nodes.depth::BIGINT AS depth, parent AS parent_conv_id, k AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, ends AS ends_sha256
+FROM nodes JOIN up USING (node, depth) JOIN sums USING (node, depth) LEFT JOIN kids USING (node, depth)""",
 }
