@@ -247,3 +247,19 @@ def parse_period(text: Column) -> Column:
     name_first = parts(rf"(?i)^({MONTH_NAMES})[-\s]+(\d{{4}}|\d{{2}})$", 2, 1)
     year_first = parts(rf"(?i)^(\d{{4}})\s+({MONTH_NAMES})$", 1, 2)
     return F.trunc(F.coalesce(serial, dash, coded, name_first, year_first), "month")
+
+
+def canonical_json(payload: Column) -> Column:
+    """A JSON text with the keys of every object in order and one space after each comma and colon; null where it isn't JSON.
+
+    Key order is that of Spark's variant objects: by code unit.  Of a repeated key the
+    text isn't valid.  Characters beyond ASCII stay as they are.
+    """
+    compact = F.to_json(F.try_parse_json(payload))
+    tokens = F.regexp_extract_all(compact, F.lit(r'"(?:[^"\\]|\\.)*"|[,:]|[^",:]+'), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(t)), "")
+
+
+def content_hash(payload: Column) -> Column:
+    """SHA-256 of the canonical form of a JSON payload, or of the text itself where it isn't JSON; null for null."""
+    return F.sha2(F.coalesce(canonical_json(payload), payload), 256)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import slugify
+from ..functions.text import fuzzy_name_key, slugify
 
 
 def flag(rows: DataFrame, kind: str, target: Column, severity: Column, detail: Column) -> DataFrame:
@@ -104,8 +104,8 @@ def merge_repeats(events: DataFrame, keys: list[str], date: str, order: str) ->
     rows = events.dropna(subset=keys)
     at = F.struct(date, order)
     entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(date, order, F.coalesce("evidence", F.array().cast("array<string>")).alias("own")))), lambda x: x["own"]))
-    out = rows.groupBy(*keys).agg(F.min(at).alias("first"), F.count("*").alias("merged"), F.sum(F.coalesce("evidence_count", F.lit(1))).alias("counts"), entries.alias("evidence"))
-    return out.select(*keys, F.col(f"first.{order}").alias(order), F.col(f"first.{date}").alias(date), "merged", F.greatest(F.size("evidence").cast("long"), "counts").alias("evidence_count"), "evidence")
+    out = rows.groupBy(*keys).agg(F.min(at).alias("first"), F.count("*").alias("merged"), F.sum(F.coalesce("evidence_count", F.lit(1))).alias("counts"), F.sum(F.coalesce(F.size("evidence"), F.lit(0))).alias("entries"), entries.alias("evidence"))
+    return out.select(*keys, F.col(f"first.{order}").alias(order), F.col(f"first.{date}").alias(date), "merged", F.greatest("entries", "counts").alias("evidence_count"), "evidence")
 
 
 def strict_duplicates(products: DataFrame) -> DataFrame:
@@ -115,6 +115,19 @@ def strict_duplicates(products: DataFrame) -> DataFrame:
     return key.join(target, ["b", "key"]).where(F.col("entity_id") != F.col("into")).select("entity_id", "into", F.col("n").alias("group_size"))
 
 
+def same_change_groups(events: DataFrame) -> DataFrame:
+    """Two or more products of one brand with a live event of the same sizes; a product is in a group for each pair of its sizes.
+
+    The target is the product with the most live events, then the smallest id;
+    names_match says whether two of them agree in the words of their names.
+    """
+    live = events.where("not is_retracted and size_before is not null and size_after is not null")
+    counts = live.groupBy("entity_id").agg(F.count("*").alias("events"))
+    members = live.select("brand", "size_before", "size_after", "entity_id", fuzzy_name_key(F.col("product_name")).alias("key")).distinct().join(counts, "entity_id")
+    groups = members.groupBy("brand", "size_before", "size_after").agg(F.countDistinct("entity_id").alias("products"), F.min_by("entity_id", F.struct((-F.col("events")).alias("minus"), "entity_id")).alias("target"), (F.countDistinct("key") < F.count("*")).alias("names_match"))
+    return groups.where("products >= 2")
+
+
 def fuzzy_duplicates(products: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Products of one brand whose names are alike and differ in no word of over two letters.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def month_spine(spark: SparkSession, last: str, months: int) -> DataFrame:
@@ -36,3 +36,15 @@ def run_summary(rows: DataFrame, key: str, order: str, value: str, tolerance: fl
         return F.struct((kept["steps"] + F.when(new, 1).otherwise(0)).alias("steps"), F.coalesce(kept["first"], v).alias("first"), F.when(new, v).otherwise(kept["last"]).alias("last"))
 
     return rows.where(F.col(value).isNotNull()).groupBy(key).agg(sorted_.alias("values")).select(key, F.aggregate("values", state, fold).alias("r")).select(key, "r.*")
+
+
+def spaced(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each key: the first, the last and evenly spaced ones between; all where there are no more; of one only the first."""
+    window = Window.partitionBy(key)
+    placed = rows.withColumns({"_i": F.row_number().over(window.orderBy(order)) - 1, "_n": F.count("*").over(window)})
+    if most < 2:
+        return placed.where(F.col("_i") < max(most, 0)).drop("_i", "_n")
+    step = (F.col("_n") - 1) / F.lit(most - 1)
+    nearest = F.floor(F.col("_i") / step + 0.5)  # of the places round(step * k) the one next to this row
+    taken = (F.col("_n") <= most) | (F.floor(step * nearest + 0.5) == F.col("_i"))
+    return placed.where(taken).drop("_i", "_n")

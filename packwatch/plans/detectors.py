@@ -113,11 +113,11 @@ def nutrition_long_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("skimp_widest_span", f"""
-WITH y AS ({_YEARLY}), s AS (SELECT upc, upc % 500 AS entity, min(y) AS first_year, max(y) AS last_year, arg_min(protein, y) AS first_protein, arg_max(protein, y) AS last_protein FROM y GROUP BY upc)
+WITH y AS ({_YEARLY}), s AS (SELECT upc, upc // 4 AS entity, min(y) AS first_year, max(y) AS last_year, arg_min(protein, y) AS first_protein, arg_max(protein, y) AS last_protein FROM y GROUP BY upc)
 SELECT entity, upc, first_year, last_year, first_protein, last_protein FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY last_year - first_year DESC, upc) AS r FROM s) WHERE r = 1""")
 def skimp_widest_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the codes of a product the one observed over the longest time, with its first and last figure."""
-    spans = _yearly(spark, sf_dir).groupBy("upc").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"), F.min_by("protein", "y").alias("first_protein"), F.max_by("protein", "y").alias("last_protein")).withColumn("entity", F.col("upc") % 500)
+    spans = _yearly(spark, sf_dir).groupBy("upc").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"), F.min_by("protein", "y").alias("first_protein"), F.max_by("protein", "y").alias("last_protein")).withColumn("entity", F.expr("upc div 4"))
     widest = F.min(F.struct((F.col("first_year") - F.col("last_year")).alias("minus"), "upc", "first_year", "last_year", "first_protein", "last_protein"))
     return spans.groupBy("entity").agg(widest.alias("r")).select("entity", "r.upc", "r.first_year", "r.last_year", "r.first_protein", "r.last_protein")
 
@@ -165,17 +165,17 @@ def off_latest_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("kroger_changes", f"""
-WITH o AS (SELECT upc, CAST(store % 2 AS VARCHAR) AS store, observed_date, CASE WHEN store % 8 = 0 THEN ceil(size * 1000 / 25) / 40 ELSE ceil(size / 25) * 25 END AS size, unit, price FROM {{obu}} WHERE unit IN ('kg', 'g', 'box') AND observed_date >= DATE '1996-01-01'),
-k AS (SELECT *, price / size AS ppu, CASE WHEN size IS NOT NULL AND unit IN ('kg', 'g') THEN round({_BASE}, 4) END AS k, row_number() OVER (PARTITION BY upc, store ORDER BY observed_date) AS n FROM o),
-w AS (SELECT *, lag(k) OVER a AS b1, lag(k, 2) OVER a AS b2, lag(k, 3) OVER a AS b3, lead(k) OVER a AS nxt, lag(size) OVER a AS s1, lag(unit) OVER a AS u1, lag(price) OVER a AS p1, lag(ppu) OVER a AS q1, lag(observed_date) OVER a AS d1 FROM k WINDOW a AS (PARTITION BY upc, store ORDER BY n)),
-c AS (SELECT *, CASE WHEN (k - b1) / b1 * 100 <= -2 THEN 'size_decrease' WHEN q1 > 0 AND ppu <> 0 AND (ppu - q1) / q1 * 100 >= 5 THEN 'price_hike' END AS change_type FROM w WHERE b1 = b2 AND b1 = b3 AND b1 <> k AND b1 > 0 AND (nxt IS NULL OR nxt = k)
+WITH o AS (SELECT upc, CAST(store % 2 AS VARCHAR) AS store, observed_date, CASE store % 8 WHEN 0 THEN ceil(size * 1000 / 25) / 40 WHEN 1 THEN ceil(size * 16 / 25) * 25 / 16 ELSE ceil(size / 25) * 25 END AS size, unit, price FROM {{obu}} WHERE observed_date >= DATE '1996-01-01'),
+k AS (SELECT *, price / size AS ppu, CASE WHEN size IS NOT NULL AND unit <> 'box' THEN round({_BASE}, 4) END AS v, CASE WHEN size IS NOT NULL AND unit <> 'box' THEN concat(round({_BASE}, 4), {_BASE_UNIT}) END AS k, {_BASE_UNIT} AS bu, row_number() OVER (PARTITION BY upc, store ORDER BY observed_date) AS n FROM o),
+w AS (SELECT *, lag(k) OVER a AS b1, lag(k, 2) OVER a AS b2, lag(k, 3) OVER a AS b3, lead(k) OVER a AS nxt, lag(v) OVER a AS v1, lag(bu) OVER a AS bu1, lag(size) OVER a AS s1, lag(unit) OVER a AS u1, lag(price) OVER a AS p1, lag(ppu) OVER a AS q1, lag(observed_date) OVER a AS d1 FROM k WINDOW a AS (PARTITION BY upc, store ORDER BY n)),
+c AS (SELECT *, CASE WHEN (v - v1) / v1 * 100 <= -2 THEN 'size_decrease' WHEN q1 > 0 AND ppu <> 0 AND (ppu - q1) / q1 * 100 >= 5 THEN 'price_hike' END AS change_type FROM w WHERE b1 = b2 AND b1 = b3 AND b1 <> k AND v1 > 0 AND bu = bu1 AND (nxt IS NULL OR nxt = k)
   AND NOT EXISTS (SELECT 1 FROM k x WHERE x.upc = w.upc AND x.store = w.store AND x.n > w.n AND x.k = w.b1) AND NOT EXISTS (SELECT 1 FROM k x WHERE x.upc = w.upc AND x.store = w.store AND x.n < w.n AND x.k = w.k))
 SELECT upc, d1 AS old_date, observed_date AS new_date, count(DISTINCT store) AS store_count, min(store) AS first_store, arg_min(change_type, store) AS change_type, arg_min(s1, store) AS old_size, arg_min(u1, store) AS old_unit, arg_min(size, store) AS new_size, arg_min(unit, store) AS new_unit, arg_min(p1, store) AS old_price, arg_min(price, store) AS new_price
 FROM c WHERE change_type IS NOT NULL GROUP BY upc, d1, observed_date""")
 def kroger_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-way changes within two chains of stores, equal ones of both counted as one; sizes in steps, so that they hold for a while."""
-    rows = TABLES["obu"](spark, sf_dir).where("unit in ('kg', 'g', 'box')")
-    size = F.when(F.col("store") % 8 == 0, F.ceil(F.col("size") * 1000 / 25) / 40).otherwise((F.ceil(F.col("size") / 25) * 25).cast("double"))
+    rows, unit = TABLES["obu"](spark, sf_dir), F.col("store") % 8
+    size = F.when(unit == 0, F.ceil(F.col("size") * 1000 / 25) / 40).when(unit == 1, F.ceil(F.col("size") * 16 / 25) * 25 / 16).otherwise((F.ceil(F.col("size") / 25) * 25).cast("double"))
     rows = rows.withColumn("size", size.cast("double")).withColumn("store", (F.col("store") % 2).cast("string")).withColumn("ppu", F.col("price") / F.col("size"))
     return changes.store_changes(rows, "upc", "store", "observed_date", "size", "unit", "price", "ppu", since="1996-01-01")
 
@@ -250,13 +250,13 @@ def skimp_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracked.join(forms, "code").select("entity_id", *found.columns, skimp_severity(F.col("skimp_score")).alias("severity"))
 
 
-@query("skimp_overlay", f"""WITH y AS (SELECT *, upc % 500 AS entity FROM ({_TEN}) WHERE protein IS NOT NULL),
+@query("skimp_overlay", f"""WITH y AS (SELECT *, upc // 4 AS entity FROM ({_TEN}) WHERE protein IS NOT NULL),
 s AS (SELECT entity, upc, min(y) AS a, max(y) AS z, count(*) AS releases_compared FROM y GROUP BY entity, upc HAVING max(y) > min(y)), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY entity ORDER BY z - a DESC, upc) = 1),
 e AS (SELECT y.* FROM y JOIN b ON b.upc = y.upc AND b.a = y.y), l AS (SELECT y.* FROM y JOIN b ON b.upc = y.upc AND b.z = y.y), d AS ({_deltas(OVERLAY, "e", "l", "entity")})
 SELECT d.*, b.upc, a AS before_year, z AS after_year, releases_compared FROM d JOIN b ON b.entity = d.entity""")
 def skimp_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a product's codes the one seen over the longest time, with what worsened of seven nutrients."""
-    rows = _ten(spark, sf_dir).where("protein is not null").withColumn("entity", F.col("upc") % 500)
+    rows = _ten(spark, sf_dir).where("protein is not null").withColumn("entity", F.expr("upc div 4"))
     figures = F.struct(*OVERLAY)
     spans = rows.groupBy("entity", "upc").agg(F.min("y").alias("before_year"), F.max("y").alias("after_year"), F.count("*").alias("releases_compared"), F.min_by(figures, "y").alias("first"), F.max_by(figures, "y").alias("last")).where("after_year > before_year")
     best = F.min(F.struct((F.col("before_year") - F.col("after_year")).alias("minus"), "upc", "before_year", "after_year", "releases_compared", "first", "last"))

@@ -177,7 +177,7 @@ def swept_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _swept(spark, sf_dir)[1].select("claim_id", "status", "entity_id")
 
 
-@query("events_without_image", f"WITH {_LINKS} SELECT event_id FROM {{pub}} WHERE NOT is_retracted AND event_id NOT IN (SELECT event_id FROM links JOIN {{claims}} USING (claim_id) WHERE source_type IN ('1', '2'))")
+@query("events_without_image", f"WITH {_LINKS} SELECT event_id FROM {{pub}} p ANTI JOIN (SELECT event_id FROM links JOIN {{claims}} USING (claim_id) WHERE source_type IN ('1', '2')) s USING (event_id) WHERE NOT is_retracted")
 def events_without_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live events none of whose claims shows a picture."""
     events, claims = _events(spark, sf_dir), TABLES["claims"](spark, sf_dir)

@@ -79,16 +79,12 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(best, "slug").where(F.col("entity_id") != F.col("best.entity_id")).select(F.col("entity_id").alias("source"), F.col("best.entity_id").alias("target"), F.col("events").alias("source_events"))
 
 
-@query("fuzzy_duplicate_groups", """WITH s AS (SELECT brand, entity_id, product_name, string_agg(DISTINCT concat(CAST(size_before AS INT), '>', CAST(size_after AS INT)), ',' ORDER BY concat(CAST(size_before AS INT), '>', CAST(size_after AS INT))) AS signature
-  FROM {pub} WHERE NOT is_retracted AND observed_date >= DATE '2001-07-01' GROUP BY brand, entity_id, product_name)
-SELECT brand, signature, count(*) AS products, min(entity_id) AS target, count(DISTINCT product_name) = 1 AS names_match FROM s GROUP BY brand, signature HAVING count(*) >= 2""")
+@query("fuzzy_duplicate_groups", """WITH p AS (SELECT entity_id, brand, product_name, size_before, size_after, count(*) OVER (PARTITION BY entity_id) AS events, array_to_string(list_sort(string_split(lower(product_name), ' ')), ' ') AS k FROM {pub} WHERE NOT is_retracted),
+m AS (SELECT DISTINCT brand, size_before, size_after, entity_id, events, k FROM p)
+SELECT brand, size_before, size_after, count(*) AS products, arg_min(entity_id, (-events, entity_id)) AS target, count(DISTINCT k) < count(*) AS names_match FROM m GROUP BY ALL HAVING count(*) >= 2""")
 def fuzzy_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products of one brand with the same changes of size of late."""
-    live = TABLES["pub"](spark, sf_dir).where("not is_retracted and observed_date >= date '2001-07-01'")
-    change = F.concat_ws(">", F.col("size_before").cast("int").cast("string"), F.col("size_after").cast("int").cast("string"))
-    signed = live.groupBy("brand", "entity_id", "product_name").agg(F.array_join(F.array_sort(F.collect_set(change)), ",").alias("signature"))
-    groups = signed.groupBy("brand", "signature").agg(F.count("*").alias("products"), F.min("entity_id").alias("target"), (F.countDistinct("product_name") == 1).alias("names_match"))
-    return groups.where("products >= 2")
+    """Products of one brand that had a change of the same sizes, the one with the most events as target, and whether two names are alike."""
+    return Q.same_change_groups(TABLES["pub"](spark, sf_dir))
 
 
 @query("claim_groups", """SELECT lower(p_brand) AS brand, array_to_string(list_sort(string_split(lower(p_name), ' ')), ' ') AS name_key, concat(CAST(old_size AS INT), size_unit, '→', CAST(new_size AS INT), size_unit) AS bucket, count(*) AS n, min(confidence) AS least, max(confidence) AS most, count(DISTINCT source_type) AS kinds
@@ -106,7 +102,7 @@ FLAG_SQL = {
     "dq_collision": """SELECT 'fuzzy_brand_collision' AS flag_kind, CAST(entity_id AS VARCHAR) AS target, 'low' AS severity, CAST(first AS VARCHAR) AS detail FROM (SELECT entity_id, min(entity_id) OVER w AS first, count(*) OVER w AS n FROM {ent} WINDOW w AS (PARTITION BY regexp_replace(lower(brand), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(name), '[^a-z0-9]+', '', 'g'))) WHERE n > 1 AND entity_id <> first""",
     "dq_size_outlier": """SELECT 'size_outlier' AS flag_kind, event_id AS target, CASE WHEN size_after / size_before < 0.1 OR size_after / size_before > 5 THEN 'high' ELSE 'med' END AS severity, CAST(round(size_after / size_before + 1e-9, 3) AS VARCHAR) AS detail FROM {pub} WHERE size_after / size_before < 0.5 OR size_after / size_before > 2""",
     "dq_sku_mashup": """SELECT 'sku_mashup' AS flag_kind, CAST(entity_id AS VARCHAR) AS target, CASE WHEN r >= 10 THEN 'high' ELSE 'med' END AS severity, CAST(round(r + 1e-9, 2) AS VARCHAR) AS detail FROM (SELECT entity_id, max(greatest(size_before, size_after)) / min(least(size_before, size_after)) AS r FROM {pub} GROUP BY entity_id) WHERE r >= 3""",
-    "dq_mixed_units": """SELECT 'mixed_units' AS flag_kind, CAST(g AS VARCHAR) AS target, 'low' AS severity, unit AS detail FROM (SELECT g, size_unit AS unit, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, size_unit) AS r, count(*) OVER (PARTITION BY g) AS units FROM (SELECT entity_id % 99 AS g, size_unit FROM {claims}) GROUP BY g, size_unit) WHERE r = 1 AND units > 1""",
+    "dq_mixed_units": """SELECT 'mixed_units' AS flag_kind, CAST(g AS VARCHAR) AS target, 'low' AS severity, unit AS detail FROM (SELECT g, size_unit AS unit, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, size_unit) AS r, count(*) OVER (PARTITION BY g) AS units FROM (SELECT entity_id // 2 AS g, size_unit FROM {claims}) GROUP BY g, size_unit) WHERE r = 1 AND units > 1""",
     "dq_stuck": f"""SELECT 'stuck_approved_claim' AS flag_kind, CAST(claim_id AS VARCHAR) AS target, 'med' AS severity, CAST(DATE '{AS_OF}' - extracted_date AS VARCHAR) AS detail FROM {{claims}} WHERE status = 'pending' AND DATE '{AS_OF}' - extracted_date > 7""",
 }
 FLAGS = {
@@ -114,7 +110,7 @@ FLAGS = {
     "dq_collision": lambda s, d: Q.brand_collision(TABLES["ent"](s, d)),
     "dq_size_outlier": lambda s, d: Q.size_outlier(TABLES["pub"](s, d)),
     "dq_sku_mashup": lambda s, d: Q.sku_mashup(TABLES["pub"](s, d)),
-    "dq_mixed_units": lambda s, d: Q.mixed_units(TABLES["claims"](s, d).withColumn("entity_id", F.col("entity_id") % 99)),
+    "dq_mixed_units": lambda s, d: Q.mixed_units(TABLES["claims"](s, d).withColumn("entity_id", F.expr("entity_id div 2"))),
     "dq_stuck": lambda s, d: Q.stuck(TABLES["claims"](s, d), AS_OF),
 }
 for _name, _build in FLAGS.items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.series import month_spine, run_summary, year_over_year
+from ..operators.series import month_spine, run_summary, spaced, year_over_year
 from .base import TABLES, query, view
 from .views import AS_OF
 
@@ -105,7 +105,8 @@ def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("upc", "steps", F.col("first").alias("first_size"), F.col("last").alias("last_size"), F.round(F.try_divide(F.col("last") - F.col("first"), F.col("first")) * 100, 1).alias("cumulative_pct"))
 
 
-@query("spaced_snapshots", "SELECT upc, arg_min(observed_date, observed_date) AS first_day, y FROM (SELECT upc, observed_date, extract(year FROM observed_date)::INT AS y FROM {obs}) GROUP BY upc, y")
+@query("spaced_snapshots", """WITH s AS (SELECT upc, observed_date, size, row_number() OVER (PARTITION BY upc ORDER BY observed_date) - 1 AS i, count(*) OVER (PARTITION BY upc) AS n FROM {obs})
+SELECT upc, observed_date, size FROM s WHERE n <= 6 OR list_contains(list_transform(range(6), lambda k: CAST(floor((n - 1) / 5 * k + 0.5) AS BIGINT)), i)""")
 def spaced_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One snapshot of a product a year: the first."""
-    return TABLES["obs"](spark, sf_dir).groupBy("upc", F.year("observed_date").alias("y")).agg(F.min("observed_date").alias("first_day"))
+    """At most six snapshots of a product: the oldest, the newest and four evenly spaced between."""
+    return spaced(TABLES["obs"](spark, sf_dir).select("upc", "observed_date", "size"), "upc", "observed_date", 6)

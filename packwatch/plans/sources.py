@@ -13,12 +13,12 @@ from .base import TABLES, query, read, view
 view("trend_monthly", "SELECT CAST(date_trunc('month', captured_at) AS DATE) AS month, source_type AS keyword, round(avg(value) + 1e-6, 2) AS value, count(*) AS n FROM {raw} GROUP BY CAST(date_trunc('month', captured_at) AS DATE), source_type")
 
 
-@query("full_outer_merge", """WITH a AS (SELECT lower(trim(o_orderpriority)) AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000 GROUP BY 1, 2),
-b AS (SELECT lower(trim(o_orderpriority)) AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, round(avg(o_totalprice) + 1e-6, 2) AS value FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000 GROUP BY 1, 2)
+@query("full_outer_merge", """WITH a AS (SELECT lower(trim(o_orderpriority)) AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+b AS (SELECT lower(trim(o_orderpriority)) AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, round(avg(o_totalprice) + 1e-6, 2) AS value FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2)
 SELECT coalesce(a.series, b.series) AS series, coalesce(a.period, b.period) AS period, n, value FROM a FULL JOIN b ON a.series = b.series AND a.period = b.period""")
 def full_outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two workbooks of a series, merged by its name and month."""
-    orders = read(spark, sf_dir, "orders").where("o_totalprice > 400000").withColumn("series", F.lower(F.trim("o_orderpriority"))).withColumn("period", F.trunc("o_orderdate", "month"))
+    orders = read(spark, sf_dir, "orders").withColumn("series", F.lower(F.trim("o_orderpriority"))).withColumn("period", F.trunc("o_orderdate", "month"))
     counts = orders.where("o_orderstatus = 'F'").groupBy("series", "period").agg(F.count("*").alias("n"))
     values = orders.where("o_orderstatus = 'O'").groupBy("series", "period").agg(F.round(F.avg("o_totalprice") + 1e-6, 2).alias("value"))
     return counts.join(values, ["series", "period"], "full")
@@ -49,9 +49,16 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("raw_id", "p.k", F.coalesce("p.missing", F.lit("none")).alias("missing"))
 
 
-@query("rss_feed", """SELECT concat('<item><title>', replace(replace(brand, '&', '&amp;'), '<', '&lt;'), ' ', product_name, ' ', printf('%.1f', size_delta_pct), '%</title><guid>', event_id, '</guid></item>') AS value FROM {pub} WHERE NOT is_retracted AND severity = 'major' AND size_delta_pct = -50""")
+# Events with an hour of publishing, which some lack, and a number of sources.
+_FEED = "SELECT *, 'oz' AS size_unit, 1 + store % 3 AS evidence_count, CASE WHEN store % 4 > 0 THEN CAST(observed_date AS TIMESTAMP) + INTERVAL '30' HOUR END AS published_at FROM {pub}"
+
+
+@query("rss_feed", f"""WITH f AS ({_FEED}), t AS (SELECT * FROM f WHERE NOT is_retracted AND change_type = 'shrinkflation' ORDER BY published_at DESC NULLS LAST, event_id LIMIT 50)
+SELECT concat('<item><title>', replace(brand, '&', '&amp;'), ' ', product_name, ' shrank ', size_before::INT, 'oz → ', size_after::INT, 'oz</title><link>https://example.org/products/', entity_id, '</link><guid isPermaLink="false">https://example.org/events/', event_id, '</guid><pubDate>',
+  strftime(coalesce(published_at, observed_date::TIMESTAMP), '%a, %d %b %Y %H:%M:%S GMT'), '</pubDate><description>', CAST(round(CAST(abs(size_delta_pct) AS DECIMAL(9, 2)), 1) AS DECIMAL(9, 1)), '% smaller · ', CASE WHEN evidence_count > 1 THEN concat(evidence_count, ' sources · ') ELSE '' END, 'observed ', observed_date, '</description></item>') AS value FROM t""")
 def rss_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rss_items(TABLES["pub"](spark, sf_dir).where("not is_retracted and severity = 'major' and size_delta_pct = -50"))
+    """The fifty last published shrinks, as a feed shows them."""
+    return rss_items(spark.sql(_FEED, pub=TABLES["pub"](spark, sf_dir)), "https://example.org", limit=50)
 
 
 @query("markdown_report", "SELECT concat('| ', category, ' | ', count(*), ' |') AS value FROM {ent} GROUP BY category")
@@ -66,15 +73,14 @@ def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A sheet with a series in each row and a month in each column, and one with a row for each series and month.
-_TALL = "SELECT lower(trim(o_orderpriority)) AS series, concat(extract(YEAR FROM o_orderdate), '-', lpad(CAST(extract(MONTH FROM o_orderdate) AS VARCHAR(2)), 2, '0')) AS period, count(*) AS n FROM {ord} WHERE o_orderdate >= DATE '2001-01-01' GROUP BY lower(trim(o_orderpriority)), concat(extract(YEAR FROM o_orderdate), '-', lpad(CAST(extract(MONTH FROM o_orderdate) AS VARCHAR(2)), 2, '0'))"
+_TALL = "SELECT lower(trim(o_orderpriority)) AS series, concat(extract(YEAR FROM o_orderdate), '-', lpad(CAST(extract(MONTH FROM o_orderdate) AS VARCHAR(2)), 2, '0')) AS period, count(*) AS n FROM {ord} GROUP BY lower(trim(o_orderpriority)), concat(extract(YEAR FROM o_orderdate), '-', lpad(CAST(extract(MONTH FROM o_orderdate) AS VARCHAR(2)), 2, '0'))"
 
 
 @query("sheet_series", f"SELECT series, CAST(period || '-01' AS DATE) AS period, CAST(n AS DOUBLE) AS value FROM ({_TALL})")
 def sheet_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wide sheet read as series, periods and values, whichever way it lies."""
     tall = spark.sql(_TALL, ord=TABLES["ord"](spark, sf_dir))
-    months = [f"2001-{m:02d}" for m in range(1, 13)]
-    return series_of_sheet(tall.groupBy("series").pivot("period", months).agg(F.first("n")))
+    return series_of_sheet(tall.groupBy("series").pivot("period").agg(F.first("n")))  # a column for each month
 
 
 @query("store_catalog", "SELECT CAST(l_suppkey AS VARCHAR) AS store, CAST(l_partkey AS VARCHAR) AS product_id, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS price FROM lineitem WHERE l_partkey > 0 GROUP BY 1, 2")
@@ -84,9 +90,8 @@ def store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_last(rows, ["store", "product_id"], "seq").drop("seq")
 
 
-@query("older_posts", "SELECT event_id AS id, floor(epoch(ts))::BIGINT AS created_utc FROM events WHERE floor(epoch(ts))::BIGINT < (SELECT quantile_disc(floor(epoch(ts))::BIGINT, 0.5) FROM events) ORDER BY created_utc DESC, id LIMIT 500")
+@query("older_posts", "SELECT event_id AS id, floor(epoch(ts))::BIGINT AS created_utc FROM events WHERE floor(epoch(ts))::BIGINT < 1705968000 ORDER BY created_utc DESC, id LIMIT 50000")
 def older_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five pages of a hundred posts before the middle of the table's time, the newest first."""
+    """Posts next before a cursor, the newest first, of as many pages as a run asks for at most."""
     rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("created_utc"))
-    middle = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY created_utc)")).first()[0]
-    return backfill(rows, int(middle), page=100, pages=5)
+    return backfill(rows, 1705968000, page=100, pages=500)

@@ -200,10 +200,14 @@ def period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PERIODS.replace("VARCHAR(10)", "STRING").replace("VARCHAR(2)", "STRING").replace("VARCHAR(5)", "STRING")).alias("t")).select("o_orderkey", T.parse_period(F.col("t")).alias("month"))
 
 
-@query("content_hash", """SELECT event_id, sha256(concat('{"event_type":"', event_type, '","user_id":', user_id, '}')) AS hash FROM events""")
+# The payload of an event with its props within, in either order of keys, with odd spaces.
+_PAYLOAD = """CASE WHEN event_id % 2 = 0 THEN concat('{"user_id":', user_id, ' ,"props":', props, ',"event_type":"', event_type, '"}') ELSE concat('{"props": ', props, ', "event_type": "', event_type, '", "user_id": ', user_id, '}') END"""
+
+
+@query("content_hash", """SELECT event_id, sha256(concat('{"event_type": "', event_type, '", "props": {"k": ', json_extract_string(props, '$.k'), '}, "user_id": ', user_id, '}')) AS hash FROM events""")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SHA-256 of a payload as JSON with its keys in order."""
-    return read(spark, sf_dir, "events").select("event_id", F.sha2(F.to_json(F.struct("event_type", "user_id")), 256).alias("hash"))
+    """SHA-256 of the whole payload, whatever the order of its keys."""
+    return read(spark, sf_dir, "events").select("event_id", T.content_hash(F.expr(_PAYLOAD)).alias("hash"))
 
 
 # Records of four catalogs, one for each product.

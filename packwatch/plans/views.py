@@ -43,8 +43,12 @@ SELECT upc, version_date, size FROM (
   SELECT upc, CAST(date_after - INTERVAL 1 YEAR AS DATE) AS version_date, size_before AS size FROM {chg}
   UNION SELECT upc, date_after AS version_date, size_after AS size FROM {chg})""")
 
-#: Versions times events of a product: the fan-out of the first definition is kept.
+#: Every version of a product counts each of its events, as in the first definition; the two are counted apart and multiplied.
 view("leaderboard_v1", """
+SELECT o.upc, n * changes AS total_changes, n * shrinks AS shrink_count, round(n * pct, 2) AS cumulative_pct, first_size, last_size
+FROM (SELECT upc, count(*) AS n, min_by(size, observed_date) AS first_size, max_by(size, observed_date) AS last_size FROM {obs} GROUP BY upc) o
+JOIN (SELECT upc, count(date_after) AS changes, count(date_after) FILTER (WHERE size_after < size_before) AS shrinks, sum(size_delta_pct) FILTER (WHERE size_delta_pct < 0) AS pct FROM {chg} GROUP BY upc) c ON c.upc = o.upc
+WHERE shrinks > 0""", """
 SELECT o.upc, count(c.date_after) AS total_changes, count(c.date_after) FILTER (WHERE c.size_after < c.size_before) AS shrink_count,
        round(sum(c.size_delta_pct) FILTER (WHERE c.size_delta_pct < 0), 2) AS cumulative_pct, min_by(o.size, o.observed_date) AS first_size, max_by(o.size, o.observed_date) AS last_size
 FROM {obs} o JOIN {chg} c ON c.upc = o.upc GROUP BY o.upc HAVING count(c.date_after) FILTER (WHERE c.size_after < c.size_before) > 0""")
