@@ -91,13 +91,17 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 16, steps: int = 600, rate: float = 0.05, ridge: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """Bin edges, weights and offset that minimise the non-negative risk with logistic loss, by Adam."""
+    """Bin edges, weights and offset that minimise the non-negative risk, by Adam.
+
+    The loss of a score z is 1 / (1 + exp(z)) for a positive and 1 / (1 + exp(-z)) for
+    a negative.  It is bounded, so an error of the prior counts for no more than itself;
+    with the logarithm as loss, sure positives would multiply it.
+    """
     both = np.concatenate([positive, unlabelled])
     edges = [np.unique(np.quantile(both[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(both.shape[1])]
     size = sum(len(e) + 1 for e in edges)
     bp, bu = binned(positive, edges), binned(unlabelled, edges)
     w, moment, square = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    w[-1] = np.log(prior / (1 - prior))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def pulled(rows, by):
@@ -105,14 +109,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int =
 
     for step in range(1, steps + 1):
         sp, su = sigmoid(w[bp].sum(1) + w[-1]), sigmoid(w[bu].sum(1) + w[-1])
-        loss = lambda p: -np.log(np.clip(p, 1e-9, 1))
-        negative = loss(1 - su).mean() - prior * loss(1 - sp).mean()
-        grad_negative = pulled(bu, su / len(su)) - prior * pulled(bp, sp / len(sp))
-        grad = prior * pulled(bp, (sp - 1) / len(sp)) + grad_negative if negative >= 0 else -grad_negative
+        of_p = pulled(bp, sp * (1 - sp) / len(sp))
+        negative = su.mean() - prior * sp.mean()
+        grad_negative = pulled(bu, su * (1 - su) / len(su)) - prior * of_p
+        grad = grad_negative - prior * of_p if negative >= 0 else -grad_negative
         grad[:-1] += ridge * w[:-1]
         moment, square = 0.9 * moment + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         w -= rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    w[-1] = -np.quantile(w[bu].sum(1), 1 - prior)  # of unlabelled rows the share of the prior scores 0.5 or more
     return edges, w[:-1], float(w[-1])
 
 

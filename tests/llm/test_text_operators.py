@@ -120,23 +120,27 @@ def test_shapes_and_scores(spark, docs, rows):
     assert sorted(((r.doc_id, round(r.score, 9)) for r in got), key=repr) == sorted(expected, key=repr)
 
 
-def test_risk_is_the_least(spark):
-    """Where the unlabelled part stays above zero, no small change of a weight makes the risk of the fitted score smaller."""
+def test_risk_is_the_least():
+    """Where the unlabelled part stays above zero, no small change of a weight or of the offset makes the risk of the fitted score smaller."""
     rng = np.random.default_rng(5)
-    p, u = rng.normal(0, 1, (800, 2)), np.concatenate([rng.normal(0, 1, (1200, 2)), rng.normal(1, 1, (800, 2))])
-    edges, w, b = quality_pu.fit(p, u, 0.6, bins=4, steps=4000, rate=0.01, ridge=1e-2)
+    p, u = rng.normal(0, 1, (800, 2)), np.concatenate([rng.normal(0, 1, (1200, 2)), rng.normal(2, 1, (800, 2))])
+    edges, w, b = quality_pu.fit(p, u, 0.5, bins=4, steps=4000, rate=0.01, ridge=1e-2)
 
-    def risk(w, b):
+    def parts(w, b):
         z = lambda x: w[quality_pu.binned(x, edges)].sum(1) + b
-        loss = lambda v: np.log1p(np.exp(-v)).mean()
-        return 0.6 * loss(z(p)) + max(0, loss(-z(u)) - 0.6 * loss(-z(p))) + 0.5e-2 * (w**2).sum()
-
-    best = min(risk(w, c) for c in np.linspace(b - 4, b + 4, 161))  # the offset is set apart
-    for k in range(len(w)):
-        for step in (-0.3, 0.3):
-            other = w.copy()
-            other[k] += step
-            assert min(risk(other, c) for c in np.linspace(b - 4, b + 4, 161)) > best - 2e-3
+        loss = lambda v: (1 / (1 + np.exp(v))).mean()
+        return 0.5 * loss(z(p)), loss(-z(u)) - 0.5 * loss(-z(p)), 0.5e-2 * (w**2).sum()
+
+    def risk(w, b):
+        of_positives, of_negatives, ridge = parts(w, b)
+        return of_positives + max(0, of_negatives) + ridge
+
+    least = risk(w, b)
+    assert parts(w, b)[1] > 0
+    for step in (-0.3, -0.1, 0.1, 0.3):
+        assert risk(w, b + step) > least
+        for k in range(len(w)):
+            assert risk(w + step * np.eye(len(w))[k], b) > least
 
 
 @pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
