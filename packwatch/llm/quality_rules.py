@@ -28,22 +28,28 @@ LABELLED_LINES = [
     "c El museo abre todos los dias menos el lunes, y la entrada es libre.\nc La sala grande guarda pinturas de tres siglos.\nc Hay visitas por la tarde.",
     "c Der Zug fuhr langsam durch das Tal, und alle sahen aus dem Fenster.\nc Im Dorf wartete niemand.\nb Impressum | Datenschutz\nb Copyright 2019",
     "c Les enfants jouaient dans la cour pendant que la pluie tombait sur le toit.\nc Personne ne parlait.\nb Accueil | Contact | Plan du site",
-    "b $$$ WIN NOW $$$\nb CLICK HERE!!! CLICK HERE!!! CLICK HERE!!!\nb *** 50% *** 60% *** 70% ***\nb BUY!! CHEAP!! PILLS!! ONLINE!! TODAY!!\nb $$$ WIN NOW $$$",
-    "b one one one one one one one one one one one one one one\nb two two two two two two two two two two two two two two two\nb three three three three three three three three three three",
-    "b FREE!! OFFER!! FOR!! ALL!! NEW!! MEMBERS!! JOIN!! US!! NOW!!\nb ### sale### deal&&& best%%% price$$$ ever*** order&&& now###\nb item | price | stock | sale | more | next | back | home",
-    "b alder, | birch | cedar | elm. | maple | oak | pine. | rowan | willow | yew. |\nb apple | pear | plum. | quince | cherry, | grape | fig | date | lemon | lime. |\nb one | two | three | four | five | six | seven | eight | nine | ten | eleven.",
-    "c The market opened late because of the snow.\nb bread | milk | butter. | cheese | eggs, | flour | honey. | apples | pears | plums.\nb beans | peas | leeks | onions. | carrots | beets | kale, | chard | rice | oats.\nb tea | coffee | cocoa. | juice | water | cider | wine, | beer | salt | pepper.",
-    "c The band played for an hour.\nb The*** band### was%%% great&&& and$$$ loud*** tonight&&& for### all%%% of$$$ us***.\nb come### back%%% soon&&& for$$$ more*** of### the%%% same&&& songs$$$.\nb Nice### one%%% and$$$ free.",
-    "c Our dog sleeps all day.\nb ball ball ball ball ball ball ball ball ball ball ball ball ball ball ball ball ball.\nb Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run. Run.\nc He wakes for supper, and then he sleeps again.",
-    "b STOP!! LOOK!! HERE!! NOW!! ONLY!! TODAY!! FREE!! CASH!!\nb you!! will!! not!! believe!! this!! one!! simple!! thing!!\nb ORDER NOW!! SAVE BIG!! LAST CHANCE!! DO NOT MISS!!.",
     "b Sign up for our newsletter today.\nc The harbour wall was built by hand, and it took eleven winters.\nc Two of the men who built it are buried beside it.\nb Copyright 2016 by the publisher. All rights reserved.",
     "b By using this site you accept our cookies.\nc Snow fell on the pass in June, and the road was shut until the plough came.\nb Read more in our privacy notice.\nb All rights reserved.",
     "c She bought a lamp, a chair and a small table at the sale; the lamp was broken.\nc Did you see it? I did!\nc They paid 40 dollars for the lot, and nobody complained.\nc An old man carried it home.",
     "c El viento movia las ramas y la casa estaba en silencio, como siempre a esa hora.\nc Nadie dijo nada durante la cena, porque todos pensaban en la carta que habia llegado por la manana\nc y que aun estaba cerrada.",
-    "c The list of trees was read aloud.\nb Ash. | beech, | hazel | holly | larch | lime | poplar. | spruce | walnut | yew\nb ### Great&&& offers%%% for*** every&&& home$$$ and### garden.***",
     "c This work is licensed under the terms that follow.\nc She wrote to her sister every week, and the letters are kept in the town archive.\nc Most of them are short\nc and some were never sent.",
     "c Water boils at a lower temperature in the mountains, because the air is thinner there.\nc This is why rice takes longer to cook.\nc Short lines happen too.\nc In 1998 there were 3 of them, in 2004 there were 12.",
     "b 12/03/2020 14:55\nb 0 comments\nc The bridge will be closed for two weeks while its northern pier is repaired.\nc Buses go by way of the mill.\nb Tags: bridge, traffic\nb Follow us",
+    "b Shop All | New Arrivals | Women | Men | Kids | Home & Garden | Beauty | Sale | Gift Cards | Stores | Help\nb Free delivery on orders over $50\nc The wool comes from sheep that graze on the islands all year round.\nc It is spun, dyed and knitted within twenty miles of the farm.\nb Add to cart\nb You may also like\nb Wool hat $24.00 | Wool scarf $38.00 | Gloves $19.50 | Socks $12.00",
+    "b SUMMER SALE NOW ON!! UP TO 50% OFF!! FREE SHIPPING!!\nb Hurry, offer ends Sunday! Use code SUN20 at checkout!\nc Our tents are made for wind and rain, and we test each one on the hill behind the shop.\nb Buy now $199.99\nb * Terms and conditions apply. ** While stocks last.",
+    "b Tags: travel travel-tips travel-blog cheap-travel budget-travel travel-insurance\nb cheap flights cheap hotels cheap car hire cheap flights london cheap flights paris cheap hotels rome cheap hotels paris\nb Page 1 2 3 4 5 6 7 8 9 10 Next >> Last >>",
+    "b Mon Tue Wed Thu Fri Sat Sun\nb 1 2 3 4 5 6 7 8 9 10 11 12 13 14\nb << Jan Mar >>\nc The council met on Tuesday and agreed to plant forty lime trees along the old canal.\nc Work will begin after the frost.\nb Posted by admin in Uncategorized | 3 Comments | Permalink",
+    "b Name | Price | Change | % | Volume | High | Low\nb ABC Corp | 12.31 | +0.11 | 0.9% | 120,300 | 12.40 | 12.10\nb XYZ Ltd | 7.02 | -0.05 | -0.7% | 88,140 | 7.11 | 6.98\nb Data delayed by 15 minutes. Privacy | Terms",
+    "c I have used this saw for two winters, and the blade is still sharp.\nc The handle could be a little longer.\nb Was this review helpful? Yes (12) | No (3) | Report\nb ***** 5 stars (41)\nb **** 4 stars (12)\nb See all reviews",
+    "b # Login # Register # FAQ # Search # Memberlist #\nb View unanswered posts | View active topics | Mark forums read\nc The pump stopped again last night, so I took it apart and found sand in the valve.\nc A new seal fixed it.\nb Quote | Reply | Report | Like (2)\nb _________________",
+    "b Loading... Please wait...\nb Loading... Please wait...\nb Error 404: page not found! Go back to the home page or use the search box.\nb Sitemap | Accessibility | Contact us",
+    "b AUSTRIA | BELGIUM | CANADA | DENMARK | FRANCE | GERMANY | ITALY | JAPAN | SPAIN | SWEDEN | UK | USA\nb Choose your country\nc Since 1921 the family has made paper by hand in the same mill.\nc Visitors are welcome on weekdays, and children may try the press.\nb Follow us on Facebook | Twitter | Instagram | YouTube",
+    "c La maison fut vendue au printemps, et la famille partit vers le sud.\nc On ne la revit plus au village.\nb Partager | Imprimer | Envoyer par e-mail | Commentaires (4)\nb Mentions légales | Données personnelles | Cookies",
+    "b WIN a weekend in Paris!! Enter our free prize draw today!!\nb Call now 0800 123 456!\nb No purchase necessary. See rules for details.\nc The paper has been printed in this town since the railway came.\nb Subscribe now from only $1 a week!",
+    "b Kleinanzeigen | Immobilien | Stellen | Auto | Reisen | Trauer | Wetter | Abo\nc Die Brücke wird im Herbst erneuert, und der Verkehr fließt so lange über die alte Straße.\nc Der Bus fährt weiter.\nb Teilen | Drucken | Merken\nb Jetzt anmelden! Nur 3 Euro!",
+    'b function toggle(id) { var e = document.getElementById(id); if (e) { e.style.display = \'none\'; } }\nb <a href="/index.php?id=12&lang=en&page=3">more</a>\nc The orchard was planted by monks, and some of the trees still bear fruit.\nb {{ item.title }} | {{ item.price }} | ${total}',
+    'c In the second year the wheat failed and the village lived on barley and fish.\nc Many left for the coast; those who stayed shared what they had.\nc "We were hungry," she said, "but nobody was alone."\nc The old mill is all that is left of that time.',
+    "c El agua llega a la plaza por un canal antiguo que todavía funciona.\nc Los vecinos lo limpian cada primavera.\nb Compartir | Imprimir | Me gusta (15)\nb Aviso legal | Política de cookies | Contacto",
 ]
 
 
