@@ -84,7 +84,10 @@ def ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) ->
 
 def scaled(held: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """Presence times ratio, over the root of how many of the n-grams the text holds."""
-    return held * (ratio / np.sqrt(np.maximum(held.sum(1), 1))[:, None]).astype(np.float32)
+    x = held.astype(np.float32)  # in place from here on: this is the driver's largest array
+    x *= ratio.astype(np.float32)
+    x /= np.sqrt(np.maximum(held.sum(1), 1)).astype(np.float32)[:, None]
+    return x
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
