@@ -198,14 +198,12 @@ class Model:
         """The rows with a column between 0 and 1; a null text counts as empty."""
         edges, weights, offset = self.edges, self.weights, self.offset
 
-        @F.pandas_udf("double")
-        def scored(texts):
-            import pandas as pd
-
+        @F.arrow_udf("double")
+        def scored(texts: pa.Array) -> pa.Array:
             out = np.zeros(len(texts))
-            for i, j, x in shapes(pa.array(texts, pa.string(), from_pandas=True)):
+            for i, j, x in shapes(texts):
                 out[i:j] = 1 / (1 + np.exp(-np.clip(weights[binned(x, edges)].sum(1) + offset, -30, 30)))
-            return pd.Series(out)
+            return pa.array(out)
 
         return docs.withColumn(name, scored(F.col(text)))
 

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -198,14 +197,14 @@ class Model:
         """The rows with a column between 0 and 1; a null text counts as empty."""
         place, weights, offset = self.place, self.weights, self.offset
 
-        @F.pandas_udf("double")
-        def scored(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("double")
+        def scored(texts: pa.Array) -> pa.Array:
             out = np.zeros(len(texts))
-            for i, j, held in marks(pa.array(texts, pa.string(), from_pandas=True), place, len(weights)):
+            for i, j, held in marks(texts, place, len(weights)):
                 row, at = np.nonzero(held)
                 total = np.bincount(row, weights=weights[at], minlength=j - i)  # summed in order, so that a score depends on its text alone
                 out[i:j] = 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(held.sum(1), 1)) + offset, -30, 30)))
-            return pd.Series(out)
+            return pa.array(out)
 
         return docs.withColumn(name, scored(F.col(text)))
 
