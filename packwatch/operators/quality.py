@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import fuzzy_name_key, slugify
+from ..session import kept
+from .fuzzy import greedy_heads
+from .search import holding
 
 
 def flag(rows: DataFrame, kind: str, target: Column, severity: Column, detail: Column) -> DataFrame:
@@ -129,61 +132,32 @@ def same_change_groups(events: DataFrame) -> DataFrame:
 
 
 def fuzzy_duplicates(products: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Products of one brand whose names are alike and differ in no word of over two letters.
+    """Products of one brand whose names are alike and differ in no word of over two letters, with the first such product.
 
     Names are compared once each: equal names, and names with the same long words,
-    meet in one key (no other pair passes the word rule), so a brand is never
-    compared with itself as a whole.
+    meet in one group (no other pair passes the word rule).
     """
-    from difflib import SequenceMatcher
-
-    import pandas as pd
-
     lower = F.lower(F.trim(F.coalesce("name", F.lit(""))))
     words = F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(lower, "[^a-z0-9]+", " "), " "), lambda x: F.length(x) > 2))), " ")
     names = products.groupBy(F.lower(F.trim("brand")).alias("b"), words.alias("words"), lower.alias("n")).agg(F.min("entity_id").alias("first"))
-
-    def clusters(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("first")
-        heads: list[tuple[str, int]] = []
-        into = []
-        for name, first in zip(rows["n"], rows["first"]):
-            found = next((h for n, h in heads if SequenceMatcher(None, n, name).ratio() >= threshold), None)
-            if found is None:
-                heads.append((name, first))
-            into.append(first if found is None else found)
-        return rows.assign(into=into)[["b", "n", "into"]]
-
-    heads = names.groupBy("b", "words").applyInPandas(clusters, "b string, n string, into long")
-    return products.select("entity_id", F.lower(F.trim("brand")).alias("b"), lower.alias("n")).join(heads, ["b", "n"]).where(F.col("entity_id") != F.col("into")).select("entity_id", "into")
+    names = kept(names.where("b is not null"))
+    several = names.groupBy("b", "words").agg(F.count("*").alias("k")).where("k > 1")  # of a group of one nothing is compared
+    heads = greedy_heads(names.join(several.drop("k"), ["b", "words"]), ["b", "words"], "first", "n", threshold)
+    into = names.join(heads, ["b", "words", "first"], "left").select("b", "n", F.coalesce("head", "first").alias("into"))
+    return products.select("entity_id", F.lower(F.trim("brand")).alias("b"), lower.alias("n")).join(into, ["b", "n"]).where(F.col("entity_id") != F.col("into")).select("entity_id", "into")
 
 
-def match_findings(findings: DataFrame, entities: DataFrame, salts: int = 16) -> DataFrame:
+def match_findings(findings: DataFrame, entities: DataFrame, most: int = 64) -> DataFrame:
     """For each reported brand and product, in small letters, the shortest name of that brand that holds the product.
 
-    findings: brand, product; entities: entity_id, brand, name.  Only names of one
-    brand meet; a brand's entities are dealt to ``salts`` parts, so a large brand isn't one task.
-    """
-    wanted = findings.select(F.lower("brand").alias("brand"), F.lower(F.substring("product", 1, 64)).alias("product")).where("brand <> '' and product <> ''").distinct()
-    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    known = entities.select("entity_id", "name", F.lower("brand").alias("brand"), F.pmod(F.xxhash64("entity_id"), F.lit(salts)).cast("int").alias("salt"))
-    found = known.join(wanted, ["brand", "salt"]).where(F.lower("name").contains(F.col("product")))
-    best = found.groupBy("brand", "product").agg(F.min(F.struct(F.length("name").alias("l"), "entity_id", "name")).alias("r"))
-    return best.select("brand", "product", "r.entity_id", "r.name")
-
-
-def shortest_with(wanted: DataFrame, entities: DataFrame) -> DataFrame:
-    """For each product of one word the shortest name that holds it, also within a longer word.
-
-    Distinct words are looked up by all their parts; names aren't all compared.
+    findings: brand, product (of which the first ``most`` characters count);
+    entities: entity_id, brand, name.  Names are found by the rarest run of three
+    characters of a product within its brand.
     """
-    words = entities.select("entity_id", "name", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    size = F.length("word")
-    parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("word"), i, n)))
-    parts = words.select("word").distinct().select("word", F.explode(F.when(size > 0, F.array_distinct(F.flatten(parts))).otherwise(F.array(F.lit("")))).alias("part"))
-    holding = parts.join(wanted, F.col("part") == F.lower("product")).select("word", "product")
-    best = words.join(holding, "word").groupBy("product").agg(F.min(F.struct(F.length("name").alias("l"), "entity_id", "name")).alias("r"))
-    return best.select("product", "r.entity_id", "r.name")
+    wanted = findings.select(F.lower("brand").alias("brand"), F.substring("product", 1, most).alias("wanted")).where("brand <> ''")
+    known = entities.select(F.lower("brand").alias("brand"), F.col("entity_id").alias("id"), F.col("name").alias("text"))
+    best = holding(wanted, known, ["brand"]).groupBy("brand", "wanted").agg(F.min(F.struct(F.length("text").alias("l"), "id", "text")).alias("r"))
+    return best.select("brand", F.col("wanted").alias("product"), F.col("r.id").alias("entity_id"), F.col("r.text").alias("name"))
 
 
 def passes_audit(units: list[str], brand: float = 0.85, size: float = 0.85, name: float = 0.80) -> Column:

@@ -18,14 +18,6 @@ def year_over_year(rows: DataFrame, month: str, value: str) -> DataFrame:
     return out.withColumn("yoy_pct", F.round((F.col(value) - F.col("year_before")) / F.col("year_before") * 100, 2))
 
 
-def collapse_runs(rows: DataFrame, key: str, order: str, value: str, tolerance: float) -> DataFrame:
-    """Per key the values in order, without those within a tolerance of the last one kept."""
-    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    lists = rows.groupBy(key).agg(sorted_.alias("values"))
-    keep = lambda kept, v: F.when(F.size(kept) == 0, F.array(v)).when(F.abs(v - F.element_at(kept, -1)) > tolerance, F.concat(kept, F.array(v))).otherwise(kept)
-    return lists.select(key, F.aggregate("values", F.array().cast("array<double>"), keep).alias("steps"))
-
-
 def run_summary(rows: DataFrame, key: str, order: str, value: str, tolerance: float) -> DataFrame:
     """Per key how many values are left when runs collapse, and the first and last of them; the fold holds these three alone."""
     sorted_ = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double"))
@@ -45,6 +37,6 @@ def spaced(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
     if most < 2:
         return placed.where(F.col("_i") < max(most, 0)).drop("_i", "_n")
     step = (F.col("_n") - 1) / F.lit(most - 1)
-    nearest = F.floor(F.col("_i") / step + 0.5)  # of the places round(step * k) the one next to this row
+    nearest = F.floor(F.try_divide(F.col("_i"), step) + 0.5)  # of the places round(step * k) the one next to this row
     taken = (F.col("_n") <= most) | (F.floor(step * nearest + 0.5) == F.col("_i"))
     return placed.where(taken).drop("_i", "_n")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.promote import SUSPECT_BRANDS, SUSPECT_NAMES, promote
+from ..session import shared_folder
+from ..streaming.promotion import Promotion
+from ..streaming.store import Store
 from .base import TABLES, query, read
 from .views import AS_OF
 
@@ -28,6 +33,18 @@ def _outcome(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return promote(claims, frame(_ENTITIES, part=part), frame(_VARIANTS, part=part), frame(_EVENTS, part=part), frame(_RAW, events=events), AS_OF)
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The same from batches, the late claims first."""
+    part, events, orders = read(spark, sf_dir, "part"), read(spark, sf_dir, "events"), TABLES["ord"](spark, sf_dir)
+    frame = lambda sql, **tables: spark.sql(sql, **tables)
+    claims = frame(_CLAIMS, ord=orders, part=part)
+    live = Promotion(Store(spark, f"{shared_folder(spark)}/promotion-{uuid.uuid4().hex}"), frame(_ENTITIES, part=part), frame(_VARIANTS, part=part), frame(_EVENTS, part=part), frame(_RAW, events=events), AS_OF)
+    late = F.year("extracted_at") >= 1998
+    for number, rows in enumerate((claims.where(late), claims.where(~late))):
+        live.step(rows, number)
+    return live.tables()
+
+
 def _bare(sql: str) -> str:
     return sql.replace("{ord}", "orders").replace("{part}", "part").replace("{events}", "events")
 
@@ -78,15 +95,27 @@ def promoted_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcome(spark, sf_dir)["observations"]
 
 
-@query("promoted_events", f"""{_STEPS}, t AS (SELECT * FROM c8 WHERE status <> 'discarded' AND o IS NOT NULL AND n IS NOT NULL),
+_EVENTS_MADE = f"""{_STEPS}, t AS (SELECT * FROM c8 WHERE status <> 'discarded' AND o IS NOT NULL AND n IS NOT NULL),
 a AS (SELECT entity_id, o AS size_before, n AS size_after, any_value(known_event) AS known_event, count(*) AS evidence_count, string_agg(CAST(claim_id AS VARCHAR), ',' ORDER BY turn) AS evidence, arg_min(claim_id, turn) AS claim_id, arg_min(day, turn) AS observed_date, arg_min(brand, turn) AS brand, arg_min(name, turn) AS product_name,
   arg_min(size_unit, turn) AS size_unit, arg_min(variant_id, turn) AS variant_id, round((n - o) / o * 100, 2) AS pct FROM t GROUP BY entity_id, o, n)
 SELECT known_event, CASE WHEN known_event IS NULL THEN entity_id END AS entity_id, CASE WHEN known_event IS NULL THEN size_before END AS size_before, CASE WHEN known_event IS NULL THEN size_after END AS size_after, CASE WHEN known_event IS NULL THEN pct END AS size_delta_pct,
   CASE WHEN known_event IS NULL THEN CASE WHEN pct <= 0 THEN 'shrinkflation' WHEN pct > 5 THEN 'upsizing' ELSE 'restoration' END END AS change_type, CASE WHEN known_event IS NULL THEN CASE WHEN pct < -20 THEN 'major' WHEN pct < -5 OR pct > 5 THEN 'moderate' ELSE 'minor' END END AS severity,
   CASE WHEN known_event IS NULL THEN brand END AS brand, CASE WHEN known_event IS NULL THEN product_name END AS product_name, CASE WHEN known_event IS NULL THEN size_unit END AS size_unit, CASE WHEN known_event IS NULL THEN observed_date END AS observed_date, CASE WHEN known_event IS NULL THEN variant_id END AS variant_id,
-  CASE WHEN known_event IS NULL THEN claim_id END AS claim_id, evidence_count, evidence FROM a""")
+  CASE WHEN known_event IS NULL THEN claim_id END AS claim_id, evidence_count, evidence FROM a"""
+
+
+@query("promoted_events", _EVENTS_MADE)
 def promoted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events made by claims, and known ones with the evidence that joins them."""
-    out = _outcome(spark, sf_dir)
+    return _events_of(_outcome(spark, sf_dir))
+
+
+def _events_of(out: dict[str, DataFrame]) -> DataFrame:
     known = out["folded"].select(F.col("event_id").alias("known_event"), F.col("more_evidence").alias("evidence_count"), "evidence")
     return out["events"].unionByName(known, allowMissingColumns=True).withColumn("evidence", F.array_join(F.col("evidence").cast("array<string>"), ","))
+
+
+@query("streamed_events", _EVENTS_MADE)
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events from claims that come in batches, the late ones first."""
+    return _events_of(_streamed(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.search import holding
 from ..operators.series import month_spine, run_summary, spaced, year_over_year
 from .base import TABLES, query, view
 from .views import AS_OF
@@ -87,7 +88,21 @@ view("product_rollup", "SELECT brand, entity_id, product_name, count(*) AS event
 view("dominant_manufacturer", "SELECT brand, manufacturer, n FROM (SELECT brand, manufacturer, count(*) AS n, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, manufacturer) AS r FROM {ent} WHERE manufacturer IS NOT NULL GROUP BY brand, manufacturer) t WHERE r = 1")
 view("brand_tiers", "SELECT tier, count(*) AS brands, sum(n) AS events FROM (SELECT brand, count(*) AS n, CASE WHEN count(*) >= 11 THEN '11+' WHEN count(*) >= 6 THEN '6-10' WHEN count(*) >= 2 THEN '2-5' ELSE '1' END AS tier FROM {pub} WHERE severity = 'major' GROUP BY brand) t GROUP BY tier", "SELECT tier, count(*) AS brands, sum(n)::BIGINT AS events FROM (SELECT brand, count(*) AS n, CASE WHEN count(*) >= 11 THEN '11+' WHEN count(*) >= 6 THEN '6-10' WHEN count(*) >= 2 THEN '2-5' ELSE '1' END AS tier FROM {pub} WHERE severity = 'major' GROUP BY brand) t GROUP BY tier")
 view("category_tally", "SELECT concat(upper(substring(category, 1, 1)), lower(substring(category, 2, 99))) AS category, count(DISTINCT brand) AS brands, count(*) AS products FROM {ent} GROUP BY concat(upper(substring(category, 1, 1)), lower(substring(category, 2, 99)))")
-view("entity_search", "SELECT e.entity_id, e.brand, e.name, count(p.event_id) AS live_events FROM {ent} e JOIN {pub} p ON p.entity_id = e.entity_id WHERE lower(e.name) LIKE '%wid%' AND NOT p.is_retracted GROUP BY e.entity_id, e.brand, e.name")
+# Searches of an admin: words, parts of words and several words, with and without findings.
+SEARCHES = ["wid", "BOLT", "small a", "large", "t g", "x", "zzz", "widget", "el", ""]
+
+
+@query("entity_search", f"""SELECT s AS search, e.entity_id, e.brand, e.name, count(p.event_id) AS live_events FROM (SELECT unnest({SEARCHES}) AS s) JOIN {{ent}} e ON s <> '' AND contains(lower(e.name), lower(s)) JOIN {{pub}} p ON p.entity_id = e.entity_id WHERE NOT p.is_retracted GROUP BY ALL""")
+def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products whose names hold a search, with their live events."""
+    searches = spark.createDataFrame([(x,) for x in SEARCHES], "search string")
+    ent = TABLES["ent"](spark, sf_dir)
+    found = holding(searches.select(F.col("search").alias("wanted")), ent.select(F.col("entity_id").alias("id"), F.col("name").alias("text")))
+    live = TABLES["pub"](spark, sf_dir).where("not is_retracted").groupBy("entity_id").agg(F.count("*").alias("live_events"))
+    named = found.join(searches, F.lower("search") == F.col("wanted")).select("search", F.col("id").alias("entity_id"), F.col("text").alias("name"))
+    return named.join(ent.select("entity_id", "brand"), "entity_id").join(live, "entity_id").select("search", "entity_id", "brand", "name", "live_events")
+
+
 view("related_products", "SELECT brand, entity_id, n FROM (SELECT brand, entity_id, count(*) AS n, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, entity_id) AS r FROM {pub} WHERE change_type = 'shrinkflation' GROUP BY brand, entity_id) t WHERE r <= 8")
 view("distinct_brands", "SELECT DISTINCT brand FROM {ent} WHERE brand IS NOT NULL")
 view("claims_page", "SELECT claim_id, entity_id, status, confidence FROM {claims} WHERE status = 'pending' AND source_type = '1' AND confidence >= 0.5 ORDER BY extracted_date DESC NULLS LAST, claim_id LIMIT 50 OFFSET 100")

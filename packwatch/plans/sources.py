@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
 from ..sources.readers import backfill, keep_last, series_of_sheet
 from ..sources.sinks import markdown_table, rss_items
 from ..streaming.ingest import run_to_table
+from ..streaming.store import Store
 from .base import TABLES, query, read, view
 
 view("trend_monthly", "SELECT CAST(date_trunc('month', captured_at) AS DATE) AS month, source_type AS keyword, round(avg(value) + 1e-6, 2) AS value, count(*) AS n FROM {raw} GROUP BY CAST(date_trunc('month', captured_at) AS DATE), source_type")
@@ -66,12 +69,25 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_table(TABLES["ent"](spark, sf_dir).groupBy("category").agg(F.count("*").alias("n")))
 
 
-@query("ingest_incremental")
+@query("ingest_incremental", "SELECT event_id, ts, user_id, event_type, value, props FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts DESC) = 1")
 def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table through a stream, each event once."""
     return run_to_table(spark, f"{sf_dir}/events.parquet", shared_folder(spark), ["event_id"], "ts")
 
 
+@query("landed_upserts", """SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
+def landed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event of each user and type, landed in three batches of which the last days come first."""
+    events = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    store = Store(spark, f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}", part_rows=20_000)
+    day = F.dayofmonth("ts")
+    for number, rows in enumerate((events.where(day > 20), events.where(day <= 10), events.where(day.between(11, 20)))):
+        batch = store.begin("landed", number)
+        batch.upsert("newest", ["user_id", "event_type"], rows, ["ts", "event_id"])
+        batch.commit()
+    return store.read("newest")
+
+
 # A sheet with a series in each row and a month in each column, and one with a row for each series and month.
 _TALL = "SELECT lower(trim(o_orderpriority)) AS series, concat(extract(YEAR FROM o_orderdate), '-', lpad(CAST(extract(MONTH FROM o_orderdate) AS VARCHAR(2)), 2, '0')) AS period, count(*) AS n FROM {ord} GROUP BY lower(trim(o_orderpriority)), concat(extract(YEAR FROM o_orderdate), '-', lpad(CAST(extract(MONTH FROM o_orderdate) AS VARCHAR(2)), 2, '0'))"
 

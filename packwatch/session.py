@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -23,4 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         folder = "file://" + tempfile.mkdtemp(prefix="packwatch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder, which cuts its lineage and outlives executors."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/packwatch/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

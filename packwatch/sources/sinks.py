@@ -44,7 +44,7 @@ def rss_items(events: DataFrame, site: str, limit: int | None = 50, name: str =
     title = F.concat(headline(F.col("brand"), F.col("product_name")), F.coalesce(sizes, F.lit(" documented")))
     brand_page = F.concat(F.lit(f"{site}/brands/"), F.replace(F.url_encode(F.lower("brand")), F.lit("+"), F.lit("%20")))
     link = F.coalesce(F.concat(F.lit(f"{site}/products/"), F.col("entity_id").cast("string")), F.when(F.col("brand") != "", brand_page), F.lit(site))
-    said = F.concat_ws(" · ", F.concat(F.format_string("%.1f", F.abs("size_delta_pct")), F.lit("% smaller")), F.when(F.col("evidence_count") > 1, F.concat(F.col("evidence_count").cast("string"), F.lit(" sources"))), F.concat(F.lit("observed "), F.col("observed_date").cast("string")))
+    said = F.concat_ws(" · ", F.when(F.col("size_delta_pct").isNotNull(), F.concat(F.format_string("%.1f", F.abs("size_delta_pct")), F.lit("% smaller"))), F.when(F.col("evidence_count") > 1, F.concat(F.col("evidence_count").cast("string"), F.lit(" sources"))), F.concat(F.lit("observed "), F.col("observed_date").cast("string")))
     said = F.coalesce(F.nullif(said, F.lit("")), F.lit(f"Shrinkflation event documented by {name}."))
     day = F.date_format(F.coalesce(F.col("published_at").cast("timestamp"), F.col("observed_date").cast("timestamp")), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     dated = F.coalesce(F.concat(F.lit("<pubDate>"), day, F.lit("</pubDate>")), F.lit(""))
