@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import lifecycle as L
+from ..operators.actions import replay
 from ..operators.quality import strict_duplicates
-from .base import TABLES, query, view
+from .base import TABLES, query, read, view
 
 _MAP = """m AS (SELECT entity_id AS source, first AS target FROM (SELECT entity_id, min(entity_id) OVER (PARTITION BY lower(trim(brand)), regexp_replace(lower(name), '[^a-z0-9]+', '', 'g')) AS first FROM {ent}) WHERE entity_id <> first)"""
 
@@ -217,3 +218,39 @@ def seeded_manufacturers(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(1, "brand#11", "STEEL", "First Maker"), (2, "BRAND#11", None, "Second Maker"), (3, "Brand#23", "brass", "Third Maker"), (4, "none", None, "Fourth Maker")], "place int, brand string, category string, manufacturer string")
     ent = TABLES["ent"](spark, sf_dir).select("entity_id", "brand", "category", F.when(F.col("pack_size") > 25, F.col("manufacturer")).alias("manufacturer"))
     return L.seed_manufacturers(ent, seeds).select("entity_id", "manufacturer", "seeded")
+
+
+# A log of an action for each order: approvals, evidence, discards, edits, merges of a product into its neighbour, and undos of the action just before, undos among them.
+_ACTIONS = """SELECT seq, kind, claim_id, value, entity_id, source, target, CASE WHEN kind = 'undo' THEN seq - 1 END AS undoes FROM (
+  SELECT o_orderkey AS seq, o_custkey AS claim_id, o_orderpriority AS value, o_custkey + 5 AS entity_id, o_custkey AS source, o_custkey + 1 AS target,
+  CASE (o_orderkey * 7919 + o_custkey) % 9 WHEN 0 THEN 'approve' WHEN 1 THEN 'evidence' WHEN 2 THEN 'discard' WHEN 3 THEN 'edit_brand' WHEN 4 THEN 'edit_product_name' WHEN 5 THEN 'merge' WHEN 6 THEN 'merge' ELSE 'undo' END AS kind FROM {ord})"""
+_NAMED = "SELECT claim_id, status, entity_id, p_brand AS brand, p_name AS product_name FROM {claims} LEFT JOIN {part} ON p_partkey = entity_id"
+_ENTS = "SELECT entity_id, pack_size > 45 AS is_retracted FROM {ent}"
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    claims = spark.sql(_NAMED, claims=TABLES["claims"](spark, sf_dir), part=read(spark, sf_dir, "part"))
+    return replay(claims, spark.sql(_ENTS, ent=TABLES["ent"](spark, sf_dir)), spark.sql(_ACTIONS, ord=TABLES["ord"](spark, sf_dir)))
+
+
+#: An action counts if an even number of undos follow on it in a row; claims step from merge to merge.
+_REPLAY = f"""a AS ({_ACTIONS}), u AS (SELECT *, min(CASE WHEN kind <> 'undo' OR NOT before THEN seq END) OVER (ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop, max(seq) OVER () AS final FROM (SELECT *, coalesce(lag(seq) OVER (ORDER BY seq) = seq - 1, FALSE) AS before FROM a)),
+k AS (SELECT *, (SELECT count(*) FROM a b WHERE b.seq > u.seq AND b.seq < coalesce(stop, final + 1)) AS n FROM u WHERE kind <> 'undo'), e AS (SELECT * FROM k WHERE n % 2 = 0),
+m AS (SELECT seq, source, target FROM e WHERE kind = 'merge'), c AS ({_NAMED.replace("{part}", "part")}),
+s AS (SELECT c.claim_id, coalesce(CASE (SELECT arg_max(kind, seq) FROM e WHERE e.claim_id = c.claim_id AND kind IN ('approve', 'evidence', 'discard')) WHEN 'approve' THEN 'matched' WHEN 'evidence' THEN 'evidence' WHEN 'discard' THEN 'discarded' END, status) AS status,
+  coalesce((SELECT arg_max(e.entity_id, seq) FROM e WHERE e.claim_id = c.claim_id AND kind = 'approve'), c.entity_id) AS entity_id, coalesce((SELECT max(seq) FROM e WHERE e.claim_id = c.claim_id AND kind = 'approve'), -1) AS since,
+  coalesce((SELECT arg_max(value, seq) FROM e WHERE e.claim_id = c.claim_id AND kind = 'edit_brand'), brand) AS brand, coalesce((SELECT arg_max(value, seq) FROM e WHERE e.claim_id = c.claim_id AND kind = 'edit_product_name'), product_name) AS product_name FROM c),
+w AS (SELECT claim_id, entity_id AS spot, since, NULL::BIGINT AS previous UNION_STEPS)"""
+
+
+@query("replayed_claims", "WITH RECURSIVE " + _REPLAY.replace("UNION_STEPS", "FROM s UNION ALL SELECT w.claim_id, m.target, m.seq, m.source FROM w JOIN m ON m.source = w.spot AND m.seq > w.since WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.source = w.spot AND x.seq > w.since AND x.seq < m.seq)")
+       + " SELECT s.claim_id, status, spot AS entity_id, previous AS previous_entity_id, brand, product_name FROM s JOIN (SELECT claim_id, arg_max(spot, w.since) AS spot, max_by(previous, w.since) AS previous FROM w GROUP BY claim_id) z ON z.claim_id = s.claim_id")
+def replayed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims after a log of actions."""
+    return _replayed(spark, sf_dir)[0]
+
+
+@query("replayed_products", "WITH " + _REPLAY[: _REPLAY.index(", c AS (")].rstrip() + ", p AS (" + _ENTS + ") SELECT entity_id, is_retracted OR entity_id IN (SELECT source FROM m) AS is_retracted FROM p")
+def replayed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products after the same log: what was merged into another is retracted."""
+    return _replayed(spark, sf_dir)[1]
