@@ -156,6 +156,43 @@ def _post_unit(found: Column) -> Column:
     return F.when(base == "", "oz").otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in POST_UNITS.items() for x in kv]), base), base))
 
 
+# Names of brands, the first of which counts.
+KNOWN_BRANDS = [
+    "tropicana", "lays", "lay's", "doritos", "gatorade", "pepsi", "coca-cola", "coke", "hellmann's", "hellmanns", "unilever", "general mills", "cheerios", "nature valley", "tide",
+    "dawn", "bounty", "charmin", "folgers", "maxwell house", "starbucks", "oreo", "nabisco", "mondelez", "campbell's", "campbells", "kraft", "heinz", "heinz ketchup", "kellogg's",
+    "kelloggs", "special k", "frosted flakes", "quaker", "pepsico", "post", "planters", "skippy", "jif", "peanut butter", "trader joe's", "trader joes", "costco", "kirkland",
+    "whole foods", "365", "ben & jerry's", "haagen-dazs", "breyers", "blue bell", "tyson", "perdue", "oscar mayer", "ball park", "hebrew national", "minute maid", "simply orange",
+    "florida's natural", "colgate", "crest", "oral-b", "listerine", "febreze", "glad", "ziploc", "scotch-brite", "stouffer's", "lean cuisine", "marie callender's", "progresso",
+    "amy's", "annie's", "horizon", "tostitos", "ruffles", "cheetos", "fritos", "sun chips", "pringles", "wheat thins", "triscuit", "ritz", "goldfish", "hershey", "reese's", "kit kat",
+    "snickers", "m&m's", "twix", "nestle", "nescafe", "coffee mate", "dreyer's", "edy's", "tillamook", "chobani", "yoplait", "dannon", "oikos", "jimmy dean", "johnsonville",
+    "hillshire", "goya", "old el paso", "taco bell", "mission", "barilla", "ragu", "prego", "classico", "bertolli", "hidden valley", "ranch", "french's", "grey poupon", "velveeta",
+    "philadelphia", "sargento", "borden", "totino's", "digiorno", "red baron", "tombstone", "hot pocket", "hot pockets", "bagel bites", "frito-lay", "frito lay", "pepperidge farm",
+    "smucker's", "smuckers", "welch's", "welchs", "aunt jemima", "pearl milling", "mrs butterworth", "wonder bread", "sara lee", "arnold", "dave's killer bread", "thomas'", "thomas",
+    "entenmann's", "entenmanns", "little debbie", "hostess", "drake's", "scott", "cottonelle", "viva", "kleenex", "puffs", "huggies", "pampers", "luvs", "downy", "gain", "all",
+    "arm & hammer", "oxiclean", "clorox", "lysol", "pine-sol", "mr clean", "dial", "irish spring", "dove", "ivory", "olay", "pantene", "head & shoulders", "suave", "tresemme",
+    "toblerone", "cadbury", "lindt", "ghirardelli", "godiva", "red bull",
+]
+
+
+def known_brand(text: Column, brands: list[str]) -> Column:
+    """The first of the brands, in their order, that stands in a text in small letters between non-letters; null if none does.
+
+    One pass looks at every place for the first brand that stands just there; of what
+    is found the first in the order counts, which is what trying brand after brand gives.
+    """
+    if not brands:
+        return F.lit(None).cast("string")
+    places = F.regexp_extract_all(text, F.lit(rf"(?<![a-z])(?=({'|'.join(map(re.escape, brands))})(?![a-z]))"), F.lit(1))
+    order = F.array(*map(F.lit, brands))
+    first = F.array_min(F.transform(places, lambda b: F.array_position(order, b)))
+    return F.get(order, (first - 1).cast("int"))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_post(text: Column, brands: list[str], prices_once: bool = False) -> Column:
     """What a post says: brand, sizes, unit, prices, shrink words, and how many fields it fills.
 
@@ -168,20 +205,27 @@ def parse_post(text: Column, brands: list[str], prices_once: bool = False) -> Co
     Fields: a brand 1, explicit sizes 2, first and last size 1, a single size 0.
     Each price counts 1; with ``prices_once`` two or more count 1 and one alone 0.
     """
-    lower = F.lower(text)
-    brand = F.coalesce(*[F.when(lower.rlike(rf"(^|[^a-z]){re.escape(b)}([^a-z]|$)"), b) for b in brands]) if brands else F.lit(None).cast("string")
-    part = lambda k: F.when(F.regexp_extract(text, FROM_TO, 1) != "", F.regexp_extract(text, FROM_TO, k)).otherwise(F.regexp_extract(text, ARROW, k))
+    found = F.struct(
+        known_brand(F.lower(text), brands).alias("brand"), F.regexp_extract(text, FROM_TO, 0).alias("from_to"), F.regexp_extract_all(text, F.lit(SIZE), 1).cast("array<double>").alias("sizes"),
+        F.transform(F.regexp_extract_all(text, F.lit(SIZE), 2), _post_unit).alias("units"), F.regexp_extract_all(text, F.lit(PRICE), 1).alias("prices"), F.coalesce(text.rlike(SHRINK_WORDS), F.lit(False)).alias("words"),
+    )
+    arrow = F.regexp_extract(text, ARROW, 0)
+    return _bound(found, lambda f: _bound(F.when(f["from_to"] != "", f["from_to"]).otherwise(arrow), lambda m: _post(f, m, prices_once)))
+
+
+def _post(found: Column, phrase: Column, prices_once: bool) -> Column:
+    """A post's struct from what was found in it; phrase is the from-to pair or the arrow, each looked for once."""
+    brand, sizes, units, prices = found["brand"], found["sizes"], found["units"], found["prices"]
+    part = lambda k: F.when(found["from_to"] != "", F.regexp_extract(phrase, FROM_TO, k)).otherwise(F.regexp_extract(phrase, ARROW, k))
     a, b = (F.nullif(part(k), F.lit("")).cast("double") for k in (1, 3))
     explicit = F.coalesce(a != b, F.lit(False))
     own, other = F.when(b > a, part(2)).otherwise(part(4)), F.when(b > a, part(4)).otherwise(part(2))
-    sizes, units = F.regexp_extract_all(text, F.lit(SIZE), 1).cast("array<double>"), F.transform(F.regexp_extract_all(text, F.lit(SIZE), 2), _post_unit)
     first, last = F.get(sizes, F.lit(0)), F.try_element_at(sizes, F.lit(-1))
     pair = ~explicit & (F.size(sizes) >= 2) & (first != last) & (F.get(units, F.lit(0)) == F.try_element_at(units, F.lit(-1)))
     single = ~explicit & (F.size(sizes) == 1)
     old_size = F.when(explicit, F.greatest(a, b)).when(pair, F.greatest(first, last))
     new_size = F.when(explicit, F.least(a, b)).when(pair, F.least(first, last)).when(single, first)
     unit = F.when(explicit, _post_unit(F.when(own != "", own).otherwise(other))).when(pair | single, F.get(units, F.lit(0)))
-    prices = F.regexp_extract_all(text, F.lit(PRICE), 1)
     old_price = F.when(F.size(prices) >= 2, F.get(prices, F.lit(0)).cast("double"))
     new_price = F.when(F.size(prices) >= 1, F.element_at(prices, -1).cast("double"))
     counted = [old_price] if prices_once else [old_price, new_price]
@@ -189,7 +233,7 @@ def parse_post(text: Column, brands: list[str], prices_once: bool = False) -> Co
     return F.struct(
         brand.alias("brand"), old_size.alias("old_size"), new_size.alias("new_size"), unit.alias("unit"),
         old_price.alias("old_price"), new_price.alias("new_price"), explicit.alias("explicit_from_to"),
-        F.coalesce(text.rlike(SHRINK_WORDS), F.lit(False)).alias("has_shrink_words"), fields.alias("fields_found"),
+        found["words"].alias("has_shrink_words"), fields.alias("fields_found"),
     )
 
 

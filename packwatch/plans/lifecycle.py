@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import lifecycle as L
 from ..operators.actions import replay
 from ..operators.quality import strict_duplicates
+from ..session import shared_folder
+from ..streaming.cascade import Catalogue
+from ..streaming.store import Store
 from .base import TABLES, query, read, view
 
 _MAP = """m AS (SELECT entity_id AS source, first AS target FROM (SELECT entity_id, min(entity_id) OVER (PARTITION BY lower(trim(brand)), regexp_replace(lower(name), '[^a-z0-9]+', '', 'g')) AS first FROM {ent}) WHERE entity_id <> first)"""
@@ -254,3 +259,18 @@ def replayed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replayed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products after the same log: what was merged into another is retracted."""
     return _replayed(spark, sf_dir)[1]
+
+
+@query("cascaded_changes", f"""WITH {_LINKS}, b AS (SELECT event_id, bool_and(status = 'discarded' OR confidence < 0.6) AS bare, bool_or(status <> 'discarded') AS had FROM links JOIN {{claims}} USING (claim_id) GROUP BY event_id),
+ev AS (SELECT event_id, entity_id, NOT is_retracted AS live, NOT is_retracted AND coalesce(bare, FALSE) AS goes FROM {{pub}} LEFT JOIN b USING (event_id)),
+p AS (SELECT entity_id, bool_or(goes) AND bool_and(NOT live OR goes) AS lost FROM ev GROUP BY entity_id)
+SELECT 'event' AS what, event_id AS id FROM ev WHERE goes UNION ALL SELECT 'product', CAST(entity_id AS VARCHAR) FROM {{ent}} JOIN p USING (entity_id) WHERE lost AND pack_size <= 45""")
+def cascaded_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and products that are retracted when claims of little confidence are discarded, read from the changes between two versions."""
+    claims, events = TABLES["claims"](spark, sf_dir), _events(spark, sf_dir)
+    store = Store(spark, f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}")
+    catalogue = Catalogue(store)
+    catalogue.load(claims, events, _links(events, claims), spark.sql(_ENTS, ent=TABLES["ent"](spark, sf_dir)))
+    catalogue.step(0, claims.where("confidence < 0.6").select("claim_id", F.lit("discarded").alias("status")))
+    changed = lambda name, key: store.changes(name, [key], 1).where("kind = 'update' and after.is_retracted").select(F.lit(name[:-1]).alias("what"), F.col(key).cast("string").alias("id"))
+    return changed("events", "event_id").union(changed("products", "entity_id"))

@@ -149,6 +149,20 @@ def parse_text_nlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _posts(spark, sf_dir).select("p_partkey", "post.*", T.product_hint(F.col("t")).alias("product_hint"))
 
 
+# Texts that name two known brands, some with letters next to them or in capitals, in the words of a product.
+_BRANDED = "concat(p_name, CASE p_partkey % 3 WHEN 0 THEN ' x' WHEN 1 THEN '-' ELSE '' END, {0}, CASE p_partkey % 5 WHEN 0 THEN 's ' ELSE ', ' END, {1}, CASE p_partkey % 7 WHEN 0 THEN 'ish' ELSE '' END, ' ', p_brand)"
+_ORDER = "[" + ", ".join("'" + b.replace("'", "''") + "'" for b in T.KNOWN_BRANDS) + "]"
+_NAMED = [f"(p_partkey * {m} + p_size) % {len(T.KNOWN_BRANDS)}" for m in (1, 7)]
+
+
+@query("known_brands", f"""SELECT p_partkey, list_filter({_ORDER}, lambda b: regexp_matches(t, '(^|[^a-z])' || regexp_escape(b) || '([^a-z]|$)'))[1] AS brand FROM (SELECT p_partkey, lower({_BRANDED.format(f"{_ORDER}[{_NAMED[0]} + 1]", f"upper({_ORDER}[{_NAMED[1]} + 1])")}) AS t FROM part)""")
+def known_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known brand that a text names, the first in the order of the list."""
+    order = F.array(*map(F.lit, T.KNOWN_BRANDS))
+    rows = read(spark, sf_dir, "part").withColumns({f"b{k}": F.get(order, F.expr(f"CAST({n} AS INT)")) for k, n in enumerate(_NAMED)})
+    return rows.select("p_partkey", T.known_brand(F.lower(F.expr(_BRANDED.format("b0", "upper(b1)"))), T.KNOWN_BRANDS).alias("brand"))
+
+
 @query("confidence_tier", f"""SELECT p_partkey, CASE WHEN f >= 4 AND brand IS NOT NULL AND explicit_from_to AND has_shrink_words THEN 'auto' WHEN f >= 2 AND has_shrink_words THEN 'review' WHEN f >= 4 AND explicit_from_to THEN 'review' ELSE 'discard' END AS tier FROM (SELECT *, fields_found AS f FROM ({_POST}))""")
 def confidence_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _posts(spark, sf_dir).select("p_partkey", T.confidence_tier(F.col("post")).alias("tier"))

@@ -53,6 +53,24 @@ class Store:
         now = self.manifest()
         return None if now["batches"].get(stream, -1) >= number else Batch(self, now, stream, number)
 
+    def changes(self, name: str, key: list[str], since: int, until: int | None = None) -> DataFrame:
+        """What differs between two versions of a table: key, kind (insert, update, delete), before, after (rows, null where there is none).
+
+        Only parts that were written in between are read.  The key, distinct in the
+        table, may be other columns than those that parts go by.
+        """
+        old, new = (self.manifest(v)["tables"].get(name) if v != 0 else None for v in (since, until))
+        table = new or old
+        if table is None:
+            raise ValueError(f"no table {name} in these versions")
+        left, right = ([] if t is None else t["parts"] for t in (old, new))
+        same = {p["folder"] for p in left} & {p["folder"] for p in right}
+        row = lambda t: F.struct(*[F.col(c) for c in self._read(t, []).columns])
+        before = self._read(old or table, [p for p in left if p["folder"] not in same]).select(*key, row(old or table).alias("before"))
+        after = self._read(table, [p for p in right if p["folder"] not in same]).select(*key, row(table).alias("after"))
+        kind = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")
+        return before.join(after, key, "full").where(~F.col("before").eqNullSafe(F.col("after"))).select(*key, kind.alias("kind"), "before", "after")
+
     def vacuum(self, keep: int = 1) -> None:
         """Deletes folders that none of the last ``keep`` versions reads, and older manifests."""
         last = self.manifest()["version"]

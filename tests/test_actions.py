@@ -5,6 +5,8 @@ import random
 import pytest
 
 from packwatch.operators.actions import effective, merge_ends, replay
+from packwatch.streaming.cascade import Catalogue
+from packwatch.streaming.store import Store
 
 ACTIONS = "seq long, kind string, claim_id long, value string, entity_id long, source long, target long, undoes long"
 
@@ -63,3 +65,51 @@ def test_chains_of_merges_are_doubled(spark):
     chain = [(k, k, k + 1) for k in range(100)] + [(200, 100, 0)]
     got = {r.seq: (r.end, r["last"]) for r in merge_ends(spark.createDataFrame(chain, "seq long, source long, target long")).collect()}
     assert got[0] == (0, 100) and got[99] == (0, 100) and got[200] == (0, 100) and len(got) == 101
+
+
+def test_cascade_equals_rules_applied_until_nothing_changes(spark, tmp_path):
+    """Three batches of discarded claims, retracted events and products; the store's small parts show that others aren't touched."""
+    rng = random.Random(4)
+    claims = {c: rng.choice(["matched", "evidence", "discarded"]) for c in range(60)}
+    events = {f"e{k}": (rng.randrange(15), rng.random() < 0.2) for k in range(40)}
+    links = {(rng.choice(sorted(events)), rng.randrange(60)) for _ in range(70)}
+    products = {p: p == 3 for p in range(16)}
+    store = Store(spark, str(tmp_path), part_rows=3)
+    catalogue = Catalogue(store)
+    frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    catalogue.load(frame(claims.items(), "claim_id long, status string"), frame([(e, p, r) for e, (p, r) in events.items()], "event_id string, entity_id long, is_retracted boolean"), frame(links, "event_id string, claim_id long"), frame(products.items(), "entity_id long, is_retracted boolean"))
+    for number in range(3):
+        changed = {c: "discarded" for c in rng.sample(sorted(claims), 20)} | {0: "matched"}
+        gone = rng.sample(sorted(events), 2) if number == 1 else []
+        taken = [5, 99] if number == 2 else []
+        before = store.manifest()
+        catalogue.step(number, frame(changed.items(), "claim_id long, status string"), frame([(e, events[e][0]) for e in gone], "event_id string, entity_id long") if gone else None, frame([(p,) for p in taken], "entity_id long") if taken else None)
+        assert not catalogue.step(number, frame(changed.items(), "claim_id long, status string"))
+        claims.update(changed)
+        touched = {e for e, c in links if c in changed}
+        goes = {e for e in touched if all(claims[c] == "discarded" for x, c in links if x == e)} | set(gone) | {e for e, (p, _) in events.items() if p in taken}
+        goes = {e for e in goes if not events[e][1]}
+        for e in goes:
+            events[e] = (events[e][0], True)
+        for p in products:
+            mine = [(e, r) for e, (q, r) in events.items() if q == p]
+            if p in taken or any(e in goes for e, _ in mine) and all(r for _, r in mine):
+                products[p] = True
+        assert {r.event_id: (r.entity_id, r.is_retracted) for r in store.read("events").collect()} == events
+        assert {r.entity_id: r.is_retracted for r in store.read("products").collect()} == products
+        feed = store.changes("events", ["event_id"], before["version"]).collect()
+        assert {r.event_id for r in feed} == goes and all(r.kind == "update" and r.after.is_retracted and not r.before.is_retracted for r in feed)
+    assert store.changes("products", ["entity_id"], 0).where("kind <> 'insert'").count() == 0
+
+
+def test_change_feed_of_inserts_updates_and_deletes(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    frame = lambda rows: spark.createDataFrame(rows, "k long, x string")
+    for number, (keys, rows) in enumerate([([1, 2, 3], [(1, "a"), (2, "b"), (3, None)]), ([1, 2, 4], [(1, "a"), (4, "d")]), ([3], [(3, "c")])]):
+        batch = store.begin("s", number)
+        batch.replace("t", ["k"], frame([(k, "") for k in keys]), frame(rows))
+        batch.commit()
+    feed = {r.k: (r.kind, r.before and r.before.x, r.after and r.after.x) for r in store.changes("t", ["k"], 1, 3).collect()}
+    assert feed == {2: ("delete", "b", None), 3: ("update", None, "c"), 4: ("insert", None, "d")}
+    with pytest.raises(ValueError, match="no table"):
+        store.changes("none", ["k"], 1)
