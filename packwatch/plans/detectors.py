@@ -8,6 +8,7 @@ from ..functions.text import normalize_description, normalize_owner, parse_ingre
 from ..functions.units import convert_to_base
 from ..operators import changes
 from ..operators.ingredients import reformulations
+from ..functions.tables import register
 from .base import TABLES, query, read
 
 _CHANGED = "(SELECT *, lag(size) OVER w AS before, lag(observed_date) OVER w AS date_before FROM {obs} WINDOW w AS (PARTITION BY upc ORDER BY observed_date))"
@@ -295,3 +296,35 @@ def ingredient_reformulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     lists = docs.select(F.expr("doc_id div 2").alias("upc"), F.col("doc_id").alias("release"), parse_ingredients(F.col("text")).alias("items"))
     return reformulations(lists, "upc", "release", "items").withColumn("new_at_top", F.array_join("new_at_top", "|"))
+
+
+_WORSE = "CASE WHEN e.{0} > {1} AND l.{0} {2} THEN round((l.{0} - e.{0}) * {3} / e.{0} * 100, 1) END"
+_GATED = ", ".join(f"{_WORSE.format(n, floor, f'BETWEEN e.{n} * 0.5 + 1e-12 AND e.{n} * 0.95 - 1e-12' if sign < 0 else f'BETWEEN e.{n} * 1.05 + 1e-12 AND e.{n} * 1.5 - 1e-12', sign)} AS {n}_{'fall' if sign < 0 else 'rise'}" for n, floor, sign in (("protein", 1, -1), ("fiber", 1, -1), ("sugar", 1, 1), ("sodium", 10, 1)))
+_SUM = "round(coalesce(protein_fall, 0) + coalesce(fiber_fall, 0) + coalesce(sugar_rise, 0) + coalesce(sodium_rise, 0), 1)"
+_RELEASES = [(1996, 2000, 5.0), (1994, 1999, 20.0)]
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> None:
+    register(TABLES["obs"](spark, sf_dir), _yearly(spark, sf_dir), TABLES["raw"](spark, sf_dir))
+
+
+@query("skimp_function", f"WITH y AS ({_YEARLY}), c AS (SELECT e.y AS early, l.y AS late, e.upc, {_GATED} FROM y e JOIN y l ON l.upc = e.upc) SELECT *, {_SUM} AS skimp_score FROM c WHERE " + " OR ".join(f"(early = {a} AND late = {b} AND {_SUM} >= {least})" for a, b, least in _RELEASES))
+def skimp_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function for two pairs of releases and two least scores."""
+    _functions(spark, sf_dir)
+    return spark.sql(" UNION ALL ".join(f"SELECT {a} AS early, {b} AS late, f.* FROM nutrition_skimpflation({a}, {b}, {least}D) f" for a, b, least in _RELEASES))
+
+
+@query("changes_function", "SELECT p_brand AS brand, upc, observed_date, size_before, size AS size_after, round((size - size_before) / size_before * 100, 2) AS pct FROM part JOIN (SELECT *, lag(size) OVER (PARTITION BY upc ORDER BY observed_date) AS size_before FROM {obs}) ON upc = p_partkey WHERE size <> size_before")
+def changes_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function called for every product of a table."""
+    _functions(spark, sf_dir)
+    return spark.sql("SELECT p_brand AS brand, f.* FROM {part}, LATERAL detect_changes_for_product(p_partkey) f", part=read(spark, sf_dir, "part"))
+
+
+@query("daily_stats_function", "SELECT a AS as_of, source_type, source_date AS day, count(*) AS n FROM {raw}, (SELECT unnest([DATE '2024-01-30', DATE '2024-01-12']) AS a, unnest([14, 5]) AS d) WHERE source_date > a - d::INT AND source_date <= a GROUP BY ALL")
+def daily_stats_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function for two days, of the usual and of five days."""
+    _functions(spark, sf_dir)
+    return spark.sql("SELECT DATE '2024-01-30' AS as_of, f.* FROM pipeline_daily_stats(DATE '2024-01-30') f UNION ALL SELECT DATE '2024-01-12', f.* FROM pipeline_daily_stats(DATE '2024-01-12', 5) f")
+
