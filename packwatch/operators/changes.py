@@ -128,11 +128,9 @@ def release_drops(changes: DataFrame, releases: DataFrame, key: str, low: float
 
     changes: key, old_date, new_date, pct; releases: release, all there are.
     """
-    next_of = releases.select("release").distinct()
-    later = next_of.select(F.col("release").alias("later"))
-    pairs = next_of.join(later, F.col("later") > F.col("release")).groupBy("release").agg(F.min("later").alias("later"))  # releases are few
+    pairs = releases.select("release").distinct().withColumn("later", F.lead("release").over(Window.orderBy("release")))  # of the distinct releases, which are few
     kept = without_flipflops(changes, key, "pct", low, high)
-    return kept.join(F.broadcast(pairs) if releases.count() <= 10_000 else pairs, (F.col("old_date") == F.col("release")) & (F.col("new_date") == F.col("later")), "left_semi")
+    return kept.join(pairs, (F.col("old_date") == F.col("release")) & (F.col("new_date") == F.col("later")), "left_semi")
 
 
 def nutrient_deltas(before: DataFrame, after: DataFrame, key: str, bad: dict[str, str], noise: float = 2.0, least: float = 5.0) -> DataFrame:

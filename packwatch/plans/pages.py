@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import records as R
 from ..operators.series import month_spine
@@ -46,17 +46,21 @@ def skimpflation_published(spark: SparkSession, sf_dir: str) -> DataFrame:
 view("offender_flags", "SELECT upc, count(*) FILTER (WHERE NOT is_retracted) > 1 AS is_repeat_offender FROM {chg} WHERE change_type = 'shrinkflation' GROUP BY upc HAVING count(*) FILTER (WHERE NOT is_retracted) >= 1")
 
 
-@query("product_documents", """SELECT upc, concat('{"upc":', upc, ',"versions":[', string_agg(concat('{"d":"', observed_date, '","s":', CAST(size AS BIGINT), '}'), ',' ORDER BY observed_date), '],"changes":[', coalesce(any_value(changes), ''), '],"news":', coalesce(any_value(news), 0), '}') AS doc
-FROM {obs} o LEFT JOIN (SELECT upc AS u, string_agg(concat('{"d":"', date_after, '","t":"', change_type, '"}'), ',' ORDER BY date_after) AS changes FROM {chg} GROUP BY upc) c ON u = upc LEFT JOIN (SELECT user_id, count(*) AS news FROM {raw} WHERE source_type = 'view' GROUP BY user_id) n ON n.user_id = upc GROUP BY upc""")
+@query("product_documents", """SELECT entity_id AS upc, concat('{"product":{"upc":', entity_id, ',"name":"', name, '","brand":"', brand, '","category":"', category, '"', CASE WHEN image_url IS NULL THEN '' ELSE concat(',"image_url":"', image_url, '"') END, '},"versions":[', coalesce(versions, ''), '],"changes":[', coalesce(changes, ''), '],"upvotes":', coalesce(upvotes, 0), '}') AS doc
+FROM {ent} LEFT JOIN (SELECT upc AS u, string_agg(concat('{"observed_date":"', observed_date, '","size":', CAST(size AS BIGINT), ',"store":', store, '}'), ',' ORDER BY observed_date) AS versions FROM {obs} GROUP BY upc) v ON v.u = entity_id
+LEFT JOIN (SELECT upc AS u, string_agg(concat('{"detected_date":"', date_after, '","change_type":"', change_type, '","severity":"', severity, '"}'), ',' ORDER BY date_after) AS changes FROM {chg} GROUP BY upc) c ON c.u = entity_id
+LEFT JOIN (SELECT user_id, count(*) AS upvotes FROM {raw} WHERE source_type = 'click' GROUP BY user_id) n ON n.user_id = entity_id""")
 def product_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A product's versions, changes and number of articles as one JSON document."""
-    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("d")
-    versions = TABLES["obs"](spark, sf_dir).groupBy("upc").agg(F.array_sort(F.collect_list(F.struct(day("observed_date"), F.col("size").cast("bigint").alias("s")))).alias("versions"))
-    found = TABLES["chg"](spark, sf_dir).groupBy("upc").agg(F.array_sort(F.collect_list(F.struct(day("date_after"), F.col("change_type").alias("t")))).alias("changes"))
-    news = TABLES["raw"](spark, sf_dir).where("source_type = 'view'").groupBy(F.col("user_id").alias("upc")).agg(F.count("*").alias("news"))
-    rows = versions.join(found, "upc", "left").join(news, "upc", "left")
-    none = F.array().cast(found.schema["changes"].dataType)
-    return rows.select("upc", F.to_json(F.struct("upc", "versions", F.coalesce("changes", none).alias("changes"), F.coalesce("news", F.lit(0)).alias("news"))).alias("doc"))
+    """A product's fields, versions, changes and number of votes as one JSON document."""
+    day = lambda c, name: F.date_format(c, "yyyy-MM-dd").alias(name)
+    listed = lambda rows, name, *fields: rows.groupBy(F.col("upc").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    versions = listed(TABLES["obs"](spark, sf_dir), "versions", day("observed_date", "observed_date"), F.col("size").cast("bigint").alias("size"), "store")
+    found = listed(TABLES["chg"](spark, sf_dir), "changes", day("date_after", "detected_date"), "change_type", "severity")
+    votes = TABLES["raw"](spark, sf_dir).where("source_type = 'click'").groupBy(F.col("user_id").alias("entity_id")).agg(F.count("*").alias("upvotes"))
+    rows = TABLES["ent"](spark, sf_dir).join(versions, "entity_id", "left").join(found, "entity_id", "left").join(votes, "entity_id", "left")
+    product = F.struct(F.col("entity_id").alias("upc"), "name", "brand", "category", "image_url").alias("product")
+    some = lambda frame, c: F.coalesce(c, F.array().cast(frame.schema[c].dataType)).alias(c)
+    return rows.select(F.col("entity_id").alias("upc"), F.to_json(F.struct(product, some(versions, "versions"), some(found, "changes"), F.coalesce("upvotes", F.lit(0)).alias("upvotes"))).alias("doc"))
 
 
 _SERIES = "SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'All food, urgent' WHEN o_orderpriority = '5-LOW' THEN 'ALL FOOD, low' ELSE o_orderpriority END AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS n FROM {ord} GROUP BY 1, 2"
@@ -156,18 +160,21 @@ def named_retailers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", R.retailer_in(text).alias("retailer"), off.alias("off_topic"))
 
 
-@query("product_page", """SELECT e.entity_id, (SELECT count(*) FROM {pub} p WHERE p.entity_id = e.entity_id AND NOT is_retracted) AS events, (SELECT count(DISTINCT store) FROM {obs} o WHERE o.upc = e.entity_id) AS stores, (SELECT count(*) FROM {raw} r WHERE r.user_id = e.entity_id AND source_type = 'view') AS press,
-  (SELECT least(8, count(DISTINCT p.entity_id)) FROM {pub} p WHERE p.brand = e.brand AND p.change_type = 'shrinkflation' AND p.entity_id <> e.entity_id) AS related FROM {ent} e""")
+@query("product_page", """WITH x AS (SELECT entity_id, string_agg(concat(observed_date, ' ', change_type), ',' ORDER BY observed_date) AS events FROM {pub} WHERE NOT is_retracted GROUP BY 1),
+s AS (SELECT upc AS entity_id, string_agg(DISTINCT CAST(store AS VARCHAR), ',' ORDER BY CAST(store AS VARCHAR)) AS stores FROM {obs} GROUP BY 1), p AS (SELECT user_id AS entity_id, string_agg(raw_id, ',' ORDER BY raw_id) AS press FROM {raw} WHERE source_type = 'view' GROUP BY 1),
+b AS (SELECT brand, entity_id, count(*) AS n FROM {pub} WHERE change_type = 'shrinkflation' GROUP BY 1, 2), k AS (SELECT e.entity_id, b.entity_id AS other, row_number() OVER (PARTITION BY e.entity_id ORDER BY n DESC, b.entity_id) AS r FROM {ent} e JOIN b ON b.brand = e.brand AND b.entity_id <> e.entity_id),
+r AS (SELECT entity_id, string_agg(other, ',' ORDER BY r) AS related FROM k WHERE r <= 8 GROUP BY 1)
+SELECT e.entity_id, name, events, stores, press, related FROM {ent} e LEFT JOIN x USING (entity_id) LEFT JOIN s USING (entity_id) LEFT JOIN p USING (entity_id) LEFT JOIN r USING (entity_id)""")
 def product_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many events, stores, articles and related products a product's page shows."""
-    ent, pub = TABLES["ent"](spark, sf_dir).select("entity_id", "brand"), TABLES["pub"](spark, sf_dir)
-    count = lambda rows, key, name, agg: rows.groupBy(F.col(key).alias("entity_id")).agg(agg.alias(name))
-    events = count(pub.where("not is_retracted"), "entity_id", "events", F.count("*"))
-    stores = count(TABLES["obs"](spark, sf_dir), "upc", "stores", F.countDistinct("store"))
-    press = count(TABLES["raw"](spark, sf_dir).where("source_type = 'view'"), "user_id", "press", F.count("*"))
-    shrunk = pub.where("change_type = 'shrinkflation'").select("brand", "entity_id").distinct()
-    rail = shrunk.groupBy("brand").agg(F.count("*").alias("k"))
-    own = shrunk.select("entity_id", F.lit(1).alias("own"))
-    rows = ent.join(events, "entity_id", "left").join(stores, "entity_id", "left").join(press, "entity_id", "left").join(rail, "brand", "left").join(own, "entity_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return rows.select("entity_id", zero("events"), zero("stores"), zero("press"), F.least(F.lit(8), F.coalesce("k", F.lit(0)) - F.coalesce("own", F.lit(0))).cast("long").alias("related"))
+    """What a product's page shows: its live events, stores, articles, and the eight products of its brand that shrank most often."""
+    ent, pub = TABLES["ent"](spark, sf_dir).select("entity_id", "brand", "name"), TABLES["pub"](spark, sf_dir)
+    events = pub.where("not is_retracted").groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.col("observed_date").cast("string"), "change_type"))), ",").alias("events"))
+    stores = TABLES["obs"](spark, sf_dir).groupBy(F.col("upc").alias("entity_id")).agg(F.array_join(F.array_sort(F.collect_set(F.col("store").cast("string"))), ",").alias("stores"))
+    press = TABLES["raw"](spark, sf_dir).where("source_type = 'view'").groupBy(F.col("user_id").alias("entity_id")).agg(F.array_join(F.array_sort(F.collect_list("raw_id")).cast("array<string>"), ",").alias("press"))
+    shrunk = pub.where("change_type = 'shrinkflation'").groupBy("brand", "entity_id").agg(F.count("*").alias("n"))
+    ranked = shrunk.withColumn("r", F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("n"), "entity_id"))).where("r <= 9")  # one more than shown, as a product isn't its own neighbour
+    rail = ranked.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("r", "entity_id"))).alias("rail"))
+    rows = ent.join(events, "entity_id", "left").join(stores, "entity_id", "left").join(press, "entity_id", "left").join(rail, "brand", "left")
+    others = F.slice(F.filter(F.transform("rail", lambda x: x["entity_id"]), lambda e: e != F.col("entity_id")), 1, 8)
+    return rows.select("entity_id", "name", "events", "stores", "press", F.nullif(F.array_join(others.cast("array<string>"), ","), F.lit("")).alias("related"))
+

@@ -3,8 +3,8 @@ import pytest
 from packwatch.plans import catalog
 from support import DATA, same
 
-#: Queries whose order-dependent or streaming meaning SQL doesn't express.
-ROWS_ONLY = {"dedup_entities_fuzzy", "ingest_incremental"}
+#: Queries whose order-dependent meaning SQL doesn't express.
+ROWS_ONLY = {"dedup_entities_fuzzy"}
 
 
 def test_flagship_is_registered():
