@@ -10,6 +10,7 @@ size, and is walked for all distinct words of a run of texts at a time.
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
+    """Tokens of a vocabulary file on the driver."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: give its path or its tokens")
     with open(path, "rb") as lines:
         return [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
 
@@ -111,7 +115,8 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes] | None = None, path: s
     split at ASCII white space and each is matched with one space before it.
     Returns doc_id, n_words, n_tokens, n_bytes.  Null and empty texts have none of
     each; rows that share an id keep their own rows; an empty table gives an empty
-    table.
+    table.  Without a ``vocabulary`` the driver reads that of ``path``, a local file; a
+    missing one is an error before any job starts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(vocabulary if vocabulary is not None else read_vocabulary(path)))  # as large as the vocabulary
 
