@@ -62,6 +62,7 @@ SIZE = (
     r"sq\.?\s*ft|pt|pint[s]?|qt|quart[s]?|gal|gallon[s]?)"
 )
 PRICE = r"(?i)\$\s*(\d+(?:\.\d{1,2})?)"
+# Units of posts, without a plural s.
 POST_UNITS = {"fl oz": "fl oz", "fl. oz": "fl oz", "ounce": "oz", "pound": "lb", "gram": "g", "liter": "l", "pint": "pt", "quart": "qt", "gallon": "gal", "sheet": "sheets", "roll": "rolls", "piece": "ct", "sq ft": "sq ft", "sq. ft": "sq ft"}
 
 

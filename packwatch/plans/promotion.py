@@ -38,7 +38,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     part, events, orders = read(spark, sf_dir, "part"), read(spark, sf_dir, "events"), TABLES["ord"](spark, sf_dir)
     frame = lambda sql, **tables: spark.sql(sql, **tables)
     claims = frame(_CLAIMS, ord=orders, part=part)
-    live = Promotion(Store(spark, f"{shared_folder(spark)}/promotion-{uuid.uuid4().hex}"), frame(_ENTITIES, part=part), frame(_VARIANTS, part=part), frame(_EVENTS, part=part), frame(_RAW, events=events), AS_OF)
+    live = Promotion(Store(spark, f"{shared_folder(spark)}/promotion-{uuid.uuid4().hex}"), frame(_ENTITIES, part=part), frame(_VARIANTS, part=part), frame(_EVENTS, part=part), frame(_RAW, events=events), AS_OF, ["events", "folded"])
     late = F.year("extracted_at") >= 1998
     for number, rows in enumerate((claims.where(late), claims.where(~late))):
         live.step(rows, number)

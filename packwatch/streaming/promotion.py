@@ -24,8 +24,10 @@ class Promotion:
     it is written.  All tables of a batch take effect together.
     """
 
-    def __init__(self, store: Store, entities: DataFrame, variants: DataFrame, events: DataFrame, raw_items: DataFrame, today: str):
+    def __init__(self, store: Store, entities: DataFrame, variants: DataFrame, events: DataFrame, raw_items: DataFrame, today: str, results: list[str] | None = None):
+        """``results``: the tables to keep, all of RESULTS if not given; what only others need isn't kept either."""
         self.store, self.entities, self.variants, self.events, self.raw_items, self.today = store, entities, variants, events, raw_items, today
+        self.results = RESULTS if results is None else results
 
     def run(self, stream: DataFrame, checkpoint: str, name: str = "claims"):
         """Promotes a stream of claims until its end; a batch that is run again changes nothing twice."""
@@ -56,25 +58,30 @@ class Promotion:
         by_event = hold(self._group(batch, "by_event", _EVENT, touched, sized, names))
         outcomes = hold(P.outcomes(by_event, self.events))
         made, folded = P.made_events(outcomes)
-        event = ["entity_id", "size_before", "size_after"]
+        event, wanted = ["entity_id", "size_before", "size_after"], set(self.results)
         events = touched.toDF(*event)
-        batch.replace("events", event, events, made)
-        joined = outcomes.where("known_event is not null").groupBy("known_event").agg(*[F.any_value(c).alias(c) for c in _EVENT])
-        folded = folded.join(joined, F.col("event_id") == F.col("known_event")).select(F.col("resolved").alias("entity_id"), F.col("old").alias("size_before"), F.col("new").alias("size_after"), "event_id", "more_evidence", "evidence")
-        batch.replace("folded", event, events, folded)
-
-        codes = [live.select("variant_id")] + ([before.select("variant_id").where("variant_id is not null")] if before is not None else [])
-        codes = hold(reduce(DataFrame.union, codes).distinct())
-        batch.replace("variants", ["variant_id"], codes, P.made_variants(self._group(batch, "by_variant", ["variant_id"], codes, live, names)))
-
-        unsized = live.where("old is null or new is null")
-        decided = P.decisions(by_event.select("claim_id", "resolved", "variant_id").union(unsized.select("claim_id", "resolved", "variant_id")), outcomes).unionByName(P.refusals(mine))
-        batch.replace("decided", ["claim_id"], ids.union(by_event.select("claim_id")), decided)
-        batch.replace("observations", ["claim_id"], ids, P.made_observations(live))
+        if "events" in wanted:
+            batch.replace("events", event, events, made)
+        if "folded" in wanted:
+            joined = outcomes.where("known_event is not null").groupBy("known_event").agg(*[F.any_value(c).alias(c) for c in _EVENT])
+            folded = folded.join(joined, F.col("event_id") == F.col("known_event")).select(F.col("resolved").alias("entity_id"), F.col("old").alias("size_before"), F.col("new").alias("size_after"), "event_id", "more_evidence", "evidence")
+            batch.replace("folded", event, events, folded)
+        if "variants" in wanted:
+            codes = [live.select("variant_id")] + ([before.select("variant_id").where("variant_id is not null")] if before is not None else [])
+            codes = hold(reduce(DataFrame.union, codes).distinct())
+            batch.replace("variants", ["variant_id"], codes, P.made_variants(self._group(batch, "by_variant", ["variant_id"], codes, live, names)))
+        if "decided" in wanted:
+            unsized = live.where("old is null or new is null")
+            decided = P.decisions(by_event.select("claim_id", "resolved", "variant_id").union(unsized.select("claim_id", "resolved", "variant_id")), outcomes).unionByName(P.refusals(mine))
+            batch.replace("decided", ["claim_id"], ids.union(by_event.select("claim_id")), decided)
+        if "observations" in wanted:
+            batch.replace("observations", ["claim_id"], ids, P.made_observations(live))
         entities = P.made_entities(live)
         products = F.concat(F.lit("new-"), F.col("key"))
-        batch.replace("entities", ["entity_id"], names.select(products.alias("entity_id")), entities.drop("claim_id"))
-        batch.replace("flags", ["target"], names.select(products.alias("target")), P.suspect_flags(entities))
+        if "entities" in wanted:
+            batch.replace("entities", ["entity_id"], names.select(products.alias("entity_id")), entities.drop("claim_id"))
+        if "flags" in wanted:
+            batch.replace("flags", ["target"], names.select(products.alias("target")), P.suspect_flags(entities))
         batch.commit()
         for frame in held:
             frame.unpersist()
@@ -109,5 +116,5 @@ class Promotion:
 
     def tables(self) -> dict[str, DataFrame]:
         """The results as of the last batch, with the columns of ``promote``."""
-        out = {name: self.store.read(name) for name in RESULTS}
+        out = {name: self.store.read(name) for name in self.results}
         return {name: frame.drop("entity_id", "size_before", "size_after") if name == "folded" else frame for name, frame in out.items()}
