@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.search import holding
 from ..operators.series import month_spine, run_summary, spaced, year_over_year
+from ..session import shared_folder
+from ..sources.paging import Pages, write_sorted
 from .base import TABLES, query, view
 from .views import AS_OF
 
@@ -125,3 +130,12 @@ SELECT upc, observed_date, size FROM s WHERE n <= 6 OR list_contains(list_transf
 def spaced_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most six snapshots of a product: the oldest, the newest and four evenly spaced between."""
     return spaced(TABLES["obs"](spark, sf_dir).select("upc", "observed_date", "size"), "upc", "observed_date", 6)
+
+
+@query("keyset_pages", " UNION ALL ".join(f"SELECT {after} AS after, * FROM (SELECT claim_id, entity_id, status, confidence FROM {{claims}} WHERE claim_id > {after} ORDER BY claim_id LIMIT 40)" for after in (-1, 321, 1480)))
+def keyset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of all claims behind three keys, read through the index of a sorted table."""
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    write_sorted(TABLES["claims"](spark, sf_dir).select("claim_id", "entity_id", "status", "confidence"), "claim_id", path, rows_per_file=1000)
+    pages = Pages(spark, path, "claim_id")
+    return reduce(DataFrame.union, [pages.after(after, 40).select(F.lit(after).alias("after"), "claim_id", "entity_id", "status", "confidence") for after in (-1, 321, 1480)])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from packwatch.functions.tables import register
 from packwatch.functions.text import KNOWN_BRANDS, known_brand
+from packwatch.sources.paging import Pages, write_sorted
 from packwatch.sources.zipped import ZippedCsv
 
 
@@ -49,3 +50,22 @@ def test_first_known_brand_equals_trying_one_after_the_other(spark):
     for r in got:
         assert r.b == next((b for b in KNOWN_BRANDS if re.search(rf"(?<![a-z]){re.escape(b)}(?![a-z])", texts[r.id])), None), texts[r.id]
     assert spark.range(1).select(known_brand(F.lit("coke"), []).alias("b")).first().b is None
+
+
+def test_pages_open_the_files_that_hold_them(spark, tmp_path):
+    keys = random.Random(1).sample(range(0, 3000, 3), 400)
+    write_sorted(spark.createDataFrame([(k, f"x{k}") for k in keys] + [(None, "none")], "id long, x string").repartition(3), "id", str(tmp_path / "t"), rows_per_file=30)
+    pages, keys = Pages(spark, str(tmp_path / "t"), "id"), sorted(keys)
+    assert pages.index.count() >= 14
+    for last, n in ((None, 20), (keys[0], 20), (keys[100], 5), (keys[101] + 1, 10), (keys[250], 70), (keys[-5], 20), (keys[-1], 20), (99999, 20), (-5, 3)):
+        page = pages.after(last, n)
+        expected = [k for k in keys if last is None or k > last][:n]
+        assert [r.id for r in page.collect()] == expected
+        assert len(page.inputFiles()) <= 2 + n // 25
+    one = pages.after(pages.index.orderBy("first").first()["first"], 5)
+    assert len(one.inputFiles()) == 1
+    seen, last = [], None
+    while page := pages.after(last, 90).collect():
+        seen += [r.id for r in page]
+        last = seen[-1]
+    assert seen == keys
