@@ -173,6 +173,30 @@ def seed_manufacturers(entities: DataFrame, seeds: DataFrame, force: bool = Fals
     return entities.join(chosen, "entity_id", "left").withColumn("seeded", F.col("maker").isNotNull()).withColumn("manufacturer", F.coalesce("maker", "manufacturer")).drop("maker")
 
 
+# Properties of a brand that lead to its maker, in the order of trial (manufacturer, owner, parent organisation), and the one of an item's class.
+MAKER_PROPERTIES = ["P176", "P127", "P749"]
+CLASS_PROPERTY = "P31"
+# Classes of items that are no makers (people, states, funds, exchanges and what is too general).
+DENIED_CLASSES = ["Q5", "Q6256", "Q3624078", "Q484652", "Q1052300", "Q15911314", "Q1330709", "Q4671277", "Q11691", "Q161726", "Q210167", "Q1799794", "Q34770", "Q1063239", "Q15265344", "Q43229"]
+
+
+def chase_manufacturers(brands: DataFrame, triples: DataFrame, labels: DataFrame, deny: list[str] = DENIED_CLASSES) -> DataFrame:
+    """The maker of each brand that landed triples lead to: brand, manufacturer.
+
+    brands: brand, qid; triples: subject, property, object; labels: qid, label.  The
+    properties are tried in their order; an object without a label, whose label is an
+    address or a bare id, that is the brand itself or of a denied class doesn't count.  Of several of one property the first label counts.  Brands without any
+    are left out.
+    """
+    order = F.array_position(F.array(*map(F.lit, MAKER_PROPERTIES)), F.col("property"))
+    leads = triples.where(F.col("property").isin(MAKER_PROPERTIES)).select(F.col("subject").alias("qid"), order.alias("place"), F.col("object").alias("parent"))
+    denied = triples.where((F.col("property") == CLASS_PROPERTY) & F.col("object").isin(deny)).select(F.col("subject").alias("parent"))
+    named = labels.select(F.col("qid").alias("parent"), F.trim("label").alias("label")).where(r"label <> '' and not startswith(label, 'http') and not rlike(label, '^Q[0-9]+$')")
+    # a brand leads to an item at most once for each property, however often the triple landed
+    found = brands.select("brand", "qid").join(leads.distinct(), "qid").join(denied, "parent", "left_anti").join(named, "parent").where("parent <> qid")
+    return found.groupBy("brand").agg(F.min(F.struct("place", "label")).alias("r")).select("brand", F.col("r.label").alias("manufacturer"))
+
+
 def retract_cascade(products: DataFrame, events: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     """Retracts products that meet a condition, and their events."""
     gone = products.where(condition).select("entity_id", F.lit(True).alias("gone"))

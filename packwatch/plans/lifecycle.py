@@ -274,3 +274,20 @@ def cascaded_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue.step(0, claims.where("confidence < 0.6").select("claim_id", F.lit("discarded").alias("status")))
     changed = lambda name, key: store.changes(name, [key], 1).where("kind = 'update' and after.is_retracted").select(F.lit(name[:-1]).alias("what"), F.col(key).cast("string").alias("id"))
     return changed("events", "event_id").union(changed("products", "entity_id"))
+
+
+# Triples that stand for a knowledge base: each brand leads to suppliers of its products by one of the properties, each supplier is of its nation's class; labels that are empty, addresses, bare ids or a brand occur.
+_TRIPLES = """SELECT p_brand AS subject, CASE WHEN l_suppkey % 10 = 0 THEN 'P176' WHEN l_suppkey % 3 = 0 THEN 'P127' WHEN l_suppkey % 3 = 1 THEN 'P749' ELSE 'P17' END AS property, concat('S', l_suppkey) AS object FROM {lines} JOIN {part} ON p_partkey = l_partkey
+UNION ALL SELECT concat('S', s_suppkey), 'P31', concat('C', s_nationkey) FROM {supplier}"""
+_LABELS = "SELECT concat('S', s_suppkey) AS qid, CASE s_suppkey % 7 WHEN 0 THEN concat('http://x/', s_suppkey) WHEN 1 THEN concat('Q', s_suppkey) WHEN 2 THEN '' WHEN 3 THEN concat('brand#1', s_suppkey % 5 + 1) ELSE s_name END AS label FROM {supplier}"
+_DENIED = [f"C{k}" for k in (0, 3, 7, 11, 12, 13, 20)]
+
+
+@query("chased_manufacturers", f"""WITH t AS ({_TRIPLES}), l AS ({_LABELS}), c AS (SELECT subject AS brand, label, CASE property WHEN 'P176' THEN 1 WHEN 'P127' THEN 2 ELSE 3 END AS place FROM t JOIN l ON qid = object WHERE property IN ('P176', 'P127', 'P749')
+  AND label <> '' AND NOT starts_with(label, 'http') AND NOT regexp_matches(label, '^Q[0-9]+$') AND object <> subject AND NOT EXISTS (SELECT 1 FROM t k WHERE k.subject = t.object AND k.property = 'P31' AND k.object IN {tuple(_DENIED)}))
+SELECT brand, arg_min(label, (place, label)) AS manufacturer FROM c GROUP BY brand""".replace("{lines}", "lineitem").replace("{part}", "part").replace("{supplier}", "supplier"))
+def chased_manufacturers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Makers of brands by manufacturer, owner or parent, without denied classes."""
+    tables = {"lines": read(spark, sf_dir, "lineitem"), "part": read(spark, sf_dir, "part"), "supplier": read(spark, sf_dir, "supplier")}
+    brands = tables["part"].select(F.col("p_brand").alias("brand"), F.col("p_brand").alias("qid")).distinct()
+    return L.chase_manufacturers(brands, spark.sql(_TRIPLES, **tables), spark.sql(_LABELS, supplier=tables["supplier"]), _DENIED)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from packwatch.operators import lifecycle
 from packwatch.operators.actions import effective, merge_ends, replay
 from packwatch.streaming.cascade import Catalogue
 from packwatch.streaming.store import Store
@@ -113,3 +114,11 @@ def test_change_feed_of_inserts_updates_and_deletes(spark, tmp_path):
     assert feed == {2: ("delete", "b", None), 3: ("update", None, "c"), 4: ("insert", None, "d")}
     with pytest.raises(ValueError, match="no table"):
         store.changes("none", ["k"], 1)
+
+
+def test_makers_by_property_label_and_class(spark):
+    triples = [("b1", "P749", "big"), ("b1", "P127", "fund"), ("b1", "P127", "own"), ("b1", "P127", "own"), ("fund", "P31", "c9"), ("b2", "P176", "b2"), ("b2", "P176", "url"), ("b2", "P176", "bare"), ("b2", "P176", "none"), ("b2", "P749", "big"), ("b2", "P17", "own"), ("b3", "P176", "fund"), ("b4", "P176", "z"), ("b4", "P176", "a")]
+    labels = [("big", " Big Co "), ("fund", "A Fund"), ("own", "Owner"), ("b2", "TWO"), ("url", "http://x"), ("bare", "Q12"), ("none", ""), ("z", "Zed"), ("a", "Abe")]
+    brands = spark.createDataFrame([("One", "b1"), ("Two", "b2"), ("Three", "b3"), ("Four", "b4"), ("Five", "b5"), ("Six", None)], "brand string, qid string")
+    got = lifecycle.chase_manufacturers(brands, spark.createDataFrame(triples, "subject string, property string, object string"), spark.createDataFrame(labels, "qid string, label string"), ["c9"])
+    assert sorted(tuple(r) for r in got.collect()) == [("Four", "Abe"), ("One", "Owner"), ("Two", "Big Co")]
