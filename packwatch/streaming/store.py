@@ -118,7 +118,7 @@ class Batch:
         table = self.before["tables"].get(name) or {"keys": keys, "schema": _ddl(rows), "parts": []}
         touched = touched.select(*keys)
         total = round(sum(p["rows"] for p in table["parts"]))  # what this batch adds counts from the next one on
-        depth = max([p["depth"] for p in table["parts"]] + [max(0, (-(-total // self.store.part_rows) - 1).bit_length())])
+        depth = max([p["depth"] for p in table["parts"]] + [(max(1, -(-total // self.store.part_rows)) - 1).bit_length()])
         met = self._met(table, depth, touched)
         new = rows
         if met:
@@ -128,7 +128,7 @@ class Batch:
         (new.hint("rebalance", "_part") if depth else new).write.partitionBy("_part").parquet(folder)  # a file or a few for each part
         files, where = self.store._at(folder)
         written = [int(n[6:]) for n in (f.getPath().getName() for f in files.listStatus(where)) if n.startswith("_part=")]
-        n = seen.get["n"]
+        n = seen.get["n"] if written else 0  # a plan that is known to be empty observes nothing
         parts = [p for p in table["parts"] if p not in met] + [{"depth": depth, "part": k, "folder": f"{folder}/_part={k}", "rows": n / len(written)} for k in written]
         self.after["tables"][name] = {**table, "parts": parts}
 
