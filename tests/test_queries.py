@@ -49,3 +49,12 @@ def tied(tmp_path):
 def test_means_between_tenths_round_as_in_sql(spark, tied):
     folder, con = tied
     same(catalog.QUERIES["product_index"](spark, folder), con.sql(catalog.ORACLE_SQL["product_index"]))
+
+
+def test_each_matched_claim_has_its_events_summary(spark):
+    rows = {r.claim_id: r for r in catalog.QUERIES["stuck_cleanup"](spark, DATA).collect()}
+    assert sum(r.status == "evidence" for r in rows.values()) > 10
+    for r in rows.values():
+        assert (r.summary is not None) == (r.status in ("matched", "evidence"))
+        if r.status == "evidence":
+            assert str(r.claim_id) in r.summary.split(",")
