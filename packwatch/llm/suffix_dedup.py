@@ -7,10 +7,11 @@ one minimizer's place form a segment.  Equal windows agree in half of what is le
 of a window on one side of the minimizer at least; a segment whose two such flanks
 one document alone has holds no repeat and isn't sent.  So far hashes only route:
 they bring together what may be equal.  In a bucket, segments of the same bytes are
-one variant with its earliest document.  The suffix array of a bucket's variants,
-built by linear grouping, puts equal strings side by side, and each run of
-neighbours that agree in ``window`` bytes belongs to its earliest document: no
-window is removed but by such a run.
+one variant with its earliest document, and variants that equal flanks link form a
+group.  The suffix array of a group's variants, built by linear grouping, puts equal
+strings side by side, and each run of neighbours that agree in ``window`` bytes
+belongs to its earliest document: no window is removed but by such a run.  The
+strings of one variant all differ, so one that is a group alone needs no sorting.
 
 As in substring dedup, documents are dealt to slices by ranges of doc_id, and a
 slice sends a packed row to each part of the buckets, with each distinct
@@ -176,11 +177,13 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         data = np.frombuffer(b"".join(table["text"].to_pylist()), np.uint8)
         length = sent["length"].astype(np.int64)
         start = np.cumsum(length) - length
-        hashes = [np.zeros(0, np.uint64)]
+        hashes = [np.zeros((3, 0), np.uint64)]
         for i, j in chunks(np.r_[start, len(data)]):
             own = start[i:j] - start[i]
-            hashes.append(mix(Prefixes(_BYTES[data[start[i] : start[j - 1] + length[j - 1]]], _P).runs(own, own + length[i:j]) ^ sent["key"][i:j]))
-        identity = np.concatenate(hashes)
+            prefixes = Prefixes(_BYTES[data[start[i] : start[j - 1] + length[j - 1]]], _P)
+            sides = flanks(prefixes, own + sent["at"][i:j], own, own + length[i:j], k, (window - k) // 2)
+            hashes.append(np.stack([mix(prefixes.runs(own, own + length[i:j]) ^ sent["key"][i:j]), *sides]))
+        identity, left, right = np.concatenate(hashes, axis=1)
         when = (slices << 32) | sent["ordinal"].astype(np.int64)
         by = np.lexsort((when, identity, sent["key"]))
         key, ident = sent["key"][by], identity[by]
@@ -190,15 +193,25 @@ def duplicates(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
         lead = by[new]  # the earliest entry of each variant
         earliest = when[lead]
         # which windows of each variant belong to which time
-        bucket = np.flatnonzero(np.r_[True, sent["key"][lead][1:] != sent["key"][lead][:-1]])
+        group = _by_flank(left[lead], right[lead])
+        members = np.argsort(group, kind="stable")
+        bucket = np.flatnonzero(np.r_[True, group[members][1:] != group[members][:-1]])
         many = np.diff(np.r_[bucket, len(lead)])
         owner, mask, time = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for text, bounds, where in _bucket_texts(bucket, many, lead, start, length, data):
-            order = bounds[0] + np.array(suffix_array(text.tolist()), dtype=np.int64) if len(text) > LONG and len(bounds) == 2 else suffix_arrays(text, bounds)
-            o, m, t = _equal_neighbours(text, order, where, earliest, window)
-            owner.append(o)
-            mask.append(m)
-            time.append(t)
+        # a variant that no other can share a string with holds a repeat only where several documents hold it whole
+        lone = (many == 1) & ((np.bincount(variant, minlength=len(lead)) > 1) | (np.bincount(variant, sent["several"][by], len(lead)) > 0))[members[bucket]]
+        for chosen in (many > 1, lone):
+            for text, bounds, where in _bucket_texts(bucket[chosen], many[chosen], members, lead, start, length, data):
+                if chosen is lone:
+                    order = np.arange(len(text))  # strings of one segment all differ, as each has the minimizer in another place
+                elif len(text) > LONG and len(bounds) == 2:
+                    order = bounds[0] + np.array(suffix_array(text.tolist()), dtype=np.int64)
+                else:
+                    order = suffix_arrays(text, bounds)
+                o, m, t = _equal_neighbours(text, order, where, earliest, window)
+                owner.append(o)
+                mask.append(m)
+                time.append(t)
         owner, mask, time = np.concatenate(owner), np.concatenate(mask), np.concatenate(time)
         sort = np.argsort(owner, kind="stable")
         owner, mask, time = owner[sort], mask[sort], time[sort]
@@ -277,12 +290,40 @@ def _same_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray, asked:
     return same
 
 
-def _bucket_texts(bucket, many, lead, start, length, data):
-    """Texts of buckets with several variants: symbols, bounds of the texts, and the variant at each place.
+def _by_flank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each variant, the same for those that are linked by equal flanks (0 for none), however many steps apart.
 
-    A bucket's variants stand one after another with a 1 behind each; bytes are 2 and up.
+    Equal strings agree in one flank, so variants with other numbers have no string in
+    common; equal hashes of unequal flanks only bring more variants together.
     """
-    total = np.add.reduceat(np.r_[length[lead] + 1, 0], np.stack([bucket, bucket + many], 1).ravel())[::2] if len(bucket) else np.zeros(0, np.int64)
+    group = np.arange(len(left))
+    sides = []
+    for flank in (left, right):
+        by = np.argsort(flank, kind="stable")
+        by = by[flank[by] > 0]
+        if len(by):
+            run = np.flatnonzero(np.r_[True, flank[by][1:] != flank[by][:-1]])
+            sides.append((by, run, np.diff(np.r_[run, len(by)])))
+    while True:
+        before = group
+        for by, run, many in sides:
+            least = np.repeat(np.minimum.reduceat(group[by], run), many)
+            lower = group.copy()
+            np.minimum.at(lower, group[by], least)  # what a number stood for moves along with it
+            lower[by] = np.minimum(lower[by], least)
+            group = lower[lower]
+        if np.array_equal(before, group):
+            return group
+
+
+def _bucket_texts(bucket, many, members, lead, start, length, data):
+    """Texts of groups of variants: symbols, bounds of the texts, and the variant at each place.
+
+    ``bucket``: where the groups begin in ``members``; ``many``: their variants.  These
+    stand one after another with a 1 behind each; bytes are 2 and up.
+    """
+    bounds = np.r_[0, np.cumsum(length[lead[members]] + 1)]
+    total = bounds[bucket + many] - bounds[bucket]
     by = np.argsort(-total, kind="stable")  # of like lengths, so that a step has work in most texts
     at = 0
     while at < len(by):
@@ -291,7 +332,7 @@ def _bucket_texts(bucket, many, lead, start, length, data):
             to = at + max(1, int(np.searchsorted(np.cumsum(total[by[at:]]), STEP_BYTES, side="right")))
         chosen = by[at:to]
         at = to
-        variants = _spans(bucket[chosen], many[chosen])
+        variants = members[_spans(bucket[chosen], many[chosen])]
         entries = lead[variants]
         n = length[entries]
         symbols = np.ones(int((n + 1).sum()), dtype=np.int64)

@@ -80,6 +80,28 @@ def sent_by_value():
         cloudpickle.unregister_pickle_by_value(module)
 
 
+def test_variants_without_a_common_flank_are_not_sorted(spark, monkeypatch, sent_by_value):
+    """Whole copies leave one variant to a group, whose strings all differ; only its neighbours are compared."""
+
+    def refused(*_):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(suffix_dedup, "suffix_array", refused)
+    monkeypatch.setattr(suffix_dedup, "suffix_arrays", refused)
+    texts = [" ".join(f"w{(k + 1) * (i + 3) * 7919 % 10007}" for k in range(60)) for i in range(5)]
+    rows = spark.createDataFrame([(n, texts[n % 5]) for n in range(15)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.duplicates(rows).select("doc_id", "n_removed").collect()}
+    assert got == {n: 0 if n < 5 else len(texts[n % 5]) for n in range(15)}
+
+
+def test_groups_follow_equal_flanks_over_several_steps():
+    left, right = np.array([5, 5, 0, 7, 0, 9], np.uint64), np.array([0, 3, 3, 0, 8, 0], np.uint64)
+    assert suffix_dedup._by_flank(left, right).tolist() == [0, 0, 0, 3, 4, 5]
+    n = 200  # a chain
+    steps = np.arange(n, dtype=np.uint64)
+    assert set(suffix_dedup._by_flank(steps // np.uint64(2) + np.uint64(1), (steps + np.uint64(1)) // np.uint64(2)).tolist()) == {0}
+
+
 def test_every_removed_byte_is_decided_by_neighbours_in_a_suffix_array(docs, monkeypatch, sent_by_value):
     """Without the runs of neighbours nothing is removed, whichever hashes agree."""
     assert suffix_dedup.duplicates(docs).where("n_removed > 0").count() > 5
