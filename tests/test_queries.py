@@ -58,3 +58,7 @@ def test_each_matched_claim_has_its_events_summary(spark):
         assert (r.summary is not None) == (r.status in ("matched", "evidence"))
         if r.status == "evidence":
             assert str(r.claim_id) in r.summary.split(",")
+
+
+def test_work_on_pages_is_dealt_to_all_cores(spark):
+    assert catalog.QUERIES["html_size_extract"](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
