@@ -62,3 +62,9 @@ def test_each_matched_claim_has_its_events_summary(spark):
 
 def test_work_on_pages_is_dealt_to_all_cores(spark):
     assert catalog.QUERIES["html_size_extract"](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["dominant_source", "evidence_sources", "events_without_image", "fuzzy_duplicate_groups", "reassigned_events", "dedup_events_wide"])
+def test_makers_are_not_looked_up_where_no_column_needs_them(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "s_nationkey" not in plan
