@@ -68,3 +68,8 @@ def test_work_on_pages_is_dealt_to_all_cores(spark):
 def test_makers_are_not_looked_up_where_no_column_needs_them(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "s_nationkey" not in plan
+
+
+def test_dominant_source_orders_no_rows_of_a_product(spark):
+    plan = catalog.QUERIES["dominant_source"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
