@@ -9,7 +9,7 @@ from ..functions.units import convert_to_base
 from ..operators import changes
 from ..operators.ingredients import reformulations
 from ..functions.tables import register
-from .base import TABLES, query, read
+from .base import TABLES, observations, query, read
 
 _CHANGED = "(SELECT *, lag(size) OVER w AS before, lag(observed_date) OVER w AS date_before FROM {obs} WINDOW w AS (PARTITION BY upc ORDER BY observed_date))"
 _PCT = "(size - before) / before * 100"
@@ -67,7 +67,7 @@ c AS (SELECT *, CASE WHEN (size - b1) / b1 * 100 <= -2 THEN 'size_decrease' WHEN
   WHERE b1 = b2 AND b1 = b3 AND b1 <> size AND b1 > 0 AND (nxt IS NULL OR nxt = size) AND NOT list_contains(later, b1) AND NOT list_contains(earlier, size))
 SELECT upc, year, change_type, d1 AS old_date, observed_date AS new_date, b1 AS old_size, size AS new_size FROM c WHERE change_type IS NOT NULL""")
 def flap_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = TABLES["obs"](spark, sf_dir).select("upc", F.year("observed_date").alias("year"), "observed_date", (F.ceil(F.col("size") / 25) * 25).cast("double").alias("size"), "price").withColumn("ppu", F.col("price") / F.col("size"))
+    rows = observations(spark, sf_dir, rest=()).select("upc", F.year("observed_date").alias("year"), "observed_date", (F.ceil(F.col("size") / 25) * 25).cast("double").alias("size"), "price").withColumn("ppu", F.col("price") / F.col("size"))
     return changes.flap_guarded(rows, ["upc", "year"], "observed_date", "size", "ppu")
 
 
@@ -209,7 +209,7 @@ r AS (SELECT release, lead(release) OVER (ORDER BY release) AS later FROM (SELEC
 SELECT upc, old_release AS old_date, release AS new_date, pct FROM p WHERE pct BETWEEN -50 AND -2 AND NOT EXISTS (SELECT 1 FROM p q WHERE q.upc = p.upc AND q.pct > 0) AND EXISTS (SELECT 1 FROM r WHERE r.release = p.old_release AND r.later = p.release)""")
 def release_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Falls between two releases that follow on one another, of products that never rose."""
-    y = changes.first_per_day(TABLES["obs"](spark, sf_dir).select("upc", F.year("observed_date").alias("release"), "observed_date", "size"), ["upc", "release"], ["observed_date", "size"])
+    y = changes.first_per_day(observations(spark, sf_dir, rest=()).select("upc", F.year("observed_date").alias("release"), "observed_date", "size"), ["upc", "release"], ["observed_date", "size"])
     found = changes.consecutive_changes(y, "upc", "release", "size").where("size_before > 0")
     pct = F.round((F.col("size") - F.col("size_before")) / F.col("size_before") * 100, 2)
     return changes.release_drops(found.select("upc", F.col("release_before").alias("old_date"), F.col("release").alias("new_date"), pct.alias("pct")), y, "upc")

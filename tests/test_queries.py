@@ -73,3 +73,9 @@ def test_makers_are_not_looked_up_where_no_column_needs_them(spark, name):
 def test_dominant_source_orders_no_rows_of_a_product(spark):
     plan = catalog.QUERIES["dominant_source"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan
+
+
+@pytest.mark.parametrize("name", ["flap_guarded", "release_drops"])
+def test_observations_carry_no_unused_columns(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_discount" not in plan.replace("Relation", "\nRelation").split("\nRelation")[0]
