@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.classify import classify_promoted
@@ -39,19 +41,20 @@ def prepared(claims: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).withColumn("key", entity_key(F.trim("brand"), F.trim("name")))
 
 
-def resolved(live: DataFrame, entities: DataFrame) -> DataFrame:
+def resolved(live: DataFrame, entities: DataFrame, send: Callable[[DataFrame], DataFrame] = lambda names: names) -> DataFrame:
     """Claims that aren't refused, whole name keys of them, with their product: ``resolved``, ``is_new`` and ``first`` (the key's first claim).
 
-    Only keys with a product set before are read in order; the first claim of a key is an aggregate.
+    Only keys with a product set before are read in order; the first claim of a key is an aggregate,
+    and known products are looked up for keys.  ``send`` may prepare the keys for their join with the claims.
     """
     at = F.struct("extracted_at", "claim_id")
     first = live.groupBy("key").agg(F.min_by(F.struct("brand", "name", "category", "claim_id"), at).alias("first"), F.count("entity_id").alias("set"))
-    live = live.join(first, "key")
+    known = entities.groupBy(F.col("brand").alias("kb"), F.col("name").alias("kn")).agg(F.min("entity_id").alias("known_id"))
+    first = first.join(known, (F.col("first.brand") == F.col("kb")) & (F.col("first.name") == F.col("kn")), "left").drop("kb", "kn")
+    live = live.join(send(first), "key")
     so_far = Window.partitionBy("key").orderBy("extracted_at", "claim_id").rowsBetween(Window.unboundedPreceding, 0)
     ordered = live.where("set > 0").withColumn("set_before", F.last("entity_id", ignorenulls=True).over(so_far))
     live = ordered.unionByName(live.where("set = 0").withColumn("set_before", F.lit(None).cast(live.schema["entity_id"].dataType))).drop("set")
-    known = entities.groupBy("brand", "name").agg(F.min("entity_id").alias("known_id"))
-    live = live.join(known.select(F.col("brand").alias("kb"), F.col("name").alias("kn"), "known_id"), (F.col("first.brand") == F.col("kb")) & (F.col("first.name") == F.col("kn")), "left").drop("kb", "kn")
     return live.withColumns({"resolved": F.coalesce("set_before", "known_id", F.concat(F.lit("new-"), "key")), "is_new": F.col("set_before").isNull() & F.col("known_id").isNull()})
 
 
@@ -65,9 +68,9 @@ def suspect_flags(made: DataFrame) -> DataFrame:
 
 
 def placed(live: DataFrame, variants: DataFrame, raw_items: DataFrame, today: str) -> DataFrame:
-    """Resolved claims with their variant, day, and whether they may make an event."""
-    codes = variants.where("upc is not null").groupBy("upc").agg(F.min("variant_id").alias("known_variant"))
-    live = live.join(codes, "upc", "left").withColumn("variant_id", F.coalesce("known_variant", F.when(F.coalesce("upc", F.lit("")) != "", F.concat(F.lit("new-upc-"), "upc")), F.concat(F.lit("new-claim-"), F.col("claim_id").cast("string"))))
+    """Claims with their variant, day, and whether they may make an event; those without a code are spread over all tasks."""
+    codes = variants.where("upc is not null").groupBy("upc").agg(F.min("variant_id").alias("known_variant")).withColumn("spread", F.hash("upc"))
+    live = live.withColumn("spread", F.hash(F.coalesce("upc", F.col("claim_id").cast("string")))).join(codes, ["upc", "spread"], "left").drop("spread").withColumn("variant_id", F.coalesce("known_variant", F.when(F.coalesce("upc", F.lit("")) != "", F.concat(F.lit("new-upc-"), "upc")), F.concat(F.lit("new-claim-"), F.col("claim_id").cast("string"))))
     live = live.join(raw_items, "raw_item_id", "left").withColumn("day", F.coalesce("observed_date", "source_date", F.lit(today).cast("date")))
     blocked = (F.coalesce("source_type", F.lit("")) == "reddit") & ~F.coalesce("has_image", F.lit(False)) & ~F.coalesce("has_social_image", F.lit(False))
     return live.withColumn("blocked", blocked)
