@@ -79,3 +79,9 @@ def test_dominant_source_orders_no_rows_of_a_product(spark):
 def test_observations_carry_no_unused_columns(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_discount" not in plan.replace("Relation", "\nRelation").split("\nRelation")[0]
+
+
+@pytest.mark.parametrize("name", ["turnover", "turnover_groups"])
+def test_turnover_joins_codes_once(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("dense_rank") == 2
