@@ -85,3 +85,9 @@ def test_observations_carry_no_unused_columns(spark, name):
 def test_turnover_joins_codes_once(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and plan.count("dense_rank") == 2
+
+
+@pytest.mark.parametrize("name", ["reassigned_claims", "reassigned_events"])
+def test_events_to_reassign_are_made_once(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan
