@@ -91,3 +91,8 @@ def test_turnover_joins_codes_once(spark, name):
 def test_events_to_reassign_are_made_once(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" not in plan
+
+
+def test_versions_come_from_one_pass_over_changes(spark):
+    plan = catalog.QUERIES["backfill_versions"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "l_partkey" in plan
