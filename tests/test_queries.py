@@ -96,3 +96,9 @@ def test_events_to_reassign_are_made_once(spark, name):
 def test_versions_come_from_one_pass_over_changes(spark):
     plan = catalog.QUERIES["backfill_versions"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "l_partkey" in plan
+
+
+@pytest.mark.parametrize("name", ["flap_guarded", "kroger_changes"])
+def test_rows_that_fail_the_guards_carry_nothing_on(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "END AS found#" in plan
